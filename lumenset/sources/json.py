@@ -14,9 +14,14 @@ BAD_JSON = "Invalid JSON structure. Expected a list or dictionary."
 DATE_NAMES = ["modified", "date", "datetime"]
 DATE_ENDINGS = ["_at", "_time"]
 DATE_STARTS = ["timestamp"]
-# Smallest number taken for an epoch time, and the largest one per unit within the nanosecond range.
+# Smallest number taken for an epoch time; per unit the largest one in the nanosecond range and its microseconds.
 MIN_EPOCH = 31_536_000
-EPOCH_UNITS = [(9_223_372_036, 1), (9_223_372_036_854, 1_000), (9_223_372_036_854_775, 1_000_000), (2**63 - 1, 1_000_000_000)]
+EPOCH_UNITS = [
+    (9_223_372_036, "1000000"),
+    (9_223_372_036_854, "1000"),
+    (9_223_372_036_854_775, "1"),
+    (9_223_372_036_854_775_807, "0.001"),
+]
 
 
 def read_json_records(spark: SparkSession, path: str | list[str], multi_line: bool = False, convert_date_names: bool = False) -> DataFrame:
@@ -133,8 +138,8 @@ def convert_named_dates(df: DataFrame) -> DataFrame:
         if kind_of(f.dataType) == STRING:
             converted[f.name] = parse_any(c)
         else:
-            scale = next((s for limit, s in EPOCH_UNITS if high <= limit), None)
-            if scale:
-                micros = (c.cast("decimal(38,6)") * (1_000_000 / scale if scale <= 1_000_000 else 1) / (1 if scale <= 1_000_000 else 1000))
+            unit = next((u for limit, u in EPOCH_UNITS if high <= limit), None)
+            if unit:
+                micros = c.cast("decimal(25,6)") * F.lit(unit).cast("decimal(10,3)")
                 converted[f.name] = F.timestamp_micros(micros.cast("bigint"))
     return df.withColumns(converted) if converted else df
