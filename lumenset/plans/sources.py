@@ -1,2 +1,232 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the readers and writers, on files that are first written from the tables."""
+
+
+from pyspark.sql import functions as F
+
+from ..operators.catalog import Catalog
+from ..session import ROW_ID, scratch_path
+from ..sources.csv import read_csv_table
+from ..sources.infer import fit_types, infer_types
+from ..sources.json import convert_named_dates, flatten_keyed_json, read_json_documents, read_json_records
+from ..sources.sinks import Upload, register_dataset, write_table
+from ..sources.uploads import check_uploads
+from .tables import catalog, read, text
+
+GAPPY_ORDERS = """
+    select o_orderkey, case when o_orderkey % 7 = 0 then null else o_custkey end as o_custkey,
+           case when o_orderkey % 5 = 0 then null else o_totalprice end as o_totalprice,
+           case when o_orderkey % 4 = 0 then null else o_orderpriority end as o_orderpriority,
+           o_orderstatus = 'O' as is_open, 'said "' || o_orderstatus || '", twice' as note,
+           strftime(o_orderdate, '%Y-%m-%d') as day from orders"""
+
+
+def gappy_orders(spark, folder):
+    key = F.col("o_orderkey")
+    return read(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(key % 7 != 0, F.col("o_custkey")).alias("o_custkey"),
+        F.when(key % 5 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+        F.when(key % 4 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        (F.col("o_orderstatus") == "O").alias("is_open"),
+        F.concat(F.lit('said "'), "o_orderstatus", F.lit('", twice')).alias("note"),
+        text("yyyy-MM-dd", "o_orderdate").alias("day"),
+    )
+
+
+def csv_orders(spark, folder):
+    """Written as CSV with missing tokens, read back with inferred types."""
+    path = scratch_path(spark, "csv")
+    tokens = {"o_custkey": "NA", "o_totalprice": "NaN", "o_orderpriority": "n/a"}
+    orders = gappy_orders(spark, folder)
+    orders = orders.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(t)) for c, t in tokens.items()})
+    write_table(orders, path, "csv")
+    return read_csv_table(spark, path).drop(ROW_ID)
+
+
+# customer keys with gaps come back as doubles
+CSV_ORDERS = f"select * replace (cast(o_custkey as double) as o_custkey) from ({GAPPY_ORDERS})"
+
+
+def json_orders(spark, folder):
+    path = scratch_path(spark, "json")
+    orders = gappy_orders(spark, folder)
+    nested = F.struct(F.col("o_orderkey").alias("k"), F.array("is_open").alias("flags"))
+    write_table(orders.withColumn("detail", nested), path, "json")
+    found = read_json_records(spark, path).drop(ROW_ID)
+    return found.withColumn("o_custkey", F.coalesce("o_custkey", F.lit(-1)))
+
+
+JSON_ORDERS = f"""
+select * replace (coalesce(o_custkey, -1) as o_custkey),
+       '{{"k":' || o_orderkey || ',"flags":[' || case when is_open then 'true' else 'false' end || ']}}' as detail
+from ({GAPPY_ORDERS})"""
+
+TYPED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+# what the values of each table look like once they are text
+SQL_TYPES = {"BIGINT": "bigint", "INTEGER": "bigint", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "string"}
+
+
+def _as_text(df):
+    return df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+def column_types(spark, folder):
+    """Types found again after every column of every table was turned into text."""
+    found = []
+    for t in TYPED:
+        table = _as_text(read(spark, folder, t)).withColumn("gaps", F.lit(None).cast("string"))
+        found += [(t, c, kind) for c, kind in fit_types(table).items()]
+    return spark.createDataFrame(found, "table_name string, column string, type string")
+
+
+COLUMN_TYPES = " union all ".join(
+    [
+        f"select '{t}' as table_name, name as \"column\", case "
+        + " ".join(f"when type = '{k}' then '{v}'" for k, v in SQL_TYPES.items())
+        + f" end as type from pragma_table_info('{t}')"
+        for t in TYPED
+    ]
+    + [f"select '{t}', 'gaps', 'double'" for t in TYPED]
+)
+
+
+def typed_orders(spark, folder):
+    return infer_types(_as_text(gappy_orders(spark, folder)))
+
+
+TYPED_ORDERS = CSV_ORDERS
+
+# --- documents --------------------------------------------------------------------------------
+
+
+def _documents(spark, folder):
+    """One JSON document per event, of a shape that follows from its key."""
+    key = F.col("event_id")
+    x = F.concat(F.lit('{"x":'), key, F.lit("}"))
+    y = F.concat(F.lit('{"y":"'), "event_type", F.lit('","_key":"old"}'))
+    v = F.concat(F.lit('{"x":'), F.col("user_id"), F.lit(',"v":'), F.col("value"), F.lit("}"))
+    doc = (
+        F.when(key % 4 == 0, F.concat(F.lit('{"a":['), x, F.lit(","), v, F.lit(',5],"b":'), y, F.lit(',"c":7}')))
+        .when(key % 4 == 1, F.concat(F.lit("["), x, F.lit(","), v, F.lit("]")))
+        .when(key % 4 == 2, F.concat(F.lit('{"x":'), key, F.lit(',"y":"'), "event_type", F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"only":'), y, F.lit("}")))
+    )
+    return read(spark, folder, "events").select("event_id", doc.alias("doc"))
+
+
+def _plain(rows):
+    return rows.withColumns({"x": F.coalesce("x", F.lit(-1)), "y": F.coalesce("y", F.lit("")), "_key": F.coalesce("_key", F.lit(""))})
+
+
+def event_documents(spark, folder):
+    return _plain(flatten_keyed_json(_documents(spark, folder), "doc"))
+
+
+EVENT_DOCUMENTS = """
+with e as (select *, event_id % 4 as shape from events)
+select event_id, event_id as x, '' as y, cast(null as double) as v, case shape when 0 then 'a' else '' end as _key from e where shape in (0, 1)
+union all select event_id, user_id, '', value, case shape when 0 then 'a' else '' end from e where shape in (0, 1)
+union all select event_id, -1, event_type, null, case shape when 0 then 'b' else 'only' end from e where shape in (0, 3)
+union all select event_id, event_id, event_type, null, '' from e where shape = 2"""
+
+
+def document_files(spark, folder):
+    """Files of one document each, which holds a thousand customers keyed by market segment."""
+    path = scratch_path(spark, "documents")
+    customers = read(spark, folder, "customer").select(
+        F.floor(F.col("c_custkey") / 1000).alias("part"), "c_mktsegment", F.to_json(F.struct("c_custkey", "c_acctbal")).alias("item")
+    )
+    lists = customers.groupBy("part", "c_mktsegment").agg(F.concat_ws(",", F.collect_list("item")).alias("items"))
+    member = F.concat(F.lit('"'), "c_mktsegment", F.lit('":['), "items", F.lit("]"))
+    whole = lists.groupBy("part").agg(F.concat(F.lit('{"n":1,'), F.concat_ws(",", F.collect_list(member)), F.lit("}")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_documents(spark, path).drop(ROW_ID)
+
+
+DOCUMENT_FILES = "select c_acctbal, c_custkey, c_mktsegment as _key from customer"
+
+
+def named_dates(spark, folder):
+    stamp = F.col("ts").cast("timestamp")
+    events = read(spark, folder, "events").select(
+        "event_id",
+        F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.unix_seconds(stamp).alias("start_time"),
+        F.unix_millis(stamp).alias("timestamp_ms"),
+        F.when(F.col("event_id") % 100 == 1, "soon").otherwise(F.date_format(stamp, "yyyy-MM-dd")).alias("modified"),
+        F.col("value").alias("lead_time"),
+    )
+    shown = convert_named_dates(events)
+    millis = {"timestamp_ms": "yyyy-MM-dd HH:mm:ss.SSS"}
+    return shown.select([
+        F.date_format(c, millis.get(c, "yyyy-MM-dd HH:mm:ss")).alias(c) if kind == "timestamp" else F.col(c)
+        for c, kind in shown.dtypes
+    ])
+
+
+NAMED_DATES = """
+select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, strftime(ts, '%Y-%m-%d %H:%M:%S') as start_time,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%g') as timestamp_ms,
+       case when event_id % 100 = 1 then 'soon' else strftime(ts, '%Y-%m-%d') end as modified, value as lead_time
+from events"""
+
+# --- registration -----------------------------------------------------------------------------
+
+
+def registered_tables(spark, folder):
+    """Three tables written in the three formats and registered after the existing datasets."""
+    cat = catalog(spark, folder)
+    known = cat.datasets.groupBy().agg(F.max("id").alias("id"))
+    cat = Catalog(cat.users, known, cat.visualisations, cat.shares)
+    for t, fmt in (("customer", "csv"), ("part", "json"), ("lineitem", "parquet")):
+        upload = Upload(1, f"{t}.{fmt}", scratch_path(spark, t), fmt, is_public=fmt == "csv")
+        cat = register_dataset(cat, read(spark, folder, t), upload)
+    return cat.datasets.where("original_filename is not null").select("id", "original_filename", "file_type", "n_rows", "n_columns", "is_public")
+
+
+REGISTERED_TABLES = "with k as (select max(o_orderkey) as id from orders) " + " union all ".join(
+    f"select (select id from k) + {i} as id, '{t}.{fmt}' as original_filename, '{fmt}' as file_type, count(*) as n_rows, "
+    f"{n} as n_columns, {'true' if fmt == 'csv' else 'false'} as is_public from {t}"
+    for i, (t, fmt, n) in enumerate([("customer", "csv", 5), ("part", "json", 6), ("lineitem", "parquet", 11)], 1)
+)
+
+
+def checked_pages(spark, folder):
+    """Page addresses, some with a data file name added, as upload names."""
+    key = F.col("page_id")
+    name = F.concat("url", F.when(key % 3 == 0, F.lit("/Data.CSV")).when(key % 3 == 1, F.lit("/d.json")).otherwise(F.lit("")))
+    files = read(spark, folder, "pages").select("page_id", name.alias("name"), F.length("html").cast("bigint").alias("length"))
+    checked = check_uploads(files, "name", "length", max_bytes=2000)
+    return checked.withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
+CHECKED_PAGES = """
+with f as (select page_id, url || case page_id % 3 when 0 then '/Data.CSV' when 1 then '/d.json' else '' end as name, length(html) as length from pages),
+     e as (select *, case when contains(name, '.') then lower(string_split(name, '.')[-1]) else '' end as ext from f),
+     r as (select *, case when ext not in ('csv', 'json') then 'Unsupported file type: ' || ext when length > 2000 then 'File too large' else '' end as reason from e)
+select page_id, name, length, ext, reason = '' as accepted, reason from r"""
+
+
+QUERIES = {
+    "csv_orders": csv_orders,
+    "json_orders": json_orders,
+    "column_types": column_types,
+    "typed_orders": typed_orders,
+    "event_documents": event_documents,
+    "document_files": document_files,
+    "named_dates": named_dates,
+    "registered_tables": registered_tables,
+    "checked_pages": checked_pages,
+}
+
+SQL = {
+    "csv_orders": CSV_ORDERS,
+    "json_orders": JSON_ORDERS,
+    "column_types": COLUMN_TYPES,
+    "typed_orders": TYPED_ORDERS,
+    "event_documents": EVENT_DOCUMENTS,
+    "document_files": DOCUMENT_FILES,
+    "named_dates": NAMED_DATES,
+    "registered_tables": REGISTERED_TABLES,
+    "checked_pages": CHECKED_PAGES,
+}

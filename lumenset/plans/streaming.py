@@ -1,2 +1,97 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the streaming jobs, in their table and their stream form."""
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.sinks import write_table
+from ..streaming.ingest import FILE, ingest_stream
+from ..streaming.quota import quota_violations, run_quota_stream
+from .tables import read, text
+
+# the events of one user are few, so the limits are low
+PER_HOUR, PER_DAY = 2, 8
+
+
+def _shown(windows):
+    return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def over_quota(spark, folder):
+    return _shown(quota_violations(read(spark, folder, "events"), "user_id", "ts", PER_HOUR, PER_DAY))
+
+
+OVER_QUOTA = " union all ".join(
+    f"select user_id as client, '{g}' as grain, strftime(date_trunc('{g}', ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n "
+    f"from events group by 1, 2, 3 having count(*) > {limit}"
+    for g, limit in (("hour", PER_HOUR), ("day", PER_DAY))
+)
+
+
+def over_quota_stream(spark, folder):
+    """The same counts from a stream of the events, run until all of them are read."""
+    schema = read(spark, folder, "events").schema
+    parts = []
+    for grain, limit in (("hour", PER_HOUR), ("day", PER_DAY)):
+        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        sink = scratch_path(spark, f"quota-{grain}")
+        run_quota_stream(events, "user_id", "ts", grain, limit, sink, scratch_path(spark, "state")).awaitTermination()
+        parts.append(spark.read.parquet(sink))
+    return _shown(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def ingested_orders(spark, folder):
+    """Orders dropped as one CSV file per status; each file is cleaned with its own statistics."""
+    drop, sink = scratch_path(spark, "drop"), scratch_path(spark, "sink")
+    key = F.col("o_orderkey")
+    orders = read(spark, folder, "orders").select(
+        "o_orderstatus",
+        F.concat(F.lit("s-"), "o_orderstatus").alias("label"),
+        "o_orderkey",
+        F.when(key % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+        F.when(key % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        text("d MMM yyyy", "o_orderdate").alias("day"),
+    )
+    orders.repartition("o_orderstatus").sortWithinPartitions("o_orderkey").write.partitionBy("o_orderstatus").option("header", True).csv(drop)
+    types = {"label": "string", "o_orderkey": "bigint", "o_totalprice": "double", "o_orderpriority": "string", "day": "string"}
+    ingest_stream(spark, drop, sink, types, scratch_path(spark, "state"), "o_orderkey", "*.csv").awaitTermination()
+    files = spark.read.parquet(f"{sink}/datasets").select(FILE, "n_rows", "n_columns")
+    rows = spark.read.parquet(f"{sink}/rows").drop("batch", "label_date", "o_orderpriority_date")
+    return rows.join(files, FILE).drop(FILE).withColumn("o_totalprice", F.round("o_totalprice", 6))
+
+
+def _flag(c):
+    return f"coalesce({c} < {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) or {c} > {c}_q3 + 1.5 * ({c}_q3 - {c}_q1), false) as {c}_outlier"
+
+
+def _quartiles(c):
+    return f"quantile_cont({c}, 0.25) as {c}_q1, quantile_cont({c}, 0.75) as {c}_q3"
+
+
+INGESTED_ORDERS = f"""
+with d as (select 's-' || o_orderstatus as label, o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice,
+                  case when o_orderkey % 5 = 0 then null else o_orderpriority end as o_orderpriority, o_orderdate from orders),
+     c as (select label, o_orderpriority as fill, count(*) as n from d where o_orderpriority is not null group by all),
+     m as (select label, fill from c qualify row_number() over (partition by label order by n desc, fill) = 1),
+     k as (select label, quantile_cont(o_totalprice, 0.5) as median, count(*) as n_rows from d group by label),
+     f as (select label, o_orderkey, coalesce(o_totalprice, median) as o_totalprice, coalesce(o_orderpriority, fill) as o_orderpriority, o_orderdate, n_rows
+           from d join k using (label) join m using (label)),
+     q as (select label, {_quartiles('o_orderkey')}, {_quartiles('o_totalprice')} from f group by label)
+select label, o_orderkey, round(o_totalprice, 6) as o_totalprice, o_orderpriority,
+       ltrim(strftime(o_orderdate, '%d %b %Y'), '0') as day, {_flag('o_orderkey')}, {_flag('o_totalprice')},
+       strftime(o_orderdate, '%Y-%m-%d') as day_date, n_rows, 10 as n_columns
+from f join q using (label)"""
+
+
+QUERIES = {
+    "over_quota": over_quota,
+    "over_quota_stream": over_quota_stream,
+    "ingested_orders": ingested_orders,
+}
+
+SQL = {
+    "over_quota": OVER_QUOTA,
+    "over_quota_stream": OVER_QUOTA,
+    "ingested_orders": INGESTED_ORDERS,
+}

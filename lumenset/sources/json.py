@@ -29,12 +29,13 @@ def read_json_records(spark: SparkSession, path: str | list[str], multi_line: bo
 
     Nested values stay as JSON text.
     """
-    raw = spark.read.option("multiLine", multi_line).json(path)
-    if "_corrupt_record" in raw.columns:
+    reader = spark.read.option("multiLine", multi_line)
+    inferred = reader.json(path).schema
+    if "_corrupt_record" in inferred.names:
         raise ValueError(BAD_JSON)
     nested = (T.StructType, T.ArrayType, T.MapType)
-    flat = [F.to_json(quoted(f.name)).alias(f.name) if isinstance(f.dataType, nested) else quoted(f.name) for f in raw.schema.fields]
-    out = raw.select(*flat, F.monotonically_increasing_id().alias(ROW_ID))
+    fields = [T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in inferred.fields]
+    out = reader.schema(T.StructType(fields)).json(path).withColumn(ROW_ID, F.monotonically_increasing_id())
     return convert_named_dates(out) if convert_date_names else out
 
 

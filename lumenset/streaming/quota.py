@@ -1,6 +1,7 @@
 """Requests per client in fixed windows, and the windows over quota."""
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 # Requests allowed per client and window.
 PER_HOUR, PER_DAY = 50, 200
@@ -23,3 +24,27 @@ def over_quota(events: DataFrame, key: str, ts: str, grain: str, limit: int, wat
 def quota_violations(events: DataFrame, key: str, ts: str, per_hour: int = PER_HOUR, per_day: int = PER_DAY) -> DataFrame:
     """Windows of a table in which a client sent more than its hourly or daily quota."""
     return over_quota(events, key, ts, "hour", per_hour).unionByName(over_quota(events, key, ts, "day", per_day))
+
+
+def run_quota_stream(
+    events: DataFrame,
+    key: str,
+    ts: str,
+    grain: str,
+    limit: int,
+    sink: str,
+    checkpoint: str,
+    watermark: str = "1 hour",
+    output_mode: str = "complete",
+) -> StreamingQuery:
+    """Read what is there, then stop.
+
+    ``complete`` keeps all windows and rewrites ``sink`` with every result. ``append`` drops the
+    state of windows that the watermark has closed and adds each of them to ``sink`` once; windows
+    still open are withheld.
+    """
+    found = over_quota(events, key, ts, grain, limit, watermark)
+    writer = found.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if output_mode == "append":
+        return writer.format("parquet").start(sink)
+    return writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink)).start()
