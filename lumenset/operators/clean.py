@@ -4,17 +4,18 @@ Which columns the result has depends on the data, so ``fit_clean`` runs a few ag
 bring back one small row each, and ``CleanModel.transform`` is one narrow, lazy projection.
 """
 
-from dataclasses import dataclass
+from contextlib import nullcontext
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import detect_format, iso_date, parse_as
+from ..functions.dates import formats_of_samples, iso_date, parse_as, short_sample
 from ..functions.kinds import BOOL, NUMERIC, STRING, kind_of, number, quoted
 from ..session import with_row_order
 from .datecols import passes
 from .impute import filled, fit_modes
 from .outliers import Bounds, bounds_of, is_outlier
-from .quantiles import aggregate_row, exact_quantiles
+from .quantiles import DIRECT_ROWS, aggregate_row, exact_quantiles, working_copy
 
 
 @dataclass(frozen=True)
@@ -69,54 +70,58 @@ def fit_clean(df: DataFrame, order_by: str | list[str] | None = None, **limits)
     flags = [c for c, k in kinds.items() if k == BOOL]
     ordered, order = with_row_order(df, order_by)
 
-    # 1. sizes, and the first row's text per column with the pattern it suggests
+    # 1. sizes, and the first row's text per column
     measured = numbers + texts + flags
     first = {c: F.min_by(quoted(c), order) for c in texts}
     row = aggregate_row(
         ordered,
         [F.count(F.lit(1))]
         + [F.count(number(df, c) if c in numbers else quoted(c)) for c in measured]
-        + [detect_format(first[c]) for c in texts],
+        + [short_sample(first[c]) for c in texts],
     )
     n_rows = row[0]
     nulls = {c: n_rows - n for c, n in zip(measured, row[1:])}
-    formats = dict(zip(texts, row[1 + len(measured) :]))
+    samples = dict(zip(texts, row[1 + len(measured) :]))
+
+    with working_copy(df, n_rows) if n_rows > limits.get("direct_rows", DIRECT_ROWS) else nullcontext(df) as rows:
+        return _fit_columns(df, rows, n_rows, kinds, nulls, samples, limits)
+
+
+def _fit_columns(
+    df: DataFrame, rows: DataFrame, n_rows: int, kinds: dict, nulls: dict, samples: dict, limits: dict
+) -> CleanModel:
+    numbers, texts = ([c for c, k in kinds.items() if k == kind] for kind in (NUMERIC, STRING))
+    known = {"known_rows": n_rows, "copied": True, **limits}
 
     # 2. fill values, only for columns with gaps
     fills: dict[str, float | str | None] = {}
     gaps = [c for c in numbers if nulls[c]]
     if gaps:
-        medians, _ = exact_quantiles(df, {c: number(df, c) for c in gaps}, [0.5], known_rows=n_rows, **limits)
+        medians, _ = exact_quantiles(rows, {c: number(df, c) for c in gaps}, [0.5], **known)
         fills.update({c: q[0] for c, q in medians.items()})
-    fills.update(fit_modes(df, [c for c in texts + flags if nulls[c]]))
-    for c in flags:
-        if nulls[c] == n_rows:
-            fills[c] = None
-    unseen = [c for c in texts if formats[c] is None and n_rows]
-    if unseen:  # the first row was null there, so its sample is the fill value
-        samples = df.sparkSession.range(1).select([detect_format(F.lit(fills[c])) for c in unseen]).first()
-        formats.update(zip(unseen, samples))
+    fills.update(fit_modes(rows, [c for c, k in kinds.items() if k in (STRING, BOOL) and nulls[c]]))
+    fills.update({c: None for c, k in kinds.items() if k == BOOL and nulls[c] == n_rows})
+    # where the first row was null, the sample is what fills it
+    samples = {c: fills[c] if s is None and n_rows else s for c, s in samples.items()}
+    formats = formats_of_samples(df.sparkSession, samples)
 
     # 3. quartiles of the filled numbers and the share of parsable dates
     plans = {c: ColumnPlan(c, k, bool(nulls.get(c)), fills.get(c)) for c, k in kinds.items()}
     dated = [c for c in texts if formats[c]]
-    shares = [F.avg(parse_as(_imputed(df, plans[c]), formats[c]).isNotNull().cast("int")) for c in dated]
+    parsable = [parse_as(_imputed(df, plans[c]), formats[c]).isNotNull() for c in dated]
     filled_numbers = {c: F.coalesce(number(df, c), F.lit(fills.get(c)).cast("double")) for c in numbers}
-    quartiles, found = exact_quantiles(df, filled_numbers, [0.25, 0.75], extra=shares, known_rows=n_rows, **limits)
-    kept = {c for c, share in zip(dated, found) if passes(share)}
+    quartiles, shares = exact_quantiles(rows, filled_numbers, [0.25, 0.75], parsable, **known)
+    kept = {c for c, share in zip(dated, shares) if passes(share)}
 
     return CleanModel(
         n_rows,
         tuple(
-            ColumnPlan(
-                c,
-                kinds[c],
-                plans[c].had_nulls,
-                fills.get(c),
-                bounds_of(*quartiles[c]) if c in quartiles else None,
-                formats[c] if c in kept else None,
+            replace(
+                plan,
+                bounds=bounds_of(*quartiles[c]) if c in quartiles else None,
+                date_format=formats[c] if c in kept else None,
             )
-            for c in df.columns
+            for c, plan in plans.items()
         ),
     )
 

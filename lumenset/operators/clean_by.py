@@ -4,20 +4,22 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.dates import detect_format, iso_date, parse_by
+from ..functions.dates import detect_format, iso_date, parse_as, parse_by
 from ..functions.kinds import BOOL, NUMERIC, STRING, columns_of, kind_of, number, quoted
 from ..session import cut_lineage, with_row_order
 from .impute import UNKNOWN
-from .joins import SALTS, salted_left_join
+from .joins import stats_join
 from .outliers import REACH
 
 # Rows of one group that a single sorted window may hold; larger groups are ranked in pieces.
 GROUP_ROWS = 4_000_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group; counted before the shuffle, one number comes back."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int, int]:
+    """Number of groups, rows of the largest one and rows in all; counted before the shuffle."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    row = counted.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    return row[0], row[1] or 0, row[2] or 0
 
 
 def rank_values(counts: DataFrame, group: list[str], in_pieces: int = 0) -> DataFrame:
@@ -91,32 +93,27 @@ def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], in_pieces
     return stats.select(*keys, "column", "median", "q1", "q3")
 
 
-def _text_stats(df: DataFrame, keys: list[str], columns: list[str], order_by) -> DataFrame:
-    """(keys, column, fill, pattern, share): mode, date pattern and share of parsable values."""
+def _text_stats(df: DataFrame, keys: list[str], columns: list[str], order_by, n_groups: int) -> DataFrame:
+    """(keys, column, fill, pattern, share): mode, date pattern and share of parsable values.
+
+    Everything comes from one table of value counts, which also holds where each value was first seen.
+    """
     ordered, order = with_row_order(df, order_by)
     texts = [quoted(c).cast("string").alias(c) for c in columns]
-    long = df.select(*keys, *texts).unpivot(keys, columns, "column", "value")
-    counts = long.groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("r"), F.col("value"))))
-    sums = counts.groupBy(*keys, "column").agg(best["value"].alias("mode"), F.sum("n").alias("rows"))
+    long = ordered.select(*keys, order.alias("_order"), *texts).unpivot([*keys, "_order"], columns, "column", "value")
+    counts = long.groupBy(*keys, "column", "value").agg(F.count("*").alias("n"), F.min("_order").alias("seen"))
 
-    firsts = ordered.groupBy(*keys).agg(*[F.min_by(quoted(c).cast("string"), order).alias(c) for c in columns])
-    samples = firsts.unpivot(keys, columns, "column", "first")
+    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("r"), F.col("value"))))
+    first = F.min(F.struct("seen", "value"))
     group = [*keys, "column"]
-    match = sums["column"] == samples["column"]
-    for k in keys:
-        match &= sums[k].eqNullSafe(samples[k])
-    fill = F.coalesce("mode", F.lit(UNKNOWN))
-    plans = sums.join(samples, match).select(
-        *[sums[g] for g in group], fill.alias("fill"), "rows", detect_format(F.coalesce("first", fill)).alias("pattern")
-    )
+    sums = counts.groupBy(*group).agg(best["value"].alias("mode"), first["value"].alias("first"), F.sum("n").alias("rows"))
+    plans = sums.withColumn("fill", F.coalesce("mode", F.lit(UNKNOWN)))
+    plans = plans.withColumn("pattern", detect_format(F.coalesce("first", "fill"))).select(*group, "fill", "rows", "pattern")
+
+    filled = stats_join(counts.drop("seen"), plans, group, ["value"], n_groups * len(columns))
     parsed = parse_by(F.coalesce("value", "fill"), F.col("pattern")).isNotNull()
-    valid = F.sum(F.when(parsed, F.col("n")).otherwise(0))
-    return (
-        salted_left_join(counts, plans, group, ["value"], SALTS)
-        .groupBy(*group)
-        .agg(F.first("fill").alias("fill"), F.first("pattern").alias("pattern"), (valid / F.first("rows")).alias("share"))
-    )
+    valid = filled.withColumn("valid", F.when(parsed, F.col("n")).otherwise(0))
+    return valid.groupBy(*group, "fill", "pattern", "rows").agg((F.sum("valid") / F.col("rows")).alias("share"))
 
 
 def _per_key(stats: DataFrame, keys: list[str], columns: list[str], fields: list[str]) -> DataFrame:
@@ -144,19 +141,33 @@ def clean_by(
     dates = dates if date_columns is None else date_columns
     spread = [quoted(c) for c in df.columns if c not in keys]
 
-    largest = largest_group(df, keys) if numbers else 0
-    pieces = ceil(df.count() / group_rows) + 8 if largest > group_rows else 0
-    out = df
+    n_groups, largest, n_rows = group_sizes(df, keys)
+    pieces = ceil(n_rows / group_rows) + 8 if largest > group_rows else 0
+    per_key = []
     if numbers:
-        stats = _numeric_stats(df, keys, numbers, pieces)
-        out = salted_left_join(out, _per_key(stats, keys, numbers, ["median", "q1", "q3"]), keys, spread)
+        per_key.append(_per_key(_numeric_stats(df, keys, numbers, pieces), keys, numbers, ["median", "q1", "q3"]))
     if texts:
-        stats = _text_stats(df, keys, texts, order_by)
-        out = salted_left_join(out, _per_key(stats, keys, texts, ["fill", "pattern", "share"]), keys, spread)
-    return out.select(*_projection(df, numbers, texts, dates))
-
-
-def _projection(df: DataFrame, numbers: list[str], texts: list[str], dates: list[str]) -> list[Column]:
+        stats = _text_stats(df, keys, texts, order_by, n_groups)
+        per_key.append(_per_key(stats, keys, texts, ["fill", "pattern", "share"]))
+    out, patterns = df, {}
+    if per_key:
+        both = per_key[0] if len(per_key) == 1 else stats_join(*per_key, keys, keys, n_groups)
+        # written once: the patterns in use are looked up, and the rows are joined to the same statistics
+        both = cut_lineage(both)
+        patterns = _patterns(both, dates)
+        out = stats_join(df, both, keys, spread, n_groups)
+    return out.select(*_projection(df, numbers, texts, patterns))
+
+
+def _patterns(stats: DataFrame, dates: list[str]) -> dict[str, list[str]]:
+    """Patterns per column that any group passed the gate with; there are no more than known patterns."""
+    if not dates:
+        return {}
+    passed = [F.collect_set(F.when(F.col(f"`_{c}_stats`.share") > 0.5, F.col(f"`_{c}_stats`.pattern"))) for c in dates]
+    return dict(zip(dates, stats.agg(*passed).first()))
+
+
+def _projection(df: DataFrame, numbers: list[str], texts: list[str], patterns: dict[str, list[str]]) -> list[Column]:
     stat = lambda c, f: F.col(f"`_{c}_stats`.{f}")
     values, flags, isos = [], [], []
     for c in df.columns:
@@ -170,8 +181,9 @@ def _projection(df: DataFrame, numbers: list[str], texts: list[str], dates: list
             value = F.coalesce(quoted(c), F.expr(f"try_cast(`_{c}_stats`.fill as {kind.simpleString()})"))
         else:
             value = quoted(c)
-        if c in dates:
-            parsed = F.when(stat(c, "share") > 0.5, parse_by(value, stat(c, "pattern")))
+        if c in patterns:
+            tries = [F.when((stat(c, "share") > 0.5) & (stat(c, "pattern") == p), parse_as(value, p)) for p in sorted(patterns[c])]
+            parsed = F.coalesce(*tries, F.lit(None).cast("timestamp"))
             isos.append(iso_date(parsed).alias(c + "_date"))
         values.append(value.alias(c))
     return values + flags + isos

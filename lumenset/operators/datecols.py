@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.dates import detect_format, iso_date, parse_as
+from ..functions.dates import formats_of_samples, iso_date, parse_as, short_sample
 from ..functions.kinds import STRING, columns_of, quoted
 from ..session import with_row_order
 from .quantiles import aggregate_row
@@ -11,8 +11,9 @@ from .quantiles import aggregate_row
 def fit_formats(df: DataFrame, columns: list[str], order_by=None) -> dict[str, str | None]:
     """Pattern per column, from its first non-null value in row order."""
     df, order = with_row_order(df, order_by)
-    firsts = [F.min_by(quoted(c), F.when(quoted(c).isNotNull(), order)) for c in columns]
-    return dict(zip(columns, aggregate_row(df, [detect_format(v) for v in firsts]))) if columns else {}
+    firsts = [short_sample(F.min_by(quoted(c), F.when(quoted(c).isNotNull(), order))) for c in columns]
+    samples = dict(zip(columns, aggregate_row(df, firsts))) if columns else {}
+    return formats_of_samples(df.sparkSession, samples)
 
 
 def detect_date_format(df: DataFrame, columns: list[str] | None = None, order_by=None) -> DataFrame:

@@ -76,14 +76,17 @@ def apply_filters(df: DataFrame, isin: dict[str, list] | None = None, between: d
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, r, n) for every pair of numeric columns over the rows where both are present.
 
-    One aggregate for all pairs; a constant column gives null.
+    A row is turned into its pairs inside the task and aggregated before the shuffle; a constant
+    column gives null.
     """
     columns = columns_of(df, NUMERIC) if columns is None else columns
-    rows = []
-    for a, b in combinations(columns, 2):
-        x, y = number(df, a), number(df, b)
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r"), F.count(x).alias("n")))
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    values = df.select([number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    pairs = [
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b"))
+        for (i, a), (j, b) in combinations(enumerate(columns), 2)
+    ]
+    long = values.select(F.inline(F.array(*pairs)))
+    a = F.when(F.col("b").isNotNull(), F.col("a"))
+    b = F.when(F.col("a").isNotNull(), F.col("b"))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return long.groupBy("x", "y").agg(r.alias("r"), F.count(a).alias("n"))

@@ -2,28 +2,27 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 SALTS = 16
+# Most rows a table may have to be broadcast; its rows are counted before.
+BROADCAST_ROWS = 100_000
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality on all keys, null equal to null."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[str], n_stats: int) -> DataFrame:
+    """Add the columns of ``stats`` (one row per key, ``n_stats`` in all) to ``rows``.
 
-
-def salted_left_join(
-    rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS
-) -> DataFrame:
-    """Add the columns of ``stats`` (one row per key) to ``rows``.
-
-    Rows of one key are spread over ``salts`` shuffle keys by a hash of ``spread``, which is
-    repeatable if a task is run again; ``stats`` is repeated once per salt. Spark still broadcasts
-    ``stats`` when its measured size allows it, and then nothing is shuffled.
+    Few keys are broadcast, so the rows stay where they are. For many keys both sides are shuffled;
+    rows of one key are then spread over several shuffle keys by a hash of ``spread``, which is
+    repeatable if a task is run again, and ``stats`` is repeated once per salt.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    repeated = stats.withColumn("_salt", copies).withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    match = [salted[k].eqNullSafe(repeated[f"_right_{k}"]) for k in keys] + [salted["_salt"] == repeated["_salt"]]
-    joined = salted.join(repeated, reduce(lambda a, b: a & b, match), "left")
-    return joined.drop(salted["_salt"]).drop("_salt", *[f"_right_{k}" for k in keys])
+    renamed = stats.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    if n_stats <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(renamed), reduce(lambda a, b: a & b, match), "left")
+    else:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        repeated = renamed.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        match.append(F.col("_salt") == F.col("_right_salt"))
+        joined = salted.join(repeated, reduce(lambda a, b: a & b, match), "left").drop("_salt", "_right_salt")
+    return joined.drop(*[f"_right_{k}" for k in keys])

@@ -1,40 +1,53 @@
 """Exact quantiles of many columns without moving the data.
 
-Small or low-cardinality columns use one exact ``percentile`` aggregate. For larger ones every
-pass narrows an interval around the wanted ranks with a bounded sketch and counts, so that only
-aggregates of bounded size are shuffled, whatever the number of rows.
+Small tables use one exact ``percentile`` aggregate. On larger ones a bounded sketch proposes two
+edges around every wanted rank, a counting pass tells on which side the rank lies, and this repeats
+until few rows are left between the edges. Only aggregates of bounded size are shuffled, whatever
+the number of rows: three scans up to about 10^8 rows, two more for every further factor of 2500.
 """
 
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from math import ceil, floor, inf, nextafter
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-# Rows below which an exact aggregate may hold every value of a column.
-DIRECT_ROWS = 4_000_000
-# Distinct values an exact aggregate may hold for a column with more rows than that.
-DIRECT_DISTINCT = 100_000
+# Rows that an exact aggregate may hold in one task.
+DIRECT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
+MARGIN = 2 / SKETCH_ACCURACY
+# Tables of fewer rows may come from one file that one task reads, so their rows are spread first.
+SMALL_ROWS = 5_000_000
 
 
 @dataclass
 class _Bracket:
-    """Closed value interval known to hold the value at ``rank`` (0-based)."""
+    """Closed interval of a column known to hold the value at ``rank`` (0-based)."""
 
-    value: Column
+    column: str
     rank: int
-    low: float
-    high: float
-    below: int
     inside: int
-    distinct: int
+    low: float = -inf
+    high: float = inf
+    below: int = 0
+
+    @property
+    def span(self) -> tuple:
+        return self.column, self.low, self.high
 
     @property
     def within(self) -> Column:
-        return F.when(self.value.between(self.low, self.high), self.value)
+        value = F.col(self.column)
+        return value if self.low == -inf and self.high == inf else F.when(value.between(self.low, self.high), value)
+
+    @property
+    def ends(self) -> list[float]:
+        """Where in the interval to look for edges."""
+        at = (self.rank - self.below) / self.inside
+        return [max(0.0, at - MARGIN), min(1.0, at + MARGIN)]
 
     def settled(self, limit: int) -> bool:
-        return self.low == self.high or self.inside <= limit or self.distinct <= limit
+        return self.low == self.high or self.inside <= limit
 
 
 def aggregate_row(df: DataFrame, aggregates: list[Column]) -> Row:
@@ -42,54 +55,77 @@ def aggregate_row(df: DataFrame, aggregates: list[Column]) -> Row:
     return df.agg(*aggregates).first()
 
 
+@contextmanager
+def working_copy(df: DataFrame, n_rows: int):
+    """A small table spread over all cores and kept for several passes; a larger one as it is.
+
+    Larger tables are split by their files already and are scanned again by every pass.
+    """
+    if n_rows >= SMALL_ROWS:
+        yield df
+        return
+    copy = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
+    try:
+        yield copy
+    finally:
+        copy.unpersist()
+
+
 def exact_quantiles(
     df: DataFrame,
     values: dict[str, Column],
     probabilities: list[float],
-    extra: list[Column] | None = None,
+    conditions: list[Column] | None = None,
     direct_rows: int = DIRECT_ROWS,
-    direct_distinct: int = DIRECT_DISTINCT,
     known_rows: int | None = None,
-) -> tuple[dict[str, list[float | None]], Row]:
-    """Linearly interpolated quantiles of each value; ``extra`` aggregates share the first scan.
+    copied: bool = False,
+) -> tuple[dict[str, list[float | None]], list[float | None]]:
+    """Linearly interpolated quantiles of each value, and the share of rows that meet each condition.
 
     ``known_rows`` is the row count if the caller has it; it decides, before any values are
-    gathered, whether one exact aggregate is small enough.
+    gathered, whether one exact aggregate is small enough. The shares come from the first scan.
+    ``copied`` tells that the table is a working copy already.
     """
-    extra = list(extra or [])
-    probe = None
-    if known_rows is None or known_rows > direct_rows:
-        sizes = [F.count(F.lit(1))]
-        for value in values.values():
-            sizes += [F.count(value), F.approx_count_distinct(value), F.min(value), F.max(value)]
-        probe = aggregate_row(df, sizes + extra)
-        known_rows = probe[0]
-    names = list(values)
-    stat = {n: probe[1 + 4 * i : 5 + 4 * i] for i, n in enumerate(names)} if probe else {}
-    large = [n for n in names if known_rows > direct_rows and stat[n][1] > direct_distinct]
-    direct = [n for n in names if n not in large]
-
-    result: dict[str, list[float | None]] = {}
-    rest = extra if probe is None else []
-    if direct or rest:
-        wanted = [F.percentile(values[n], F.array(*[F.lit(float(p)) for p in probabilities])) for n in direct]
-        row = aggregate_row(df, wanted + rest)
-        for n, found in zip(direct, row):
-            result[n] = list(found) if found is not None else [None] * len(probabilities)
-    extra_row = row[len(direct) :] if probe is None else probe[1 + 4 * len(names) :]
-
-    brackets = []
-    for n in large:
-        count, distinct, low, high = stat[n]
-        for p in probabilities:
+    conditions = conditions or []
+    if not values and not conditions:
+        return {}, []
+    keys = {name: f"v{i}" for i, name in enumerate(values)}
+    flags = [f"c{i}" for i in range(len(conditions))]
+    narrow = df.select(
+        *[values[n].alias(k) for n, k in keys.items()],
+        *[F.coalesce(c, F.lit(False)).cast("int").alias(f) for c, f in zip(conditions, flags)],
+    )
+    if known_rows is None:
+        known_rows = narrow.count()
+    if known_rows <= direct_rows:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = aggregate_row(narrow, [F.percentile(F.col(k), wanted) for k in keys.values()] + [F.avg(f) for f in flags])
+        direct = {n: list(q) if q else [None] * len(probabilities) for n, q in zip(values, row)}
+        return direct, list(row[len(keys) :])
+
+    with nullcontext(narrow) if copied else working_copy(narrow, known_rows) as rows:
+        return _by_narrowing(rows, keys, flags, probabilities, direct_rows)
+
+
+def _by_narrowing(df: DataFrame, keys: dict[str, str], flags: list[str], probabilities: list[float], limit: int):
+    # the first sketch runs along with the counts; its edges are near the ranks without gaps
+    ends = [e for p in probabilities for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    first = [a for k in keys.values() for a in (F.count(k), F.percentile_approx(k, ends, SKETCH_ACCURACY))]
+    row = aggregate_row(df, first + [F.avg(f) for f in flags])
+    brackets: list[_Bracket] = []
+    edges: list[tuple[float, float]] = []
+    for i, k in enumerate(keys.values()):
+        count, sketch = row[2 * i], row[2 * i + 1]
+        for j, p in enumerate(probabilities if count else []):
             at = p * (count - 1)
-            for rank in (floor(at), ceil(at)):
-                brackets.append(_Bracket(values[n], rank, low, high, 0, count, distinct))
-    if brackets:
-        picked = iter(_values_at_ranks(df, brackets, direct_distinct))
-        for n in large:
-            result[n] = [_interpolate(p * (stat[n][0] - 1), next(picked), next(picked)) for p in probabilities]
-    return result, extra_row
+            brackets += [_Bracket(k, floor(at), count), _Bracket(k, ceil(at), count)]
+            edges += [(sketch[2 * j], sketch[2 * j + 1])] * 2
+    picked = iter(_values_at_ranks(df, brackets, edges, limit))
+    result: dict[str, list[float | None]] = {}
+    for i, n in enumerate(keys):
+        count = row[2 * i]
+        result[n] = [_interpolate(p * (count - 1), next(picked), next(picked)) if count else None for p in probabilities]
+    return result, list(row[2 * len(keys) :])
 
 
 def _interpolate(at: float, lower: float, higher: float) -> float:
@@ -97,38 +133,47 @@ def _interpolate(at: float, lower: float, higher: float) -> float:
     return lower if weight == 0 else (1 - weight) * lower + weight * higher
 
 
-def _values_at_ranks(df: DataFrame, brackets: list[_Bracket], limit: int) -> list[float]:
+def _values_at_ranks(df: DataFrame, brackets: list[_Bracket], edges: list[tuple], limit: int) -> list[float]:
+    if brackets:
+        _narrow(df, brackets, edges)
     while wide := [b for b in brackets if not b.settled(limit)]:
-        _narrow(df, wide)
-    # the half keeps the wanted element unambiguous under floating-point division
-    shares = [(b.rank - b.below + 0.5) / b.inside for b in brackets]
-    picks = [F.expr(f"percentile_disc({s!r}D) within group (order by b{i})") for i, s in enumerate(shares)]
-    return list(aggregate_row(df.select([b.within.alias(f"b{i}") for i, b in enumerate(brackets)]), picks))
+        _narrow(df, wide, _sketch(df, wide))
+    open_ = [b for b in brackets if b.low < b.high]
+    found: dict[int, float] = {}
+    if open_:
+        # the half keeps the wanted element unambiguous under floating-point division
+        shares = [(b.rank - b.below + 0.5) / b.inside for b in open_]
+        picks = [F.expr(f"percentile_disc({s!r}D) within group (order by b{i})") for i, s in enumerate(shares)]
+        row = aggregate_row(df.select([b.within.alias(f"b{i}") for i, b in enumerate(open_)]), picks)
+        found = {id(b): value for b, value in zip(open_, row)}
+    return [found.get(id(b), b.low) for b in brackets]
+
+
+def _sketch(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """Two values of the column around every rank; brackets of one span share a sketch."""
+    ends: dict[tuple, list[float]] = {}
+    for b in brackets:
+        ends.setdefault(b.span, []).extend(b.ends)
+    spans = {b.span: b.within for b in brackets}
+    row = aggregate_row(df, [F.percentile_approx(spans[s], ends[s], SKETCH_ACCURACY) for s in spans])
+    found = {s: iter(values) for s, values in zip(spans, row)}
+    return [(next(found[b.span]), next(found[b.span])) for b in brackets]
 
 
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Sketch two edges around every rank, count what lies between, keep the piece with the rank.
+def _narrow(df: DataFrame, brackets: list[_Bracket], edges: list[tuple[float, float]]) -> None:
+    """Count around the edges of every bracket and keep the piece with its rank.
 
     The edges are values of the column and form pieces of their own, so each pass shrinks the
     bracket even if one value fills most of it.
     """
-    sketches = []
-    for b in brackets:
-        at, margin = (b.rank - b.below) / b.inside, 2 / SKETCH_ACCURACY
-        ends = [max(0.0, at - margin), min(1.0, at + margin)]
-        sketches.append(F.percentile_approx(b.within, ends, SKETCH_ACCURACY))
-    edges = aggregate_row(df, sketches)
+    places = list(dict.fromkeys((b.column, e) for b, pair in zip(brackets, edges) for e in pair))
+    counts = [c for column, e in places for c in (F.count_if(F.col(column) < e), F.count_if(F.col(column) <= e))]
+    row = aggregate_row(df, counts)
+    tally = {place: (row[2 * i], row[2 * i + 1]) for i, place in enumerate(places)}
 
-    counts = []
     for b, (low, high) in zip(brackets, edges):
-        middle = (b.value > low) & (b.value < high)
-        counts += [F.count_if(b.value < low), F.count_if(b.value <= low)]
-        counts += [F.count_if(b.value < high), F.count_if(b.value <= high)]
-        counts += [F.approx_count_distinct(F.when(middle, b.value))]
-    tally = aggregate_row(df, counts)
-
-    for i, (b, (low, high)) in enumerate(zip(brackets, edges)):
-        before_low, upto_low, before_high, upto_high, distinct = tally[5 * i : 5 * i + 5]
+        before_low, upto_low = tally[b.column, low]
+        before_high, upto_high = tally[b.column, high]
         end = b.below + b.inside
         if b.rank < before_low:
             b.high, b.inside = nextafter(low, -inf), before_low - b.below
@@ -136,7 +181,7 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
             b.low = b.high = low
             b.below, b.inside = before_low, upto_low - before_low
         elif b.rank < before_high:
-            b.low, b.high, b.distinct = nextafter(low, inf), nextafter(high, -inf), distinct
+            b.low, b.high = nextafter(low, inf), nextafter(high, -inf)
             b.below, b.inside = upto_low, before_high - upto_low
         elif b.rank < upto_high:
             b.low = b.high = high

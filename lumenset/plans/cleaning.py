@@ -206,7 +206,7 @@ from f, q"""
 def clean_by_supplier(spark, folder):
     """Line items per supplier, with numbers, text and dates of its own."""
     lines = gappy_lineitem(spark, folder).drop("l_partkey", "l_linenumber", "l_discount")
-    cleaned = clean_by(lines, "l_suppkey", order_by=["l_orderkey", "l_extendedprice"])
+    cleaned = clean_by(lines, "l_suppkey", order_by="l_orderkey")
     return r6(cleaned.drop("l_returnflag_date"), "l_quantity", "l_extendedprice")
 
 

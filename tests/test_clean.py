@@ -144,10 +144,10 @@ def test_narrowing_is_exact(spark, shape):
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in data], "v double").repartition(8)
     probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found, _ = exact_quantiles(df, {"v": F.col("v")}, probs, direct_rows=100, direct_distinct=100)
+    found, _ = exact_quantiles(df, {"v": F.col("v")}, probs, direct_rows=100)
     assert found["v"] == pytest.approx(list(np.quantile(data, probs)), rel=1e-12)
 
 
 def test_model_same_for_both_quantile_paths(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("value", F.expr("if(event_id % 7 = 0, null, value)"))
-    assert fit_clean(df, "event_id") == fit_clean(df, "event_id", direct_rows=1000, direct_distinct=500)
+    assert fit_clean(df, "event_id") == fit_clean(df, "event_id", direct_rows=1000)
