@@ -8,11 +8,14 @@ from ..functions.dates import detect_format, iso_date, parse_as, parse_by
 from ..functions.kinds import BOOL, NUMERIC, STRING, columns_of, kind_of, number, quoted
 from ..session import cut_lineage, with_row_order
 from .impute import UNKNOWN
-from .joins import stats_join
+from .joins import same_group_join, stats_join
 from .outliers import REACH
 
 # Rows of one group that a single sorted window may hold; larger groups are ranked in pieces.
 GROUP_ROWS = 4_000_000
+MAX_PIECES = 20_000
+# Bytes of one group's statistics of one column, its fill text not counted.
+ROW_BYTES = 100
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int, int]:
@@ -106,14 +109,18 @@ def _text_stats(df: DataFrame, keys: list[str], columns: list[str], order_by, n_
     best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("r"), F.col("value"))))
     first = F.min(F.struct("seen", "value"))
     group = [*keys, "column"]
-    sums = counts.groupBy(*group).agg(best["value"].alias("mode"), first["value"].alias("first"), F.sum("n").alias("rows"))
+    sums = counts.groupBy(*group).agg(best["value"].alias("mode"), first["value"].alias("first"))
     plans = sums.withColumn("fill", F.coalesce("mode", F.lit(UNKNOWN)))
-    plans = plans.withColumn("pattern", detect_format(F.coalesce("first", "fill"))).select(*group, "fill", "rows", "pattern")
+    plans = plans.withColumn("pattern", detect_format(F.coalesce("first", "fill"))).select(*group, "fill", "pattern")
 
-    filled = stats_join(counts.drop("seen"), plans, group, ["value"], n_groups * len(columns))
-    parsed = parse_by(F.coalesce("value", "fill"), F.col("pattern")).isNotNull()
-    valid = filled.withColumn("valid", F.when(parsed, F.col("n")).otherwise(0))
-    return valid.groupBy(*group, "fill", "pattern", "rows").agg((F.sum("valid") / F.col("rows")).alias("share"))
+    fits = lambda value: parse_by(F.col(value), F.col("pattern")).isNotNull()
+    tested = plans.select(*group, "pattern", fits("fill").alias("fill_fits"))
+    n_bytes = n_groups * len(columns) * ROW_BYTES
+    judged = stats_join(counts.drop("seen"), tested, group, ["value"], n_bytes).withColumn(
+        "valid", F.when(F.when(F.col("value").isNull(), F.col("fill_fits")).otherwise(fits("value")), F.col("n")).otherwise(0)
+    )
+    shares = judged.groupBy(*group).agg((F.sum("valid") / F.sum("n")).alias("share"))
+    return same_group_join(plans, shares, group)
 
 
 def _per_key(stats: DataFrame, keys: list[str], columns: list[str], fields: list[str]) -> DataFrame:
@@ -142,7 +149,7 @@ def clean_by(
     spread = [quoted(c) for c in df.columns if c not in keys]
 
     n_groups, largest, n_rows = group_sizes(df, keys)
-    pieces = ceil(n_rows / group_rows) + 8 if largest > group_rows else 0
+    pieces = min(ceil(n_rows / group_rows) + 8, MAX_PIECES) if largest > group_rows else 0
     per_key = []
     if numbers:
         per_key.append(_per_key(_numeric_stats(df, keys, numbers, pieces), keys, numbers, ["median", "q1", "q3"]))
@@ -151,20 +158,22 @@ def clean_by(
         per_key.append(_per_key(stats, keys, texts, ["fill", "pattern", "share"]))
     out, patterns = df, {}
     if per_key:
-        both = per_key[0] if len(per_key) == 1 else stats_join(*per_key, keys, keys, n_groups)
-        # written once: the patterns in use are looked up, and the rows are joined to the same statistics
+        both = per_key[0] if len(per_key) == 1 else same_group_join(*per_key, keys)
+        # written once: it is measured, the patterns in use are looked up, and all rows meet the same statistics
         both = cut_lineage(both)
-        patterns = _patterns(both, dates)
-        out = stats_join(df, both, keys, spread, n_groups)
+        patterns, n_bytes = _measure(both, n_groups, texts, dates)
+        out = stats_join(df, both, keys, spread, n_bytes)
     return out.select(*_projection(df, numbers, texts, patterns))
 
 
-def _patterns(stats: DataFrame, dates: list[str]) -> dict[str, list[str]]:
-    """Patterns per column that any group passed the gate with; there are no more than known patterns."""
-    if not dates:
-        return {}
-    passed = [F.collect_set(F.when(F.col(f"`_{c}_stats`.share") > 0.5, F.col(f"`_{c}_stats`.pattern"))) for c in dates]
-    return dict(zip(dates, stats.agg(*passed).first()))
+def _measure(stats: DataFrame, n_groups: int, texts: list[str], dates: list[str]) -> tuple[dict[str, list[str]], int]:
+    """Patterns per column that any group passed the gate with, and a bound on the size of ``stats``."""
+    stat = lambda c, f: F.col(f"`_{c}_stats`.{f}")
+    passed = [F.collect_set(F.when(stat(c, "share") > 0.5, stat(c, "pattern"))) for c in dates]
+    text_bytes = [F.coalesce(F.sum(F.octet_length(stat(c, "fill")).cast("bigint")), F.lit(0)) for c in texts]
+    row = stats.agg(F.count("*"), *passed, *text_bytes).first()
+    n_bytes = n_groups * len(stats.columns) * ROW_BYTES + sum(row[1 + len(dates) :])
+    return dict(zip(dates, row[1 : 1 + len(dates)])), n_bytes
 
 
 def _projection(df: DataFrame, numbers: list[str], texts: list[str], patterns: dict[str, list[str]]) -> list[Column]:

@@ -5,20 +5,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 16
-# Most rows a table may have to be broadcast; its rows are counted before.
-BROADCAST_ROWS = 100_000
+# Most bytes a table may have to be broadcast; callers measure or bound it before.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[str], n_stats: int) -> DataFrame:
-    """Add the columns of ``stats`` (one row per key, ``n_stats`` in all) to ``rows``.
+def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[str], n_bytes: int) -> DataFrame:
+    """Add the columns of ``stats`` (one row per key, ``n_bytes`` at most) to ``rows``.
 
-    Few keys are broadcast, so the rows stay where they are. For many keys both sides are shuffled;
-    rows of one key are then spread over several shuffle keys by a hash of ``spread``, which is
-    repeatable if a task is run again, and ``stats`` is repeated once per salt.
+    Small statistics are broadcast, so the rows stay where they are. Otherwise both sides are
+    shuffled; rows of one key are then spread over several shuffle keys by a hash of ``spread``,
+    which is repeatable if a task is run again, and ``stats`` is repeated once per salt.
     """
     renamed = stats.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    if n_stats <= BROADCAST_ROWS:
+    if n_bytes <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(renamed), reduce(lambda a, b: a & b, match), "left")
     else:
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
@@ -26,3 +26,10 @@ def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[
         match.append(F.col("_salt") == F.col("_right_salt"))
         joined = salted.join(repeated, reduce(lambda a, b: a & b, match), "left").drop("_salt", "_right_salt")
     return joined.drop(*[f"_right_{k}" for k in keys])
+
+
+def same_group_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join two tables of one row per key, null equal to null."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, match)).drop(*[f"_right_{k}" for k in keys])

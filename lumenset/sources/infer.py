@@ -13,7 +13,7 @@ MISSING = [
 # The texts read as booleans.
 TRUE_TEXTS, FALSE_TEXTS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
-# Number texts; casts alone would also take forms such as "5d".
+# Number texts. The match comes first: a failing cast is slow, and casts take forms such as "5d" too.
 INTEGER = r"^\s*[+-]?\d+\s*$"
 DOUBLE = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
@@ -37,23 +37,35 @@ def as_boolean(text: Column) -> Column:
 CASTS = {"bigint": as_integer, "double": as_double, "boolean": as_boolean, "string": lambda text: text}
 
 
+# What a value can be read as, narrowest first.
+KINDS = ["bigint", "double", "boolean", "string"]
+
+
+def _kind(text: Column) -> Column:
+    """Place in :data:`KINDS` of the narrowest type of one value, null for a missing value."""
+    place = F.when(text.isNull(), None)
+    for i, kind in enumerate(KINDS[:-1]):
+        place = place.when(CASTS[kind](text).isNotNull(), F.lit(i))
+    return place.otherwise(F.lit(len(KINDS) - 1))
+
+
 def fit_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Narrowest type per text column that holds all its values; one aggregate for all columns."""
     columns = columns_of(df, STRING) if columns is None else columns
-    tests = []
-    for c in columns:
-        text = quoted(c)
-        tests += [F.count_if(text.isNull())]
-        tests += [F.count_if(text.isNotNull() & CASTS[t](text).isNull()) for t in ("bigint", "double", "boolean")]
-    row = aggregate_row(df, [F.count(F.lit(1)), *tests])
+    kinds = df.select([_kind(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns)])
+    tests = [t for k in kinds.columns for t in (F.count(k), F.min(k), F.max(k))]
+    row = aggregate_row(kinds, [F.count(F.lit(1)), *tests])
     types = {}
     for i, c in enumerate(columns):
-        gaps, *misfits = row[1 + 4 * i : 5 + 4 * i]
-        fits = [t for t, bad in zip(("bigint", "double", "boolean"), misfits) if bad == 0]
-        # integers with gaps and columns without any value are doubles
-        types[c] = "double" if fits[:1] == ["bigint"] and gaps else fits[0] if fits else "string"
+        present, low, high = row[1 + 3 * i : 4 + 3 * i]
         if not row[0]:
             types[c] = "string"
+        elif not present:
+            types[c] = "double"
+        elif high <= 1:  # integers with gaps are doubles
+            types[c] = "bigint" if high == 0 and present == row[0] else "double"
+        else:
+            types[c] = "boolean" if low == high == 2 else "string"
     return types
 
 

@@ -49,9 +49,14 @@ def read_json_documents(spark: SparkSession, path: str | list[str], convert_date
     return convert_named_dates(out) if convert_date_names else out
 
 
-def _shape(value: Column) -> Column:
-    """ARRAY, OBJECT or the scalar type of a variant."""
-    return F.substring_index(F.schema_of_variant(value), "<", 1)
+def _list(value: Column) -> Column:
+    """Elements of a variant list, null for anything else."""
+    return value.try_cast("array<variant>")
+
+
+def _members(value: Column) -> Column:
+    """Members of a variant object, null for anything else."""
+    return value.try_cast("map<string,variant>")
 
 
 def document_rows(document: Column) -> Column:
@@ -60,25 +65,25 @@ def document_rows(document: Column) -> Column:
     A list gives its objects; a dictionary with list or dictionary values gives the objects found
     there under their key, dropping everything else; a flat dictionary is one row.
     """
-    is_object = lambda x: _shape(x) == "OBJECT"
     keyed = lambda key: lambda x: F.struct(key.alias("key"), x.alias("row"))
     no_key = F.lit(None).cast("string")
     none = F.array().cast("array<struct<key:string,row:variant>>")
-
-    # casts run only in the branch whose shape allows them
-    objects = F.filter(document.try_cast("array<variant>"), is_object)
-    values = F.map_entries(document.try_cast("map<string,variant>"))
-    within = lambda e: (
-        F.when(_shape(e["value"]) == "ARRAY", F.transform(F.filter(e["value"].try_cast("array<variant>"), is_object), keyed(e["key"])))
-        .when(is_object(e["value"]), F.array(keyed(e["key"])(e["value"])))
-        .otherwise(none)
-    )
-    is_nested = F.exists(values, lambda e: _shape(e["value"]).isin("ARRAY", "OBJECT"))
-    shape = _shape(document)
+    objects = lambda items: F.filter(items, lambda x: _members(x).isNotNull())
+
+    def under_key(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        return (
+            F.when(_list(value).isNotNull(), F.transform(objects(_list(value)), keyed(key)))
+            .when(_members(value).isNotNull(), F.array(keyed(key)(value)))
+            .otherwise(none)
+        )
+
+    entries = F.map_entries(_members(document))
+    is_nested = F.exists(entries, lambda e: _list(e["value"]).isNotNull() | _members(e["value"]).isNotNull())
     return (
-        F.when(shape == "ARRAY", F.transform(objects, keyed(no_key)))
-        .when((shape == "OBJECT") & is_nested, F.flatten(F.transform(values, within)))
-        .when(shape == "OBJECT", F.array(keyed(no_key)(document)))
+        F.when(_list(document).isNotNull(), F.transform(objects(_list(document)), keyed(no_key)))
+        .when(is_nested, F.flatten(F.transform(entries, under_key)))
+        .when(_members(document).isNotNull(), F.array(keyed(no_key)(document)))
         .otherwise(F.raise_error(F.lit(BAD_JSON)).cast("array<struct<key:string,row:variant>>"))
     )
 
@@ -92,7 +97,7 @@ def _column_type(variant_type: str) -> str:
 
 def document_fields(rows: DataFrame) -> dict[str, str]:
     """Column types of variant rows by field name; one row per distinct field comes back."""
-    fields = rows.select(F.explode(F.col("row").try_cast("map<string,variant>")).alias("field", "value"))
+    fields = rows.select(F.explode(_members(F.col("row"))).alias("field", "value"))
     found = fields.groupBy("field").agg(F.schema_of_variant_agg("value").alias("type")).orderBy("field").collect()
     return {r["field"]: _column_type(r["type"]) for r in found}
 
@@ -107,7 +112,7 @@ def flatten_keyed_json(df: DataFrame, json_col: str, fields: dict[str, str] | No
     listed = document_rows(F.parse_json(quoted(json_col)))
     rows = df.select(*carried, F.explode(listed).alias("_item")).select(*carried, F.col("_item.key").alias("_found"), F.col("_item.row").alias("row"))
     fields = document_fields(rows) if fields is None else fields
-    as_map = F.col("row").try_cast("map<string,variant>")
+    as_map = _members(F.col("row"))
     value = lambda name, kind: F.try_element_at(as_map, F.lit(name)).try_cast(kind)
     key = F.coalesce("_found", value(KEY, "string")) if KEY in fields else F.col("_found")
     return rows.select(*carried, *[value(n, t).alias(n) for n, t in fields.items() if n != KEY], key.alias(KEY))
