@@ -112,6 +112,8 @@ def _text_stats(df: DataFrame, keys: list[str], columns: list[str], order_by, n_
     sums = counts.groupBy(*group).agg(best["value"].alias("mode"), first["value"].alias("first"))
     plans = sums.withColumn("fill", F.coalesce("mode", F.lit(UNKNOWN)))
     plans = plans.withColumn("pattern", detect_format(F.coalesce("first", "fill"))).select(*group, "fill", "pattern")
+    # a row per group and column, written once instead of counting the values again for each use
+    plans = cut_lineage(plans)
 
     fits = lambda value: parse_by(F.col(value), F.col("pattern")).isNotNull()
     tested = plans.select(*group, "pattern", fits("fill").alias("fill_fits"))
@@ -150,19 +152,20 @@ def clean_by(
 
     n_groups, largest, n_rows = group_sizes(df, keys)
     pieces = min(ceil(n_rows / group_rows) + 8, MAX_PIECES) if largest > group_rows else 0
+    if not numbers and not texts:
+        return df
     per_key = []
     if numbers:
-        per_key.append(_per_key(_numeric_stats(df, keys, numbers, pieces), keys, numbers, ["median", "q1", "q3"]))
+        stats = _numeric_stats(df, keys, numbers, pieces)
+        per_key.append(_per_key(stats, keys, numbers, ["median", "q1", "q3"]))
     if texts:
         stats = _text_stats(df, keys, texts, order_by, n_groups)
         per_key.append(_per_key(stats, keys, texts, ["fill", "pattern", "share"]))
-    out, patterns = df, {}
-    if per_key:
-        both = per_key[0] if len(per_key) == 1 else same_group_join(*per_key, keys)
-        # written once: it is measured, the patterns in use are looked up, and all rows meet the same statistics
-        both = cut_lineage(both)
-        patterns, n_bytes = _measure(both, n_groups, texts, dates)
-        out = stats_join(df, both, keys, spread, n_bytes)
+    both = per_key[0] if len(per_key) == 1 else same_group_join(*per_key, keys)
+    # written once: it is measured, the patterns in use are looked up, and all rows meet the same statistics
+    both = cut_lineage(both)
+    patterns, n_bytes = _measure(both, n_groups, texts, dates)
+    out = stats_join(df, both, keys, spread, n_bytes)
     return out.select(*_projection(df, numbers, texts, patterns))
 
 
