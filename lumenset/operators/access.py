@@ -23,14 +23,16 @@ def _access(objects: DataFrame, shared: DataFrame) -> DataFrame:
     A public object is one row without user instead of one row per user. Shares are reduced to
     distinct pairs before they meet the objects.
     """
-    own = objects.select(F.col("owner_id").alias("user_id"), "object_id", F.lit(OWNER).alias("reason"), "is_public")
-    anyone = objects.where("is_public").select(F.lit(None).cast("bigint").alias("user_id"), "object_id", F.lit(PUBLIC).alias("reason"), "is_public")
+    anyone = F.struct(F.lit(None).cast("bigint").alias("user_id"), F.lit(PUBLIC).alias("reason"))
+    owner = F.struct(F.col("owner_id").alias("user_id"), F.lit(OWNER).alias("reason"))
+    seers = F.when(F.col("is_public"), F.array(owner, anyone)).otherwise(F.array(owner))
+    own = objects.select(F.inline(seers), "object_id", "is_public")
     by_share = (
         shared.join(objects, "object_id")
         .where(F.col("user_id") != F.col("owner_id"))
         .select("user_id", "object_id", F.when(F.col("is_public"), PUBLIC).otherwise(SHARED).alias("reason"), "is_public")
     )
-    return own.unionByName(anyone).unionByName(by_share)
+    return own.unionByName(by_share)
 
 
 def _visible_visualisations(cat: Catalog) -> DataFrame:

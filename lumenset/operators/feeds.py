@@ -32,7 +32,8 @@ def by_category(df: DataFrame, dimension: str, measure: str, n: int = 10) -> Dat
     Only the n leading categories are broadcast; everything else is a partial aggregate.
     """
     sums = df.groupBy(quoted(dimension).alias("category")).agg(F.count("*").alias("n"), F.sum(number(df, measure)).alias("total"))
-    leaders = sums.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("category")).limit(n)
+    # ordering by all columns keeps both uses of the sums alike, so they are computed once
+    leaders = sums.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("category"), "n").limit(n)
     marked = leaders.select(F.col("category").alias("_leader"), F.lit(True).alias("_leads"))
     joined = sums.join(F.broadcast(marked), F.col("category").eqNullSafe(F.col("_leader")), "left")
     is_other = F.col("_leads").isNull()

@@ -65,7 +65,7 @@ def value_table(df: DataFrame, columns: list[str] | None = None, order_by=None)
     columns = columns_of(df, STRING) if columns is None else columns
     ordered, order = with_row_order(df, order_by)
     long = as_text(ordered, columns, order).where("value is not null")
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"), F.min("_carry0").alias("seen"))
+    return long.groupBy("column", "value").agg(F.count("*").alias("n"), F.min("at").alias("seen"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -73,10 +73,9 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
     columns = columns_of(df, STRING) if columns is None else columns
     if approx:
         return _stacked(df, {c: [F.approx_count_distinct(quoted(c))] for c in columns}, ["unique_values"])
-    values = as_text(df, columns).where("value is not null").groupBy("column", "value").count()
-    return _all_columns(df, columns).join(
-        values.groupBy("column").agg(F.count("*").alias("unique_values")), "column", "left"
-    ).select("column", F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
+    found = _distinct(_counted(df, columns))
+    listed = _all_columns(df, columns).join(found, "column", "left")
+    return listed.select("column", F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
 
 
 def _all_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,8 +83,18 @@ def _all_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, position int")
 
 
+def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) of non-null values."""
+    return as_text(df, columns).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+# The parts below that share one value table all read the same columns of it, so that Spark computes
+# and shuffles it once and reuses the exchange.
+
+
 def _distinct(values: DataFrame) -> DataFrame:
-    return values.groupBy("column").agg(F.count("*").alias("unique_values"))
+    seen = F.col("seen").isNotNull() if "seen" in values.columns else F.lit(True)
+    return values.groupBy("column").agg(F.count_if((F.col("n") > 0) & seen).alias("unique_values"))
 
 
 def _first_k(values: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -93,23 +102,26 @@ def _first_k(values: DataFrame, order: list[Column], k: int) -> DataFrame:
     return values.withColumn("place", F.row_number().over(W.partitionBy("column").orderBy(*order))).where(F.col("place") <= k)
 
 
+def _most_frequent(values: DataFrame, k: int) -> DataFrame:
+    return _first_k(values, [F.desc("n"), F.asc("value"), *([F.asc("seen")] if "seen" in values.columns else [])], k)
+
+
 def _ranked_top(values: DataFrame, k: int) -> DataFrame:
-    top = _first_k(values, [F.desc("n"), F.asc("value")], k)
     listed = F.sort_array(F.collect_list(F.struct("place", "value", "n")))
-    return top.groupBy("column").agg(F.transform(listed, lambda e: F.struct(e.value.alias("value"), e.n.alias("n"))).alias("top"))
+    entries = F.transform(listed, lambda e: F.struct(e.value.alias("value"), e.n.alias("n")))
+    return _most_frequent(values, k).groupBy("column").agg(entries.alias("top"))
 
 
 def _ranked_examples(values: DataFrame, k: int) -> DataFrame:
-    first = _first_k(values, [F.asc("seen")], k)
+    first = _first_k(values, [F.asc("seen"), F.desc("n")], k)
     return first.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("examples"))
 
 
 def top_values(df: DataFrame, k: int = TOP_VALUES, max_distinct: int = MANY_VALUES, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n, place) of text columns with 1 to ``max_distinct - 1`` distinct values."""
-    columns = columns_of(df, STRING) if columns is None else columns
-    values = as_text(df, columns).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    values = _counted(df, columns_of(df, STRING) if columns is None else columns)
     few = _distinct(values).where(F.col("unique_values") < max_distinct)
-    return _first_k(values, [F.desc("n"), F.asc("value")], k).join(few.select("column"), "column", "left_semi")
+    return _most_frequent(values, k).join(few.select("column"), "column", "left_semi")
 
 
 def example_values(df: DataFrame, n: int = EXAMPLES, max_distinct: int = MANY_VALUES, order_by=None, columns: list[str] | None = None) -> DataFrame:
@@ -190,17 +202,22 @@ def column_json(profile: DataFrame) -> DataFrame:
 
 def profile_json(df: DataFrame, original_filename: str, file_type: str, order_by=None) -> DataFrame:
     """One row with the profile document of the table."""
-    columns = column_json(profile_table(df, order_by))
-    shape = df.drop(ROW_ID).agg(F.count(F.lit(1))).first()[0]
+    base = df.drop(ROW_ID)
+    head = F.struct(
+        F.lit(original_filename).alias("original_filename"),
+        F.lit(file_type).alias("file_type"),
+        F.lit(base.count()).alias("n_rows"),
+        F.lit(len(base.columns)).alias("n_columns"),
+    )
+    # a JSON list of one text without its brackets is that text quoted
+    name = F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", "")
+    member = F.concat(name, F.lit(":"), F.col("info"))
+    members = column_json(profile_table(df, order_by)).select("position", member.alias("member"))
     # one entry per column of the table, so the list is as long as the schema
-    entries = F.sort_array(F.collect_list(F.struct("position", "name", F.parse_json("info").cast("string").alias("info"))))
-    pairs = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["name"])).substr(F.lit(2), F.length(F.to_json(F.array(e["name"]))) - 2), F.lit(":"), e["info"]))
-    head = F.to_json(F.struct(F.lit(original_filename).alias("original_filename"), F.lit(file_type).alias("file_type"), F.lit(shape).alias("n_rows"), F.lit(len(df.drop(ROW_ID).columns)).alias("n_columns")))
-    opening = F.expr("substring(head, 1, length(head) - 1)")
-    return (
-        columns.agg(F.array_join(pairs, ",").alias("body"))
-        .withColumn("head", head)
-        .select(F.concat(opening, F.lit(',"column_info":{'), "body", F.lit("}}")).alias("document"))
+    listed = F.sort_array(F.collect_list(F.struct("position", "member")))["member"]
+    opening = F.regexp_replace(F.to_json(head), r"\}$", "")
+    return members.agg(F.array_join(listed, ",").alias("body")).select(
+        F.concat(opening, F.lit(',"column_info":{'), F.col("body"), F.lit("}}")).alias("document")
     )
 
 

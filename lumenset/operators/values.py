@@ -5,12 +5,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.kinds import quoted
 
 
-def as_text(df: DataFrame, columns: list[str], *carry: Column) -> DataFrame:
-    """Rows (*carry, column, value) for the given columns, values as strings."""
-    texts = [quoted(c).cast("string").alias(c) for c in columns]
-    names = [f"_carry{i}" for i in range(len(carry))]
-    wide = df.select(*[c.alias(n) for c, n in zip(carry, names)], *texts)
-    return wide.unpivot(names, columns, "column", "value")
+def as_text(df: DataFrame, columns: list[str], order: Column | None = None) -> DataFrame:
+    """Rows (column, value) for the given columns, values as strings; with ``order`` its value as ``at``.
+
+    The generator makes all output columns itself, so that plans which use the rows twice are alike
+    and Spark can reuse the exchange above them.
+    """
+    at = [] if order is None else [order.alias("at")]
+    cells = [F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value"), *at) for c in columns]
+    return df.select(F.inline(F.array(*cells)))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
