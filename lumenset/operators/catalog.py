@@ -58,9 +58,9 @@ def datasets_owned(cat: Catalog, uid: int | None = None) -> DataFrame:
 
 
 def datasets_shared_with(cat: Catalog, uid: int | None = None) -> DataFrame:
-    """Datasets others shared with a user, newest first, with the owner's name."""
+    """Datasets others shared with a user, newest first, with the owner's name; each one once."""
     owners = cat.users.select(F.col("id").alias("user_id"), F.col("name").alias("owner"))
-    shared = _shares_of(cat, DATASET, uid).join(cat.datasets, F.col("object_id") == F.col("id")).drop("object_id")
+    shared = _shares_of(cat, DATASET, uid).distinct().join(cat.datasets, F.col("object_id") == F.col("id")).drop("object_id")
     named = shared.join(owners, "user_id", "left").withColumn("owner", F.coalesce("owner", F.lit(NO_OWNER)))
     return named.orderBy(*_newest("uploaded_at"))
 

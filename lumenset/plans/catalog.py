@@ -39,7 +39,7 @@ def received_datasets(spark, folder):
 
 
 RECEIVED_DATASETS = _with(f"""
-select target_id as viewer_id, d.id, original_filename, coalesce(u.name, 'Unknown') as owner, {UPLOADED} as uploaded_at
+select distinct target_id as viewer_id, d.id, original_filename, coalesce(u.name, 'Unknown') as owner, {UPLOADED} as uploaded_at
 from shares s join datasets d on s.object_id = d.id left join users u on u.id = d.user_id where object_type = 'dataset'""")
 
 

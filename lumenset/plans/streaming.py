@@ -80,7 +80,7 @@ with d as (select 's-' || o_orderstatus as label, o_orderkey, case when o_orderk
      q as (select label, {_quartiles('o_orderkey')}, {_quartiles('o_totalprice')} from f group by label)
 select label, o_orderkey, round(o_totalprice, 6) as o_totalprice, o_orderpriority,
        ltrim(strftime(o_orderdate, '%d %b %Y'), '0') as day, {_flag('o_orderkey')}, {_flag('o_totalprice')},
-       strftime(o_orderdate, '%Y-%m-%d') as day_date, n_rows, 10 as n_columns
+       strftime(o_orderdate, '%Y-%m-%d') as day_date, n_rows, 8 as n_columns
 from f join q using (label)"""
 
 

@@ -1,5 +1,7 @@
 """Drop-folder ingest: every arriving CSV file is cleaned with its own statistics and registered."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +25,14 @@ def clean_batch(batch: DataFrame, types: dict[str, str], order_by=None) -> DataF
     return clean_by(typed, FILE, order_by=order_by)
 
 
+def describe(cleaned: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(file_path, n_rows, n_columns) per file; a date column counts only where its file passed the gate."""
+    derived = [f"{c}_date" for c, t in types.items() if t == "string"]
+    always = len(cleaned.columns) - 1 - len(derived)
+    dated = [F.max(quoted(c).isNotNull().cast("int")) for c in derived]
+    return cleaned.groupBy(FILE).agg(F.count("*").alias("n_rows"), reduce(lambda a, b: a + b, dated, F.lit(always)).alias("n_columns"))
+
+
 def ingest_stream(spark: SparkSession, folder: str, sink: str, types: dict[str, str], checkpoint: str, order_by=None, pattern: str = "*") -> StreamingQuery:
     """Take in the files that are there, then stop.
 
@@ -34,9 +44,7 @@ def ingest_stream(spark: SparkSession, folder: str, sink: str, types: dict[str,
         rows_path = f"{sink}/rows/batch={batch_id}"
         clean_batch(batch, types, order_by).write.mode("overwrite").parquet(rows_path)
         written = batch.sparkSession.read.parquet(rows_path)
-        per_file = written.groupBy(FILE).agg(F.count("*").alias("n_rows"))
-        per_file = per_file.withColumn("n_columns", F.lit(len(written.columns) - 1))
-        per_file.write.mode("overwrite").parquet(f"{sink}/datasets/batch={batch_id}")
+        describe(written, types).write.mode("overwrite").parquet(f"{sink}/datasets/batch={batch_id}")
 
     stream = read_drop_folder(spark, folder, list(types), pattern)
     return (
