@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.kinds import BOOL, NUMERIC, STRING, columns_of, kind_of, number, quoted
 from .quantiles import aggregate_row, exact_quantiles
-from .values import modes
+from .values import find_modes
 
 # Fixed value: stands in for a text column without any value.
 UNKNOWN = "Unknown"
@@ -25,8 +25,8 @@ def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def fit_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Mode per column as text: one row per column comes back, never the values."""
-    found = {r["column"]: r["mode"] for r in modes(df, columns).collect()} if columns else {}
+    """Mode per column as text."""
+    found = find_modes(df, columns) if columns else {}
     return {c: found.get(c, UNKNOWN) for c in columns}
 
 

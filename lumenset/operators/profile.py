@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.kinds import BOOL, DATETIME, NUMERIC, STRING, columns_of, dtype_name, number, quoted
-from ..session import ROW_ID, with_row_order
+from ..session import ROW_ID, cut_lineage, with_row_order
 from .quantiles import exact_quantiles
-from .values import as_text
+from .values import value_counts, with_values
 
 # A text column with fewer distinct values than this shows its most frequent ones.
 MANY_VALUES = 10
@@ -60,21 +60,12 @@ def iso(value: Column) -> Column:
     return F.concat(F.date_format(stamp, ISO_SECONDS), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)))
 
 
-def value_table(df: DataFrame, columns: list[str] | None = None, order_by=None) -> DataFrame:
-    """(column, value, n, seen): count and first position of every non-null value."""
-    columns = columns_of(df, STRING) if columns is None else columns
-    ordered, order = with_row_order(df, order_by)
-    long = as_text(ordered, columns, order).where("value is not null")
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"), F.min("at").alias("seen"))
-
-
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, unique_values) of text columns, nulls ignored."""
     columns = columns_of(df, STRING) if columns is None else columns
     if approx:
         return _stacked(df, {c: [F.approx_count_distinct(quoted(c))] for c in columns}, ["unique_values"])
-    found = _distinct(_counted(df, columns))
-    listed = _all_columns(df, columns).join(found, "column", "left")
+    listed = _all_columns(df, columns).join(_distinct(value_counts(df, columns)), "column", "left")
     return listed.select("column", F.coalesce("unique_values", F.lit(0)).alias("unique_values"))
 
 
@@ -83,13 +74,8 @@ def _all_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, position int")
 
 
-def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) of non-null values."""
-    return as_text(df, columns).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
-
-
-# The parts below that share one value table all read the same columns of it, so that Spark computes
-# and shuffles it once and reuses the exchange.
+# The parts below that share one table of value counts all read the same columns of it, so that
+# Spark computes and shuffles it once and reuses the exchange.
 
 
 def _distinct(values: DataFrame) -> DataFrame:
@@ -102,38 +88,45 @@ def _first_k(values: DataFrame, order: list[Column], k: int) -> DataFrame:
     return values.withColumn("place", F.row_number().over(W.partitionBy("column").orderBy(*order))).where(F.col("place") <= k)
 
 
-def _most_frequent(values: DataFrame, k: int) -> DataFrame:
-    return _first_k(values, [F.desc("n"), F.asc("value"), *([F.asc("seen")] if "seen" in values.columns else [])], k)
-
+def _shown_values(df: DataFrame, columns: list[str], order_by, max_distinct: int, examples: int) -> DataFrame:
+    """(column, unique_values, use, value, n, seen): the values that a profile may show.
 
-def _ranked_top(values: DataFrame, k: int) -> DataFrame:
-    listed = F.sort_array(F.collect_list(F.struct("place", "value", "n")))
-    entries = F.transform(listed, lambda e: F.struct(e.value.alias("value"), e.n.alias("n")))
-    return _most_frequent(values, k).groupBy("column").agg(entries.alias("top"))
+    All values (``top``) of a column with fewer than ``max_distinct``, the first ones in row order
+    (``early``) of a column with more. Stored, since it is small and used in several places.
+    """
+    ordered, order = with_row_order(df, order_by)
+    values = value_counts(ordered, columns, order)
+    by_count, by_place = [F.desc("n"), F.asc("key"), F.asc("seen")], [F.asc("seen"), F.desc("n")]
+    top = _first_k(values, by_count, max_distinct - 1).withColumn("use", F.lit("top"))
+    early = _first_k(values, by_place, examples).withColumn("use", F.lit("early"))
+    few = F.col("unique_values") < max_distinct
+    both = top.unionByName(early).join(_distinct(values), "column").where(F.when(few, F.col("use") == "top").otherwise(F.col("use") == "early"))
+    return with_values(cut_lineage(both.drop("place")), df, columns)
 
 
-def _ranked_examples(values: DataFrame, k: int) -> DataFrame:
-    first = _first_k(values, [F.asc("seen"), F.desc("n")], k)
-    return first.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("examples"))
+def _top(shown: DataFrame, k: int) -> DataFrame:
+    return _first_k(shown.where("use = 'top'"), [F.desc("n"), F.asc("value")], k)
 
 
 def top_values(df: DataFrame, k: int = TOP_VALUES, max_distinct: int = MANY_VALUES, columns: list[str] | None = None) -> DataFrame:
     """(column, value, n, place) of text columns with 1 to ``max_distinct - 1`` distinct values."""
-    values = _counted(df, columns_of(df, STRING) if columns is None else columns)
-    few = _distinct(values).where(F.col("unique_values") < max_distinct)
-    return _most_frequent(values, k).join(few.select("column"), "column", "left_semi")
+    columns = columns_of(df, STRING) if columns is None else columns
+    return _top(_shown_values(df, columns, None, max_distinct, 1), k).select("column", "value", "n", "place")
+
+
+def _examples(shown: DataFrame) -> DataFrame:
+    listed = F.sort_array(F.collect_list(F.struct("seen", "value")))["value"]
+    return shown.where("use = 'early'").groupBy("column").agg(listed.alias("examples"))
 
 
 def example_values(df: DataFrame, n: int = EXAMPLES, max_distinct: int = MANY_VALUES, order_by=None, columns: list[str] | None = None) -> DataFrame:
     """(column, example_values): the first distinct values in row order of columns with many values,
     an empty list for columns without any."""
     columns = columns_of(df, STRING) if columns is None else columns
-    values = value_table(df, columns, order_by)
-    listed = _all_columns(df, columns).join(_distinct(values), "column", "left").join(_ranked_examples(values, n), "column", "left")
-    count = F.coalesce("unique_values", F.lit(0))
-    return listed.where((count >= max_distinct) | (count == 0)).select(
-        "column", F.coalesce("examples", F.array().cast("array<string>")).alias("example_values")
-    )
+    shown = _shown_values(df, columns, order_by, max_distinct, n)
+    few = shown.where("use = 'top'").select("column").distinct()
+    listed = _all_columns(df, columns).join(few, "column", "left_anti").join(_examples(shown), "column", "left")
+    return listed.select("column", F.coalesce("examples", F.array().cast("array<string>")).alias("example_values"))
 
 
 def profile_table(df: DataFrame, order_by=None, **limits) -> DataFrame:
@@ -164,20 +157,18 @@ PROFILE_FIELDS = (
 
 
 def _text_summary(df: DataFrame, columns: list[str], order_by) -> DataFrame:
-    values = value_table(df, columns, order_by)
-    listed = (
-        _all_columns(df, columns)
-        .join(_distinct(values), "column", "left")
-        .join(_ranked_top(values, TOP_VALUES), "column", "left")
-        .join(_ranked_examples(values, EXAMPLES), "column", "left")
-    )
-    count = F.coalesce("unique_values", F.lit(0))
-    few = (count > 0) & (count < MANY_VALUES)
+    shown = _shown_values(df, columns, order_by, MANY_VALUES, EXAMPLES)
+    entries = F.sort_array(F.collect_list(F.struct("place", "value", "n")))
+    pairs = F.transform(entries, lambda e: F.struct(e["value"].alias("value"), e["n"].alias("n")))
+    top = _top(shown, TOP_VALUES).groupBy("column").agg(F.map_from_entries(pairs).alias("top_values"))
+    counts = shown.groupBy("column").agg(F.max("unique_values").alias("unique_values"))
+    listed = _all_columns(df, columns).join(counts, "column", "left").join(top, "column", "left").join(_examples(shown), "column", "left")
+    no_examples = F.when(F.col("top_values").isNull(), F.array().cast("array<string>"))
     return listed.select(
         "column",
-        count.alias("unique_values"),
-        F.when(few, F.map_from_entries("top")).alias("top_values"),
-        F.when(~few, F.coalesce("examples", F.array().cast("array<string>"))).alias("example_values"),
+        F.coalesce("unique_values", F.lit(0)).alias("unique_values"),
+        "top_values",
+        F.coalesce("examples", no_examples).alias("example_values"),
     )
 
 

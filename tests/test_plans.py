@@ -50,17 +50,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in text
 
 
-def test_value_table_is_computed_once(spark):
+def test_value_counts_are_computed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(profile, "cut_lineage", lambda df: seen.append(df) or df)
     orders = read(spark, SMALL, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    text = final_plan(profile._text_summary(orders, ["o_orderstatus", "o_orderpriority"], "o_orderkey"))
-    final = text.split("== Initial Plan ==")[0]
-    assert final.count("FileScan") == 1 and "WindowGroupLimit" in final
-
-
-def test_top_values_count_once(spark):
-    orders = read(spark, SMALL, "orders")
-    text = final_plan(profile.top_values(orders, columns=["o_orderstatus", "o_orderpriority"]))
-    assert text.split("== Initial Plan ==")[0].count("FileScan") == 1
+    profile._shown_values(orders, ["o_orderstatus", "o_orderpriority"], "o_orderkey", 10, 3)
+    text = final_plan(seen[0]).split("== Initial Plan ==")[0]
+    assert text.count("FileScan") == 1 and "WindowGroupLimit" in text
 
 
 def test_leaders_and_sums_share_one_aggregate(spark):

@@ -5,6 +5,7 @@ from lumenset.operators.profile import (
     datetime_summary, distinct_counts, example_values, excerpt, numeric_summary, preview, profile_json,
     profile_table, schema_profile, table_shape, top_values,
 )
+from lumenset.operators.values import find_modes
 
 
 def sample(spark):
@@ -64,3 +65,21 @@ def test_preview_and_excerpt(spark):
     text = excerpt(df, "csv", 20, "id").first()[0]
     assert text == "id,few,none\n0,c0,\n1,c1,"[:20] + "..."
     assert json.loads(excerpt(df, "json", 2000, "id").first()[0])[1] == {"id": 1, "few": "c1", "none": None}
+
+
+def test_long_values_are_looked_up(spark):
+    long = lambda i: f"{i:02d}" + "x" * 100
+    rows = [(i, long(i % 3), long(i), "y" * 70 if i % 2 else "short") for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, few string, many string, two string").repartition(4)
+    assert {r["column"]: r["unique_values"] for r in distinct_counts(df).collect()} == {"few": 3, "many": 20, "two": 2}
+    info = {r["name"]: r for r in profile_table(df, order_by="id").collect()}
+    assert info["few"]["top_values"] == {long(0): 7, long(1): 7, long(2): 6}
+    assert info["many"]["example_values"] == [long(0), long(1), long(2)]
+    assert info["two"]["top_values"] == {"short": 10, "y" * 70: 10}
+
+
+def test_modes_of_long_values(spark):
+    a, b, c = "a" * 80, "b" * 80, "c" * 80
+    rows = [(b, b, b, a), (b, a, "z", a), (a, c, "z", "k"), (a, "d" * 90, b, "k"), (c, "e" * 90, "q", "k")]
+    df = spark.createDataFrame(rows, "tie string, unique string, mixed string, short string")
+    assert find_modes(df, df.columns) == {"tie": a, "unique": a, "mixed": b, "short": "k"}
