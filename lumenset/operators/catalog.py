@@ -1,7 +1,7 @@
 """Listings over the catalog of users, datasets, dashboards and shares.
 
-Functions that list what one user sees take ``uid``; without it they answer for all users at once
-and carry the user in a ``viewer_id`` column.
+Functions that list what one user sees take ``uid`` and return a sorted listing. Without it they answer
+for all users at once, unsorted, and carry the user in a ``viewer_id`` column.
 """
 
 from dataclasses import dataclass, replace
@@ -39,8 +39,9 @@ class Catalog:
         return replace(self, **tables)
 
 
-def _newest(column: str) -> list[Column]:
-    return [F.desc(column), F.desc("id")]
+def _newest(df: DataFrame, column: str, one: int | None) -> DataFrame:
+    """Newest first, for the listing of one user or dataset."""
+    return df if one is None else df.orderBy(F.desc(column), F.desc("id"))
 
 
 def _mine(df: DataFrame, column: str, uid: int | None) -> DataFrame:
@@ -54,7 +55,8 @@ def _shares_of(cat: Catalog, object_type: str, uid: int | None) -> DataFrame:
 
 def datasets_owned(cat: Catalog, uid: int | None = None) -> DataFrame:
     """A user's datasets, newest first."""
-    return _mine(cat.datasets, "user_id", uid).withColumn("viewer_id", F.col("user_id")).orderBy(*_newest("uploaded_at"))
+    mine = _mine(cat.datasets, "user_id", uid).withColumn("viewer_id", F.col("user_id"))
+    return _newest(mine, "uploaded_at", uid)
 
 
 def datasets_shared_with(cat: Catalog, uid: int | None = None) -> DataFrame:
@@ -62,14 +64,14 @@ def datasets_shared_with(cat: Catalog, uid: int | None = None) -> DataFrame:
     owners = cat.users.select(F.col("id").alias("user_id"), F.col("name").alias("owner"))
     shared = _shares_of(cat, DATASET, uid).distinct().join(cat.datasets, F.col("object_id") == F.col("id")).drop("object_id")
     named = shared.join(owners, "user_id", "left").withColumn("owner", F.coalesce("owner", F.lit(NO_OWNER)))
-    return named.orderBy(*_newest("uploaded_at"))
+    return _newest(named, "uploaded_at", uid)
 
 
 def datasets_public(cat: Catalog, uid: int) -> DataFrame:
     """Public datasets of others that are not shared with the user already, newest first."""
     theirs = cat.datasets.where(F.col("is_public") & (F.col("user_id") != uid))
     seen = _shares_of(cat, DATASET, uid).select(F.col("object_id").alias("id"))
-    return theirs.join(seen, "id", "left_anti").orderBy(*_newest("uploaded_at"))
+    return _newest(theirs.join(seen, "id", "left_anti"), "uploaded_at", uid)
 
 
 def shared_with(cat: Catalog, object_type: str, owner: int | None = None, object_id: int | None = None) -> DataFrame:
@@ -100,7 +102,7 @@ def visualisations_owned(cat: Catalog, uid: int | None = None) -> DataFrame:
     """Dashboards on a user's datasets, newest first, with the dataset's name."""
     name = F.col("original_filename").alias("dataset_name")
     datasets = _mine(cat.datasets, "user_id", uid).select(F.col("id").alias("dataset_id"), F.col("user_id").alias("viewer_id"), name)
-    return cat.visualisations.join(datasets, "dataset_id").orderBy(*_newest("created_at"))
+    return _newest(cat.visualisations.join(datasets, "dataset_id"), "created_at", uid)
 
 
 def visualisations_shared_with(cat: Catalog, uid: int | None = None) -> DataFrame:
@@ -108,12 +110,12 @@ def visualisations_shared_with(cat: Catalog, uid: int | None = None) -> DataFram
     shared = _shares_of(cat, VISUALISATION, uid).join(cat.visualisations, F.col("object_id") == F.col("id")).drop("object_id")
     found = _with_dataset(cat, shared, "user_id", F.col("original_filename").alias("dataset_name"))
     owners = cat.users.select(F.col("id").alias("user_id"), F.col("name").alias("owner"))
-    return found.join(owners, "user_id").orderBy(*_newest("created_at"))
+    return _newest(found.join(owners, "user_id"), "created_at", uid)
 
 
 def dataset_visualisations(cat: Catalog, dataset_id: int | None = None) -> DataFrame:
     """Dashboards of a dataset, newest first."""
-    return _mine(cat.visualisations, "dataset_id", dataset_id).orderBy(*_newest("created_at"))
+    return _newest(_mine(cat.visualisations, "dataset_id", dataset_id), "created_at", dataset_id)
 
 
 def user_counts(cat: Catalog) -> DataFrame:

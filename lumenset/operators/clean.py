@@ -72,12 +72,12 @@ def fit_clean(df: DataFrame, order_by: str | list[str] | None = None, **limits)
 
     # 1. sizes, and the first row's text per column
     measured = numbers + texts + flags
-    first = {c: F.min_by(quoted(c), order) for c in texts}
+    first = {c: F.min_by(short_sample(quoted(c)), order) for c in texts}
     row = aggregate_row(
         ordered,
         [F.count(F.lit(1))]
         + [F.count(number(df, c) if c in numbers else quoted(c)) for c in measured]
-        + [short_sample(first[c]) for c in texts],
+        + [first[c] for c in texts],
     )
     n_rows = row[0]
     nulls = {c: n_rows - n for c, n in zip(measured, row[1:])}

@@ -1,5 +1,6 @@
 """The cleaner fitted per group (file, tenant), all groups in one pass of shared jobs."""
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -10,6 +11,7 @@ from ..session import cut_lineage, with_row_order
 from .impute import UNKNOWN
 from .joins import same_group_join, stats_join
 from .outliers import REACH
+from .values import is_digest, key_of
 
 # Rows of one group that a single sorted window may hold; larger groups are ranked in pieces.
 GROUP_ROWS = 4_000_000
@@ -99,32 +101,57 @@ def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], in_pieces
 def _text_stats(df: DataFrame, keys: list[str], columns: list[str], order_by, n_groups: int) -> DataFrame:
     """(keys, column, fill, pattern, share): mode, date pattern and share of parsable values.
 
-    Everything comes from one table of value counts, which also holds where each value was first seen.
+    Everything comes from value counts, which also hold where each value was first seen. Long texts
+    are counted by digest; they are never dates.
     """
     ordered, order = with_row_order(df, order_by)
     texts = [quoted(c).cast("string").alias(c) for c in columns]
     long = ordered.select(*keys, order.alias("_order"), *texts).unpivot([*keys, "_order"], columns, "column", "value")
-    counts = long.groupBy(*keys, "column", "value").agg(F.count("*").alias("n"), F.min("_order").alias("seen"))
-
-    best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("r"), F.col("value"))))
-    first = F.min(F.struct("seen", "value"))
     group = [*keys, "column"]
-    sums = counts.groupBy(*group).agg(best["value"].alias("mode"), first["value"].alias("first"))
-    plans = sums.withColumn("fill", F.coalesce("mode", F.lit(UNKNOWN)))
-    plans = plans.withColumn("pattern", detect_format(F.coalesce("first", "fill"))).select(*group, "fill", "pattern")
+    counts = long.groupBy(*group, key_of(F.col("value")).alias("key")).agg(F.count("*").alias("n"), F.min("_order").alias("seen"))
+
+    has, digest = F.col("key").isNotNull(), is_digest(F.col("key"))
+    short = F.min(F.when(has & ~digest, F.struct((-F.col("n")).alias("rank"), F.col("key"))))
+    sums = counts.groupBy(*group).agg(
+        short["key"].alias("short_mode"),
+        F.max(F.when(has, F.col("n"))).alias("top"),
+        F.max(F.when(digest, F.col("n"))).alias("top_long"),
+        F.count_if(~has).alias("gaps"),
+        F.min(F.struct("seen", "key"))["key"].alias("first"),
+    )
     # a row per group and column, written once instead of counting the values again for each use
-    plans = cut_lineage(plans)
+    plans = cut_lineage(sums)
+    open_ = (F.col("gaps") > 0) & (F.col("top_long") == F.col("top"))
+    fill = F.coalesce("short_mode", F.lit(UNKNOWN))
+    if plans.where(open_).head(1):
+        texts = _long_modes(long, counts, plans.where(open_).select(*group, "top"), group)
+        plans = same_group_join(plans, texts, group, "left")
+        fill = F.coalesce("long_mode", fill)
+    plans = plans.withColumn("fill", fill).withColumn("pattern", detect_format(F.coalesce("first", "fill")))
+    plans = plans.select(*group, "fill", "pattern")
 
     fits = lambda value: parse_by(F.col(value), F.col("pattern")).isNotNull()
     tested = plans.select(*group, "pattern", fits("fill").alias("fill_fits"))
     n_bytes = n_groups * len(columns) * ROW_BYTES
-    judged = stats_join(counts.drop("seen"), tested, group, ["value"], n_bytes).withColumn(
-        "valid", F.when(F.when(F.col("value").isNull(), F.col("fill_fits")).otherwise(fits("value")), F.col("n")).otherwise(0)
+    judged = stats_join(counts.drop("seen"), tested, group, ["key"], n_bytes).withColumn(
+        "valid", F.when(F.when(F.col("key").isNull(), F.col("fill_fits")).otherwise(fits("key")), F.col("n")).otherwise(0)
     )
     shares = judged.groupBy(*group).agg((F.sum("valid") / F.sum("n")).alias("share"))
     return same_group_join(plans, shares, group)
 
 
+def _long_modes(cells: DataFrame, counts: DataFrame, open_: DataFrame, group: list[str]) -> DataFrame:
+    """(group, long_mode) where a long text is among the most frequent values: the smallest of these."""
+    tops = open_.withColumnsRenamed({g: f"_open_{g}" for g in group})
+    match = [F.col(g).eqNullSafe(F.col(f"_open_{g}")) for g in group] + [F.col("n") == F.col("top")]
+    leading = counts.join(tops, reduce(lambda a, b: a & b, match), "left_semi").select(*group, "key")
+    leading = leading.withColumnsRenamed({g: f"_lead_{g}" for g in [*group, "key"]})
+    keyed = cells.withColumn("key", key_of(F.col("value")))
+    match = [F.col(g).eqNullSafe(F.col(f"_lead_{g}")) for g in group] + [F.col("key") == F.col("_lead_key")]
+    found = keyed.join(leading, reduce(lambda a, b: a & b, match), "left_semi")
+    return found.groupBy(*group).agg(F.min("value").alias("long_mode"))
+
+
 def _per_key(stats: DataFrame, keys: list[str], columns: list[str], fields: list[str]) -> DataFrame:
     """One row per group with a struct of ``fields`` per column."""
     pick = lambda c: F.max(F.when(F.col("column") == c, F.struct(*fields))).alias(f"_{c}_stats")
@@ -148,7 +175,7 @@ def clean_by(
     texts = [c for c in columns_of(df, STRING, BOOL) if c not in keys]
     dates = [c for c in texts if kind_of(df.schema[c].dataType) == STRING]
     dates = dates if date_columns is None else date_columns
-    spread = [quoted(c) for c in df.columns if c not in keys]
+    spread = [quoted(c) for c in numbers + texts]
 
     n_groups, largest, n_rows = group_sizes(df, keys)
     pieces = min(ceil(n_rows / group_rows) + 8, MAX_PIECES) if largest > group_rows else 0

@@ -11,7 +11,7 @@ from .quantiles import aggregate_row
 def fit_formats(df: DataFrame, columns: list[str], order_by=None) -> dict[str, str | None]:
     """Pattern per column, from its first non-null value in row order."""
     df, order = with_row_order(df, order_by)
-    firsts = [short_sample(F.min_by(quoted(c), F.when(quoted(c).isNotNull(), order))) for c in columns]
+    firsts = [F.min_by(short_sample(quoted(c)), F.when(quoted(c).isNotNull(), order)) for c in columns]
     samples = dict(zip(columns, aggregate_row(df, firsts))) if columns else {}
     return formats_of_samples(df.sparkSession, samples)
 

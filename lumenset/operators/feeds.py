@@ -9,6 +9,8 @@ from ..functions.kinds import NUMERIC, columns_of, number, quoted
 from .profile import _stacked
 
 OTHER = "Other"
+# Most categories that a chart shows one by one; they are broadcast.
+MOST_CATEGORIES = 10_000
 
 
 def records_json(df: DataFrame) -> DataFrame:
@@ -31,6 +33,8 @@ def by_category(df: DataFrame, dimension: str, measure: str, n: int = 10) -> Dat
 
     Only the n leading categories are broadcast; everything else is a partial aggregate.
     """
+    if n > MOST_CATEGORIES:
+        raise ValueError(f"at most {MOST_CATEGORIES} categories")
     sums = df.groupBy(quoted(dimension).alias("category")).agg(F.count("*").alias("n"), F.sum(number(df, measure)).alias("total"))
     # ordering by all columns keeps both uses of the sums alike, so they are computed once
     leaders = sums.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("category"), "n").limit(n)

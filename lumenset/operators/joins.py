@@ -13,23 +13,24 @@ def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[
     """Add the columns of ``stats`` (one row per key, ``n_bytes`` at most) to ``rows``.
 
     Small statistics are broadcast, so the rows stay where they are. Otherwise both sides are
-    shuffled; rows of one key are then spread over several shuffle keys by a hash of ``spread``,
-    which is repeatable if a task is run again, and ``stats`` is repeated once per salt.
+    shuffled; rows of one key are then spread over several shuffle keys by a hash of ``spread`` and
+    of the task they come from, which is repeatable if a task is run again, and ``stats`` is
+    repeated once per salt.
     """
     renamed = stats.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     if n_bytes <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(renamed), reduce(lambda a, b: a & b, match), "left")
     else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.lit(SALTS)).cast("int"))
         repeated = renamed.withColumn("_right_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         match.append(F.col("_salt") == F.col("_right_salt"))
         joined = salted.join(repeated, reduce(lambda a, b: a & b, match), "left").drop("_salt", "_right_salt")
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def same_group_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def same_group_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join two tables of one row per key, null equal to null."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(renamed, reduce(lambda a, b: a & b, match)).drop(*[f"_right_{k}" for k in keys])
+    return left.join(renamed, reduce(lambda a, b: a & b, match), how).drop(*[f"_right_{k}" for k in keys])

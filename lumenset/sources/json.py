@@ -24,13 +24,19 @@ EPOCH_UNITS = [
 ]
 
 
-def read_json_records(spark: SparkSession, path: str | list[str], multi_line: bool = False, convert_date_names: bool = False) -> DataFrame:
+def read_json_records(
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = False,
+    convert_date_names: bool = False,
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """One row per object: JSON lines by default, files that hold one list with ``multi_line``.
 
-    Nested values stay as JSON text.
+    Nested values stay as JSON text. With ``schema`` given the pass that infers it is skipped.
     """
     reader = spark.read.option("multiLine", multi_line)
-    inferred = reader.json(path).schema
+    inferred = schema or reader.json(path).schema
     if "_corrupt_record" in inferred.names:
         raise ValueError(BAD_JSON)
     nested = (T.StructType, T.ArrayType, T.MapType)

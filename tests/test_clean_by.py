@@ -44,3 +44,14 @@ def test_schema_is_fixed_and_null_key_is_a_group(spark):
         ],
         key=str,
     )
+
+
+def test_long_texts_fill_gaps_too(spark):
+    a, b = "a" * 90, "b" * 90
+    rows = [("g", 1, b), ("g", 2, a), ("g", 3, None), ("h", 1, b), ("h", 2, b), ("h", 3, "a"), ("h", 4, None), ("i", 1, a), ("i", 2, "0"), ("i", 3, None)]
+    df = spark.createDataFrame(rows, "k string, i int, s string")
+    got = {(r.k, r.i): r.s for r in clean_by(df, "k", order_by="i").collect()}
+    assert (got["g", 3], got["h", 4], got["i", 3]) == (a, b, "0")
+    for k in "ghi":
+        alone = {r.i: r.s for r in clean(df.where(F.col("k") == k).drop("k"), "i").collect()}
+        assert alone == {i: s for (g, i), s in got.items() if g == k}
