@@ -6,6 +6,7 @@ bring back one small row each, and ``CleanModel.transform`` is one narrow, lazy
 
 from contextlib import nullcontext
 from dataclasses import dataclass, replace
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,8 +15,8 @@ from ..functions.kinds import BOOL, NUMERIC, STRING, kind_of, number, quoted
 from ..session import with_row_order
 from .datecols import passes
 from .impute import filled, fit_modes
-from .outliers import Bounds, bounds_of, is_outlier
-from .quantiles import DIRECT_ROWS, aggregate_row, exact_quantiles, working_copy
+from .outliers import QUARTILES, Bounds, bounds_of, is_outlier
+from .quantiles import DIRECT_ROWS, aggregate_row, interpolate, values_at_ranks, working_copy
 
 
 @dataclass(frozen=True)
@@ -91,39 +92,52 @@ def _fit_columns(
     df: DataFrame, rows: DataFrame, n_rows: int, kinds: dict, nulls: dict, samples: dict, limits: dict
 ) -> CleanModel:
     numbers, texts = ([c for c, k in kinds.items() if k == kind] for kind in (NUMERIC, STRING))
-    known = {"known_rows": n_rows, "copied": True, **limits}
-
-    # 2. fill values, only for columns with gaps
-    fills: dict[str, float | str | None] = {}
-    gaps = [c for c in numbers if nulls[c]]
-    if gaps:
-        medians, _ = exact_quantiles(rows, {c: number(df, c) for c in gaps}, [0.5], **known)
-        fills.update({c: q[0] for c, q in medians.items()})
-    fills.update(fit_modes(rows, [c for c, k in kinds.items() if k in (STRING, BOOL) and nulls[c]]))
+
+    # 2. fill values of text, only for columns with gaps
+    fills: dict[str, float | str | None] = dict(fit_modes(rows, [c for c, k in kinds.items() if k in (STRING, BOOL) and nulls[c]]))
     fills.update({c: None for c, k in kinds.items() if k == BOOL and nulls[c] == n_rows})
     # where the first row was null, the sample is what fills it
     samples = {c: fills[c] if s is None and n_rows else s for c, s in samples.items()}
     formats = formats_of_samples(df.sparkSession, samples)
-
-    # 3. quartiles of the filled numbers and the share of parsable dates
     plans = {c: ColumnPlan(c, k, bool(nulls.get(c)), fills.get(c)) for c, k in kinds.items()}
+
+    # 3. medians, quartiles of the filled numbers, and the share of parsable dates
     dated = [c for c in texts if formats[c]]
     parsable = [parse_as(_imputed(df, plans[c]), formats[c]).isNotNull() for c in dated]
-    filled_numbers = {c: F.coalesce(number(df, c), F.lit(fills.get(c)).cast("double")) for c in numbers}
-    quartiles, shares = exact_quantiles(rows, filled_numbers, [0.25, 0.75], parsable, **known)
+    present = {c: n_rows - nulls[c] for c in numbers}
+    ranks = {c: _ranks(present[c], nulls[c]) for c in numbers}
+    found, shares = values_at_ranks(rows, {c: number(df, c) for c in numbers}, ranks, present, parsable, copied=True, **limits)
     kept = {c for c, share in zip(dated, shares) if passes(share)}
+    for c, values in found.items():
+        median, quartiles = _median_and_quartiles(present[c], nulls[c], values)
+        plans[c] = replace(plans[c], fill=median, bounds=bounds_of(*quartiles))
+    for c in kept:
+        plans[c] = replace(plans[c], date_format=formats[c])
+    return CleanModel(n_rows, tuple(plans.values()))
 
-    return CleanModel(
-        n_rows,
-        tuple(
-            replace(
-                plan,
-                bounds=bounds_of(*quartiles[c]) if c in quartiles else None,
-                date_format=formats[c] if c in kept else None,
-            )
-            for c, plan in plans.items()
-        ),
-    )
+
+def _source_rank(k: int, present: int, gaps: int) -> int | None:
+    """Rank among the present values of the k-th value after filling, None for a filled one.
+
+    The filled rows, all equal to the median, sort right behind the lower middle value.
+    """
+    middle = (present - 1) // 2
+    return k if k <= middle else None if k <= middle + gaps else k - gaps
+
+
+def _ranks(present: int, gaps: int) -> list[int]:
+    places = [p * (present + gaps - 1) for p in QUARTILES]
+    wanted = [_source_rank(k, present, gaps) for at in places for k in (floor(at), ceil(at))]
+    return [(present - 1) // 2, present // 2] + [r for r in wanted if r is not None]
+
+
+def _median_and_quartiles(present: int, gaps: int, values: dict[int, float]) -> tuple[float, list[float]]:
+    median = interpolate((present - 1) * 0.5, values)
+    quartiles = []
+    for at in [p * (present + gaps - 1) for p in QUARTILES]:
+        ranks = {k: _source_rank(k, present, gaps) for k in (floor(at), ceil(at))}
+        quartiles.append(interpolate(at, {k: median if r is None else values[r] for k, r in ranks.items()}))
+    return median, quartiles
 
 
 def clean(df: DataFrame, order_by: str | list[str] | None = None) -> DataFrame:

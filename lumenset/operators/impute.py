@@ -20,8 +20,7 @@ def _value(df: DataFrame, name: str) -> Column:
 
 
 def fit_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    found, _ = exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5])
-    return {c: q[0] for c, q in found.items()}
+    return {c: q[0] for c, q in exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5]).items()}
 
 
 def fit_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:

@@ -22,7 +22,7 @@ def fit_quartiles(df: DataFrame, columns: list[str], approx: bool = False) -> di
     if approx:
         row = df.agg(*[F.percentile_approx(v, QUARTILES, 10_000) for v in values.values()]).first()
         return {c: list(q) if q else [None, None] for c, q in zip(columns, row)}
-    return exact_quantiles(df, values, QUARTILES)[0]
+    return exact_quantiles(df, values, QUARTILES)
 
 
 def iqr_bounds(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ def _stacked(df: DataFrame, aggregates: dict[str, list[Column]], fields: list[st
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, **limits) -> DataFrame:
     """(column, min, max, mean, median, std) of numeric and boolean columns; std is the sample one."""
     columns = columns_of(df, NUMERIC, BOOL) if columns is None else columns
-    medians, _ = exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5], **limits)
+    medians = exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5], **limits)
     aggregates = {}
     for c in columns:
         v = number(df, c)

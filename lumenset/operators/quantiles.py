@@ -71,93 +71,114 @@ def working_copy(df: DataFrame, n_rows: int):
         copy.unpersist()
 
 
-def exact_quantiles(
+def values_at_ranks(
     df: DataFrame,
     values: dict[str, Column],
-    probabilities: list[float],
+    ranks: dict[str, list[int]],
+    counts: dict[str, int],
     conditions: list[Column] | None = None,
     direct_rows: int = DIRECT_ROWS,
-    known_rows: int | None = None,
     copied: bool = False,
-) -> tuple[dict[str, list[float | None]], list[float | None]]:
-    """Linearly interpolated quantiles of each value, and the share of rows that meet each condition.
+) -> tuple[dict[str, dict[int, float]], list[float | None]]:
+    """The values at the given ranks (0-based, nulls left out) of each column.
 
-    ``known_rows`` is the row count if the caller has it; it decides, before any values are
-    gathered, whether one exact aggregate is small enough. The shares come from the first scan.
-    ``copied`` tells that the table is a working copy already.
+    ``counts`` are the present values per column; they decide, before any values are gathered,
+    whether one exact aggregate is small enough. Also returns the share of rows that meet each
+    condition, from the first scan. ``copied`` tells that the table is a working copy already.
     """
     conditions = conditions or []
-    if not values and not conditions:
+    wanted = {n: sorted(set(ranks[n])) for n in values if counts[n]}
+    if not wanted and not conditions:
         return {}, []
-    keys = {name: f"v{i}" for i, name in enumerate(values)}
+    keys = {name: f"v{i}" for i, name in enumerate(wanted)}
     flags = [f"c{i}" for i in range(len(conditions))]
     narrow = df.select(
         *[values[n].alias(k) for n, k in keys.items()],
         *[F.coalesce(c, F.lit(False)).cast("int").alias(f) for c, f in zip(conditions, flags)],
     )
-    if known_rows is None:
-        known_rows = narrow.count()
-    if known_rows <= direct_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = aggregate_row(narrow, [F.percentile(F.col(k), wanted) for k in keys.values()] + [F.avg(f) for f in flags])
-        direct = {n: list(q) if q else [None] * len(probabilities) for n, q in zip(values, row)}
-        return direct, list(row[len(keys) :])
-
-    with nullcontext(narrow) if copied else working_copy(narrow, known_rows) as rows:
-        return _by_narrowing(rows, keys, flags, probabilities, direct_rows)
-
-
-def _by_narrowing(df: DataFrame, keys: dict[str, str], flags: list[str], probabilities: list[float], limit: int):
-    # the first sketch runs along with the counts; its edges are near the ranks without gaps
-    ends = [e for p in probabilities for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    first = [a for k in keys.values() for a in (F.count(k), F.percentile_approx(k, ends, SKETCH_ACCURACY))]
-    row = aggregate_row(df, first + [F.avg(f) for f in flags])
-    brackets: list[_Bracket] = []
-    edges: list[tuple[float, float]] = []
-    for i, k in enumerate(keys.values()):
-        count, sketch = row[2 * i], row[2 * i + 1]
-        for j, p in enumerate(probabilities if count else []):
-            at = p * (count - 1)
-            brackets += [_Bracket(k, floor(at), count), _Bracket(k, ceil(at), count)]
-            edges += [(sketch[2 * j], sketch[2 * j + 1])] * 2
-    picked = iter(_values_at_ranks(df, brackets, edges, limit))
-    result: dict[str, list[float | None]] = {}
-    for i, n in enumerate(keys):
-        count = row[2 * i]
-        result[n] = [_interpolate(p * (count - 1), next(picked), next(picked)) if count else None for p in probabilities]
-    return result, list(row[2 * len(keys) :])
-
-
-def _interpolate(at: float, lower: float, higher: float) -> float:
+    shares = [F.avg(f) for f in flags]
+    largest = max((counts[n] for n in wanted), default=0)
+    if largest <= direct_rows:
+        picks = [_pick(keys[n], wanted[n], counts[n]) for n in wanted]
+        row = aggregate_row(narrow, picks + shares)
+        return {n: dict(zip(wanted[n], row[i])) for i, n in enumerate(wanted)}, list(row[len(picks) :])
+
+    brackets = [_Bracket(keys[n], rank, counts[n]) for n in wanted for rank in wanted[n]]
+    with nullcontext(narrow) if copied else working_copy(narrow, largest) as rows:
+        # the shares come along with the first sketch
+        edges, found_shares = _sketch(rows, brackets, shares)
+        _settle(rows, brackets, edges, direct_rows)
+        picked = iter(_ordered_values(rows, brackets))
+    return {n: {rank: next(picked) for rank in wanted[n]} for n in wanted}, found_shares
+
+
+def _pick(column: str, ranks: list[int], count: int) -> Column:
+    """Array of the values at the ranks, from one exact aggregate where the ranks can be hit exactly."""
+    hits = [_share_of_rank(rank, count) for rank in ranks]
+    if None not in hits:
+        return F.percentile(F.col(column), F.array(*[F.lit(h) for h in hits]))
+    return F.array(*[_element(column, rank, count) for rank in ranks])
+
+
+def _share_of_rank(rank: int, count: int) -> float | None:
+    """A percentage whose position among ``count`` values is the rank itself, without rounding."""
+    share = rank / max(count - 1, 1)
+    for near in (share, nextafter(share, inf), nextafter(share, -inf)):
+        if near * (count - 1) == rank and 0 <= near <= 1:
+            return near
+    return None
+
+
+def _element(column: str, rank: int, count: int) -> Column:
+    # the half keeps the wanted element unambiguous under floating-point division
+    return F.expr(f"percentile_disc({(rank + 0.5) / count!r}D) within group (order by {column})")
+
+
+def exact_quantiles(
+    df: DataFrame, values: dict[str, Column], probabilities: list[float], direct_rows: int = DIRECT_ROWS
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of each value, null for a column without values."""
+    if not values:
+        return {}
+    counts = dict(zip(values, aggregate_row(df, [F.count(v) for v in values.values()])))
+    places = {n: [p * (counts[n] - 1) for p in probabilities] for n in values}
+    ranks = {n: [r for at in places[n] for r in (floor(at), ceil(at))] for n in values}
+    found, _ = values_at_ranks(df, values, ranks, counts, direct_rows=direct_rows)
+    return {n: [interpolate(at, found[n]) if counts[n] else None for at in places[n]] for n in values}
+
+
+def interpolate(at: float, found: dict[int, float]) -> float:
+    """Value at a fractional place between two ranks."""
     weight = at - floor(at)
-    return lower if weight == 0 else (1 - weight) * lower + weight * higher
+    return found[floor(at)] if weight == 0 else (1 - weight) * found[floor(at)] + weight * found[ceil(at)]
 
 
-def _values_at_ranks(df: DataFrame, brackets: list[_Bracket], edges: list[tuple], limit: int) -> list[float]:
-    if brackets:
-        _narrow(df, brackets, edges)
+def _settle(df: DataFrame, brackets: list[_Bracket], edges: list[tuple], limit: int) -> None:
+    _narrow(df, brackets, edges)
     while wide := [b for b in brackets if not b.settled(limit)]:
-        _narrow(df, wide, _sketch(df, wide))
+        _narrow(df, wide, _sketch(df, wide)[0])
+
+
+def _ordered_values(df: DataFrame, brackets: list[_Bracket]) -> list[float]:
     open_ = [b for b in brackets if b.low < b.high]
     found: dict[int, float] = {}
     if open_:
-        # the half keeps the wanted element unambiguous under floating-point division
-        shares = [(b.rank - b.below + 0.5) / b.inside for b in open_]
-        picks = [F.expr(f"percentile_disc({s!r}D) within group (order by b{i})") for i, s in enumerate(shares)]
-        row = aggregate_row(df.select([b.within.alias(f"b{i}") for i, b in enumerate(open_)]), picks)
+        few = df.select([b.within.alias(f"b{i}") for i, b in enumerate(open_)])
+        row = aggregate_row(few, [_element(f"b{i}", b.rank - b.below, b.inside) for i, b in enumerate(open_)])
         found = {id(b): value for b, value in zip(open_, row)}
     return [found.get(id(b), b.low) for b in brackets]
 
 
-def _sketch(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
+def _sketch(df: DataFrame, brackets: list[_Bracket], extra: list[Column] | None = None) -> tuple[list[tuple], list]:
     """Two values of the column around every rank; brackets of one span share a sketch."""
     ends: dict[tuple, list[float]] = {}
     for b in brackets:
         ends.setdefault(b.span, []).extend(b.ends)
     spans = {b.span: b.within for b in brackets}
-    row = aggregate_row(df, [F.percentile_approx(spans[s], ends[s], SKETCH_ACCURACY) for s in spans])
+    sketches = [F.percentile_approx(spans[s], ends[s], SKETCH_ACCURACY) for s in spans]
+    row = aggregate_row(df, sketches + (extra or []))
     found = {s: iter(values) for s, values in zip(spans, row)}
-    return [(next(found[b.span]), next(found[b.span])) for b in brackets]
+    return [(next(found[b.span]), next(found[b.span])) for b in brackets], list(row[len(sketches) :])
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket], edges: list[tuple[float, float]]) -> None:
