@@ -74,8 +74,8 @@ def _without_zone(value: Column) -> Column:
 
 
 def pattern_of(value: Column) -> Column:
-    """The pattern a value looks like, null if none."""
-    short = F.when(F.length(value) <= MAX_DATE_LENGTH, value)
+    """The pattern a value looks like, null if none; every pattern has a year of four digits."""
+    short = F.when((F.length(value) <= MAX_DATE_LENGTH) & value.rlike(r"\d{4}"), value)
     first, *rest = [(short.rlike(f"^{shape}$"), pattern) for shape, pattern in SHAPES]
     return reduce(lambda chain, b: chain.when(*b), rest, F.when(*first))
 
