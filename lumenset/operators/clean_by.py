@@ -69,7 +69,7 @@ def rank_values(counts: DataFrame, group: list[str], in_pieces: int = 0) -> Data
 
 def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], in_pieces: int) -> DataFrame:
     """(keys, column, median, q1, q3): median of the present values, quartiles after filling with it."""
-    long = df.select(*keys, *[number(df, c).alias(c) for c in columns]).unpivot(keys, columns, "column", "value")
+    long = df.select(*keys, *[number(df, c).alias(c) for c in columns]).unpivot(keys, [quoted(c) for c in columns], "column", "value")
     counts = long.groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
     ranked = rank_values(counts, [*keys, "column"], in_pieces)
 
@@ -98,15 +98,14 @@ def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], in_pieces
     return stats.select(*keys, "column", "median", "q1", "q3")
 
 
-def _text_stats(df: DataFrame, keys: list[str], columns: list[str], order_by, n_groups: int) -> DataFrame:
+def _text_stats(df: DataFrame, keys: list[str], columns: list[str], n_groups: int) -> DataFrame:
     """(keys, column, fill, pattern, share): mode, date pattern and share of parsable values.
 
     Everything comes from value counts, which also hold where each value was first seen. Long texts
     are counted by digest; they are never dates.
     """
-    ordered, order = with_row_order(df, order_by)
     texts = [quoted(c).cast("string").alias(c) for c in columns]
-    long = ordered.select(*keys, order.alias("_order"), *texts).unpivot([*keys, "_order"], columns, "column", "value")
+    long = df.select(*keys, "_order", *texts).unpivot([*keys, "_order"], [quoted(c) for c in columns], "column", "value")
     group = [*keys, "column"]
     counts = long.groupBy(*group, key_of(F.col("value")).alias("key")).agg(F.count("*").alias("n"), F.min("_order").alias("seen"))
 
@@ -177,20 +176,25 @@ def clean_by(
     dates = dates if date_columns is None else date_columns
     spread = [quoted(c) for c in numbers + texts]
 
-    n_groups, largest, n_rows = group_sizes(df, keys)
+    # statistics are computed under key names that no column of theirs has
+    inner = {k: f"_key{i}" for i, k in enumerate(keys)}
+    ordered, order = with_row_order(df, order_by)
+    base = ordered.withColumn("_order", order).withColumnsRenamed(inner)
+    group = list(inner.values())
+    n_groups, largest, n_rows = group_sizes(base, group)
     pieces = min(ceil(n_rows / group_rows) + 8, MAX_PIECES) if largest > group_rows else 0
     if not numbers and not texts:
         return df
     per_key = []
     if numbers:
-        stats = _numeric_stats(df, keys, numbers, pieces)
-        per_key.append(_per_key(stats, keys, numbers, ["median", "q1", "q3"]))
+        stats = _numeric_stats(base, group, numbers, pieces)
+        per_key.append(_per_key(stats, group, numbers, ["median", "q1", "q3"]))
     if texts:
-        stats = _text_stats(df, keys, texts, order_by, n_groups)
-        per_key.append(_per_key(stats, keys, texts, ["fill", "pattern", "share"]))
-    both = per_key[0] if len(per_key) == 1 else same_group_join(*per_key, keys)
+        stats = _text_stats(base, group, texts, n_groups)
+        per_key.append(_per_key(stats, group, texts, ["fill", "pattern", "share"]))
+    both = per_key[0] if len(per_key) == 1 else same_group_join(*per_key, group)
     # written once: it is measured, the patterns in use are looked up, and all rows meet the same statistics
-    both = cut_lineage(both)
+    both = cut_lineage(both.withColumnsRenamed({v: k for k, v in inner.items()}))
     patterns, n_bytes = _measure(both, n_groups, texts, dates)
     out = stats_join(df, both, keys, spread, n_bytes)
     return out.select(*_projection(df, numbers, texts, patterns))

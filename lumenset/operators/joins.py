@@ -4,6 +4,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.kinds import quoted
+
 SALTS = 16
 # Most bytes a table may have to be broadcast; callers measure or bound it before.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -18,7 +20,7 @@ def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[
     repeated once per salt.
     """
     renamed = stats.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    match = [quoted(k).eqNullSafe(quoted(f"_right_{k}")) for k in keys]
     if n_bytes <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(renamed), reduce(lambda a, b: a & b, match), "left")
     else:
@@ -32,5 +34,5 @@ def stats_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[
 def same_group_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join two tables of one row per key, null equal to null."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    match = [quoted(k).eqNullSafe(quoted(f"_right_{k}")) for k in keys]
     return left.join(renamed, reduce(lambda a, b: a & b, match), how).drop(*[f"_right_{k}" for k in keys])

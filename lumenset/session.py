@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .functions.kinds import quoted
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
@@ -41,4 +43,5 @@ def with_row_order(df: DataFrame, order_by: str | list[str] | None) -> tuple[Dat
             df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
         return df, F.col(ROW_ID)
     names = [order_by] if isinstance(order_by, str) else order_by
-    return df, F.struct(*names) if len(names) > 1 else F.col(names[0])
+    columns = [quoted(n) for n in names]
+    return df, F.struct(*columns) if len(columns) > 1 else columns[0]

@@ -55,3 +55,14 @@ def test_long_texts_fill_gaps_too(spark):
     for k in "ghi":
         alone = {r.i: r.s for r in clean(df.where(F.col("k") == k).drop("k"), "i").collect()}
         assert alone == {i: s for (g, i), s in got.items() if g == k}
+
+
+def test_names_that_the_statistics_use_themselves(spark):
+    rows = [("a", 1, 1.0, "2023-01-01"), ("a", 2, None, None), ("b", 1, 7.0, "x"), ("b", 2, 9.0, "x")]
+    df = spark.createDataFrame(rows, "value string, n int, `key.x` double, column string")
+    out = clean_by(df, "value", order_by="n")
+    assert out.columns == ["value", "n", "key.x", "column", "n_outlier", "key.x_outlier", "column_date"]
+    got = {(r["value"], r["n"]): (r["key.x"], r["column"], r["column_date"]) for r in out.collect()}
+    assert got[("a", 2)] == (1.0, "2023-01-01", "2023-01-01") and got[("b", 1)] == (7.0, "x", None)
+    dotted = clean_by(df, "key.x", order_by="n")
+    assert dotted.count() == 4 and "n_outlier" in dotted.columns
