@@ -1,9 +1,12 @@
 """Queries of the readers and writers, on files that are first written from the tables."""
 
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog
+from ..operators.profile import schema_profile
 from ..session import ROW_ID, scratch_path
 from ..sources.csv import read_csv_table
 from ..sources.infer import fit_types, infer_types
@@ -90,6 +93,24 @@ COLUMN_TYPES = " union all ".join(
 )
 
 
+DESCRIBED = ["customer", "part", "orders"]
+SQL_NAMES = {"BIGINT": "int64", "INTEGER": "int64", "DOUBLE": "float64", "VARCHAR": "object", "TIMESTAMP": "object"}
+
+
+def described_tables(spark, folder):
+    """Name and type per column of tables whose types are found from their texts."""
+    parts = [schema_profile(infer_types(_as_text(read(spark, folder, t)))).withColumn("table_name", F.lit(t)) for t in DESCRIBED]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+DESCRIBED_TABLES = " union all ".join(
+    f"select '{t}' as table_name, cast(cid as integer) as position, name, case "
+    + " ".join(f"when type = '{k}' then '{v}'" for k, v in SQL_NAMES.items())
+    + f" end as type from pragma_table_info('{t}')"
+    for t in DESCRIBED
+)
+
+
 def typed_orders(spark, folder):
     return infer_types(_as_text(gappy_orders(spark, folder)))
 
@@ -211,6 +232,7 @@ QUERIES = {
     "csv_orders": csv_orders,
     "json_orders": json_orders,
     "column_types": column_types,
+    "described_tables": described_tables,
     "typed_orders": typed_orders,
     "event_documents": event_documents,
     "document_files": document_files,
@@ -223,6 +245,7 @@ SQL = {
     "csv_orders": CSV_ORDERS,
     "json_orders": JSON_ORDERS,
     "column_types": COLUMN_TYPES,
+    "described_tables": DESCRIBED_TABLES,
     "typed_orders": TYPED_ORDERS,
     "event_documents": EVENT_DOCUMENTS,
     "document_files": DOCUMENT_FILES,
