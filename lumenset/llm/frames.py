@@ -57,16 +57,24 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """The rows with ``_text`` replaced by ``_blob``, the compressed bytes (null stays null), for shuffles of whole texts."""
+def packed(rows: DataFrame, row_key=None) -> DataFrame:
+    """The rows with ``_text`` replaced by ``_blob``, the compressed bytes (null stays null), for shuffles of whole texts.
+
+    ``row_key(ids, texts)`` adds its 64-bit keys as ``_row``.
+    """
     schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("_blob", T.BinaryType())])
     keep = [f.name for f in rows.schema if f.name != "_text"]
+    if row_key:
+        schema = schema.add("_row", T.LongType())
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            blobs = [None if t is None else press.compress(t) for t in binary(batch["_text"])]
-            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keep], pa.array(blobs, pa.binary())], [*keep, "_blob"])
+            texts = binary(batch["_text"])
+            columns = [*[batch[k] for k in keep], pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())]
+            if row_key:
+                columns.append(pa.array(row_key(batch["_id"].to_pylist(), [t or b"" for t in texts]).view("int64"), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(pack, schema)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import lines
+from . import lines, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,5 +30,26 @@ OP7_SQL = r"""
            sha256(coalesce(string_agg(line, chr(10) order by place) filter (owner is null or owner = doc_id), '')) as kept_sha256
     from keyed left join owners using (key) group by doc_id"""
 
-QUERIES = {"op7_lines": op7_lines}
-SQL = {"op7_lines": OP7_SQL}
+def op2_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    kept = spans.drop_repeated_spans(docs)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+    with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+    windows as (
+        select doc_id, unnest(range(1, len(words) - 33)) as start, words from texts where len(words) >= 35),
+    hashed as (select doc_id, start, md5(array_to_string(words[start : start + 34], ' ')) as h from windows),
+    again as (select h from hashed group by h having count(*) > 1),
+    gone as (select distinct doc_id, start + unnest(range(0, 35)) as place from hashed join again using (h)),
+    spread as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from texts),
+    kept as (
+        select spread.doc_id, count(*) filter (gone.place is not null) as n_removed,
+               string_agg(word, ' ' order by spread.place) filter (gone.place is null) as kept
+        from spread left join gone on spread.doc_id = gone.doc_id and spread.place = gone.place group by 1)
+    select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from texts left join kept using (doc_id)"""
+
+QUERIES = {"op2_spans": op2_spans, "op7_lines": op7_lines}
+SQL = {"op2_spans": OP2_SQL, "op7_lines": OP7_SQL}
