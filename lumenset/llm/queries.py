@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import lines, spans
+from . import lines, neardup, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,5 +51,30 @@ OP2_SQL = r"""
     select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
     from texts left join kept using (doc_id)"""
 
-QUERIES = {"op2_spans": op2_spans, "op7_lines": op7_lines}
-SQL = {"op2_spans": OP2_SQL, "op7_lines": OP7_SQL}
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_groups(read(spark, folder, "documents"))
+
+
+OP5_SQL = r"""
+    with recursive texts as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') as words
+        from documents),
+    shingles as (
+        select distinct doc_id, array_to_string(words[i : i + 4], ' ') as shingle
+        from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from texts where len(words) > 0)),
+    sizes as (select doc_id, count(*) as n from shingles group by 1),
+    shared as (
+        select x.doc_id as a, y.doc_id as b, count(*) as common
+        from shingles x join shingles y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by 1, 2),
+    links as (
+        select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+        where 100 * common >= 75 * (x.n + y.n - common)),
+    reach as (
+        select doc_id as a, doc_id as b from documents
+        union select reach.a, links.b from reach join links on reach.b = links.a)
+    select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+    from (select a as doc_id, min(b) as component_id from reach group by 1) left join sizes using (doc_id)"""
+
+QUERIES = {"op2_spans": op2_spans, "op5_neardup": op5_neardup, "op7_lines": op7_lines}
+SQL = {"op2_spans": OP2_SQL, "op5_neardup": OP5_SQL, "op7_lines": OP7_SQL}
