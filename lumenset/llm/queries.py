@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import lines, neardup, spans
+from . import hilbert, lines, mixing, neardup, packing, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -76,5 +76,25 @@ OP5_SQL = r"""
     select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
     from (select a as doc_id, min(b) as component_id from reach group by 1) left join sizes using (doc_id)"""
 
-QUERIES = {"op2_spans": op2_spans, "op5_neardup": op5_neardup, "op7_lines": op7_lines}
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"))
+
+
+def op6_hilbert(spark: SparkSession, folder: str) -> DataFrame:
+    placed = hilbert.hilbert_shards(read(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed = mixing.document_copies(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+QUERIES = {
+    "op2_spans": op2_spans, "op3_packing": op3_packing, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
+    "op7_lines": op7_lines, "op8_mixing": op8_mixing,
+}
 SQL = {"op2_spans": OP2_SQL, "op5_neardup": OP5_SQL, "op7_lines": OP7_SQL}
