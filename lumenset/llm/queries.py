@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import hilbert, lines, mixing, neardup, packing, spans
+from . import hilbert, lines, mixing, neardup, packing, rules, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,8 +93,15 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    learned = rules.fit_rules(docs, read(spark, folder, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.judge(docs, learned).select(*columns)
+
+
 QUERIES = {
     "op2_spans": op2_spans, "op3_packing": op3_packing, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
-    "op7_lines": op7_lines, "op8_mixing": op8_mixing,
+    "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op10_rules": op10_rules,
 }
 SQL = {"op2_spans": OP2_SQL, "op5_neardup": OP5_SQL, "op7_lines": OP7_SQL}
