@@ -1,9 +1,10 @@
 """Registered queries of the operators for training data, and the SQL that checks them where SQL can."""
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import hilbert, lines, mixing, neardup, packing, rules, spans
+from . import article, hilbert, lines, mixing, neardup, packing, rules, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,6 +94,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_article(spark: SparkSession, folder: str) -> DataFrame:
+    return article.extract_articles(read(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     learned = rules.fit_rules(docs, read(spark, folder, "labels"))
@@ -102,6 +107,9 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_spans": op2_spans, "op3_packing": op3_packing, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
-    "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op10_rules": op10_rules,
+    "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_article": op9_article, "op10_rules": op10_rules,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op2_spans": OP2_SQL, "op5_neardup": OP5_SQL, "op7_lines": OP7_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
