@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import article, hilbert, lines, mixing, neardup, packing, rules, spans
+from . import ann, article, hilbert, lines, mixing, neardup, packing, rules, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +31,11 @@ OP7_SQL = r"""
            sha256(coalesce(string_agg(line, chr(10) order by place) filter (owner is null or owner = doc_id), '')) as kept_sha256
     from keyed left join owners using (key) group by doc_id"""
 
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op2_spans(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     kept = spans.drop_repeated_spans(docs)
@@ -106,7 +111,7 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_spans": op2_spans, "op3_packing": op3_packing, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
+    "op1_ann": op1_ann, "op2_spans": op2_spans, "op3_packing": op3_packing, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_article": op9_article, "op10_rules": op10_rules,
     "pipeline": corpus_pipeline.run,
 }
