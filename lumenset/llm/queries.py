@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import ann, article, hilbert, lines, mixing, neardup, packing, rules, spans
+from . import ann, article, hilbert, lines, mixing, neardup, packing, rules, spans, token_files
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +57,10 @@ OP2_SQL = r"""
     select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
     from texts left join kept using (doc_id)"""
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(read(spark, folder, "documents"))
+
+
 def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(read(spark, folder, "documents"))
 
@@ -111,7 +115,7 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_ann": op1_ann, "op2_spans": op2_spans, "op3_packing": op3_packing, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
+    "op1_ann": op1_ann, "op2_spans": op2_spans, "op3_packing": op3_packing, "op4_token_files": op4_token_files, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_article": op9_article, "op10_rules": op10_rules,
     "pipeline": corpus_pipeline.run,
 }
