@@ -48,6 +48,9 @@ def _segments(texts: list[bytes]):
     part, size = [], 0
     for number, text in enumerate(texts):
         at = 0
+        if len(text) > SEGMENT and part:
+            yield part
+            part, size = [], 0
         while len(text) - at > SEGMENT:
             found = NEXT_SPACE.search(text, at + SEGMENT)
             end = found.start() if found else len(text)
