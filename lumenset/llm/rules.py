@@ -21,6 +21,7 @@ CUTS = 24
 MOST_RULES = 12
 MOST_CONDITIONS = 4
 LEAST_PRECISION = 0.98
+LEAST_UNSEEN = 0.95
 LEAST_COVERED = 0.002
 
 # Statistics on which rules may put thresholds, from the counts below.
@@ -212,8 +213,8 @@ def _prune(cells, rule) -> list[tuple[int, bool, int]]:
 def learn(labelled: DataFrame) -> DecisionList:
     """A decision list from rows with the ratios, ``bad`` (boolean) and ``half`` (0: rules grow on it, 1: they are pruned on it).
 
-    A rule is accepted if it covers LEAST_COVERED of the pruning half at a precision of LEAST_PRECISION or more; the
-    first that does not ends the list. Without bad or without good rows the list is empty.
+    A rule is accepted if it covers LEAST_COVERED of the pruning half, at a precision of LEAST_UNSEEN there and LEAST_PRECISION
+    in all; the first that is not ends the list. Without bad or without good rows the list is empty.
     """
     cuts, cells = _cells(labelled)
     names, rules = list(RATIOS), []
@@ -223,8 +224,9 @@ def learn(labelled: DataFrame) -> DecisionList:
         return DecisionList(())
     while len(rules) < MOST_RULES:
         rule = _prune(cells, _grow(cells, n_cuts))
-        bad, good = _counts(cells, rule, 1) if rule else (0, 0)
-        if bad < max(1, LEAST_COVERED * in_all) or bad < LEAST_PRECISION * (bad + good):
+        bad, good = _counts(cells, rule) if rule else (0, 0)
+        unseen, wrong = _counts(cells, rule, 1) if rule else (0, 0)
+        if unseen < max(1, LEAST_COVERED * in_all) or bad < LEAST_PRECISION * (bad + good) or unseen < LEAST_UNSEEN * (unseen + wrong):
             break
         rules.append(tuple(Condition(names[i], above, cuts[names[i]][j]) for i, above, j in rule))
         cells = [c for c in cells if not _meets(c[0], rule)]
