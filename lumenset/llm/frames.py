@@ -9,6 +9,7 @@ from ..session import scratch_path
 
 BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
+ROWS_PER_FILE = 200_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -17,11 +18,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them again: cuts lineage, survives lost executors.
+
+    Where the caller knows that there are ``rows`` at most, they go to as few files as that needs.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
+    # this codec needs no buffers outside the heap, which many small files would fill
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,12 +27,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sources: DataFrame, weight: Column, cap: int) -> DataFrame:
-    """``sources`` (stored; ``source_size``) with ``target``: shares of all sizes by weight, none above ``cap`` times its size.
+def water_fill(sources: DataFrame, weight: Column, cap: int, many: int) -> DataFrame:
+    """``sources`` (``many`` rows; ``source_size``) with ``target``: shares of all sizes by weight, none above ``cap`` times its size.
 
     What a source can't take is shared again by weight among the others until none is above.
     """
-    rows = stored(sources.withColumn("_weight", weight.cast("double")).withColumn("_most", F.col("source_size") * cap), "weights")
+    rows = stored(sources.withColumn("_weight", weight.cast("double")).withColumn("_most", F.col("source_size") * cap), "weights", many)
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0  # target of weight 1
     while True:
@@ -48,10 +48,10 @@ def water_fill(sources: DataFrame, weight: Column, cap: int) -> DataFrame:
     return rows.withColumn("target", target).drop("_weight", "_most")
 
 
-def solve_rates(histogram: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+def solve_rates(histogram: DataFrame, sources: DataFrame, cap: int, many: int) -> DataFrame:
     """``src``, ``multiplier`` and ``scale`` of every source: Newton on the dual, all sources in each aggregate.
 
-    ``histogram``: ``src``, ``size``, ``n``; ``sources``: ``src``, ``target``, ``source_size``. A source whose target
+    ``histogram``: ``src``, ``size``, ``n``; ``sources`` (``many`` rows): ``src``, ``target``, ``source_size``. A source whose target
     is all it can give has a null multiplier and the rate ``cap``; one without words or target has rate 0 and the
     multiplier minus infinity.
     """
@@ -64,7 +64,7 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, cap: int) -> DataFrame
             "src", "target", "scale", (F.log(F.lit(float(cap))) * F.col("scale") / F.col("least")).alias("hi"),
             F.lit(-1.0e3).alias("lo"), F.log(F.col("target") / F.col("source_size")).alias("multiplier"), F.lit(False).alias("done"),
         ),
-        "duals",
+        "duals", many,
     )
     exponent = F.col("multiplier") * F.col("size") / F.col("scale")
     rate = F.exp(F.least(exponent, F.log(F.lit(float(cap)))))
@@ -87,7 +87,7 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, cap: int) -> DataFrame
                 F.when(keep, F.col("hi")).otherwise(hi).alias("hi"), F.when(keep, F.col("lo")).otherwise(lo).alias("lo"),
                 F.when(keep, F.col("multiplier")).otherwise(stepped).alias("multiplier"), close.alias("done"),
             ),
-            "duals",
+            "duals", many,
         )
         if state.filter("not done").isEmpty():
             break
@@ -159,15 +159,15 @@ def document_copies(
     base = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(source_col).alias("_source"), n_words(quoted(text_col)).alias("size"))
     base = stored(base, "sizes")
     sources = base.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumn("_last", F.col("_source").isNull().cast("int"))
-    sources, _ = with_rank(sources, ["_last", "_source"], "sources")
+    sources, many = with_rank(sources, ["_last", "_source"], "sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("src") % len(weights) + 1).cast("int"))
-    sources = stored(water_fill(sources.withColumnRenamed("_rank", "src").drop("_last"), weight, cap), "targets")
+    sources = stored(water_fill(sources.withColumnRenamed("_rank", "src").drop("_last"), weight, cap, many), "targets", many)
     named = base.join(sources.select("_source", "src"), base["_source"].eqNullSafe(sources["_source"])).drop("_source")
-    histogram = stored(named.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    rates = stored(solve_rates(histogram, sources, cap), "rates")
+    histogram = stored(named.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")), "histogram", base.count())
+    rates = stored(solve_rates(histogram, sources, cap, many), "rates", many)
     rated = document_rates(named.join(rates, "src"), cap).withColumn("priority", _priority(seed))
-    cuts = stored(round_rates(rated), "thresholds").withColumnsRenamed({"src": "_src", "class": "_class"})
-    facts = stored(sources.join(rates, "src").withColumnRenamed("_source", "_of"), "mix")
+    cuts = stored(round_rates(rated), "thresholds", 64 * many).withColumnsRenamed({"src": "_src", "class": "_class"})
+    facts = stored(sources.join(rates, "src").withColumnRenamed("_source", "_of"), "mix", many)
     more = {"size", "source_size", "target", "copies"}
     rest = [c for c in docs.columns if c not in more]
     rows = docs.select(
