@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# The place of a row in its file, which readers attach; it is carried along and never treated as data.
+ROW_ID = "_row_id"
+
 NUMERIC, BOOL, STRING, DATETIME, OTHER = "numeric", "bool", "string", "datetime", "other"
 
 
@@ -25,7 +28,7 @@ def dtype_name(dtype: T.DataType) -> str:
 
 
 def columns_of(df: DataFrame, *kinds: str) -> list[str]:
-    return [f.name for f in df.schema.fields if kind_of(f.dataType) in kinds]
+    return [f.name for f in df.schema.fields if kind_of(f.dataType) in kinds and f.name != ROW_ID]
 
 
 def quoted(name: str) -> Column:

@@ -82,15 +82,16 @@ def shared_with(cat: Catalog, object_type: str, owner: int | None = None, object
     return rows.join(targets, "target_id")
 
 
-def other_users(cat: Catalog, uid: int) -> DataFrame:
-    return cat.users.where(F.col("id") != uid).select("id", "name")
+def other_users(cat: Catalog, uid: int, *fields: str) -> DataFrame:
+    """(id, name) of everybody else, with ``fields`` such as the e-mail if they are named."""
+    return cat.users.where(F.col("id") != uid).select("id", "name", *fields)
 
 
 def shareable_users(cat: Catalog, owner: int, object_id: int, object_type: str = VISUALISATION) -> DataFrame:
-    """Users the owner has not shared the object with, by name."""
+    """(id, name, email) of the users the owner has not shared the object with, by name."""
     same_object = (F.col("owner_id") == owner) & (F.col("object_type") == object_type) & (F.col("object_id") == object_id)
     taken = cat.shares.where(same_object).select(F.col("target_id").alias("id"))
-    return other_users(cat, owner).join(taken, "id", "left_anti").orderBy("name", "id")
+    return other_users(cat, owner, "email").join(taken, "id", "left_anti").orderBy("name", "id")
 
 
 def _with_dataset(cat: Catalog, visualisations: DataFrame, *fields: Column) -> DataFrame:
@@ -139,6 +140,18 @@ def page(df: DataFrame, order: list[Column], number: int = 1, per_page: int = PA
     return df.orderBy(*order).offset((max(number, 1) - 1) * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, last: tuple | None = None, order: str = "created_at", per_page: int = PAGE_SIZE) -> DataFrame:
+    """The page of a listing, newest first, that follows the row (time, id) shown last; the first page without it.
+
+    However deep the page, only ``per_page`` rows are ordered. :func:`page` by number holds all rows before the page.
+    """
+    at, key = F.col(order), F.col("id")
+    if last is not None:
+        time, number = F.lit(last[0]).cast(df.schema[order].dataType), F.lit(last[1])
+        df = df.where((at < time) | (at == time) & (key < number))
+    return df.orderBy(at.desc(), key.desc()).limit(per_page)
+
+
 def page_info(df: DataFrame, number: int = 1, per_page: int = PAGE_SIZE) -> DataFrame:
     """(page, total, pages, has_prev, has_next) of :func:`page`, one row."""
     number = max(number, 1)

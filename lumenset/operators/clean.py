@@ -4,19 +4,18 @@ Which columns the result has depends on the data, so ``fit_clean`` runs a few ag
 bring back one small row each, and ``CleanModel.transform`` is one narrow, lazy projection.
 """
 
-from contextlib import nullcontext
 from dataclasses import dataclass, replace
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import formats_of_samples, iso_date, parse_as, short_sample
-from ..functions.kinds import BOOL, NUMERIC, STRING, kind_of, number, quoted
+from ..functions.kinds import BOOL, NUMERIC, OTHER, ROW_ID, STRING, kind_of, number, present, quoted
 from ..session import with_row_order
 from .datecols import passes
 from .impute import filled, fit_modes
 from .outliers import QUARTILES, Bounds, bounds_of, is_outlier
-from .quantiles import DIRECT_ROWS, aggregate_row, interpolate, values_at_ranks, working_copy
+from .quantiles import aggregate_row, interpolate, values_at_ranks
 
 
 @dataclass(frozen=True)
@@ -58,14 +57,28 @@ class CleanModel:
 
 
 def _imputed(df: DataFrame, plan: ColumnPlan) -> Column:
-    if not plan.had_nulls or plan.kind not in (NUMERIC, STRING, BOOL):
+    """The column without gaps. One that had none when the model was fitted keeps its type."""
+    if plan.kind not in (NUMERIC, STRING, BOOL):
         return quoted(plan.name)
-    return filled(df, plan.name, plan.fill)
-
-
-def fit_clean(df: DataFrame, order_by: str | list[str] | None = None, **limits) -> CleanModel:
-    """Fit on the whole table. ``order_by`` gives the row order that date samples follow."""
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    if plan.had_nulls:
+        return filled(df, plan.name, plan.fill)
+    kind = df.schema[plan.name].dataType
+    if plan.kind == NUMERIC:
+        fill = F.lit(plan.fill).cast("double")
+        return F.coalesce(present(df, plan.name), (F.round(fill) if isinstance(kind, T.IntegralType) else fill).cast(kind))
+    if plan.fill is not None:
+        return F.coalesce(quoted(plan.name), F.lit(plan.fill).cast(kind))
+    problem = f"column {plan.name} has gaps, but had none in the table that the model was fitted on; fit it with reusable=True"
+    return F.coalesce(quoted(plan.name), F.raise_error(F.lit(problem)).cast(kind))
+
+
+def fit_clean(df: DataFrame, order_by: str | list[str] | None = None, reusable: bool = False, **limits) -> CleanModel:
+    """Fit on the whole table. ``order_by`` gives the row order that date samples follow.
+
+    The model fills gaps of numbers in any later table. With ``reusable`` it also knows the modes of text columns that have
+    no gaps here; without, a later gap in such a column is an error when the rows are read.
+    """
+    kinds = {f.name: kind_of(f.dataType) if f.name != ROW_ID else OTHER for f in df.schema.fields}
     numbers = [c for c, k in kinds.items() if k == NUMERIC]
     texts = [c for c, k in kinds.items() if k == STRING]
     flags = [c for c, k in kinds.items() if k == BOOL]
@@ -84,17 +97,15 @@ def fit_clean(df: DataFrame, order_by: str | list[str] | None = None, **limits)
     nulls = {c: n_rows - n for c, n in zip(measured, row[1:])}
     samples = dict(zip(texts, row[1 + len(measured) :]))
 
-    with working_copy(df, n_rows) if n_rows > limits.get("direct_rows", DIRECT_ROWS) else nullcontext(df) as rows:
-        return _fit_columns(df, rows, n_rows, kinds, nulls, samples, limits)
+    return _fit_columns(df, n_rows, kinds, nulls, samples, reusable, limits)
 
 
-def _fit_columns(
-    df: DataFrame, rows: DataFrame, n_rows: int, kinds: dict, nulls: dict, samples: dict, limits: dict
-) -> CleanModel:
+def _fit_columns(df: DataFrame, n_rows: int, kinds: dict, nulls: dict, samples: dict, reusable: bool, limits: dict) -> CleanModel:
     numbers, texts = ([c for c, k in kinds.items() if k == kind] for kind in (NUMERIC, STRING))
 
-    # 2. fill values of text, only for columns with gaps
-    fills: dict[str, float | str | None] = dict(fit_modes(rows, [c for c, k in kinds.items() if k in (STRING, BOOL) and nulls[c]]))
+    # 2. fill values of text, only for columns with gaps unless the model is for later tables
+    filled_texts = [c for c, k in kinds.items() if k in (STRING, BOOL) and (nulls[c] or reusable)]
+    fills: dict[str, float | str | None] = dict(fit_modes(df, filled_texts))
     fills.update({c: None for c, k in kinds.items() if k == BOOL and nulls[c] == n_rows})
     # where the first row was null, the sample is what fills it
     samples = {c: fills[c] if s is None and n_rows else s for c, s in samples.items()}
@@ -104,12 +115,12 @@ def _fit_columns(
     # 3. medians, quartiles of the filled numbers, and the share of parsable dates
     dated = [c for c in texts if formats[c]]
     parsable = [parse_as(_imputed(df, plans[c]), formats[c]).isNotNull() for c in dated]
-    present = {c: n_rows - nulls[c] for c in numbers}
-    ranks = {c: _ranks(present[c], nulls[c]) for c in numbers}
-    found, shares = values_at_ranks(rows, {c: number(df, c) for c in numbers}, ranks, present, parsable, copied=True, **limits)
+    known = {c: n_rows - nulls[c] for c in numbers}
+    ranks = {c: _ranks(known[c], nulls[c]) for c in numbers}
+    found, shares = values_at_ranks(df, {c: number(df, c) for c in numbers}, ranks, known, parsable, **limits)
     kept = {c for c, share in zip(dated, shares) if passes(share)}
     for c, values in found.items():
-        median, quartiles = _median_and_quartiles(present[c], nulls[c], values)
+        median, quartiles = _median_and_quartiles(known[c], nulls[c], values)
         plans[c] = replace(plans[c], fill=median, bounds=bounds_of(*quartiles))
     for c in kept:
         plans[c] = replace(plans[c], date_format=formats[c])

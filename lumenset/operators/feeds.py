@@ -9,8 +9,8 @@ from ..functions.kinds import NUMERIC, columns_of, number, quoted
 from .profile import _stacked
 
 OTHER = "Other"
-# Most categories that a chart shows one by one; they are broadcast.
-MOST_CATEGORIES = 10_000
+# Pairs of columns that one aggregate sums up.
+PAIRS_AT_ONCE = 200
 
 
 def records_json(df: DataFrame) -> DataFrame:
@@ -31,15 +31,13 @@ def kpis(df: DataFrame, measures: list[str]) -> DataFrame:
 def by_category(df: DataFrame, dimension: str, measure: str, n: int = 10) -> DataFrame:
     """(category, is_other, n, total, share): the n largest categories, the rest as one row.
 
-    Only the n leading categories are broadcast; everything else is a partial aggregate.
+    Everything is a partial aggregate but the join of the sums, one row per category, with the n leading ones.
     """
-    if n > MOST_CATEGORIES:
-        raise ValueError(f"at most {MOST_CATEGORIES} categories")
     sums = df.groupBy(quoted(dimension).alias("category")).agg(F.count("*").alias("n"), F.sum(number(df, measure)).alias("total"))
     # ordering by all columns keeps both uses of the sums alike, so they are computed once
     leaders = sums.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("category"), "n").limit(n)
     marked = leaders.select(F.col("category").alias("_leader"), F.lit(True).alias("_leads"))
-    joined = sums.join(F.broadcast(marked), F.col("category").eqNullSafe(F.col("_leader")), "left")
+    joined = sums.join(marked, F.col("category").eqNullSafe(F.col("_leader")), "left")
     is_other = F.col("_leads").isNull()
     grouped = joined.groupBy(F.when(is_other, F.lit(OTHER)).otherwise(F.col("category")).alias("category"), is_other.alias("is_other")).agg(
         F.sum("n").alias("n"), F.sum("total").alias("total")
@@ -81,17 +79,18 @@ def apply_filters(df: DataFrame, isin: dict[str, list] | None = None, between: d
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, r, n) for every pair of numeric columns over the rows where both are present.
 
-    A row is turned into its pairs inside the task and aggregated before the shuffle; a constant
+    Rows are read as they are and summed up into one row, for at most PAIRS_AT_ONCE pairs in a scan; a constant
     column gives null.
     """
     columns = columns_of(df, NUMERIC) if columns is None else columns
-    values = df.select([number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    pairs = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b"))
-        for (i, a), (j, b) in combinations(enumerate(columns), 2)
-    ]
-    long = values.select(F.inline(F.array(*pairs)))
-    a = F.when(F.col("b").isNotNull(), F.col("a"))
-    b = F.when(F.col("a").isNotNull(), F.col("b"))
-    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return long.groupBy("x", "y").agg(r.alias("r"), F.count(a).alias("n"))
+    pairs = list(combinations(columns, 2))
+    parts = []
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        aggregates = []
+        for x, y in pairs[start : start + PAIRS_AT_ONCE]:
+            a = F.when(number(df, y).isNotNull(), number(df, x))
+            b = F.when(number(df, x).isNotNull(), number(df, y))
+            r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+            aggregates.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"), F.count(a).alias("n")))
+        parts.append(df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows")))
+    return reduce(DataFrame.unionByName, parts, df.sparkSession.createDataFrame([], "x string, y string, r double, n bigint"))

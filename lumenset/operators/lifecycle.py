@@ -2,14 +2,18 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.kinds import quoted
 from .catalog import DATASET, VISUALISATION, Catalog
 
 SHARE_KEY = ["owner_id", "target_id", "object_type", "object_id"]
 
 
 def grant(shares: DataFrame, new: DataFrame) -> DataFrame:
-    """Add the shares that do not exist yet; granting twice changes nothing."""
-    fresh = new.dropDuplicates(SHARE_KEY).join(shares.select(SHARE_KEY), SHARE_KEY, "left_anti")
+    """Add the shares that do not exist yet; granting twice changes nothing. Of a share given several times the smallest row counts."""
+    rest = [c for c in new.columns if c not in SHARE_KEY]
+    once = new.groupBy(SHARE_KEY).agg(F.min(F.struct(*[quoted(c) for c in rest])).alias("_first")) if rest else new.select(SHARE_KEY).distinct()
+    once = once.select(*[F.col("_first").getField(c).alias(c) if c in rest else F.col(c) for c in new.columns])
+    fresh = once.join(shares.select(SHARE_KEY), SHARE_KEY, "left_anti")
     return shares.unionByName(fresh, allowMissingColumns=True)
 
 

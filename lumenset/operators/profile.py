@@ -178,8 +178,14 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
 
 
-def column_json(profile: DataFrame) -> DataFrame:
-    """(position, name, info): each column's statistics as the JSON object of the profile document."""
+def column_json(profile: DataFrame, decimals: int | None = None) -> DataFrame:
+    """(position, name, info): each column's statistics as the JSON object of the profile document.
+
+    With ``decimals`` numbers are written with so many places instead of as they are.
+    """
+    if decimals is not None:
+        numbers = ["min", "max", "mean", "median", "std"]
+        profile = profile.withColumns({c: F.round(c, decimals).cast(f"decimal(38,{decimals})") for c in numbers})
     as_json = lambda *fields: F.to_json(F.struct("type", "name", *fields), {"ignoreNullFields": "false"})
     info = (
         F.when(F.col("type") == "datetime", as_json(F.col("first").alias("min"), F.col("last").alias("max")))
@@ -191,7 +197,7 @@ def column_json(profile: DataFrame) -> DataFrame:
     return profile.select("position", "name", info.alias("info"))
 
 
-def profile_json(df: DataFrame, original_filename: str, file_type: str, order_by=None) -> DataFrame:
+def profile_json(df: DataFrame, original_filename: str, file_type: str, order_by=None, decimals: int | None = None) -> DataFrame:
     """One row with the profile document of the table."""
     base = df.drop(ROW_ID)
     head = F.struct(
@@ -203,7 +209,7 @@ def profile_json(df: DataFrame, original_filename: str, file_type: str, order_by
     # a JSON list of one text without its brackets is that text quoted
     name = F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", "")
     member = F.concat(name, F.lit(":"), F.col("info"))
-    members = column_json(profile_table(df, order_by)).select("position", member.alias("member"))
+    members = column_json(profile_table(df, order_by), decimals).select("position", member.alias("member"))
     # one entry per column of the table, so the list is as long as the schema
     listed = F.sort_array(F.collect_list(F.struct("position", "member")))["member"]
     opening = F.regexp_replace(F.to_json(head), r"\}$", "")
@@ -212,20 +218,29 @@ def profile_json(df: DataFrame, original_filename: str, file_type: str, order_by
     )
 
 
-def preview(df: DataFrame, n: int = 10, order_by=None) -> DataFrame:
-    """The first n rows in row order."""
+def _first_rows(df: DataFrame, n: int, order_by) -> DataFrame:
+    """The first n rows with their place as ``_order``. Without a key rows are taken as they are scanned, and
+    the scan stops with them; only a key makes the whole table be read."""
+    if order_by is None:
+        first = df.limit(n)
+        return first.withColumn("_order", quoted(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id())
     ordered, order = with_row_order(df, order_by)
-    return ordered.orderBy(order).limit(n).select(*[quoted(c) for c in df.columns if c != ROW_ID])
+    return ordered.withColumn("_order", order).orderBy("_order").limit(n)
+
+
+def preview(df: DataFrame, n: int = 10, order_by=None) -> DataFrame:
+    """The first n rows, by ``order_by`` or as they are scanned."""
+    return _first_rows(df, n, order_by).select(*[quoted(c) for c in df.columns if c != ROW_ID])
 
 
 def excerpt(df: DataFrame, fmt: str = "csv", chars: int = 2000, order_by=None) -> DataFrame:
     """One row with the first characters of the table written as CSV or JSON records, ``...`` if cut.
 
-    A written row is at least one character long, so no more than ``chars`` rows are looked at.
+    A written row is at least one character long, so no more than ``chars`` rows are looked at, and of each no
+    more than what is left when every row before it has one character.
     """
     names = [c for c in df.columns if c != ROW_ID]
-    ordered, order = with_row_order(df, order_by)
-    first = ordered.withColumn("_order", order).orderBy("_order").limit(chars + 1)
+    first = _first_rows(df, chars + 1, order_by)
     body = F.struct(*[quoted(c) for c in names])
     if fmt == "csv":
         line = F.to_csv(body, {"quote": '"', "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss"})

@@ -1,23 +1,21 @@
 """Exact quantiles of many columns without moving the data.
 
-Small tables use one exact ``percentile`` aggregate. On larger ones a bounded sketch proposes two
-edges around every wanted rank, a counting pass tells on which side the rank lies, and this repeats
-until few rows are left between the edges. Only aggregates of bounded size are shuffled, whatever
-the number of rows: three scans up to about 10^8 rows, two more for every further factor of 2500.
+A bounded sketch proposes two edges around every wanted rank, a counting pass tells on which side the
+rank lies, and this repeats until at most ``direct_rows`` values lie between the edges, which one exact
+aggregate then orders. A column of no more values needs no round at all. Only aggregates of
+bounded size are shuffled, whatever the number of rows: a scan for the counts, two for the first round
+and one to pick, up to about 10^7 rows; two more for every further factor of 2500.
 """
 
-from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from math import ceil, floor, inf, nextafter
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-# Rows that an exact aggregate may hold in one task.
-DIRECT_ROWS = 200_000
+# Values that an exact aggregate holds in one task.
+DIRECT_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
 MARGIN = 2 / SKETCH_ACCURACY
-# Tables of fewer rows may come from one file that one task reads, so their rows are spread first.
-SMALL_ROWS = 5_000_000
 
 
 @dataclass
@@ -55,22 +53,6 @@ def aggregate_row(df: DataFrame, aggregates: list[Column]) -> Row:
     return df.agg(*aggregates).first()
 
 
-@contextmanager
-def working_copy(df: DataFrame, n_rows: int):
-    """A small table spread over all cores and kept for several passes; a larger one as it is.
-
-    Larger tables are split by their files already and are scanned again by every pass.
-    """
-    if n_rows >= SMALL_ROWS:
-        yield df
-        return
-    copy = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
-    try:
-        yield copy
-    finally:
-        copy.unpersist()
-
-
 def values_at_ranks(
     df: DataFrame,
     values: dict[str, Column],
@@ -78,13 +60,12 @@ def values_at_ranks(
     counts: dict[str, int],
     conditions: list[Column] | None = None,
     direct_rows: int = DIRECT_ROWS,
-    copied: bool = False,
 ) -> tuple[dict[str, dict[int, float]], list[float | None]]:
     """The values at the given ranks (0-based, nulls left out) of each column.
 
     ``counts`` are the present values per column; they decide, before any values are gathered,
-    whether one exact aggregate is small enough. Also returns the share of rows that meet each
-    condition, from the first scan. ``copied`` tells that the table is a working copy already.
+    whether rounds are needed first. Also returns the share of rows that meet each condition, from
+    the first scan.
     """
     conditions = conditions or []
     wanted = {n: sorted(set(ranks[n])) for n in values if counts[n]}
@@ -104,11 +85,10 @@ def values_at_ranks(
         return {n: dict(zip(wanted[n], row[i])) for i, n in enumerate(wanted)}, list(row[len(picks) :])
 
     brackets = [_Bracket(keys[n], rank, counts[n]) for n in wanted for rank in wanted[n]]
-    with nullcontext(narrow) if copied else working_copy(narrow, largest) as rows:
-        # the shares come along with the first sketch
-        edges, found_shares = _sketch(rows, brackets, shares)
-        _settle(rows, brackets, edges, direct_rows)
-        picked = iter(_ordered_values(rows, brackets))
+    # the shares come along with the first sketch
+    edges, found_shares = _sketch(narrow, brackets, shares)
+    _settle(narrow, brackets, edges, direct_rows)
+    picked = iter(_ordered_values(narrow, brackets))
     return {n: {rank: next(picked) for rank in wanted[n]} for n in wanted}, found_shares
 
 

@@ -82,7 +82,7 @@ def possible_receivers(spark, folder):
 
 POSSIBLE_RECEIVERS = _with("""
 , b as (select owner_id, object_id from shares where object_type = 'visualisation' group by all order by count(*) desc, object_id limit 1)
-select id, name from users, b where id <> b.owner_id and id not in (
+select id, name, email from users, b where id <> b.owner_id and id not in (
     select s.target_id from shares s join b on s.owner_id = b.owner_id and s.object_id = b.object_id and s.object_type = 'visualisation')""")
 
 
@@ -95,14 +95,33 @@ select d.user_id as viewer_id, v.id, title, original_filename as dataset_name, {
 from visualisations v join datasets d on d.id = v.dataset_id""")
 
 
+def _hot_owner(cat):
+    """The owner of the dataset that has a third of all dashboards."""
+    return cat.datasets.where("id = 0").first()["user_id"]
+
+
 def gallery_page(spark, folder):
-    mine = c.visualisations_owned(catalog(spark, folder)).select("id", "title", _at("created_at"))
-    return c.page(mine, [F.desc("created_at"), F.desc("id")], 3)
+    """The third page of one user's dashboards."""
+    cat = catalog(spark, folder)
+    mine = c.visualisations_owned(cat, _hot_owner(cat)).select("id", "title", "created_at")
+    return c.page(mine, [F.desc("created_at"), F.desc("id")], 3).withColumn("created_at", _at("created_at"))
 
 
 GALLERY_PAGE = _with(f"""
-select v.id, title, {CREATED} as created_at from visualisations v join datasets d on d.id = v.dataset_id
-order by 3 desc, 1 desc limit 6 offset 12""")
+select v.id, title, {AT.format('v.created_at')} as created_at from visualisations v join datasets d on d.id = v.dataset_id
+where user_id = (select user_id from datasets where id = 0) order by v.created_at desc, v.id desc limit 6 offset 12""")
+
+
+def gallery_next_page(spark, folder):
+    """The page after the twelve newest dashboards, by the last row shown instead of its number."""
+    cat = catalog(spark, folder)
+    mine = c.visualisations_owned(cat, _hot_owner(cat)).select("id", "title", "created_at")
+    first = c.page_after(mine, per_page=12).collect()
+    after = c.page_after(mine, (first[-1]["created_at"], first[-1]["id"]))
+    return after.withColumn("created_at", _at("created_at"))
+
+
+GALLERY_NEXT_PAGE = GALLERY_PAGE
 
 
 def gallery_size(spark, folder):
@@ -341,6 +360,7 @@ QUERIES = {
     "possible_receivers": possible_receivers,
     "own_dashboards": own_dashboards,
     "gallery_page": gallery_page,
+    "gallery_next_page": gallery_next_page,
     "gallery_size": gallery_size,
     "received_dashboards": received_dashboards,
     "dashboards_by_dataset": dashboards_by_dataset,
@@ -368,6 +388,7 @@ SQL = {
     "possible_receivers": POSSIBLE_RECEIVERS,
     "own_dashboards": OWN_DASHBOARDS,
     "gallery_page": GALLERY_PAGE,
+    "gallery_next_page": GALLERY_NEXT_PAGE,
     "gallery_size": GALLERY_SIZE,
     "received_dashboards": RECEIVED_DASHBOARDS,
     "dashboards_by_dataset": DASHBOARDS_BY_DATASET,

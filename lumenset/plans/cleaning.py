@@ -249,7 +249,8 @@ select event_id, tenant, round(value, 6) as value, {_flag('event_id')}, {_flag('
 
 def flagged_events(spark, folder):
     """Events per type and outlier flag after filling the gaps."""
-    events = gappy_events(spark, folder).select("event_id", "value").join(read(spark, folder, "events").select("event_id", "event_type"), "event_id")
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value")
+    events = read(spark, folder, "events").select("event_id", value, "event_type")
     flagged = tag_outliers(impute_median(events, ["value"]), ["value"])
     return flagged.groupBy("event_type", "value_outlier").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 

@@ -178,7 +178,32 @@ ORDER_PROFILE = "with d as (select *, o_orderstatus = 'O' as is_open, 'clerk ' |
 
 def order_document(spark, folder):
     """The profile as one JSON document."""
-    return p.profile_json(_profiled_orders(spark, folder), "orders.csv", "csv", order_by="o_orderkey")
+    return p.profile_json(_profiled_orders(spark, folder), "orders.csv", "csv", order_by="o_orderkey", decimals=2)
+
+
+def _member(i, name, kind):
+    v = f"cast({name} as integer)" if kind == "bool" else name
+    fixed = lambda e: f"cast(cast(round({e}, 2) as decimal(38, 2)) as varchar)"
+    start = f"""'"{name}":{{"type":"{kind}","name":"{name}"'"""
+    if kind in ("int64", "float64", "bool"):
+        values = {"min": f"min({v})", "max": f"max({v})", "mean": f"avg({v})", "median": f"quantile_cont(cast({v} as double), 0.5)", "std": f"stddev_samp({v})"}
+        body = " || ".join(f"""',"{n}":' || {fixed(e)}""" for n, e in values.items())
+        return f"select {i} as position, {start} || {body} || '}}' as member from d"
+    if kind == "datetime":
+        return f"""select {i} as position, {start} || ',"min":"' || {_iso(f'min({name})')} || '","max":"' || {_iso(f'max({name})')} || '"}}' as member from d"""
+    count = f"(select count(distinct {name}) from d)"
+    top = f"""(select string_agg('"' || v || '":' || n, ',' order by n desc, v) from (select {name} as v, count(*) as n from d group by 1 order by n desc, v limit 5))"""
+    examples = f"""(select string_agg('"' || v || '"', ',' order by seen) from (select {name} as v, min(o_orderkey) as seen from d group by 1 order by seen limit 3))"""
+    shown = f"""case when {count} < 10 then '"top_values":{{' || {top} || '}}' else '"example_values":[' || {examples} || ']' end"""
+    return f"""select {i} as position, {start} || ',"unique_values":' || {count} || ',' || {shown} || '}}' as member"""
+
+
+ORDER_DOCUMENT = (
+    "with d as (select *, o_orderstatus = 'O' as is_open, 'clerk ' || o_custkey % 100 as clerk from orders), m as ("
+    + " union all ".join(_member(i, n, k) for i, (n, k) in enumerate(PROFILED.items()))
+    + """) select '{"original_filename":"orders.csv","file_type":"csv","n_rows":' || (select count(*) from d) || ',"n_columns":8,"column_info":{'
+       || string_agg(member, ',' order by position) || '}}' as document from m"""
+)
 
 
 # --- first rows -------------------------------------------------------------------------------
@@ -236,6 +261,7 @@ SQL = {
     "frequent_texts": FREQUENT_TEXTS,
     "first_texts": FIRST_TEXTS,
     "order_profile": ORDER_PROFILE,
+    "order_document": ORDER_DOCUMENT,
     "first_orders": FIRST_ORDERS,
     "orders_as_csv": ORDERS_AS_CSV,
     "orders_as_json": ORDERS_AS_JSON,

@@ -36,7 +36,7 @@ def over_quota_stream(spark, folder):
     for grain, limit in (("hour", PER_HOUR), ("day", PER_DAY)):
         events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
         sink = scratch_path(spark, f"quota-{grain}")
-        run_quota_stream(events, "user_id", "ts", grain, limit, sink, scratch_path(spark, "state")).awaitTermination()
+        run_quota_stream(events, "user_id", "ts", grain, limit, sink, scratch_path(spark, "state"), output_mode="complete").awaitTermination()
         parts.append(spark.read.parquet(sink))
     return _shown(reduce(lambda a, b: a.unionByName(b), parts))
 

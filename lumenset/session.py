@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions.kinds import quoted
+from .functions.kinds import ROW_ID, quoted
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,9 +33,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-ROW_ID = "_row_id"
-
-
 def with_row_order(df: DataFrame, order_by: str | list[str] | None) -> tuple[DataFrame, Column]:
     """The table and its sort key for row-order semantics; scan order if the caller names no column."""
     if order_by is None:

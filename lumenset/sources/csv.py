@@ -1,25 +1,119 @@
 """CSV with a header."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import csv
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.kinds import quoted
 from ..session import ROW_ID
 from .infer import cast_types, fit_types, missing_as_null
 
+FILE = "_file"
+BAD = "_bad_record"
+TOO_LONG = "a record has more fields than the header of its file"
+OPEN_QUOTE = "a quoted value goes on over a line break; read the file with multi_line"
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line; repeated and empty names are numbered."""
+    names, seen = [], {}
+    for place, name in enumerate(next(csv.reader([line.lstrip("﻿")]))):
+        name = name or f"Unnamed: {place}"
+        again = seen.get(name.lower(), 0)
+        seen[name.lower()] = again + 1
+        names.append(f"{name}.{again}" if again else name)
+    return names
+
+
+def file_headers(spark: SparkSession, path: str | list[str], **options) -> dict[str, list[str]]:
+    """Column names of every file by its path; one row per file comes to the driver, files without a line have none.
+
+    Only the first block of a file is looked at. A header must be one line.
+    """
+    lines = spark.read.options(**options).text(path)
+    where = F.col("_metadata.file_path")
+    lines = lines.select("value", where.alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter((F.col("at") == 0) & (F.length("value") > 0)).withColumn("id", F.monotonically_increasing_id())
+    found = lines.groupBy("file").agg(F.min_by("value", "id").alias("line")).collect()
+    for row in found:
+        if row["line"].count('"') % 2:
+            raise ValueError(f"the header of {unquote(row['file'])} goes on over a line break")
+    return {r["file"]: header_names(r["line"]) for r in sorted(found)}
+
+
+def _fields(record: Column) -> Column:
+    """Number of fields of a raw record."""
+    return F.regexp_count(F.regexp_replace(record, '"([^"]|"")*("|$)', ""), F.lit(",")) + 1
+
+
+def read_csv_fields(
+    spark: SparkSession, path: str | list[str], headers: dict[str, list[str]], multi_line: bool = True, **options
+) -> DataFrame:
+    """All columns of all files as text by their names, the file's path in ``_file``, and in ``_bad_record`` the
+    records that have more fields than the header of their file."""
+    lengths = {len(h) for h in headers.values()}
+    # the parser marks records whose number of fields is not the schema's: with headers of several lengths, all of them
+    fields = [f"c{i}" for i in range(max(lengths, default=0) + (len(lengths) > 1))]
+    reader = spark.read.options(**options).option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    raw = reader.schema(", ".join([*[f"{f} string" for f in fields], f"{BAD} string"])).csv(path)
+    raw = raw.select(*fields, BAD, F.col("_metadata.file_path").alias(FILE))
+    distinct = list(dict.fromkeys(map(tuple, headers.values())))
+    names = list({n.lower(): n for n in dict.fromkeys(n for header in distinct for n in header)}.values())
+    if len(distinct) > 1:
+        # one row per file
+        kinds = spark.createDataFrame([(f, distinct.index(tuple(h))) for f, h in headers.items()], "_of string, _kind int")
+        raw = raw.join(kinds, F.col(FILE) == F.col("_of"), "left").drop("_of")
+    else:
+        raw = raw.withColumn("_kind", F.lit(0))
+    kind = F.col("_kind")
+
+    def by_header(make) -> Column:
+        case = F.when(kind == 0, make(distinct[0]))
+        for number, header in enumerate(distinct[1:], 1):
+            case = case.when(kind == number, make(header))
+        return case
+
+    def value(name: str):
+        def of(header) -> Column:
+            place = next((i for i, n in enumerate(header) if n.lower() == name.lower()), None)
+            return missing_as_null(F.col(fields[place])) if place is not None else F.lit(None).cast("string")
+
+        return of
+
+    too_long = F.col(BAD).isNotNull() & (_fields(F.col(BAD)) > by_header(lambda header: F.lit(len(header))))
+    bad = F.when(too_long, F.col(BAD))
+    if not distinct:
+        return raw.select(FILE, BAD)
+    return raw.select(*[by_header(value(n)).alias(n) for n in names], F.col(FILE), bad.alias(BAD))
+
+
+def check_line_breaks(spark: SparkSession, path: str | list[str], **options) -> None:
+    """Raise if a line ends inside a quoted value: reading line by line would split that record."""
+    lines = spark.read.options(**options).text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not lines.filter(quotes % 2 == 1).isEmpty():
+        raise ValueError(OPEN_QUOTE)
+
 
-def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = False, columns: list[str] | None = None) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """All columns as text, missing tokens as null, ``_row_id`` in scan order.
 
-    Without ``multi_line`` a file is read by many tasks; set it only for values with line breaks.
+    Files are matched by the names in their headers, whatever the order; a column that a file lacks is null there. A
+    record with fewer fields than the header ends in nulls, one with more is an error when the rows are read.
+    Quoted values may hold line breaks; a file is then read by one task. With ``multi_line=False`` many tasks read a
+    file, after a pass that raises if a quoted value goes on over a line break.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    if columns:
-        reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
-    raw = reader.csv(path)
-    return raw.select(*[missing_as_null(quoted(c)).alias(c) for c in raw.columns], F.monotonically_increasing_id().alias(ROW_ID))
+    if not multi_line:
+        check_line_breaks(spark, path)
+    rows = read_csv_fields(spark, path, file_headers(spark, path), multi_line)
+    problem = F.raise_error(F.concat(F.lit(f"{TOO_LONG}: "), FILE)).cast("boolean")
+    whole = rows.filter(F.when(F.col(BAD).isNotNull(), problem).otherwise(True)).drop(BAD, FILE)
+    return whole.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def read_csv_table(spark: SparkSession, path: str | list[str], multi_line: bool = False, types: dict[str, str] | None = None) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str | list[str], multi_line: bool = True, types: dict[str, str] | None = None) -> DataFrame:
     """CSV with inferred types; with ``types`` given the inference pass is skipped."""
     text = read_csv_text(spark, path, multi_line)
     return cast_types(text, types or fit_types(text, [c for c in text.columns if c != ROW_ID]))

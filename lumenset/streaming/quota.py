@@ -35,13 +35,13 @@ def run_quota_stream(
     sink: str,
     checkpoint: str,
     watermark: str = "1 hour",
-    output_mode: str = "complete",
+    output_mode: str = "append",
 ) -> StreamingQuery:
     """Read what is there, then stop.
 
-    ``complete`` keeps all windows and rewrites ``sink`` with every result. ``append`` drops the
-    state of windows that the watermark has closed and adds each of them to ``sink`` once; windows
-    still open are withheld.
+    ``append`` drops the state of windows that the watermark has closed and adds each of them to ``sink``
+    once; windows still open are withheld. ``complete`` shows open windows too, but keeps the state of all
+    windows for ever and rewrites ``sink`` with every result.
     """
     found = over_quota(events, key, ts, grain, limit, watermark)
     writer = found.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

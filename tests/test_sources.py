@@ -38,14 +38,16 @@ def test_types_and_missing_tokens(spark, folder):
 
 def test_multi_line_values(spark, folder):
     path = put(folder, "m.csv", 'k,t\n1,"two\nlines"\n2,one\n')
-    assert [r.t for r in read_csv_table(spark, path, multi_line=True).collect()] == ["two\nlines", "one"]
+    assert [r.t for r in read_csv_table(spark, path).collect()] == ["two\nlines", "one"]
+    with pytest.raises(ValueError, match="line break"):
+        read_csv_table(spark, path, multi_line=False)
 
 
 def test_csv_to_cleaned_csv(spark, folder):
     path = put(folder, "d.csv", "date_col,value\n2023-01-01,100\n2023-02-15,200\n2023-03-30,300\n")
     cleaned = clean(read_csv_table(spark, path), ROW_ID)
     empty = spark.createDataFrame([], DATASET_SCHEMA)
-    cat = register_dataset(Catalog(empty, empty, empty, empty), cleaned.drop(ROW_ID + "_outlier"), Upload(1, "d.csv", folder + "/out", "csv"))
+    cat = register_dataset(Catalog(empty, empty, empty, empty), cleaned, Upload(1, "d.csv", folder + "/out", "csv"))
     row = cat.datasets.first()
     assert (row.id, row.n_rows, row.n_columns, row.file_type) == (1, 3, 4, "csv")
     again = read_csv_table(spark, folder + "/out")

@@ -30,13 +30,13 @@ def test_limits_are_exceeded_not_reached(spark):
 
 
 def test_complete_stream_equals_table(spark, sf_dir, folder):
-    run_quota_stream(stream(spark, sf_dir), "user_id", "ts", "day", 8, folder + "/out", folder + "/state").awaitTermination()
+    run_quota_stream(stream(spark, sf_dir), "user_id", "ts", "day", 8, folder + "/out", folder + "/state", output_mode="complete").awaitTermination()
     want = over_quota(read(spark, sf_dir, "events"), "user_id", "ts", "day", 8)
     assert rows(spark.read.parquet(folder + "/out")) == rows(want) != []
 
 
 def test_append_stream_gives_the_closed_windows(spark, sf_dir, folder):
-    query = run_quota_stream(stream(spark, sf_dir), "user_id", "ts", "hour", 0, folder + "/out", folder + "/state", output_mode="append")
+    query = run_quota_stream(stream(spark, sf_dir), "user_id", "ts", "hour", 0, folder + "/out", folder + "/state")
     query.awaitTermination()
     events = read(spark, sf_dir, "events")
     last = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
