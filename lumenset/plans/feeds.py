@@ -133,21 +133,30 @@ LINEITEM_CORRELATIONS = f"with d as (select *, cast(1 as double) as fixed from (
 
 def _doubtful(spark, folder):
     key = F.col("event_id")
+    first = read(spark, folder, "events").agg(F.min("event_id")).first()[0]
     return read(spark, folder, "events").select(
+        "event_id",
         "event_type",
         F.when(key % 7 != 0, F.floor("value")).alias("whole_value"),
         F.lit("web").alias("channel"),
         F.when(key % 10 == 3, "soon").otherwise(text("dd.MM.yyyy", "ts")).alias("day"),
+        # names of which the first is a date, and dates of which the first is none
+        F.when(key == first, "2024-01-05").otherwise(F.concat(F.lit("name of "), "event_type")).alias("name"),
+        F.when((key == first) | (key % 4 == 1), "later").otherwise(text("yyyy-MM-dd", "ts")).alias("due"),
     )
 
 
 DOUBTFUL = """
-    select event_type, case when event_id % 7 = 0 then null else cast(floor(value) as bigint) end as whole_value, 'web' as channel,
-           case when event_id % 10 = 3 then 'soon' else strftime(ts, '%d.%m.%Y') end as day from events"""
+    select event_id, event_type, case when event_id % 7 = 0 then null else cast(floor(value) as bigint) end as whole_value, 'web' as channel,
+           case when event_id % 10 = 3 then 'soon' else strftime(ts, '%d.%m.%Y') end as day,
+           case when event_id = (select min(event_id) from events) then '2024-01-05' else 'name of ' || event_type end as name,
+           case when event_id = (select min(event_id) from events) or event_id % 4 = 1 then 'later' else strftime(ts, '%Y-%m-%d') end as due
+    from events"""
 
 
 def quality_issues(spark, folder):
-    report = quality_report(_doubtful(spark, folder), order_by="day")
+    judged = ["event_type", "whole_value", "channel", "day", "name", "due"]
+    report = quality_report(_doubtful(spark, folder), order_by="event_id", columns=judged)
     return report.withColumn("affected_columns", F.array_join("affected_columns", ","))
 
 
@@ -155,13 +164,14 @@ QUALITY_ISSUES = f"""
 with d as ({DOUBTFUL}), n as (select count(*) as n from d),
      q as (select quantile_cont(whole_value, 0.25) as q1, quantile_cont(whole_value, 0.75) as q3 from d),
      o as (select count(*) as k from d, q where whole_value < q1 - 1.5 * (q3 - q1) or whole_value > q3 + 1.5 * (q3 - q1)),
-     g as (select count(*) - count(distinct (event_type, whole_value, channel, day)) as k from d)
+     g as (select count(*) - count(distinct (event_type, whole_value, channel, day, name, due)) as k from d)
 select 'missing values' as issue_type, (count(*) - count(whole_value)) || ' of ' || count(*) || ' values are missing' as description,
        'whole_value' as affected_columns from d having count(whole_value) < count(*)
 union all select 'constant column', 'all values are equal', 'channel'
 union all select 'outliers', k || ' of ' || n || ' values lie outside the interquartile fences', 'whole_value' from o, n where k > 0
 union all select 'unparsable dates', count(*) || ' of ' || (select n from n) || ' values do not match d.M.yyyy', 'day' from d where day = 'soon'
-union all select 'duplicate rows', k || ' of ' || n || ' rows repeat another row', 'event_type,whole_value,channel,day' from g, n where k > 0"""
+union all select 'unparsable dates', count(*) || ' of ' || (select n from n) || ' values are no dates', 'due' from d where due = 'later'
+union all select 'duplicate rows', k || ' of ' || n || ' rows repeat another row', 'event_type,whole_value,channel,day,name,due' from g, n where k > 0"""
 
 
 def repeated_texts(spark, folder):
