@@ -53,7 +53,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if len(full):
         begins = (np.cumsum(sizes) - sizes)[full]
         # a few thousand hashes at a time stay in the processor's cache
-        cuts = np.unique(np.searchsorted(begins, np.arange(0, len(hashes), 1 << 15)))
+        cuts = np.unique(np.searchsorted(begins, np.arange(0, begins[-1] + 1, 1 << 15)))
         for a, b in zip(cuts, [*cuts[1:], len(full)]):
             end = begins[b] if b < len(full) else len(hashes)
             part = hashes[begins[a] : end]
