@@ -24,7 +24,9 @@ BANDS = 32
 ROWS = 4
 HASHES = BANDS * ROWS
 BATCH = 16
-TILE = 512
+TILE = 1024
+# Bytes of shingle sets that a task keeps.
+SET_BYTES = 200 << 20
 MISS = 1e-6
 
 _random = np.random.default_rng(75)
@@ -162,23 +164,58 @@ def tested(pairs: DataFrame, reps: DataFrame, needed: dict[int, int], threshold:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long")
 
 
-def tiled(members: DataFrame, reps: DataFrame, needed: dict[int, int], threshold: int) -> DataFrame:
-    """Pairs of members (``bucket``, ``id``, ``component``, ``size`` of the bucket) of one bucket and different
-    components that pass the test. A large bucket is cut into blocks of about TILE members, and every two blocks meet in a task of their own.
+def first_shared_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first band in which two signatures are equal, for rows of signatures that share one."""
+    return (left == right).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+
+
+def is_close(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sets, as arrays of distinct hashes, have the similarity."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return len(both) > 0 and 100 * shared >= threshold * (len(both) - shared)
+
+
+class _Sets:
+    """Shingle sets of packed texts, made when asked for; a bounded number of bytes is kept."""
+
+    def __init__(self, blobs: pa.Array):
+        self.blobs, self.kept, self.size = blobs, {}, 0
+
+    def __getitem__(self, at: int) -> np.ndarray:
+        if at not in self.kept:
+            made, _ = shingle_sets([t or b"" for t in opened(self.blobs.slice(at, 1))])
+            if self.size + made.nbytes > SET_BYTES:
+                self.kept, self.size = {}, 0
+            self.kept[at] = made
+            self.size += made.nbytes
+        return self.kept[at]
+
+
+def tiled(members: DataFrame, reps: DataFrame, texts: DataFrame, needed: dict[int, int], threshold: int) -> DataFrame:
+    """Links between members (``bucket``, ``band``, ``id``, ``component``, ``size`` of the bucket) of one bucket and different components.
+
+    A large bucket is cut into blocks of about TILE members, and every two blocks meet in a task of their own. A pair
+    is looked at in the bucket of the first band it shares only. Sets come along with the members, so
+    pairs that pass the test are confirmed on the spot and no pair but a link leaves the task.
     """
     blocks = F.ceil(F.col("size") / TILE)
     block = F.pmod(F.xxhash64("id"), blocks)
-    signed = members.join(reps.select("id", "n", "sig"), "id").withColumn("block", block)
+    sets = reps.select("id", "n", "sig").join(texts.select(F.col("_id").alias("id"), "_blob"), "id")
+    wanted = members.select("id").distinct()
+    signed = members.join(sets.join(wanted, "id", "left_semi"), "id").withColumn("block", block)
     signed = signed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     signed = signed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     key = ["bucket", "lo", "hi"]
-    laid = signed.select(*key, "block", "id", "component", "n", "sig").repartition(*key).sortWithinPartitions(*key)
+    laid = signed.select(*key, "block", "band", "id", "component", "n", "sig", "_blob").repartition(*key).sortWithinPartitions(*key)
 
     def compare(table):
         keys = np.stack([table[c].to_numpy() for c in key])
-        block, ids, component, n = (table[c].to_numpy() for c in ("block", "id", "component", "n"))
+        block, band, ids, component, n = (table[c].to_numpy() for c in ("block", "band", "id", "component", "n"))
         lo, hi = keys[1], keys[2]
         matrix = _matrix(table["sig"].combine_chunks())
+        sets = _Sets(table["_blob"].combine_chunks())
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(ids)]):
             for first in range(a, b, 128):  # a strip of 128 members against the rest of the tile
@@ -188,8 +225,11 @@ def tiled(members: DataFrame, reps: DataFrame, needed: dict[int, int], threshold
                 apart &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * threshold
                 i, j = i[apart], j[apart]
                 at = survivors(matrix, matrix, i, j, needed)
-                x, y = ids[i[at]], ids[j[at]]
-                if len(at):
+                i, j = i[at], j[at]
+                here = first_shared_band(matrix[i], matrix[j]) == band[a]
+                links = [(ids[x], ids[y]) for x, y in zip(i[here], j[here]) if is_close(sets[x], sets[y], threshold)]
+                if links:
+                    x, y = np.array(links).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def stream(batches):
@@ -197,12 +237,11 @@ def tiled(members: DataFrame, reps: DataFrame, needed: dict[int, int], threshold
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
-            last = [held[c][-1].as_py() for c in key] if held.num_rows else None
-            if last is None:
+            if not held.num_rows:
                 continue
             same = np.ones(held.num_rows, dtype=bool)
-            for c, value in zip(key, last):
-                same &= held[c].to_numpy() == value
+            for c in key:
+                same &= held[c].to_numpy() == held[c][-1].as_py()
             cut = int(np.argmax(same))
             if cut:
                 yield from compare(held.slice(0, cut))
@@ -210,7 +249,7 @@ def tiled(members: DataFrame, reps: DataFrame, needed: dict[int, int], threshold
         if held is not None and held.num_rows:
             yield from compare(held)
 
-    return laid.mapInArrow(stream, "a long, b long")
+    return stored(laid.mapInArrow(stream, "a long, b long"), "tile-links")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -230,11 +269,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             sets = np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else []
             close = np.zeros(batch.num_rows, dtype=bool)
             for row in range(batch.num_rows):
-                x, y = sets[at[row]], sets[at[row + batch.num_rows]]
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                close[row] = len(both) > 0 and 100 * shared >= threshold * (len(both) - shared)
+                close[row] = is_close(sets[at[row]], sets[at[row + batch.num_rows]], threshold)
             going = pa.array(np.flatnonzero(close))
             yield pa.RecordBatch.from_arrays([batch["a"].take(going), batch["b"].take(going)], ["a", "b"])
 
@@ -281,9 +316,11 @@ def near_duplicate_groups(
                 keys = (keys << np.uint64(16)) | values[:, :, i]
             keys = mix(keys ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
             ids = np.repeat(batch["id"].to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(keys.ravel()), pa.int64()), pa.array(ids, pa.int64())], ["bucket", "id"])
+            numbers = np.tile(np.arange(BANDS, dtype=np.int32), len(values))
+            columns = [pa.array(as_long(keys.ravel()), pa.int64()), pa.array(numbers), pa.array(ids, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "band", "id"])
 
-    members = reps.select("id", "sig").mapInArrow(bands, "bucket long, id long")
+    members = reps.select("id", "sig").mapInArrow(bands, "bucket long, band int, id long")
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     members = stored(members.join(stored(hubs.select("bucket", "hub"), "hubs"), "bucket"), "members")
     texts = packed(rows.filter("_id is not null").select("_id", "_text"))
@@ -293,12 +330,12 @@ def near_duplicate_groups(
     spread = classed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("id", "a")
     links = links.unionByName(classed.join(spread, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct())
     labels = components(links)
-    labelled = members.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = members.select("bucket", "band", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled.distinct(), "labelled")
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     split = stored(split.filter("lo < hi").select("bucket", "size"), "split")
-    across = tiled(labelled.join(split, "bucket"), reps, needed, threshold)
-    labels = components(links.unionByName(confirmed(across, texts, threshold)))
+    across = tiled(stored(labelled.join(split, "bucket"), "open"), reps, texts, needed, threshold)
+    labels = components(links.unionByName(across))
     found = classed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("id", "n", F.coalesce("component", "rep").alias("component"))
     alone = signed.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
