@@ -8,7 +8,14 @@ from ..operators.quantiles import aggregate_row
 from ..session import ROW_ID
 
 KEY = "_key"
-BAD_JSON = "Invalid JSON structure. Expected a list or dictionary."
+BAD = "_bad_record"
+NOT_JSON = "the text is not JSON"
+NO_TABLE = "a document must be a list or an object"
+MIXED_LIST = "a list must hold objects only, or plain values only"
+# The column of a list of plain values.
+VALUES = "0"
+# Most fields that the objects of one table may have; a table of more columns can't be planned.
+MAX_FIELDS = 10_000
 
 # Columns converted to timestamps by their lower-case name.
 DATE_NAMES = ["modified", "date", "datetime"]
@@ -31,17 +38,25 @@ def read_json_records(
     convert_date_names: bool = False,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """One row per object: JSON lines by default, files that hold one list with ``multi_line``.
+    """One row per object: JSON lines by default, files that hold one list of objects with ``multi_line``.
 
-    Nested values stay as JSON text. With ``schema`` given the pass that infers it is skipped.
+    Nested values stay as JSON text, integer columns with gaps become doubles. Anything else than objects is an error, found
+    when the schema is inferred or the rows are read. With ``schema`` given the passes that infer types are skipped.
     """
-    reader = spark.read.option("multiLine", multi_line)
+    reader = spark.read.option("multiLine", multi_line).option("columnNameOfCorruptRecord", BAD)
     inferred = schema or reader.json(path).schema
-    if "_corrupt_record" in inferred.names:
-        raise ValueError(BAD_JSON)
+    if BAD in inferred.names:
+        raise ValueError(MIXED_LIST if multi_line else NOT_JSON)
     nested = (T.StructType, T.ArrayType, T.MapType)
     fields = [T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in inferred.fields]
-    out = reader.schema(T.StructType(fields)).json(path).withColumn(ROW_ID, F.monotonically_increasing_id())
+    read = reader.schema(T.StructType([*fields, T.StructField(BAD, T.StringType())])).json(path)
+    problem = F.raise_error(F.lit(MIXED_LIST if multi_line else NOT_JSON)).cast("boolean")
+    out = read.filter(F.when(F.col(BAD).isNotNull(), problem).otherwise(True)).drop(BAD)
+    integers = [f.name for f in fields if isinstance(f.dataType, T.LongType)]
+    if integers and schema is None:
+        gaps = aggregate_row(out, [F.count_if(quoted(c).isNull()) for c in integers])
+        out = out.withColumns({c: quoted(c).cast("double") for c, n in zip(integers, gaps) if n})
+    out = out.withColumn(ROW_ID, F.monotonically_increasing_id())
     return convert_named_dates(out) if convert_date_names else out
 
 
@@ -65,11 +80,25 @@ def _members(value: Column) -> Column:
     return value.try_cast("map<string,variant>")
 
 
+def _are_objects(items: Column) -> Column:
+    return F.forall(items, lambda x: _members(x).isNotNull())
+
+
+def document_problem(document: Column) -> Column:
+    """Why a variant document is no table, null if it is one."""
+    items = _list(document)
+    plain = F.forall(items, lambda x: _members(x).isNull() & _list(x).isNull())
+    mixed = items.isNotNull() & ~_are_objects(items) & ~plain
+    other = items.isNull() & _members(document).isNull()
+    return F.when(document.isNull(), NOT_JSON).when(mixed, MIXED_LIST).when(other, NO_TABLE)
+
+
 def document_rows(document: Column) -> Column:
     """Variant document to an array of (key, row).
 
-    A list gives its objects; a dictionary with list or dictionary values gives the objects found
-    there under their key, dropping everything else; a flat dictionary is one row.
+    A list of objects gives these, a list of plain values rows of one column; a dictionary with list or dictionary values gives
+    the objects found there under their key, dropping everything else; a flat dictionary is one row. Anything
+    else is an error (see document_problem).
     """
     keyed = lambda key: lambda x: F.struct(key.alias("key"), x.alias("row"))
     no_key = F.lit(None).cast("string")
@@ -86,11 +115,13 @@ def document_rows(document: Column) -> Column:
 
     entries = F.map_entries(_members(document))
     is_nested = F.exists(entries, lambda e: _list(e["value"]).isNotNull() | _members(e["value"]).isNotNull())
+    plain_row = lambda x: keyed(no_key)(F.to_variant_object(F.struct(x.alias(VALUES))))
     return (
-        F.when(_list(document).isNotNull(), F.transform(objects(_list(document)), keyed(no_key)))
+        F.when(document_problem(document).isNotNull(), F.raise_error(document_problem(document)).cast("array<struct<key:string,row:variant>>"))
+        .when(_list(document).isNotNull() & _are_objects(_list(document)), F.transform(_list(document), keyed(no_key)))
+        .when(_list(document).isNotNull(), F.transform(_list(document), plain_row))
         .when(is_nested, F.flatten(F.transform(entries, under_key)))
-        .when(_members(document).isNotNull(), F.array(keyed(no_key)(document)))
-        .otherwise(F.raise_error(F.lit(BAD_JSON)).cast("array<struct<key:string,row:variant>>"))
+        .otherwise(F.array(keyed(no_key)(document)))
     )
 
 
@@ -102,10 +133,12 @@ def _column_type(variant_type: str) -> str:
 
 
 def document_fields(rows: DataFrame) -> dict[str, str]:
-    """Column types of variant rows by field name; one row per distinct field comes back."""
+    """Column types of variant rows by field name; at most MAX_FIELDS rows come back."""
     fields = rows.select(F.explode(_members(F.col("row"))).alias("field", "value"))
-    found = fields.groupBy("field").agg(F.schema_of_variant_agg("value").alias("type")).orderBy("field").collect()
-    return {r["field"]: _column_type(r["type"]) for r in found}
+    found = fields.groupBy("field").agg(F.schema_of_variant_agg("value").alias("type")).limit(MAX_FIELDS + 1).collect()
+    if len(found) > MAX_FIELDS:
+        raise ValueError(f"the objects have more than {MAX_FIELDS} fields; are they keyed by an id?")
+    return {r["field"]: _column_type(r["type"]) for r in sorted(found)}
 
 
 def flatten_keyed_json(df: DataFrame, json_col: str, fields: dict[str, str] | None = None) -> DataFrame:

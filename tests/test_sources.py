@@ -76,6 +76,8 @@ def test_json_list_is_the_union_of_keys(spark, folder):
         ({"a": 1, "b": "z"}, [{"a": 1, "b": "z"}]),
         ([{"a": 1}, {"a": 2, "b": 3}], [{"a": 1, "b": None}, {"a": 2, "b": 3}]),
         ({"k": [{"_key": "old", "v": 1.5}]}, [{"v": 1.5, "_key": "k"}]),
+        ([1, 2, 3], [{"0": 1}, {"0": 2}, {"0": 3}]),
+        (["x", None], [{"0": "x"}, {"0": None}]),
     ],
 )
 def test_json_document_shapes(spark, folder, doc, want):
@@ -86,8 +88,35 @@ def test_json_document_shapes(spark, folder, doc, want):
 
 
 def test_other_json_is_an_error(spark, folder):
-    with pytest.raises(Exception, match="Invalid JSON structure"):
-        read_json_documents(spark, put(folder, "s.json", "5")).collect()
+    for name, text in (("s", "5"), ("t", '"text"'), ("m", '[{"a":1},2]'), ("n", "[[1],[2]]"), ("b", '{"a":')):
+        with pytest.raises(Exception):
+            read_json_documents(spark, put(folder, f"{name}.json", text)).collect()
+    with pytest.raises(Exception, match="objects only"):
+        read_json_records(spark, put(folder, "r.json", '[{"a":1},\n2]'), multi_line=True).collect()
+
+
+def test_integers_with_gaps_are_doubles(spark, folder):
+    path = put(folder, "g.json", '{"a":1,"b":1}\n{"a":null,"b":2}\n')
+    assert dict(read_json_records(spark, path).drop(ROW_ID).dtypes) == {"a": "double", "b": "bigint"}
+
+
+def test_csv_fields_are_not_lost(spark, folder):
+    def read(name, **files):
+        os.makedirs(f"{folder}/{name}")
+        for n, text in files.items():
+            put(f"{folder}/{name}", f"{n}.csv", text)
+        return read_csv_table(spark, f"{folder}/{name}").drop(ROW_ID)
+
+    swapped = read("swapped", a="a,b\n1,x\n", b="b,a\ny,2\n", c="b,c\nz,3\n", d="a,b,c\n")
+    assert sorted((r.a, r.b, r.c) for r in swapped.fillna(0).collect()) == [(0, "z", 3), (1, "x", 0), (2, "y", 0)]
+    assert read("short", a='k,t\n1\n2,"a,\n""b"""\n').collect() == [(1, None), (2, 'a,\n"b"')]
+    for i, text in enumerate(("k,t\n1,a,b\n", "k,t\n1,a\n2,a,\n", 'k,t\n"x,y",a,\n')):
+        with pytest.raises(Exception, match="more fields"):
+            read(f"long{i}", a=text, b="k,t\n1,2\n").collect()
+        with pytest.raises(Exception, match="more fields"):
+            read(f"mixed{i}", a=text, b="k,t,u\n1,2,3\n").collect()
+    assert read("names", a="a,A,,a\n1,2,3,4\n").columns == ["a", "A.1", "Unnamed: 2", "a.2"]
+    assert read("none", a="a,b\n").dtypes == [("a", "string"), ("b", "string")]
 
 
 def test_documents_in_a_column(spark):
