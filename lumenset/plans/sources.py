@@ -5,15 +5,20 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators.catalog import Catalog
+from ..operators.clean import fit_clean
 from ..operators.profile import schema_profile
 from ..session import ROW_ID, scratch_path
 from ..sources.csv import read_csv_table
 from ..sources.infer import fit_types, infer_types
-from ..sources.json import convert_named_dates, flatten_keyed_json, read_json_documents, read_json_records
-from ..sources.sinks import Upload, register_dataset, write_table
+from ..sources.json import convert_named_dates, document_problem, flatten_keyed_json, read_json_documents, read_json_records
+from ..sources.registry import Upload, add_existing, read_datasets
+from ..sources.sinks import register_dataset, take_upload, write_table
 from ..sources.uploads import check_uploads
-from .tables import catalog, read, text
+from .tables import CATALOG, catalog, read, text
+
+
+def _with(body):
+    return f"with {CATALOG} {body}"
 
 GAPPY_ORDERS = """
     select o_orderkey, case when o_orderkey % 7 = 0 then null else o_custkey end as o_custkey,
@@ -55,16 +60,54 @@ def json_orders(spark, folder):
     orders = gappy_orders(spark, folder)
     nested = F.struct(F.col("o_orderkey").alias("k"), F.array("is_open").alias("flags"))
     write_table(orders.withColumn("detail", nested), path, "json")
-    found = read_json_records(spark, path).drop(ROW_ID)
-    return found.withColumn("o_custkey", F.coalesce("o_custkey", F.lit(-1)))
+    return read_json_records(spark, path).drop(ROW_ID)
 
 
 JSON_ORDERS = f"""
-select * replace (coalesce(o_custkey, -1) as o_custkey),
+select * replace (cast(o_custkey as double) as o_custkey),
        '{{"k":' || o_orderkey || ',"flags":[' || case when is_open then 'true' else 'false' end || ']}}' as detail
 from ({GAPPY_ORDERS})"""
 
-TYPED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+def csv_multiline(spark, folder):
+    """Notes with line breaks, commas and quotes, written as CSV and read back."""
+    path = scratch_path(spark, "csv")
+    note = F.concat(F.lit("first, \n"), "o_orderpriority", F.lit('\n\n"last" line of '), "o_orderkey")
+    write_table(read(spark, folder, "orders").select("o_orderkey", note.alias("note"), "o_totalprice"), path, "csv")
+    return read_csv_table(spark, path).drop(ROW_ID)
+
+
+CSV_MULTILINE = """
+select o_orderkey, 'first, ' || chr(10) || o_orderpriority || chr(10) || chr(10) || '"last" line of ' || o_orderkey as note, o_totalprice from orders"""
+
+
+def csv_many_headers(spark, folder):
+    """One folder of files with other column orders, fewer columns and shorter records."""
+    path = scratch_path(spark, "csv")
+    orders = read(spark, folder, "orders")
+    for i, columns in enumerate((["o_orderkey", "o_custkey", "o_orderpriority"], ["o_orderpriority", "o_orderkey", "o_custkey"], ["o_custkey", "o_orderkey"])):
+        write_table(orders.filter(F.col("o_orderkey") % 3 == i).select(columns), path, "csv", "append")
+    return read_csv_table(spark, path).drop(ROW_ID)
+
+
+CSV_MANY_HEADERS = "select o_orderkey, o_custkey, case when o_orderkey % 3 < 2 then o_orderpriority end as o_orderpriority from orders"
+
+
+def json_mixed_list(spark, folder):
+    """Documents that are lists of plain values, one per order status; the list that also holds an object is refused."""
+    path = scratch_path(spark, "documents")
+    keys = F.to_json(F.sort_array(F.collect_list("o_orderkey")))
+    read(spark, folder, "orders").groupBy("o_orderstatus").agg(keys.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = read_json_documents(spark, path).drop(ROW_ID)
+    mixed = read(spark, folder, "region").agg(F.concat(F.lit("[1,"), F.max(F.to_json(F.struct("r_name"))), F.lit("]")).alias("value"))
+    why = mixed.select(document_problem(F.parse_json("value"))).first()[0]
+    return rows.agg(F.count("0").alias("n"), F.sum("0").alias("total")).withColumn("why", F.lit(why))
+
+
+JSON_MIXED_LIST = "select count(*) as n, cast(sum(o_orderkey) as bigint) as total, 'a list must hold objects only, or plain values only' as why from orders"
+
+TYPED = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations",
+]
 # what the values of each table look like once they are text
 SQL_TYPES = {"BIGINT": "bigint", "INTEGER": "bigint", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "string"}
 
@@ -77,6 +120,7 @@ def column_types(spark, folder):
     """Types found again after every column of every table was turned into text."""
     found = []
     for t in TYPED:
+        # numbers that a text column of the table holds throughout would be numbers after reading; none does
         table = _as_text(read(spark, folder, t)).withColumn("gaps", F.lit(None).cast("string"))
         found += [(t, c, kind) for c, kind in fit_types(table).items()]
     return spark.createDataFrame(found, "table_name string, column string, type string")
@@ -93,7 +137,7 @@ COLUMN_TYPES = " union all ".join(
 )
 
 
-DESCRIBED = ["customer", "part", "orders"]
+DESCRIBED = TYPED
 SQL_NAMES = {"BIGINT": "int64", "INTEGER": "int64", "DOUBLE": "float64", "VARCHAR": "object", "TIMESTAMP": "object"}
 
 
@@ -195,21 +239,54 @@ from events"""
 
 
 def registered_tables(spark, folder):
-    """Three tables written in the three formats and registered after the existing datasets."""
-    cat = catalog(spark, folder)
-    known = cat.datasets.groupBy().agg(F.max("id").alias("id"))
-    cat = Catalog(cat.users, known, cat.visualisations, cat.shares)
+    """The stored table of datasets after three cleaned tables, in three formats, were registered behind the existing ones."""
+    table = scratch_path(spark, "datasets")
+    add_existing(table, catalog(spark, folder).datasets)
     for t, fmt in (("customer", "csv"), ("part", "json"), ("lineitem", "parquet")):
-        upload = Upload(1, f"{t}.{fmt}", scratch_path(spark, t), fmt, is_public=fmt == "csv")
-        cat = register_dataset(cat, read(spark, folder, t), upload)
-    return cat.datasets.where("original_filename is not null").select("id", "original_filename", "file_type", "n_rows", "n_columns", "is_public")
+        rows = read(spark, folder, t)
+        cleaned = fit_clean(rows).transform(rows)
+        register_dataset(cleaned, table, Upload(1, f"{t}.{fmt}", scratch_path(spark, t), fmt, is_public=fmt == "csv"))
+    return read_datasets(spark, table).select("id", "original_filename", "file_type", "n_rows", "n_columns", "is_public")
 
 
-REGISTERED_TABLES = "with k as (select max(o_orderkey) as id from orders) " + " union all ".join(
-    f"select (select id from k) + {i} as id, '{t}.{fmt}' as original_filename, '{fmt}' as file_type, count(*) as n_rows, "
-    f"{n} as n_columns, {'true' if fmt == 'csv' else 'false'} as is_public from {t}"
-    for i, (t, fmt, n) in enumerate([("customer", "csv", 5), ("part", "json", 6), ("lineitem", "parquet", 11)], 1)
-)
+# every number adds a flag; no text column holds dates
+REGISTERED_TABLES = _with("""
+, k as (select max(id) as id from datasets)
+select id, original_filename, file_type, n_rows, n_columns, is_public from datasets
+union all """ + " union all ".join(
+    f"select (select id from k) + {i}, '{t}.{fmt}', '{fmt}', count(*), {n}, {'true' if fmt == 'csv' else 'false'} from {t}"
+    for i, (t, fmt, n) in enumerate([("customer", "csv", 5 + 3), ("part", "json", 6 + 3), ("lineitem", "parquet", 11 + 8)], 1)
+))
+
+
+def uploaded_orders(spark, folder):
+    """An uploaded CSV from its file to the cleaned file and the row of the dataset table."""
+    path, table, target = (scratch_path(spark, n) for n in ("upload", "datasets", "cleaned"))
+    write_table(gappy_orders(spark, folder).orderBy("o_orderkey"), path, "csv")
+    take_upload(spark, path, table, Upload(3, "orders.csv", target, "csv"))
+    known = read_datasets(spark, table).select("id", "user_id", "original_filename", "n_rows", "n_columns").first()
+    rows = read_csv_table(spark, target).drop(ROW_ID).withColumn("o_totalprice", F.round("o_totalprice", 6))
+    return rows.withColumns({c: F.lit(known[c]) for c in known.asDict()})
+
+
+def _flag(c):
+    return f"coalesce({c} < {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) or {c} > {c}_q3 + 1.5 * ({c}_q3 - {c}_q1), false) as {c}_outlier"
+
+
+def _quartiles(c):
+    return f"quantile_cont({c}, 0.25) as {c}_q1, quantile_cont({c}, 0.75) as {c}_q3"
+
+
+UPLOADED_ORDERS = f"""
+with d as (select * replace (cast(o_custkey as double) as o_custkey) from ({GAPPY_ORDERS})),
+     p as (select o_orderpriority as fill from d where o_orderpriority is not null group by 1 order by count(*) desc, 1 limit 1),
+     m as (select quantile_cont(o_custkey, 0.5) as c, quantile_cont(o_totalprice, 0.5) as t, count(*) as n_rows from d),
+     f as (select d.* replace (coalesce(o_custkey, m.c) as o_custkey, coalesce(o_totalprice, m.t) as o_totalprice, coalesce(o_orderpriority, p.fill) as o_orderpriority),
+                  n_rows from d, m, p),
+     q as (select {_quartiles('o_orderkey')}, {_quartiles('o_custkey')}, {_quartiles('o_totalprice')} from f)
+select f.* replace (round(o_totalprice, 6) as o_totalprice), {_flag('o_orderkey')}, {_flag('o_custkey')}, {_flag('o_totalprice')}, day as day_date,
+       1 as id, 3 as user_id, 'orders.csv' as original_filename, 11 as n_columns
+from f, q"""
 
 
 def checked_pages(spark, folder):
@@ -230,7 +307,10 @@ select page_id, name, length, ext, reason = '' as accepted, reason from r"""
 
 QUERIES = {
     "csv_orders": csv_orders,
+    "csv_multiline": csv_multiline,
+    "csv_many_headers": csv_many_headers,
     "json_orders": json_orders,
+    "json_mixed_list": json_mixed_list,
     "column_types": column_types,
     "described_tables": described_tables,
     "typed_orders": typed_orders,
@@ -238,12 +318,16 @@ QUERIES = {
     "document_files": document_files,
     "named_dates": named_dates,
     "registered_tables": registered_tables,
+    "uploaded_orders": uploaded_orders,
     "checked_pages": checked_pages,
 }
 
 SQL = {
     "csv_orders": CSV_ORDERS,
+    "csv_multiline": CSV_MULTILINE,
+    "csv_many_headers": CSV_MANY_HEADERS,
     "json_orders": JSON_ORDERS,
+    "json_mixed_list": JSON_MIXED_LIST,
     "column_types": COLUMN_TYPES,
     "described_tables": DESCRIBED_TABLES,
     "typed_orders": TYPED_ORDERS,
@@ -251,5 +335,6 @@ SQL = {
     "document_files": DOCUMENT_FILES,
     "named_dates": NAMED_DATES,
     "registered_tables": REGISTERED_TABLES,
+    "uploaded_orders": UPLOADED_ORDERS,
     "checked_pages": CHECKED_PAGES,
 }

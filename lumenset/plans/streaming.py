@@ -5,8 +5,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.sinks import write_table
-from ..streaming.ingest import FILE, ingest_stream
+from ..sources.csv import BAD, FILE, file_headers, read_csv_fields
+from ..sources.infer import cast_types
+from ..streaming.ingest import ID, ingest_stream
 from ..streaming.quota import quota_violations, run_quota_stream
 from .tables import read, text
 
@@ -41,24 +42,57 @@ def over_quota_stream(spark, folder):
     return _shown(reduce(lambda a, b: a.unionByName(b), parts))
 
 
-def ingested_orders(spark, folder):
-    """Orders dropped as one CSV file per status; each file is cleaned with its own statistics."""
-    drop, sink = scratch_path(spark, "drop"), scratch_path(spark, "sink")
+def _drop_orders(spark, folder, drop):
+    """Orders as one CSV file per status and year, columns in two orders, and one file of a header alone."""
     key = F.col("o_orderkey")
     orders = read(spark, folder, "orders").select(
-        "o_orderstatus",
-        F.concat(F.lit("s-"), "o_orderstatus").alias("label"),
+        F.concat("o_orderstatus", text("yyyy", "o_orderdate")).alias("part"),
+        F.concat(F.lit("s-"), "o_orderstatus", text("yyyy", "o_orderdate")).alias("label"),
         "o_orderkey",
         F.when(key % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"),
         F.when(key % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
         text("d MMM yyyy", "o_orderdate").alias("day"),
     )
-    orders.repartition("o_orderstatus").sortWithinPartitions("o_orderkey").write.partitionBy("o_orderstatus").option("header", True).csv(drop)
-    types = {"label": "string", "o_orderkey": "bigint", "o_totalprice": "double", "o_orderpriority": "string", "day": "string"}
-    ingest_stream(spark, drop, sink, types, scratch_path(spark, "state"), "o_orderkey", "*.csv").awaitTermination()
-    files = spark.read.parquet(f"{sink}/datasets").select(FILE, "n_rows", "n_columns")
-    rows = spark.read.parquet(f"{sink}/rows").drop("batch", "label_date", "o_orderpriority_date")
-    return rows.join(files, FILE).drop(FILE).withColumn("o_totalprice", F.round("o_totalprice", 6))
+    swapped = orders.select("part", "day", "o_orderpriority", "label", "o_totalprice", "o_orderkey")
+    for name, rows in (("open", orders.filter("part like 'O%'")), ("other", swapped.filter("part not like 'O%'"))):
+        sorted_rows = rows.repartition("part").sortWithinPartitions("part", "o_orderkey")
+        sorted_rows.write.partitionBy("part").option("header", True).csv(f"{drop}/{name}")
+    orders.drop("part").limit(0).write.option("header", True).csv(f"{drop}/empty")
+
+
+def ingested_orders(spark, folder):
+    """The cleaned rows of dropped CSV files, each cleaned with its own statistics, and what was registered of its file."""
+    drop, sink = scratch_path(spark, "drop"), scratch_path(spark, "sink")
+    _drop_orders(spark, folder, drop)
+    ingest_stream(spark, drop, sink, scratch_path(spark, "state"), user_id=1, pattern="*.csv").awaitTermination()
+    known = spark.read.parquet(f"{sink}/datasets").filter("n_rows > 0").select("id", "n_rows", "n_columns")
+    written = f"{sink}/rows/batch=*/table=*/{ID}=*"
+    rows = read_csv_fields(spark, written, file_headers(spark, written))
+    rows = rows.withColumn("id", F.regexp_extract(FILE, f"{ID}=(\\d+)", 1).cast("long")).drop(FILE, BAD)
+    kinds = {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderkey_outlier": "boolean", "o_totalprice_outlier": "boolean"}
+    out = cast_types(rows, kinds).join(known, "id").drop("id")
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
+
+
+def ingested_mixed(spark, folder):
+    """What is registered and what is refused of a drop folder of CSV files and JSON documents, one file being unreadable."""
+    drop, sink = scratch_path(spark, "drop"), scratch_path(spark, "sink")
+    _drop_orders(spark, folder, drop)
+    customers = read(spark, folder, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey", "c_acctbal", "c_mktsegment")).alias("customers"))
+    customers.select("customers").write.option("maxRecordsPerFile", 1).json(f"{drop}/json")
+    # a record longer than its header
+    spark.createDataFrame([("1,2",)], "a string").coalesce(1).write.option("header", True).option("sep", "|").csv(f"{drop}/bad")
+    ingest_stream(spark, drop, sink, scratch_path(spark, "state"), user_id=1).awaitTermination()
+    known = spark.read.parquet(f"{sink}/datasets").groupBy("file_type", "n_columns").agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+    refused = spark.read.parquet(f"{sink}/rejected").groupBy(F.col("reason").alias("file_type")).agg(F.count("*").alias("n_files"))
+    return known.unionByName(refused.select("file_type", F.lit(0).alias("n_columns"), "n_files", F.lit(0).cast("long").alias("n_rows")))
+
+
+INGESTED_MIXED = """
+select 'csv' as file_type, 8 as n_columns, count(distinct (o_orderstatus, year(o_orderdate))) as n_files, count(*) as n_rows from orders
+union all select 'csv', 5, 1, 0
+union all select 'json', 6, count(distinct c_nationkey), count(*) from customer
+union all select 'a record has more fields than the header of its file', 0, 1, 0"""
 
 
 def _flag(c):
@@ -70,7 +104,7 @@ def _quartiles(c):
 
 
 INGESTED_ORDERS = f"""
-with d as (select 's-' || o_orderstatus as label, o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice,
+with d as (select 's-' || o_orderstatus || year(o_orderdate) as label, o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice,
                   case when o_orderkey % 5 = 0 then null else o_orderpriority end as o_orderpriority, o_orderdate from orders),
      c as (select label, o_orderpriority as fill, count(*) as n from d where o_orderpriority is not null group by all),
      m as (select label, fill from c qualify row_number() over (partition by label order by n desc, fill) = 1),
@@ -88,10 +122,12 @@ QUERIES = {
     "over_quota": over_quota,
     "over_quota_stream": over_quota_stream,
     "ingested_orders": ingested_orders,
+    "ingested_mixed": ingested_mixed,
 }
 
 SQL = {
     "over_quota": OVER_QUOTA,
     "over_quota_stream": OVER_QUOTA,
     "ingested_orders": INGESTED_ORDERS,
+    "ingested_mixed": INGESTED_MIXED,
 }

@@ -12,6 +12,7 @@ from .infer import cast_types, fit_types, missing_as_null
 FILE = "_file"
 BAD = "_bad_record"
 TOO_LONG = "a record has more fields than the header of its file"
+OPEN_HEADER = "the header goes on over a line break"
 OPEN_QUOTE = "a quoted value goes on over a line break; read the file with multi_line"
 
 
@@ -26,20 +27,28 @@ def header_names(line: str) -> list[str]:
     return names
 
 
-def file_headers(spark: SparkSession, path: str | list[str], **options) -> dict[str, list[str]]:
+def file_headers(spark: SparkSession, path: str | list[str], problems: dict[str, str] | None = None) -> dict[str, list[str]]:
     """Column names of every file by its path; one row per file comes to the driver, files without a line have none.
 
-    Only the first block of a file is looked at. A header must be one line.
+    Only the first block of a file is looked at. A header must be one line; a file whose header is not is an error, or goes to
+    ``problems`` with the reason.
     """
-    lines = spark.read.options(**options).text(path)
+    lines = spark.read.text(path)
     where = F.col("_metadata.file_path")
     lines = lines.select("value", where.alias("file"), F.col("_metadata.file_block_start").alias("at"))
     lines = lines.filter((F.col("at") == 0) & (F.length("value") > 0)).withColumn("id", F.monotonically_increasing_id())
     found = lines.groupBy("file").agg(F.min_by("value", "id").alias("line")).collect()
-    for row in found:
-        if row["line"].count('"') % 2:
-            raise ValueError(f"the header of {unquote(row['file'])} goes on over a line break")
-    return {r["file"]: header_names(r["line"]) for r in sorted(found)}
+    broken = [r["file"] for r in found if r["line"].count('"') % 2]
+    if broken and problems is None:
+        raise ValueError(f"{OPEN_HEADER}: {unquote(broken[0])}")
+    if problems is not None:
+        problems.update(dict.fromkeys(broken, OPEN_HEADER))
+    return {r["file"]: header_names(r["line"]) for r in sorted(found) if r["file"] not in broken}
+
+
+def refers_to(value: Column) -> Column:
+    """Always true. The readers refuse a query that needs nothing but the record that could not be read, so it names a value too."""
+    return F.coalesce(F.length(value.cast("string")) >= 0, F.lit(True))
 
 
 def _fields(record: Column) -> Column:
@@ -47,15 +56,13 @@ def _fields(record: Column) -> Column:
     return F.regexp_count(F.regexp_replace(record, '"([^"]|"")*("|$)', ""), F.lit(",")) + 1
 
 
-def read_csv_fields(
-    spark: SparkSession, path: str | list[str], headers: dict[str, list[str]], multi_line: bool = True, **options
-) -> DataFrame:
+def read_csv_fields(spark: SparkSession, path: str | list[str], headers: dict[str, list[str]], multi_line: bool = True) -> DataFrame:
     """All columns of all files as text by their names, the file's path in ``_file``, and in ``_bad_record`` the
     records that have more fields than the header of their file."""
     lengths = {len(h) for h in headers.values()}
     # the parser marks records whose number of fields is not the schema's: with headers of several lengths, all of them
     fields = [f"c{i}" for i in range(max(lengths, default=0) + (len(lengths) > 1))]
-    reader = spark.read.options(**options).option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
     raw = reader.schema(", ".join([*[f"{f} string" for f in fields], f"{BAD} string"])).csv(path)
     raw = raw.select(*fields, BAD, F.col("_metadata.file_path").alias(FILE))
@@ -82,16 +89,16 @@ def read_csv_fields(
 
         return of
 
-    too_long = F.col(BAD).isNotNull() & (_fields(F.col(BAD)) > by_header(lambda header: F.lit(len(header))))
-    bad = F.when(too_long, F.col(BAD))
     if not distinct:
         return raw.select(FILE, BAD)
+    too_long = F.col(BAD).isNotNull() & (_fields(F.col(BAD)) > by_header(lambda header: F.lit(len(header)))) & refers_to(F.col(fields[0]))
+    bad = F.when(too_long, F.col(BAD))
     return raw.select(*[by_header(value(n)).alias(n) for n in names], F.col(FILE), bad.alias(BAD))
 
 
-def check_line_breaks(spark: SparkSession, path: str | list[str], **options) -> None:
+def check_line_breaks(spark: SparkSession, path: str | list[str]) -> None:
     """Raise if a line ends inside a quoted value: reading line by line would split that record."""
-    lines = spark.read.options(**options).text(path)
+    lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     if not lines.filter(quotes % 2 == 1).isEmpty():
         raise ValueError(OPEN_QUOTE)

@@ -42,8 +42,12 @@ KINDS = ["bigint", "double", "boolean", "string"]
 
 
 def _kind(text: Column) -> Column:
-    """Place in :data:`KINDS` of the narrowest type of one value, null for a missing value."""
-    place = F.when(text.isNull(), None)
+    """Place in :data:`KINDS` of the narrowest type of one value, null for a missing value.
+
+    Most texts are told by their first character, before any pattern is tried.
+    """
+    word = ~F.substring(F.ltrim(text), 1, 1).rlike("[-+.0-9iItTfF\\s]")
+    place = F.when(text.isNull(), None).when(word, F.lit(len(KINDS) - 1))
     for i, kind in enumerate(KINDS[:-1]):
         place = place.when(CASTS[kind](text).isNotNull(), F.lit(i))
     return place.otherwise(F.lit(len(KINDS) - 1))
@@ -52,9 +56,22 @@ def _kind(text: Column) -> Column:
 def fit_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Narrowest type per text column that holds all its values; one aggregate for all columns."""
     columns = columns_of(df, STRING) if columns is None else columns
-    kinds = df.select([_kind(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns)])
-    tests = [t for k in kinds.columns for t in (F.count(k), F.min(k), F.max(k))]
-    row = aggregate_row(kinds, [F.count(F.lit(1)), *tests])
+    kinds, tests = _tests(df, columns)
+    return _types(columns, aggregate_row(kinds, tests))
+
+
+def fit_types_by(df: DataFrame, key: str, columns: list[str]) -> dict[str, dict[str, str]]:
+    """:func:`fit_types` for every value of a key column, such as the file of a row; one row per value comes back."""
+    kinds, tests = _tests(df, columns, quoted(key).alias("_of"))
+    return {r["_of"]: _types(columns, r[1:]) for r in kinds.groupBy("_of").agg(*tests).collect()}
+
+
+def _tests(df: DataFrame, columns: list[str], *carried: Column) -> tuple[DataFrame, list[Column]]:
+    kinds = df.select(*carried, *[_kind(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns)])
+    return kinds, [F.count(F.lit(1)), *[t for i in range(len(columns)) for t in (F.count(f"k{i}"), F.min(f"k{i}"), F.max(f"k{i}"))]]
+
+
+def _types(columns: list[str], row) -> dict[str, str]:
     types = {}
     for i, c in enumerate(columns):
         present, low, high = row[1 + 3 * i : 4 + 3 * i]

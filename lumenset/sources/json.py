@@ -6,6 +6,7 @@ from ..functions.dates import parse_any
 from ..functions.kinds import NUMERIC, STRING, kind_of, quoted
 from ..operators.quantiles import aggregate_row
 from ..session import ROW_ID
+from .csv import refers_to
 
 KEY = "_key"
 BAD = "_bad_record"
@@ -51,7 +52,8 @@ def read_json_records(
     fields = [T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType) for f in inferred.fields]
     read = reader.schema(T.StructType([*fields, T.StructField(BAD, T.StringType())])).json(path)
     problem = F.raise_error(F.lit(MIXED_LIST if multi_line else NOT_JSON)).cast("boolean")
-    out = read.filter(F.when(F.col(BAD).isNotNull(), problem).otherwise(True)).drop(BAD)
+    fine = refers_to(quoted(fields[0].name)) if fields else F.lit(True)
+    out = read.filter(F.when(F.col(BAD).isNotNull() & fine, problem).otherwise(True)).drop(BAD)
     integers = [f.name for f in fields if isinstance(f.dataType, T.LongType)]
     if integers and schema is None:
         gaps = aggregate_row(out, [F.count_if(quoted(c).isNull()) for c in integers])
@@ -75,21 +77,21 @@ def _list(value: Column) -> Column:
     return value.try_cast("array<variant>")
 
 
-def _members(value: Column) -> Column:
+def members_of(value: Column) -> Column:
     """Members of a variant object, null for anything else."""
     return value.try_cast("map<string,variant>")
 
 
 def _are_objects(items: Column) -> Column:
-    return F.forall(items, lambda x: _members(x).isNotNull())
+    return F.forall(items, lambda x: members_of(x).isNotNull())
 
 
 def document_problem(document: Column) -> Column:
     """Why a variant document is no table, null if it is one."""
     items = _list(document)
-    plain = F.forall(items, lambda x: _members(x).isNull() & _list(x).isNull())
+    plain = F.forall(items, lambda x: members_of(x).isNull() & _list(x).isNull())
     mixed = items.isNotNull() & ~_are_objects(items) & ~plain
-    other = items.isNull() & _members(document).isNull()
+    other = items.isNull() & members_of(document).isNull()
     return F.when(document.isNull(), NOT_JSON).when(mixed, MIXED_LIST).when(other, NO_TABLE)
 
 
@@ -103,18 +105,18 @@ def document_rows(document: Column) -> Column:
     keyed = lambda key: lambda x: F.struct(key.alias("key"), x.alias("row"))
     no_key = F.lit(None).cast("string")
     none = F.array().cast("array<struct<key:string,row:variant>>")
-    objects = lambda items: F.filter(items, lambda x: _members(x).isNotNull())
+    objects = lambda items: F.filter(items, lambda x: members_of(x).isNotNull())
 
     def under_key(entry: Column) -> Column:
         key, value = entry["key"], entry["value"]
         return (
             F.when(_list(value).isNotNull(), F.transform(objects(_list(value)), keyed(key)))
-            .when(_members(value).isNotNull(), F.array(keyed(key)(value)))
+            .when(members_of(value).isNotNull(), F.array(keyed(key)(value)))
             .otherwise(none)
         )
 
-    entries = F.map_entries(_members(document))
-    is_nested = F.exists(entries, lambda e: _list(e["value"]).isNotNull() | _members(e["value"]).isNotNull())
+    entries = F.map_entries(members_of(document))
+    is_nested = F.exists(entries, lambda e: _list(e["value"]).isNotNull() | members_of(e["value"]).isNotNull())
     plain_row = lambda x: keyed(no_key)(F.to_variant_object(F.struct(x.alias(VALUES))))
     return (
         F.when(document_problem(document).isNotNull(), F.raise_error(document_problem(document)).cast("array<struct<key:string,row:variant>>"))
@@ -125,7 +127,7 @@ def document_rows(document: Column) -> Column:
     )
 
 
-def _column_type(variant_type: str) -> str:
+def column_type(variant_type: str) -> str:
     base = variant_type.split("(")[0].split("<")[0]
     if base in ("BIGINT", "BOOLEAN"):
         return base.lower()
@@ -134,24 +136,26 @@ def _column_type(variant_type: str) -> str:
 
 def document_fields(rows: DataFrame) -> dict[str, str]:
     """Column types of variant rows by field name; at most MAX_FIELDS rows come back."""
-    fields = rows.select(F.explode(_members(F.col("row"))).alias("field", "value"))
+    fields = rows.select(F.explode(members_of(F.col("row"))).alias("field", "value"))
     found = fields.groupBy("field").agg(F.schema_of_variant_agg("value").alias("type")).limit(MAX_FIELDS + 1).collect()
     if len(found) > MAX_FIELDS:
         raise ValueError(f"the objects have more than {MAX_FIELDS} fields; are they keyed by an id?")
-    return {r["field"]: _column_type(r["type"]) for r in sorted(found)}
+    return {r["field"]: column_type(r["type"]) for r in sorted(found)}
 
 
 def flatten_keyed_json(df: DataFrame, json_col: str, fields: dict[str, str] | None = None) -> DataFrame:
     """One row per object found in the documents of ``json_col``; the other columns are repeated.
 
     Rows from a keyed document carry their key in ``_key``, which replaces a field of that name.
-    With ``fields`` (name to type) given, the pass that finds them is skipped.
+    With ``fields`` (name to type) given, the pass that finds them is skipped; with none, the objects stay whole in ``_row``.
     """
     carried = [quoted(c) for c in df.columns if c != json_col]
     listed = document_rows(F.parse_json(quoted(json_col)))
     rows = df.select(*carried, F.explode(listed).alias("_item")).select(*carried, F.col("_item.key").alias("_found"), F.col("_item.row").alias("row"))
+    if fields == {}:
+        return rows.select(*carried, F.col("_found").alias(KEY), F.col("row").alias("_row"))
     fields = document_fields(rows) if fields is None else fields
-    as_map = _members(F.col("row"))
+    as_map = members_of(F.col("row"))
     value = lambda name, kind: F.try_element_at(as_map, F.lit(name)).try_cast(kind)
     key = F.coalesce("_found", value(KEY, "string")) if KEY in fields else F.col("_found")
     return rows.select(*carried, *[value(n, t).alias(n) for n, t in fields.items() if n != KEY], key.alias(KEY))

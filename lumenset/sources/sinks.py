@@ -1,22 +1,25 @@
 """Write cleaned tables and register them."""
 
 import uuid
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.catalog import DATASET_SCHEMA, Catalog
+from ..operators.clean import clean
 from ..session import ROW_ID
+from .csv import read_csv_table
+from .json import read_json_documents
+from .registry import Upload, append_dataset
 
 FORMATS = ["csv", "json", "parquet"]
 
 
-def write_table(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> None:
+def write_table(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", partition_by: str | None = None) -> None:
     """CSV with header and without index, JSON lines with null fields, or parquet."""
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported file type: {fmt}")
-    out = df.drop(ROW_ID)
-    writer = out.write.mode(mode)
+    writer = df.drop(ROW_ID).write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
@@ -25,26 +28,26 @@ def write_table(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists")
         writer.parquet(path)
 
 
-@dataclass(frozen=True)
-class Upload:
-    """What is known of a dataset besides its rows."""
-
-    user_id: int
-    original_filename: str
-    file_path: str
-    file_type: str
-    is_public: bool = False
+def register_dataset(df: DataFrame, table: str, upload: Upload) -> int:
+    """Write a cleaned table in the upload's format and append its row to the stored ``table`` of datasets; returns the id.
 
-
-def register_dataset(catalog: Catalog, df: DataFrame, upload: Upload) -> Catalog:
-    """Write the cleaned table and add its row to the catalog; rows are counted during the write."""
-    spark = df.sparkSession
+    Rows are counted during the write.
+    """
     counted = Observation(f"rows-{uuid.uuid4().hex}")
     out = df.drop(ROW_ID)
     write_table(out.observe(counted, F.count(F.lit(1)).alias("n")), upload.file_path, upload.file_type)
-    top = catalog.datasets.agg(F.max("id")).first()[0] or 0
-    row = spark.createDataFrame(
-        [(top + 1, upload.user_id, upload.file_path.rsplit("/", 1)[-1], upload.original_filename, upload.file_path, upload.file_type, counted.get["n"], len(out.columns), upload.is_public)],
-        DATASET_SCHEMA.rsplit(",", 1)[0],
-    ).withColumn("uploaded_at", F.current_timestamp())
-    return catalog.replace(datasets=catalog.datasets.unionByName(row, allowMissingColumns=True))
+    return append_dataset(df.sparkSession, table, upload, counted.get["n"], len(out.columns))
+
+
+def take_upload(spark: SparkSession, path: str, table: str, upload: Upload) -> int:
+    """Read an uploaded CSV or JSON file, clean it, write it to ``upload.file_path`` in its own format and register it.
+
+    The registered counts are those of the cleaned table. Returns the dataset's id.
+    """
+    if upload.file_type == "csv":
+        raw = read_csv_table(spark, path)
+    elif upload.file_type == "json":
+        raw = read_json_documents(spark, path)
+    else:
+        raise ValueError(f"Unsupported file type: {upload.file_type}")
+    return register_dataset(clean(raw, ROW_ID), table, upload)

@@ -5,13 +5,13 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from lumenset.operators.catalog import DATASET_SCHEMA, Catalog
 from lumenset.operators.clean import clean
 from lumenset.session import ROW_ID
 from lumenset.sources.csv import read_csv_table
 from lumenset.sources.infer import fit_types
 from lumenset.sources.json import convert_named_dates, flatten_keyed_json, read_json_documents, read_json_records
-from lumenset.sources.sinks import Upload, register_dataset, write_table
+from lumenset.sources.registry import Upload, add_existing, append_dataset, read_datasets
+from lumenset.sources.sinks import register_dataset, take_upload, write_table
 from lumenset.sources.uploads import check_uploads, upload_manifest
 
 
@@ -46,14 +46,27 @@ def test_multi_line_values(spark, folder):
 def test_csv_to_cleaned_csv(spark, folder):
     path = put(folder, "d.csv", "date_col,value\n2023-01-01,100\n2023-02-15,200\n2023-03-30,300\n")
     cleaned = clean(read_csv_table(spark, path), ROW_ID)
-    empty = spark.createDataFrame([], DATASET_SCHEMA)
-    cat = register_dataset(Catalog(empty, empty, empty, empty), cleaned, Upload(1, "d.csv", folder + "/out", "csv"))
-    row = cat.datasets.first()
-    assert (row.id, row.n_rows, row.n_columns, row.file_type) == (1, 3, 4, "csv")
+    table = folder + "/known"
+    assert register_dataset(cleaned, table, Upload(1, "d.csv", folder + "/out", "csv")) == 1
+    assert take_upload(spark, path, table, Upload(2, "d.csv", folder + "/again", "csv", True)) == 2
+    rows = read_datasets(spark, table).orderBy("id").collect()
+    assert [(r.id, r.n_rows, r.n_columns, r.file_type, r.is_public) for r in rows] == [(1, 3, 4, "csv", False), (2, 3, 4, "csv", True)]
     again = read_csv_table(spark, folder + "/out")
     assert "date_col_date" in again.columns and dict(again.dtypes)["value_outlier"] == "boolean"
 
 
+def test_ids_are_given_out_once(spark, folder):
+    table = folder + "/known"
+    add_existing(table, spark.createDataFrame([(41, "old.csv")], "id bigint, original_filename string"))
+    upload = Upload(1, "x.csv", "/nowhere/x", "csv")
+    assert append_dataset(spark, table, upload, 1, 1) == 42
+    # another writer has taken the next id but not written its row yet
+    os.makedirs(table + "/ids", exist_ok=True)
+    open(table + "/ids/43", "w").close()
+    assert append_dataset(spark, table, upload, 1, 1) == 44
+    assert sorted(r.id for r in read_datasets(spark, table).collect()) == [41, 42, 44]
+
+
 def test_json_lines_round_trip(spark, folder):
     df = spark.createDataFrame([(1, "a", None), (2, None, 2.5)], "i bigint, s string, d double")
     write_table(df, folder + "/j", "json")
@@ -116,6 +129,7 @@ def test_csv_fields_are_not_lost(spark, folder):
         with pytest.raises(Exception, match="more fields"):
             read(f"mixed{i}", a=text, b="k,t,u\n1,2,3\n").collect()
     assert read("names", a="a,A,,a\n1,2,3,4\n").columns == ["a", "A.1", "Unnamed: 2", "a.2"]
+    assert read("counted", a="a,b\n1,2\n").count() == 1
     assert read("none", a="a,b\n").dtypes == [("a", "string"), ("b", "string")]
 
 

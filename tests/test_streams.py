@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenset.plans.tables import read
-from lumenset.streaming.ingest import FILE, ingest_stream
+from lumenset.streaming.ingest import ingest_stream
 from lumenset.streaming.quota import over_quota, quota_violations, run_quota_stream
 
 
@@ -48,25 +48,48 @@ def test_files_are_cleaned_apart_and_taken_in_once(spark, folder):
     os.makedirs(folder + "/drop")
 
     def put(name, text):
-        with open(f"{folder}/drop/{name}", "w") as f:
-            f.write("id,amount,kind,day\n" + text)
+        with open(f"{folder}/drop/{name}", "w", newline="") as f:
+            f.write(text)
 
     def run():
-        types = {"id": "bigint", "amount": "double", "kind": "string", "day": "string"}
-        ingest_stream(spark, folder + "/drop", folder + "/sink", types, folder + "/state", "id").awaitTermination()
-        out = spark.read.parquet(folder + "/sink/rows")
-        name = F.substring_index(FILE, "/", -1)
-        return {(r.file, r.id): (r.amount, r.kind, r.day_date) for r in out.withColumn("file", name).collect()}
-
-    put("a.csv", "1,10,x,2024-01-01\n2,,x,2024-01-02\n3,20,NA,bad\n")
-    put("b.csv", "1,100,,05.02.2024\n2,NaN,q,06.02.2024\n")
-    want = {
-        ("a.csv", 1): (10.0, "x", "2024-01-01"), ("a.csv", 2): (15.0, "x", "2024-01-02"), ("a.csv", 3): (20.0, "x", None),
-        ("b.csv", 1): (100.0, "q", "2024-02-05"), ("b.csv", 2): (100.0, "q", "2024-02-06"),
+        ingest_stream(spark, folder + "/drop", folder + "/sink", folder + "/state", user_id=7, max_bytes=2000).awaitTermination()
+        known = spark.read.parquet(folder + "/sink/datasets").collect()
+        refused = {r.file.rsplit("/", 1)[-1]: r.reason for r in spark.read.parquet(folder + "/sink/rejected").collect()}
+        return {r.original_filename: r for r in known}, refused
+
+    def rows(dataset):
+        found = spark.read.option("header", True).csv(dataset.file_path) if dataset.file_type == "csv" else spark.read.json(dataset.file_path)
+        return [r.asDict() for r in found.orderBy(found.columns[0]).collect()]
+
+    header = "id,amount,kind,day\n"
+    put("a.csv", header + "1,10,x,2024-01-01\n2,,x,2024-01-02\n3,20,NA,bad\n")
+    put("b.csv", "amount,id,kind,day\n100,1,,05.02.2024\nNaN,2,q,06.02.2024\n")
+    put("header.csv", "id,amount\n")
+    put("long.csv", header + "1,2,3,4,5\n")
+    put("empty.csv", "\n")
+    put("huge.csv", header + "1,10,x,2024-01-01\n" * 200)
+    put("notes.txt", "x")
+    put("l.json", '[{"n":1,"t":"a"},{"n":null,"t":"a"},{"t":null,"n":4}]')
+    put("k.json", '{"east":[{"v":1.5},{"v":2.5}],"west":{"v":9}}')
+    put("bad.json", '{"a":')
+    put("mixed.json", '[{"a":1},2]')
+    known, refused = run()
+    assert {n: (r.n_rows, r.n_columns, r.file_type, r.user_id, r.is_public) for n, r in known.items()} == {
+        "a.csv": (3, 7, "csv", 7, False), "b.csv": (2, 7, "csv", 7, False), "header.csv": (0, 2, "csv", 7, False),
+        "l.json": (3, 3, "json", 7, False), "k.json": (3, 3, "json", 7, False),
     }
-    assert run() == want
-    assert run() == want
-    put("c.csv", "7,1,z,none\n")
-    assert run() == {**want, ("c.csv", 7): (1.0, "z", None)}
-    files = spark.read.parquet(folder + "/sink/datasets").select(F.substring_index(FILE, "/", -1), "n_rows", "n_columns").collect()
-    assert sorted(map(tuple, files)) == [("a.csv", 3, 7), ("b.csv", 2, 7), ("c.csv", 1, 6)]
+    assert set(refused) == {"long.csv", "empty.csv", "huge.csv", "notes.txt", "bad.json", "mixed.json"}
+    assert "more fields" in refused["long.csv"] and refused["huge.csv"] == "File too large" and "objects only" in refused["mixed.json"]
+    assert [(r["id"], r["amount"], r["kind"], r["day_date"]) for r in rows(known["a.csv"])] == [
+        ("1", "10.0", "x", "2024-01-01"), ("2", "15.0", "x", "2024-01-02"), ("3", "20.0", "x", None)
+    ]
+    assert sorted((r["id"], r["amount"], r["kind"], r["day_date"]) for r in rows(known["b.csv"])) == [
+        ("1", "100.0", "q", "2024-02-05"), ("2", "100.0", "q", "2024-02-06")
+    ]
+    assert sorted((r["n"], r["t"]) for r in rows(known["l.json"])) == [(1.0, "a"), (2.5, "a"), (4.0, "a")]
+    assert sorted((r["_key"], r["v"]) for r in rows(known["k.json"])) == [("east", 1.5), ("east", 2.5), ("west", 9.0)]
+    assert len({r.id for r in known.values()}) == 5
+    assert run() == (known, refused)
+    put("c.csv", header + "7,1,z,none\n")
+    later, _ = run()
+    assert (later["c.csv"].n_rows, later["c.csv"].n_columns) == (1, 6) and later["c.csv"].id > max(r.id for r in known.values())
