@@ -65,11 +65,11 @@ def assign(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([distances(vectors[a : a + 4096], centroids).argmin(axis=1) for a in range(0, len(vectors), 4096)])
 
 
-def adaptive_scan(queries: np.ndarray, candidates: np.ndarray, k: int):
-    """For each rotated query the places of candidates that may be among its k nearest, nearest ``k`` certainly seen.
+def adaptive_scan(queries: np.ndarray, candidates: np.ndarray, k: int, bounds: np.ndarray | None = None):
+    """For each rotated query the places of candidates that may be among its k nearest.
 
-    Candidates lie in blocks of COLUMNS columns. The k-th best distance starts from the first 4 k candidates and falls as
-    chunks are read. After d of D columns a candidate goes on if partial * D / d <= best * (1 + SIGNIFICANCE / sqrt(d)) ** 2.
+    Candidates lie in blocks of COLUMNS columns. The k-th best distance starts from ``bounds``, or from the first 4 k candidates, and
+    falls as chunks are read. After d of D columns a candidate goes on if partial * D / d <= best * (1 + SIGNIFICANCE / sqrt(d)) ** 2.
     """
     dims = candidates.shape[1]
     cuts = [*range(0, dims, COLUMNS), dims]
@@ -78,7 +78,7 @@ def adaptive_scan(queries: np.ndarray, candidates: np.ndarray, k: int):
     chunk = 1024
     for number, query in enumerate(queries):
         kept, found = [], []
-        best = np.inf
+        best = np.inf if bounds is None else bounds[number]
         for begin in [0, *range(4 * k, len(candidates), chunk)]:
             at = np.arange(begin, min(begin + chunk if begin else 4 * k, len(candidates)))
             partial = np.zeros(len(at))
@@ -97,8 +97,9 @@ def adaptive_scan(queries: np.ndarray, candidates: np.ndarray, k: int):
                 seen = np.concatenate(found)
                 if len(seen) > k:
                     best = np.partition(seen, k - 1)[k - 1]
-        at, seen = np.concatenate(kept), np.concatenate(found)
-        yield number, at[seen <= best * (1 + 1e-9) + 1e-12]
+        if kept:
+            at, seen = np.concatenate(kept), np.concatenate(found)
+            yield number, at[seen <= best * (1 + 1e-9) + 1e-12]
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -172,12 +173,15 @@ def nearest_neighbours(
                 order = np.argsort(distances(turned, centroids), axis=1, kind="stable")
                 held = np.cumsum(sizes[order], axis=1)
                 most = np.maximum(np.ceil(probes * lists), 1 + (held < k + 1).sum(axis=1)).astype(int)
-                of = np.repeat(np.arange(batch.num_rows), np.minimum(most, lists))
-                to = np.concatenate([o[: min(m, lists)] for o, m in zip(order, most)])
-                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(of)), pa.array(to, pa.int32())], ["key", "list"])
+                most = np.minimum(most, lists)
+                of = np.repeat(np.arange(batch.num_rows), most)
+                to = np.concatenate([o[:m] for o, m in zip(order, most)])
+                # the nearest lists that hold k + 1 vectors
+                first = np.concatenate([np.concatenate([[0], h[: m - 1]]) < k + 1 for h, m in zip(held, most)])
+                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(of)), pa.array(to, pa.int32()), pa.array(first)], ["key", "list", "first"])
 
     questions = stored(asked.dropDuplicates(["key"]).select("key", "v"), "questions")
-    probed = stored(questions.mapInArrow(to_probes, "key string, list int"), "probes")
+    probed = stored(questions.mapInArrow(to_probes, "key string, list int, first boolean"), "probes")
     asking = np.zeros(lists, dtype=np.int64)
     for r in probed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         asking[r["list"]] = r["count"]
@@ -188,20 +192,22 @@ def nearest_neighbours(
     def blocks(df: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""
         placed = df.join(plan, "list").withColumn(own_name, F.pmod(F.xxhash64("key"), F.col(own)).cast("int"))
-        return placed.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("list", "row_block", "query_block", "key", "v")
+        return placed.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("n_rows", "n_queries")
 
     left = blocks(listed, "n_rows", "n_queries", "row_block", "query_block")
-    right = blocks(probed.join(questions, "key"), "n_queries", "n_rows", "query_block", "row_block")
     cell = ["list", "row_block", "query_block"]
 
-    def scan(_, candidates, asked_here):
+    def scan(_, asked_here, candidates):
         if not candidates.num_rows or not asked_here.num_rows:
             return pa.table({"query": pa.array([], pa.string()), "key": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
         own, seeking = _matrix(candidates["v"], dims), _matrix(asked_here["v"], dims)
         turned = lengthened(own, longest) @ turn
         turned_queries = np.hstack([seeking, np.zeros((len(seeking), 1))]) @ turn
-        of, at, scores = [], [], []
-        for number, places in adaptive_scan(turned_queries, turned, k + 1):
+        # the score of the bound as a distance between lengthened vectors
+        scores_found = asked_here["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
+        bounds = (turned_queries**2).sum(axis=1) + longest**2 - 2 * scores_found
+        of, at, scores = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+        for number, places in adaptive_scan(turned_queries, turned, k + 1, np.where(np.isnan(bounds), np.inf, bounds)):
             of.append(np.full(len(places), number))
             at.append(places)
             scores.append((own[places] * seeking[number]).sum(axis=1))
@@ -209,11 +215,21 @@ def nearest_neighbours(
         keys = [asked_here["key"].combine_chunks().take(pa.array(of)), candidates["key"].combine_chunks().take(pa.array(at))]
         return pa.table({"query": keys[0], "key": keys[1], "score": np.concatenate(scores)})
 
-    found = right.groupBy(*cell).cogroup(left.groupBy(*cell))
-    found = found.applyInArrow(lambda key, q, c: scan(key, c, q), "query string, key string, score double")
+    def scanned(part: DataFrame) -> DataFrame:
+        right = blocks(part.join(questions, "key"), "n_queries", "n_rows", "query_block", "row_block")
+        return right.groupBy(*cell).cogroup(left.groupBy(*cell)).applyInArrow(scan, "query string, key string, score double")
+
     # k + 1 distinct vectors hold the k nearest ids; ties at the end are kept
     closest = Window.partitionBy("query").orderBy(F.desc("score"))
-    closest_vectors = stored(found.withColumn("at", F.rank().over(closest)).filter(F.col("at") <= k + 1).select("query", "key", "score"), "found")
+
+    def best_of(df: DataFrame) -> DataFrame:
+        return df.withColumn("at", F.rank().over(closest)).filter(F.col("at") <= k + 1).select("query", "key", "score")
+
+    # the nearest lists give every query a bound, so that the others return only what is better
+    near = stored(best_of(scanned(probed.filter("first").withColumn("bound", F.lit(None).cast("double")))), "near")
+    bounds = near.groupBy(F.col("query").alias("key")).agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("bound"))
+    far = scanned(probed.filter("not first").join(bounds, "key", "left"))
+    closest_vectors = stored(best_of(near.unionByName(far)), "found")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     per_vector = closest_vectors.join(members, "key").withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
     per_vector = stored(per_vector.select(F.col("query").alias("key"), F.col("id").alias("other"), "score"), "nearest")
