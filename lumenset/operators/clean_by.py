@@ -1,5 +1,6 @@
 """The cleaner fitted per group (file, tenant), all groups in one pass of shared jobs."""
 
+from dataclasses import replace
 from functools import reduce
 from math import ceil
 
@@ -9,22 +10,12 @@ from ..functions.dates import detect_format, iso_date, parse_as, parse_by
 from ..functions.kinds import BOOL, NUMERIC, STRING, columns_of, kind_of, number, quoted
 from ..session import cut_lineage, with_row_order
 from .impute import UNKNOWN
-from .joins import same_group_join, stats_join
+from .joins import BROADCAST_BYTES, SALT_ROWS, GroupSizes, group_sizes, hot_groups, same_group_join, stats_join
 from .outliers import REACH
 from .values import is_digest, key_of
 
-# Rows of one group that a single sorted window may hold; larger groups are ranked in pieces.
-GROUP_ROWS = 4_000_000
-MAX_PIECES = 20_000
-# Bytes of one group's statistics of one column, its fill text not counted.
-ROW_BYTES = 100
-
-
-def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int, int]:
-    """Number of groups, rows of the largest one and rows in all; counted before the shuffle."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    row = counted.agg(F.count("*"), F.max("n"), F.sum("n")).first()
-    return row[0], row[1] or 0, row[2] or 0
+# Rows of one group whose exact percentiles one task may hold; the numbers of larger groups are ranked in pieces.
+GROUP_ROWS = 200_000
 
 
 def rank_values(counts: DataFrame, group: list[str], in_pieces: int = 0) -> DataFrame:
@@ -67,8 +58,45 @@ def rank_values(counts: DataFrame, group: list[str], in_pieces: int = 0) -> Data
     return pieces.join(offsets, match).select(*counts.columns, below.alias("below"), "present", "missing")
 
 
-def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], in_pieces: int) -> DataFrame:
-    """(keys, column, median, q1, q3): median of the present values, quartiles after filling with it."""
+def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, group_rows: int, limits: dict) -> DataFrame:
+    """One row per group with a struct (median, q1, q3) per column: the median of the present values, quartiles after filling with it."""
+    if sizes.largest <= group_rows:
+        return _by_percentiles(df, keys, columns, sizes, limits)
+    hot = hot_groups(sizes, keys, group_rows, limits["broadcast_bytes"])
+    marked = df.join(F.broadcast(hot), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]), "left")
+    marked = marked.drop(*[f"_hot_{k}" for k in keys])
+    few = _by_percentiles(marked.where("_pieces is null"), keys, columns, sizes, limits)
+    large = marked.where("_pieces is not null")
+    values = sizes.counted.where(F.col("_n") > group_rows).agg(F.sum("_n")).first()[0] * len(columns)
+    ranked = _by_ranks(large, keys, columns, ceil(values / group_rows) + 8)
+    return few.unionByName(_per_key(ranked, keys, columns, ["median", "q1", "q3"]))
+
+
+def _by_percentiles(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, limits: dict) -> DataFrame:
+    """Numbers of a group meet in one aggregate, where equal ones are one entry; rows are not shuffled."""
+    names = {c: f"v{i}" for i, c in enumerate(columns)}
+    rows = df.select(*keys, *[number(df, c).alias(v) for c, v in names.items()])
+    found = [F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias(f"{v}_p") for v in names.values()]
+    gaps = [(F.count("*") - F.count(v)).alias(f"{v}_gaps") for v in names.values()]
+    # one row per group, stored: it tells which columns have gaps and fills them
+    stats = cut_lineage(rows.groupBy(*keys).agg(*found, *gaps))
+    most = stats.agg(*[F.max(f"{v}_gaps") for v in names.values()]).first()
+    gappy = [v for v, n in zip(names.values(), most) if n]
+    if gappy:
+        medians = stats.select(*keys, *[F.col(f"{v}_p")[1].alias(f"{v}_median") for v in gappy])
+        filled = stats_join(rows.select(*keys, *gappy), medians, keys, gappy, sizes.stats_bytes(len(gappy)), sizes, **limits)
+        ends = F.array(F.lit(0.25), F.lit(0.75))
+        again = filled.groupBy(*keys).agg(*[F.percentile(F.coalesce(v, f"{v}_median"), ends).alias(f"{v}_q") for v in gappy])
+        stats = same_group_join(stats, again, keys)
+    structs = []
+    for c, v in names.items():
+        ends = (F.col(f"{v}_q")[0], F.col(f"{v}_q")[1]) if v in gappy else (F.col(f"{v}_p")[0], F.col(f"{v}_p")[2])
+        structs.append(F.struct(F.col(f"{v}_p")[1].alias("median"), ends[0].alias("q1"), ends[1].alias("q3")).alias(f"_{c}_stats"))
+    return stats.select(*keys, *structs)
+
+
+def _by_ranks(df: DataFrame, keys: list[str], columns: list[str], in_pieces: int) -> DataFrame:
+    """(keys, column, median, q1, q3) of groups too large for one task."""
     long = df.select(*keys, *[number(df, c).alias(c) for c in columns]).unpivot(keys, [quoted(c) for c in columns], "column", "value")
     counts = long.groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
     ranked = rank_values(counts, [*keys, "column"], in_pieces)
@@ -98,7 +126,7 @@ def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], in_pieces
     return stats.select(*keys, "column", "median", "q1", "q3")
 
 
-def _text_stats(df: DataFrame, keys: list[str], columns: list[str], n_groups: int) -> DataFrame:
+def _text_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, limits: dict) -> DataFrame:
     """(keys, column, fill, pattern, share): mode, date pattern and share of parsable values.
 
     Everything comes from value counts, which also hold where each value was first seen. Long texts
@@ -107,7 +135,8 @@ def _text_stats(df: DataFrame, keys: list[str], columns: list[str], n_groups: in
     texts = [quoted(c).cast("string").alias(c) for c in columns]
     long = df.select(*keys, "_order", *texts).unpivot([*keys, "_order"], [quoted(c) for c in columns], "column", "value")
     group = [*keys, "column"]
-    counts = long.groupBy(*group, key_of(F.col("value")).alias("key")).agg(F.count("*").alias("n"), F.min("_order").alias("seen"))
+    # written once: the counts are used for the modes and again for the share of dates
+    counts = cut_lineage(long.groupBy(*group, key_of(F.col("value")).alias("key")).agg(F.count("*").alias("n"), F.min("_order").alias("seen")))
 
     has, digest = F.col("key").isNotNull(), is_digest(F.col("key"))
     short = F.min(F.when(has & ~digest, F.struct((-F.col("n")).alias("rank"), F.col("key"))))
@@ -131,8 +160,11 @@ def _text_stats(df: DataFrame, keys: list[str], columns: list[str], n_groups: in
 
     fits = lambda value: parse_by(F.col(value), F.col("pattern")).isNotNull()
     tested = plans.select(*group, "pattern", fits("fill").alias("fill_fits"))
-    n_bytes = n_groups * len(columns) * ROW_BYTES
-    judged = stats_join(counts.drop("seen"), tested, group, ["key"], n_bytes).withColumn(
+    tested = _per_key(tested, keys, columns, ["pattern", "fill_fits"])
+    joined = stats_join(counts.drop("seen"), tested, keys, ["column", "key"], sizes.stats_bytes(len(columns)), sizes, **limits)
+    of_column = lambda field: reduce(lambda case, c: case.when(F.col("column") == c, F.col(f"`_{c}_stats`.{field}")), columns, F.when(F.lit(False), None))
+    joined = joined.withColumns({"pattern": of_column("pattern"), "fill_fits": of_column("fill_fits")})
+    judged = joined.withColumn(
         "valid", F.when(F.when(F.col("key").isNull(), F.col("fill_fits")).otherwise(fits("key")), F.col("n")).otherwise(0)
     )
     shares = judged.groupBy(*group).agg((F.sum("valid") / F.sum("n")).alias("share"))
@@ -163,9 +195,14 @@ def clean_by(
     order_by: str | list[str] | None = None,
     date_columns: list[str] | None = None,
     group_rows: int = GROUP_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """Impute, flag outliers and add dates with statistics of each row's own group.
 
+    Groups of more than ``group_rows`` are ranked by many tasks, statistics of more than ``broadcast_bytes`` are joined by a
+    shuffle in which a group has ``salt_rows`` per task at most.
+
     The schema does not depend on the data: every text column (or those in ``date_columns``) gets
     a ``_date`` column, null throughout a group where half of the values or fewer are dates.
     """
@@ -181,32 +218,33 @@ def clean_by(
     ordered, order = with_row_order(df, order_by)
     base = ordered.withColumn("_order", order).withColumnsRenamed(inner)
     group = list(inner.values())
-    n_groups, largest, n_rows = group_sizes(base, group)
-    pieces = min(ceil(n_rows / group_rows) + 8, MAX_PIECES) if largest > group_rows else 0
     if not numbers and not texts:
         return df
+    sizes = group_sizes(base, group)
+    limits = {"broadcast_bytes": broadcast_bytes, "salt_rows": salt_rows}
     per_key = []
     if numbers:
-        stats = _numeric_stats(base, group, numbers, pieces)
-        per_key.append(_per_key(stats, group, numbers, ["median", "q1", "q3"]))
+        per_key.append(_numeric_stats(base, group, numbers, sizes, group_rows, limits))
     if texts:
-        stats = _text_stats(base, group, texts, n_groups)
+        stats = _text_stats(base, group, texts, sizes, limits)
         per_key.append(_per_key(stats, group, texts, ["fill", "pattern", "share"]))
     both = per_key[0] if len(per_key) == 1 else same_group_join(*per_key, group)
     # written once: it is measured, the patterns in use are looked up, and all rows meet the same statistics
-    both = cut_lineage(both.withColumnsRenamed({v: k for k, v in inner.items()}))
-    patterns, n_bytes = _measure(both, n_groups, texts, dates)
-    out = stats_join(df, both, keys, spread, n_bytes)
+    outer = {v: k for k, v in inner.items()}
+    both = cut_lineage(both.withColumnsRenamed(outer))
+    patterns, n_bytes = _measure(both, sizes, texts, dates)
+    named = replace(sizes, counted=sizes.counted.withColumnsRenamed(outer))
+    out = stats_join(df, both, keys, spread, n_bytes, named, **limits)
     return out.select(*_projection(df, numbers, texts, patterns))
 
 
-def _measure(stats: DataFrame, n_groups: int, texts: list[str], dates: list[str]) -> tuple[dict[str, list[str]], int]:
-    """Patterns per column that any group passed the gate with, and a bound on the size of ``stats``."""
+def _measure(stats: DataFrame, sizes: GroupSizes, texts: list[str], dates: list[str]) -> tuple[dict[str, list[str]], int]:
+    """Patterns per column that any group passed the gate with, and a bound on the size of ``stats``, keys and fill texts included."""
     stat = lambda c, f: F.col(f"`_{c}_stats`.{f}")
     passed = [F.collect_set(F.when(stat(c, "share") > 0.5, stat(c, "pattern"))) for c in dates]
     text_bytes = [F.coalesce(F.sum(F.octet_length(stat(c, "fill")).cast("bigint")), F.lit(0)) for c in texts]
     row = stats.agg(F.count("*"), *passed, *text_bytes).first()
-    n_bytes = n_groups * len(stats.columns) * ROW_BYTES + sum(row[1 + len(dates) :])
+    n_bytes = sizes.stats_bytes(len(stats.columns)) + sum(row[1 + len(dates) :])
     return dict(zip(dates, row[1 : 1 + len(dates)])), n_bytes
 
 

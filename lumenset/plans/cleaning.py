@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions.dates import DATE_FORMATS
-from ..operators.clean import clean
+from ..functions.kinds import number
+from ..operators.clean import clean, fit_clean
 from ..operators.clean_by import clean_by
 from ..operators.datecols import date_gate, detect_date_format, fit_formats, parse_dates
 from ..operators.impute import impute_median, impute_mode
 from ..operators.outliers import iqr_bounds, tag_outliers
+from ..operators.quantiles import exact_quantiles
 from .tables import GAPPY_EVENTS, GAPPY_LINEITEM, LINEITEM_ORDER, gappy_events, gappy_lineitem, read, text
 
 # Patterns that write the twelve formats zero-padded, and their counterparts in SQL.
@@ -205,25 +207,46 @@ from f, q"""
 
 def clean_by_supplier(spark, folder):
     """Line items per supplier, with numbers, text and dates of its own."""
-    lines = gappy_lineitem(spark, folder).drop("l_partkey", "l_linenumber", "l_discount")
-    cleaned = clean_by(lines, "l_suppkey", order_by="l_orderkey")
-    return r6(cleaned.drop("l_returnflag_date"), "l_quantity", "l_extendedprice")
+    cleaned = clean_by(gappy_lineitem(spark, folder), "l_suppkey", order_by="l_orderkey")
+    return _shown(cleaned)
 
 
-_SUPPLIER = ["l_orderkey", "l_extendedprice", "l_quantity"]
-CLEAN_BY_SUPPLIER = f"""
+def clean_by_salted(spark, folder):
+    """The same per return flag, with limits that make every group a large one: ranked by many tasks, statistics joined by a shuffle."""
+    lines = gappy_lineitem(spark, folder)
+    n_rows = lines.count()
+    cleaned = clean_by(lines, "l_linenumber", order_by=LINEITEM_ORDER, group_rows=n_rows // 20, broadcast_bytes=10_000, salt_rows=n_rows // 50)
+    return _shown(cleaned)
+
+
+def _shown(cleaned):
+    return r6(cleaned, "l_quantity", "l_extendedprice", "l_discount").withColumn("l_returnflag_date", F.coalesce("l_returnflag_date", F.lit("")))
+
+
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity"]
+
+
+def _by(key):
+    numbers = [c for c in _LINE_COLUMNS if c != key]
+    whole = [c for c in _LINE_COLUMNS if c not in (key, "l_extendedprice", "l_discount", "l_quantity")]
+    return f"""
 with d as ({GAPPY_LINEITEM}),
-     c as (select l_suppkey, l_returnflag, count(*) as n from d where l_returnflag is not null group by all),
-     m as (select l_suppkey, l_returnflag as fill from c qualify row_number() over (partition by l_suppkey order by n desc, l_returnflag) = 1),
-     k as (select l_suppkey, quantile_cont(l_quantity, 0.5) as median from d group by l_suppkey),
-     f as (select l_orderkey, l_suppkey, l_extendedprice, shipped, coalesce(l_quantity, median) as l_quantity, coalesce(l_returnflag, fill) as l_returnflag
-           from d join k using (l_suppkey) join m using (l_suppkey)),
-     q as (select l_suppkey, {_quartiles(*_SUPPLIER)} from f group by l_suppkey),
-     s as (select l_suppkey, avg(case when try_strptime(shipped, '%Y/%m/%d') is null then 0 else 1 end) > 0.5 as dated from d group by l_suppkey)
-select l_orderkey, l_suppkey, round(l_extendedprice, 6) as l_extendedprice, round(l_quantity, 6) as l_quantity, l_returnflag, shipped,
-       {', '.join(_flag(c) for c in _SUPPLIER)},
-       case when dated then strftime(try_strptime(shipped, '%Y/%m/%d'), '%Y-%m-%d') end as shipped_date
-from f join q using (l_suppkey) join s using (l_suppkey)"""
+     c as (select {key}, l_returnflag, count(*) as n from d where l_returnflag is not null group by all),
+     m as (select {key}, l_returnflag as fill from c qualify row_number() over (partition by {key} order by n desc, l_returnflag) = 1),
+     k as (select {key}, quantile_cont(l_quantity, 0.5) as median from d group by {key}),
+     f as (select d.* replace (coalesce(l_quantity, median) as l_quantity, coalesce(l_returnflag, fill) as l_returnflag)
+           from d join k using ({key}) join m using ({key})),
+     q as (select {key}, {_quartiles(*numbers)} from f group by {key}),
+     s as (select {key}, avg(case when try_strptime(shipped, '%Y/%m/%d') is null then 0 else 1 end) > 0.5 as dated from d group by {key})
+select {key}, {', '.join(f'cast({c} as double) as {c}' for c in whole)}, round(l_extendedprice, 6) as l_extendedprice,
+       round(l_discount, 6) as l_discount, round(l_quantity, 6) as l_quantity, l_returnflag, shipped,
+       {', '.join(_flag(c) for c in numbers)},
+       case when dated then strftime(try_strptime(shipped, '%Y/%m/%d'), '%Y-%m-%d') end as shipped_date, '' as l_returnflag_date
+from f join q using ({key}) join s using ({key})"""
+
+
+CLEAN_BY_SUPPLIER = _by("l_suppkey")
+CLEAN_BY_SALTED = _by("l_linenumber")
 
 
 def _tenants(events):
@@ -232,19 +255,61 @@ def _tenants(events):
 
 
 def clean_by_hot_tenant(spark, folder):
-    """The same with a group that is ranked in pieces, since it exceeds the group limit given here."""
-    events = _tenants(gappy_events(spark, folder).select("event_id", "user_id", "value"))
+    """A group of a third of all rows, which exceeds the limit given here and is ranked by many tasks; texts and dates included."""
+    events = _tenants(gappy_events(spark, folder))
     n_rows = events.count()
-    cleaned = clean_by(events, "tenant", group_rows=max(n_rows // 8, 1))
-    return r6(cleaned, "value")
+    cleaned = clean_by(events, "tenant", order_by="event_id", group_rows=max(n_rows // 8, 1))
+    return r6(cleaned, "value").withColumns({c: F.coalesce(c, F.lit("")) for c in ("event_type_date", "day_date")})
 
 
 CLEAN_BY_HOT_TENANT = f"""
-with d as (select event_id, value, case when event_id % 3 = 0 then 0 else user_id end as tenant from ({GAPPY_EVENTS})),
+with d as (select * exclude (user_id), case when event_id % 3 = 0 then 0 else user_id end as tenant from ({GAPPY_EVENTS})),
      k as (select tenant, quantile_cont(value, 0.5) as median from d group by tenant),
-     f as (select event_id, tenant, coalesce(value, median) as value from d join k using (tenant)),
-     q as (select tenant, {_quartiles('event_id', 'value')} from f group by tenant)
-select event_id, tenant, round(value, 6) as value, {_flag('event_id')}, {_flag('value')} from f join q using (tenant)"""
+     c as (select tenant, event_type, count(*) as n from d where event_type is not null group by all),
+     m as (select tenant, event_type as fill from c qualify row_number() over (partition by tenant order by n desc, event_type) = 1),
+     f as (select d.* replace (coalesce(value, median) as value, coalesce(event_type, fill, 'Unknown') as event_type)
+           from d join k using (tenant) left join m using (tenant)),
+     q as (select tenant, {_quartiles('event_id', 'value')} from f group by tenant),
+     s as (select tenant, avg(case when try_strptime(day, '%d.%m.%Y') is null then 0 else 1 end) > 0.5 as dated from d group by tenant)
+select cast(event_id as double) as event_id, tenant, round(value, 6) as value, event_type, day, {_flag('event_id')}, {_flag('value')}, '' as event_type_date,
+       coalesce(case when dated then strftime(try_strptime(day, '%d.%m.%Y'), '%Y-%m-%d') end, '') as day_date
+from f join q using (tenant) join s using (tenant)"""
+
+
+def exact_bounds_narrowed(spark, folder):
+    """Quantiles found between narrowed edges, whatever the size of the table."""
+    lines = gappy_lineitem(spark, folder)
+    names = ["l_quantity", "l_extendedprice", "l_partkey", "l_discount"]
+    n_rows = lines.count()
+    found = exact_quantiles(lines, {c: number(lines, c) for c in names}, _NARROWED, direct_rows=n_rows // 200)
+    rows = [(c, p, q) for c, values in found.items() for p, q in zip(_NARROWED, values)]
+    return r6(spark.createDataFrame(rows, "column string, p double, q double"), "q")
+
+
+_NARROWED = [0.001, 0.25, 0.5, 0.75, 0.999]
+EXACT_BOUNDS_NARROWED = f"with d as ({GAPPY_LINEITEM}) " + " union all ".join(
+    f"select '{c}' as \"column\", cast({p} as double) as p, round(quantile_cont(cast({c} as double), {p}), 6) as q from d"
+    for c in ("l_quantity", "l_extendedprice", "l_partkey", "l_discount")
+    for p in _NARROWED
+)
+
+
+def model_on_later_events(spark, folder):
+    """A model fitted on the events without gaps, applied to the others."""
+    events, whole = gappy_events(spark, folder), (F.col("event_id") % 7 != 0) & (F.col("event_id") % 5 != 0)
+    model = fit_clean(events.where(whole), "event_id", reusable=True)
+    return r6(model.transform(events.where(~whole)), "value")
+
+
+MODEL_ON_LATER_EVENTS = f"""
+with d as ({GAPPY_EVENTS}), t as (select * from d where event_id % 7 <> 0 and event_id % 5 <> 0),
+     m as (select event_type as fill from t group by 1 order by count(*) desc, 1 limit 1),
+     q as (select quantile_cont(value, 0.5) as median, {_quartiles('event_id', 'user_id', 'value')} from t),
+     f as (select d.* replace (coalesce(value, median) as value, coalesce(event_type, fill) as event_type) from d, m, q
+           where event_id % 7 = 0 or event_id % 5 = 0)
+select event_id, user_id, round(value, 6) as value, event_type, day, {_flag('event_id')}, {_flag('user_id')}, {_flag('value')},
+       strftime(try_strptime(day, '%d.%m.%Y'), '%Y-%m-%d') as day_date
+from f, q"""
 
 
 def flagged_events(spark, folder):
@@ -268,6 +333,8 @@ QUERIES = {
     "mode_fill": mode_fill,
     "outlier_bounds": outlier_bounds,
     "outlier_flags": outlier_flags,
+    "exact_bounds_narrowed": exact_bounds_narrowed,
+    "model_on_later_events": model_on_later_events,
     "flagged_events": flagged_events,
     "date_formats": date_formats,
     "parsed_dates": parsed_dates,
@@ -275,6 +342,7 @@ QUERIES = {
     "clean_events": clean_events,
     "clean_lineitem": clean_lineitem,
     "clean_by_supplier": clean_by_supplier,
+    "clean_by_salted": clean_by_salted,
     "clean_by_hot_tenant": clean_by_hot_tenant,
 }
 
@@ -283,6 +351,8 @@ SQL = {
     "mode_fill": MODE_FILL,
     "outlier_bounds": OUTLIER_BOUNDS,
     "outlier_flags": OUTLIER_FLAGS,
+    "exact_bounds_narrowed": EXACT_BOUNDS_NARROWED,
+    "model_on_later_events": MODEL_ON_LATER_EVENTS,
     "flagged_events": FLAGGED_EVENTS,
     "date_formats": DATE_FORMATS_SQL,
     "parsed_dates": PARSED_DATES,
@@ -290,5 +360,6 @@ SQL = {
     "clean_events": CLEAN_EVENTS,
     "clean_lineitem": CLEAN_LINEITEM,
     "clean_by_supplier": CLEAN_BY_SUPPLIER,
+    "clean_by_salted": CLEAN_BY_SALTED,
     "clean_by_hot_tenant": CLEAN_BY_HOT_TENANT,
 }

@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenset.operators import joins
 from lumenset.operators.clean import clean
 from lumenset.operators.clean_by import clean_by
 
@@ -18,10 +17,10 @@ def events(spark, sf_dir):
     )
 
 
-@pytest.mark.parametrize("group_rows, broadcast_bytes", [(10**9, 10**9), (300, 0)])
-def test_each_group_is_cleaned_like_a_table_of_its_own(spark, events, monkeypatch, group_rows, broadcast_bytes):
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast_bytes)
-    got = clean_by(events, "tenant", order_by="event_id", group_rows=group_rows).drop("event_id_outlier")
+@pytest.mark.parametrize("group_rows, broadcast_bytes, salt_rows", [(10**9, 10**9, 10**9), (300, 0, 100), (2000, 1500, 200)])
+def test_each_group_is_cleaned_like_a_table_of_its_own(spark, events, group_rows, broadcast_bytes, salt_rows):
+    limits = {"group_rows": group_rows, "broadcast_bytes": broadcast_bytes, "salt_rows": salt_rows}
+    got = clean_by(events, "tenant", order_by="event_id", **limits).drop("event_id_outlier")
     for tenant in [r[0] for r in events.select("tenant").distinct().collect()]:
         one = clean(events.where(F.col("tenant") == tenant), "event_id").drop("event_id_outlier")
         want = sorted(map(tuple, one.select(*one.columns).collect()))

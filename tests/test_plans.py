@@ -6,10 +6,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from lumenset.operators import feeds, profile
 from lumenset.operators.clean import fit_clean
 from lumenset.operators.markup import audit_html, repair_html
+from lumenset.operators import quality
+from lumenset.operators.clean_by import clean_by
+from lumenset.plans import all_queries
 from lumenset.plans.tables import read
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,9 +29,9 @@ def final_plan(df):
     return plan(df)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_no_cross_join_and_no_python_rows(spark, name):
-    text = plan(entry.queries()[name](spark, SMALL))
+    text = plan(all_queries()[name](spark, SMALL))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|MapInPandas", text)
 
 
@@ -71,5 +73,42 @@ def test_page_jobs_are_narrow(spark):
 
 
 def test_first_rows_keep_only_the_first(spark):
+    # without a key the scan stops with the rows it needs
+    orders = read(spark, SMALL, "orders")
+    for df in (profile.preview(orders), profile.excerpt(orders)):
+        assert not re.search(r"Sort|TakeOrdered|Exchange RoundRobin|rangepartitioning", plan(df))
     assert "TakeOrderedAndProject" in plan(profile.preview(read(spark, SMALL, "orders"), 10, "o_orderkey"))
     assert "TakeOrderedAndProject" in plan(feeds.scatter(read(spark, SMALL, "orders"), "o_custkey", "o_totalprice", "o_orderkey", 5))
+
+
+def _exchanges(text):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)", text)
+
+
+def test_repeated_rows_are_counted_by_their_keys(spark, monkeypatch):
+    """No column of the table is shuffled, broadcast or not."""
+    seen = []
+    orders = read(spark, SMALL, "orders")
+    grouped = type(orders).groupBy
+    monkeypatch.setattr(type(orders), "groupBy", lambda self, *keys: seen.append((self.columns, keys)) or grouped(self, *keys))
+    quality.duplicate_rows(orders)
+    assert seen[0] == (["_key1", "_key2"], ("_key1", "_key2"))
+
+
+def test_groups_are_cleaned_without_shuffling_their_rows(spark, monkeypatch):
+    """Statistics are aggregates of the rows; only texts are counted by value."""
+    from lumenset.operators import clean_by as module
+
+    made = []
+    monkeypatch.setattr(module, "cut_lineage", lambda df: made.append(plan(df)) or df)
+    lines = read(spark, SMALL, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice")
+    text = plan(clean_by(lines, "l_suppkey"))
+    assert made and not any(re.search("Expand|Generate|Window", t) for t in [*made, text])
+    assert "SortMergeJoin" not in text.split("FileScan")[0] or "BroadcastHashJoin" in text
+
+
+def test_a_fit_keeps_no_copy_of_the_table(spark):
+    events = read(spark, SMALL, "events")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    fit_clean(events, "event_id", direct_rows=100)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
