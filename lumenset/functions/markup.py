@@ -13,8 +13,11 @@ EMPTY_PAGE = (
     "<!DOCTYPE html><html><head><meta charset='UTF-8'><title>Error</title></head>"
     "<body><h2>No dashboard content generated.</h2></body></html>"
 )
-# (name in the page, text that shows its script is loaded)
-CHART_LIBRARIES = [("Chart", "chart.js"), ("d3", "d3.v7.min.js")]
+# (name in the page, text that shows its script is loaded, address of the script)
+CHART_LIBRARIES = [
+    ("Chart", "chart.js", "https://cdn.jsdelivr.net/npm/chart.js"),
+    ("d3", "d3.v7.min.js", "https://d3js.org/d3.v7.min.js"),
+]
 
 SPACE = r"(?U)^\s+|(?U)\s+$"
 
@@ -94,7 +97,23 @@ def add_viewport(text: Column) -> Column:
     return _into_head(text, ~has(head_content(text), '<meta name="viewport"'), VIEWPORT)
 
 
-REPAIRS = [add_doctype, add_html, add_head, add_charset, add_body, add_viewport]
+def is_unloaded(text: Column, name: str, script: str) -> Column:
+    """The page names a chart library but does not load it."""
+    return F.contains(text, F.lit(name)) & ~F.contains(text, F.lit(script))
+
+
+def add_library(name: str, script: str, address: str):
+    """A repair that loads the library at the end of the head."""
+
+    def add(text: Column) -> Column:
+        head_end = position(text, "</head>")
+        tag = f'<script src="{address}"></script>\n'
+        return F.when((head_end > 0) & is_unloaded(text, name, script), insert_at(text, head_end - 1, tag)).otherwise(text)
+
+    return add
+
+
+REPAIRS = [add_doctype, add_html, add_head, add_charset, add_body, add_viewport, *[add_library(*library) for library in CHART_LIBRARIES]]
 
 
 def without_fence(text: Column, language: str = "html") -> Column:

@@ -76,7 +76,8 @@ def fit_clean(df: DataFrame, order_by: str | list[str] | None = None, reusable:
     """Fit on the whole table. ``order_by`` gives the row order that date samples follow.
 
     The model fills gaps of numbers in any later table. With ``reusable`` it also knows the modes of text columns that have
-    no gaps here; without, a later gap in such a column is an error when the rows are read.
+    no gaps here; without, a later gap in such a column is an error when the rows are read. ``approx=True`` takes
+    medians and quartiles from one bounded sketch, ``direct_rows`` is described in quantiles.
     """
     kinds = {f.name: kind_of(f.dataType) if f.name != ROW_ID else OTHER for f in df.schema.fields}
     numbers = [c for c, k in kinds.items() if k == NUMERIC]

@@ -12,6 +12,7 @@ from ..session import cut_lineage, with_row_order
 from .impute import UNKNOWN
 from .joins import BROADCAST_BYTES, SALT_ROWS, GroupSizes, group_sizes, hot_groups, same_group_join, stats_join
 from .outliers import REACH
+from .quantiles import SKETCH_ACCURACY
 from .values import is_digest, key_of
 
 # Rows of one group whose exact percentiles one task may hold; the numbers of larger groups are ranked in pieces.
@@ -58,10 +59,10 @@ def rank_values(counts: DataFrame, group: list[str], in_pieces: int = 0) -> Data
     return pieces.join(offsets, match).select(*counts.columns, below.alias("below"), "present", "missing")
 
 
-def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, group_rows: int, limits: dict) -> DataFrame:
+def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, group_rows: int, limits: dict, approx: bool) -> DataFrame:
     """One row per group with a struct (median, q1, q3) per column: the median of the present values, quartiles after filling with it."""
-    if sizes.largest <= group_rows:
-        return _by_percentiles(df, keys, columns, sizes, limits)
+    if approx or sizes.largest <= group_rows:
+        return _by_percentiles(df, keys, columns, sizes, limits, approx)
     hot = hot_groups(sizes, keys, group_rows, limits["broadcast_bytes"])
     marked = df.join(F.broadcast(hot), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]), "left")
     marked = marked.drop(*[f"_hot_{k}" for k in keys])
@@ -72,11 +73,12 @@ def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: Gr
     return few.unionByName(_per_key(ranked, keys, columns, ["median", "q1", "q3"]))
 
 
-def _by_percentiles(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, limits: dict) -> DataFrame:
+def _by_percentiles(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, limits: dict, approx: bool = False) -> DataFrame:
     """Numbers of a group meet in one aggregate, where equal ones are one entry; rows are not shuffled."""
     names = {c: f"v{i}" for i, c in enumerate(columns)}
     rows = df.select(*keys, *[number(df, c).alias(v) for c, v in names.items()])
-    found = [F.percentile(v, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias(f"{v}_p") for v in names.values()]
+    quantiles = lambda v, ps: F.percentile_approx(v, ps, SKETCH_ACCURACY) if approx else F.percentile(v, F.array(*[F.lit(p) for p in ps]))
+    found = [quantiles(v, [0.25, 0.5, 0.75]).alias(f"{v}_p") for v in names.values()]
     gaps = [(F.count("*") - F.count(v)).alias(f"{v}_gaps") for v in names.values()]
     # one row per group, stored: it tells which columns have gaps and fills them
     stats = cut_lineage(rows.groupBy(*keys).agg(*found, *gaps))
@@ -85,8 +87,7 @@ def _by_percentiles(df: DataFrame, keys: list[str], columns: list[str], sizes: G
     if gappy:
         medians = stats.select(*keys, *[F.col(f"{v}_p")[1].alias(f"{v}_median") for v in gappy])
         filled = stats_join(rows.select(*keys, *gappy), medians, keys, gappy, sizes.stats_bytes(len(gappy)), sizes, **limits)
-        ends = F.array(F.lit(0.25), F.lit(0.75))
-        again = filled.groupBy(*keys).agg(*[F.percentile(F.coalesce(v, f"{v}_median"), ends).alias(f"{v}_q") for v in gappy])
+        again = filled.groupBy(*keys).agg(*[quantiles(F.coalesce(v, f"{v}_median"), [0.25, 0.75]).alias(f"{v}_q") for v in gappy])
         stats = same_group_join(stats, again, keys)
     structs = []
     for c, v in names.items():
@@ -197,11 +198,13 @@ def clean_by(
     group_rows: int = GROUP_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
     salt_rows: int = SALT_ROWS,
+    approx: bool = False,
 ) -> DataFrame:
     """Impute, flag outliers and add dates with statistics of each row's own group.
 
     Groups of more than ``group_rows`` are ranked by many tasks, statistics of more than ``broadcast_bytes`` are joined by a
-    shuffle in which a group has ``salt_rows`` per task at most.
+    shuffle in which a group has ``salt_rows`` per task at most. With ``approx`` medians and quartiles come from one bounded sketch
+    per group, whatever its size.
 
     The schema does not depend on the data: every text column (or those in ``date_columns``) gets
     a ``_date`` column, null throughout a group where half of the values or fewer are dates.
@@ -224,7 +227,7 @@ def clean_by(
     limits = {"broadcast_bytes": broadcast_bytes, "salt_rows": salt_rows}
     per_key = []
     if numbers:
-        per_key.append(_numeric_stats(base, group, numbers, sizes, group_rows, limits))
+        per_key.append(_numeric_stats(base, group, numbers, sizes, group_rows, limits, approx))
     if texts:
         stats = _text_stats(base, group, texts, sizes, limits)
         per_key.append(_per_key(stats, group, texts, ["fill", "pattern", "share"]))

@@ -9,6 +9,7 @@ from ..functions.markup import (
     REPAIRS,
     has,
     head_content,
+    is_unloaded,
     position,
     starts_with_doctype,
     without_fence,
@@ -19,9 +20,7 @@ def audit_html(df: DataFrame, column: str) -> DataFrame:
     """Add one boolean per required part, and which chart libraries are used but not loaded."""
     text = quoted(column)
     head = head_content(text)
-    unloaded = [
-        F.when(F.contains(text, F.lit(name)) & ~F.contains(text, F.lit(script)), F.lit(name)) for name, script in CHART_LIBRARIES
-    ]
+    unloaded = [F.when(is_unloaded(text, name, script), F.lit(name)) for name, script, _ in CHART_LIBRARIES]
     return df.select(
         "*",
         starts_with_doctype(text).alias("has_doctype"),
@@ -36,7 +35,8 @@ def audit_html(df: DataFrame, column: str) -> DataFrame:
 
 
 def repair_html(df: DataFrame, column: str) -> DataFrame:
-    """Add what is missing: doctype, html, head, charset, body, viewport. Repairing twice changes nothing."""
+    """Add what is missing: doctype, html, head, charset, body, viewport, scripts of chart libraries in use. Repairing twice
+    changes nothing."""
     out = df.withColumn(column, F.when(F.coalesce(F.length(quoted(column)), F.lit(0)) == 0, EMPTY_PAGE).otherwise(quoted(column)))
     for repair in REPAIRS:
         out = out.withColumn(column, repair(quoted(column)))

@@ -60,12 +60,13 @@ def values_at_ranks(
     counts: dict[str, int],
     conditions: list[Column] | None = None,
     direct_rows: int = DIRECT_ROWS,
+    approx: bool = False,
 ) -> tuple[dict[str, dict[int, float]], list[float | None]]:
     """The values at the given ranks (0-based, nulls left out) of each column.
 
     ``counts`` are the present values per column; they decide, before any values are gathered,
     whether rounds are needed first. Also returns the share of rows that meet each condition, from
-    the first scan.
+    the first scan. With ``approx`` the values come from one bounded sketch, whose ranks are off by one in SKETCH_ACCURACY at most.
     """
     conditions = conditions or []
     wanted = {n: sorted(set(ranks[n])) for n in values if counts[n]}
@@ -78,6 +79,10 @@ def values_at_ranks(
         *[F.coalesce(c, F.lit(False)).cast("int").alias(f) for c, f in zip(conditions, flags)],
     )
     shares = [F.avg(f) for f in flags]
+    if approx:
+        sketches = [F.percentile_approx(keys[n], [r / max(counts[n] - 1, 1) for r in wanted[n]], SKETCH_ACCURACY) for n in wanted]
+        row = aggregate_row(narrow, sketches + shares)
+        return {n: dict(zip(wanted[n], row[i])) for i, n in enumerate(wanted)}, list(row[len(sketches) :])
     largest = max((counts[n] for n in wanted), default=0)
     if largest <= direct_rows:
         picks = [_pick(keys[n], wanted[n], counts[n]) for n in wanted]
@@ -115,7 +120,7 @@ def _element(column: str, rank: int, count: int) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, values: dict[str, Column], probabilities: list[float], direct_rows: int = DIRECT_ROWS
+    df: DataFrame, values: dict[str, Column], probabilities: list[float], direct_rows: int = DIRECT_ROWS, approx: bool = False
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each value, null for a column without values."""
     if not values:
@@ -123,7 +128,7 @@ def exact_quantiles(
     counts = dict(zip(values, aggregate_row(df, [F.count(v) for v in values.values()])))
     places = {n: [p * (counts[n] - 1) for p in probabilities] for n in values}
     ranks = {n: [r for at in places[n] for r in (floor(at), ceil(at))] for n in values}
-    found, _ = values_at_ranks(df, values, ranks, counts, direct_rows=direct_rows)
+    found, _ = values_at_ranks(df, values, ranks, counts, direct_rows=direct_rows, approx=approx)
     return {n: [interpolate(at, found[n]) if counts[n] else None for at in places[n]] for n in values}
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import DATE_FORMATS
 from ..functions.kinds import number
 from ..operators.clean import clean, fit_clean
 from ..operators.clean_by import clean_by
@@ -23,6 +22,13 @@ SQL_FORMATS = [
 ]
 
 
+# The patterns that the formats are reported under, written out here so that the SQL checks them too.
+PATTERNS = [
+    "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "MMM d, yyyy", "d MMM yyyy",
+    "MMMM d, yyyy", "d MMMM yyyy", "M-d-yyyy", "d-M-yyyy", "yyyy.M.d", "d.M.yyyy",
+]
+
+
 def r6(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -97,7 +103,7 @@ def date_formats(spark, folder):
 
 
 _FIRST_MATCH = "case " + " ".join(
-    f"when try_strptime(v, '{f}') is not null then '{p}'" for f, p in zip(SQL_FORMATS, DATE_FORMATS)
+    f"when try_strptime(v, '{f}') is not null then '{p}'" for f, p in zip(SQL_FORMATS, PATTERNS)
 ) + " else 'any' end"
 DATE_FORMATS_SQL = f"with d as ({WRITTEN_DATES}), s as (" + " union all ".join(
     f"select 'd{i}' as \"column\", arg_min(d{i}, o_orderkey) as v from d" for i in range(12)
@@ -106,7 +112,7 @@ DATE_FORMATS_SQL = f"with d as ({WRITTEN_DATES}), s as (" + " union all ".join(
 
 def parsed_dates(spark, folder):
     written = written_dates(spark, folder)
-    parsed = parse_dates(written, {f"d{i}": p for i, p in enumerate(DATE_FORMATS)})
+    parsed = parse_dates(written, {f"d{i}": p for i, p in enumerate(PATTERNS)})
     return parsed.select("o_orderkey", *[f"d{i}_date" for i in range(12)])
 
 

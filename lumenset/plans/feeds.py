@@ -4,7 +4,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.markup import BODY, CHARSET, EMPTY_PAGE, HEAD, HTML_OPEN, VIEWPORT
 from ..operators import feeds as f
 from ..operators.markup import audit_html, repair_html, strip_code_fence
 from ..operators.quality import duplicate_rows, quality_report
@@ -197,7 +196,7 @@ def _damaged(spark, folder):
         .when(key % 5 == 1, headless)
         .when(key % 5 == 2, F.replace(F.replace(html, F.lit("<body>"), F.lit("")), F.lit("</body>"), F.lit("")))
         .when(key % 5 == 3, F.substring_index(html, "<body>", -1))
-        .otherwise(html)
+        .otherwise(F.replace(html, F.lit("<nav>"), F.lit("<nav>new Chart d3")))
         .alias("html"),
     )
 
@@ -208,7 +207,7 @@ DAMAGED = """
         when page_id % 5 = 1 then split_part(html, '<head>', 1) || string_split(html, '</head>')[-1]
         when page_id % 5 = 2 then replace(replace(html, '<body>', ''), '</body>', '')
         when page_id % 5 = 3 then string_split(html, '<body>')[-1]
-        else html end as html
+        else replace(html, '<nav>', '<nav>new Chart d3') end as html
     from pages"""
 
 CHECKS = ["has_doctype", "has_html", "has_head", "has_charset", "has_body", "has_viewport", "has_csp", "unloaded_libraries"]
@@ -238,6 +237,16 @@ def page_repair(spark, folder):
     return repair_html(_damaged(spark, folder), "html")
 
 
+# What repairs add, written out here so that the SQL checks the constants too.
+EMPTY_PAGE = (
+    "<!DOCTYPE html><html><head><meta charset='UTF-8'><title>Error</title></head><body><h2>No dashboard content generated.</h2></body></html>"
+)
+HTML_OPEN, BODY, CHARSET = "<html lang='en'>", "<body>\n</body>", '<meta charset="UTF-8">'
+HEAD = '<head><meta charset="UTF-8"><title>Dashboard</title></head>'
+VIEWPORT = '<meta name="viewport" content="width=device-width, initial-scale=1.0">'
+LOADS = [("Chart", "chart.js", "https://cdn.jsdelivr.net/npm/chart.js"), ("d3", "d3.v7.min.js", "https://d3js.org/d3.v7.min.js")]
+
+
 def _q(value):
     return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
@@ -262,6 +271,10 @@ _STEPS = [
     + _insert(f"instr({_L}, '</html>') - 1", f"chr(10) || {_q(BODY)} || chr(10)") + f" else html || chr(10) || {_q(BODY)} end",
     f"case when contains({_L}, '<head>') and not contains(lower({_SQL_HEAD}), '{_VIEWPORT}') then "
     + _insert(f"instr({_L}, '<head>') + 5", f"{_q(VIEWPORT)} || chr(10)") + " else html end",
+] + [
+    f"case when contains({_L}, '</head>') and contains(html, '{name}') and not contains(html, '{script}') then "
+    + _insert(f"instr({_L}, '</head>') - 1", f"""'<script src="{address}"></script>' || chr(10)""") + " else html end"
+    for name, script, address in LOADS
 ]
 PAGE_REPAIR = (
     f"with s0 as ({DAMAGED}), "

@@ -151,3 +151,6 @@ def test_narrowing_is_exact(spark, shape):
 def test_model_same_for_both_quantile_paths(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("value", F.expr("if(event_id % 7 = 0, null, value)"))
     assert fit_clean(df, "event_id") == fit_clean(df, "event_id", direct_rows=1000)
+    for exact, near in zip(fit_clean(df, "event_id").columns, fit_clean(df, "event_id", approx=True).columns):
+        if exact.bounds:
+            assert near.bounds == pytest.approx(exact.bounds, rel=0.01, abs=1)

@@ -28,6 +28,15 @@ def test_each_group_is_cleaned_like_a_table_of_its_own(spark, events, group_rows
         assert have == want
 
 
+def test_sketches_are_near(spark, events):
+    exact = clean_by(events, "tenant", order_by="event_id")
+    near = clean_by(events, "tenant", order_by="event_id", approx=True)
+    assert near.dtypes == exact.dtypes
+    flags = lambda df: {r.event_id: r.value_outlier for r in df.collect()}
+    a, b = flags(exact), flags(near)
+    assert a.keys() == b.keys() and sum(a[k] != b[k] for k in a) <= 0.01 * len(a)
+
+
 def test_schema_is_fixed_and_null_key_is_a_group(spark):
     rows = [(None, 1.0, "x"), (None, None, "x"), (None, 3.0, None), ("a", 5.0, "2023-01-01"), ("a", 6.0, None)]
     df = spark.createDataFrame(rows, "k string, v double, s string")

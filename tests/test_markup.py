@@ -31,6 +31,14 @@ def test_repair_twice_changes_nothing(spark):
     assert [r.t for r in run(spark, repair_html, once)] == once
 
 
+def test_libraries_in_use_are_loaded(spark):
+    page = '<!DOCTYPE html><html><head><meta charset="utf-8"><meta name="viewport" content="x"></head><body>new Chart(); d3.select()</body></html>'
+    repaired = run(spark, repair_html, [page])[0].t
+    chart, d3 = ('<script src="https://cdn.jsdelivr.net/npm/chart.js"></script>\n', '<script src="https://d3js.org/d3.v7.min.js"></script>\n')
+    assert f"{chart}{d3}</head>" in repaired and repaired.count("<script") == 2
+    assert run(spark, audit_html, [repaired])[0].unloaded_libraries == "" and run(spark, repair_html, [repaired])[0].t == repaired
+
+
 def test_audit(spark):
     row, bad = run(spark, audit_html, [FULL, "<script>new Chart(d3)</script>"])
     assert (row.has_doctype, row.has_html, row.has_head, row.has_charset, row.has_body, row.has_viewport, row.has_csp) == (True,) * 6 + (False,)
