@@ -88,9 +88,10 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for start in range(0, len(pairs), PAIRS_AT_ONCE):
         aggregates = []
         for x, y in pairs[start : start + PAIRS_AT_ONCE]:
-            a = F.when(number(df, y).isNotNull(), number(df, x))
-            b = F.when(number(df, x).isNotNull(), number(df, y))
-            r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-            aggregates.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"), F.count(a).alias("n")))
+            a, b = number(df, x), number(df, y)
+            # rows without one of the two are left out
+            r = F.try_divide(F.regr_sxy(b, a), F.sqrt(F.regr_sxx(b, a)) * F.sqrt(F.regr_syy(b, a)))
+            n = F.regr_count(b, a)
+            aggregates.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"), n.alias("n")))
         parts.append(df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows")))
     return reduce(DataFrame.unionByName, parts, df.sparkSession.createDataFrame([], "x string, y string, r double, n bigint"))

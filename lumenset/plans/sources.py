@@ -9,7 +9,7 @@ from ..operators.clean import fit_clean
 from ..operators.profile import schema_profile
 from ..session import ROW_ID, scratch_path
 from ..sources.csv import read_csv_table
-from ..sources.infer import fit_types, infer_types
+from ..sources.infer import cast_types, fit_types_of, infer_types
 from ..sources.json import convert_named_dates, document_problem, flatten_keyed_json, read_json_documents, read_json_records
 from ..sources.registry import Upload, add_existing, read_datasets
 from ..sources.sinks import register_dataset, take_upload, write_table
@@ -118,11 +118,8 @@ def _as_text(df):
 
 def column_types(spark, folder):
     """Types found again after every column of every table was turned into text."""
-    found = []
-    for t in TYPED:
-        # numbers that a text column of the table holds throughout would be numbers after reading; none does
-        table = _as_text(read(spark, folder, t)).withColumn("gaps", F.lit(None).cast("string"))
-        found += [(t, c, kind) for c, kind in fit_types(table).items()]
+    tables = {t: _as_text(read(spark, folder, t)).withColumn("gaps", F.lit(None).cast("string")) for t in TYPED}
+    found = [(t, c, kind) for t, types in fit_types_of(tables).items() for c, kind in types.items()]
     return spark.createDataFrame(found, "table_name string, column string, type string")
 
 
@@ -143,7 +140,9 @@ SQL_NAMES = {"BIGINT": "int64", "INTEGER": "int64", "DOUBLE": "float64", "VARCHA
 
 def described_tables(spark, folder):
     """Name and type per column of tables whose types are found from their texts."""
-    parts = [schema_profile(infer_types(_as_text(read(spark, folder, t)))).withColumn("table_name", F.lit(t)) for t in DESCRIBED]
+    tables = {t: _as_text(read(spark, folder, t)) for t in DESCRIBED}
+    types = fit_types_of(tables)
+    parts = [schema_profile(cast_types(df, types[t])).withColumn("table_name", F.lit(t)) for t, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -1,5 +1,7 @@
 """Column types from text: integer, double, boolean, else text."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.kinds import STRING, columns_of, quoted
@@ -46,11 +48,12 @@ def _kind(text: Column) -> Column:
 
     Most texts are told by their first character, before any pattern is tried.
     """
-    word = ~F.substring(F.ltrim(text), 1, 1).rlike("[-+.0-9iItTfF\\s]")
-    place = F.when(text.isNull(), None).when(word, F.lit(len(KINDS) - 1))
-    for i, kind in enumerate(KINDS[:-1]):
-        place = place.when(CASTS[kind](text).isNotNull(), F.lit(i))
-    return place.otherwise(F.lit(len(KINDS) - 1))
+    word = ~text.rlike(r"^\s*[-+.0-9iItTfF]")
+    # a short integer fits without being cast
+    integer = text.rlike(INTEGER) & ((F.length(text) <= 18) | text.try_cast("bigint").isNotNull())
+    place = F.when(text.isNull(), None).when(word, KINDS.index("string")).when(integer, KINDS.index("bigint"))
+    place = place.when(text.rlike(DOUBLE), KINDS.index("double")).when(as_boolean(text).isNotNull(), KINDS.index("boolean"))
+    return place.otherwise(KINDS.index("string"))
 
 
 def fit_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
@@ -60,6 +63,17 @@ def fit_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]
     return _types(columns, aggregate_row(kinds, tests))
 
 
+def fit_types_of(tables: dict[str, DataFrame]) -> dict[str, dict[str, str]]:
+    """:func:`fit_types` for the text columns of several tables in one job; one row per table comes back."""
+    parts, columns = [], {}
+    for name, df in tables.items():
+        columns[name] = columns_of(df, STRING)
+        kinds, tests = _tests(df, columns[name])
+        parts.append(kinds.agg(F.array(*[t.cast("long") for t in tests]).alias("found")).select(F.lit(name).alias("name"), "found"))
+    rows = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    return {r["name"]: _types(columns[r["name"]], r["found"]) for r in rows}
+
+
 def fit_types_by(df: DataFrame, key: str, columns: list[str]) -> dict[str, dict[str, str]]:
     """:func:`fit_types` for every value of a key column, such as the file of a row; one row per value comes back."""
     kinds, tests = _tests(df, columns, quoted(key).alias("_of"))

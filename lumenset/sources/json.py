@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.dates import parse_any
 from ..functions.kinds import NUMERIC, STRING, kind_of, quoted
 from ..operators.quantiles import aggregate_row
-from ..session import ROW_ID
+from ..session import ROW_ID, cut_lineage
 from .csv import refers_to
 
 KEY = "_key"
@@ -154,7 +154,10 @@ def flatten_keyed_json(df: DataFrame, json_col: str, fields: dict[str, str] | No
     rows = df.select(*carried, F.explode(listed).alias("_item")).select(*carried, F.col("_item.key").alias("_found"), F.col("_item.row").alias("row"))
     if fields == {}:
         return rows.select(*carried, F.col("_found").alias(KEY), F.col("row").alias("_row"))
-    fields = document_fields(rows) if fields is None else fields
+    if fields is None:
+        # stored once: the fields are found first, and documents need not be parsed again for the rows
+        rows = cut_lineage(rows)
+        fields = document_fields(rows)
     as_map = members_of(F.col("row"))
     value = lambda name, kind: F.try_element_at(as_map, F.lit(name)).try_cast(kind)
     key = F.coalesce("_found", value(KEY, "string")) if KEY in fields else F.col("_found")
