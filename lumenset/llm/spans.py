@@ -110,7 +110,9 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     opened_paths = texts.select("_row", "_blob").join(wanted, F.col("_row") == F.col("row")).select("_row", "_blob", "wanted")
     edges = opened_paths.mapInArrow(open_paths, "anchor long, edge long, row long, at long, known boolean")
+    # stored, so that Spark may split the rows of an edge that a large part of the documents holds
     twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "edge")
+    twice = stored(twice, "edges")
     single = edges.filter("not known").join(twice, ["anchor", "edge"], "left_semi")
     single = single.select("row", (F.col("at") * PIECE + 1).alias("piece"))
     gone = whole.unionByName(single).groupBy(F.col("row").alias("_of")).agg(F.collect_list("piece").alias("_gone"))
