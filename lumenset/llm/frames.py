@@ -117,12 +117,14 @@ def with_rank(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, in
     return ranked.withColumn("_rank", place).drop("_part", "_before", "_at"), total
 
 
-def rank_within(df: DataFrame, group: str, order: list[str], buckets: int) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: list[str], buckets: DataFrame) -> DataFrame:
     """Add ``_rank`` (from 0) within ``group``, where one group may hold most rows.
 
-    A group is cut into hash buckets; a row's rank is its number in the bucket plus the counts of the buckets before.
+    A group is cut into hash buckets, as many as ``buckets`` (``_group``, ``_many``; small enough to be broadcast) says; a row's rank is
+    its number in the bucket plus the counts of the buckets before.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counted = df.join(F.broadcast(buckets), F.col(group) == F.col("_group"))
+    bucketed = counted.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_many"))).drop("_group", "_many")
     counts = bucketed.groupBy(group, "_bucket").count()
     ahead = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(

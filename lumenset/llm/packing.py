@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .frames import binary, bound_batches, rank_within, stored, text_rows
 from .tokens import default_path, token_ids
 
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 4_096
 PIECES = "doc long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,8 +95,9 @@ def pack_documents(
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = sorted(best_fit(counts, capacity))
     plan = {c: np.array([r[i] for r in runs], dtype=np.int64) for i, c in enumerate(("length", "rank", "n", "per", "first", "offset"))}
-    spread = max(counts.values(), default=0) // ROWS_PER_BUCKET + 1
-    ranked = rank_within(pieces, "length", ["doc", "piece", "start", "ids_crc32"], spread)
+    # one row per length
+    buckets = docs.sparkSession.createDataFrame([(n, many // ROWS_PER_BUCKET + 1) for n, many in counts.items()], "_group long, _many long")
+    ranked = rank_within(pieces, "length", ["doc", "piece", "start", "ids_crc32"], buckets)
 
     def place(batches):
         keys = plan["length"] << 40 | plan["rank"]
