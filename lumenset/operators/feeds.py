@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.kinds import NUMERIC, columns_of, number, quoted
 from .profile import _stacked
+from .quantiles import aggregate_row
 
 OTHER = "Other"
 # Pairs of columns that one aggregate sums up.
@@ -79,19 +80,28 @@ def apply_filters(df: DataFrame, isin: dict[str, list] | None = None, between: d
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, r, n) for every pair of numeric columns over the rows where both are present.
 
-    Rows are read as they are and summed up into one row, for at most PAIRS_AT_ONCE pairs in a scan; a constant
-    column gives null.
+    One scan finds the middle of every column, further ones sum up products of the distances from it, for at most
+    PAIRS_AT_ONCE pairs each; rows are not multiplied. A constant column gives null.
     """
     columns = columns_of(df, NUMERIC) if columns is None else columns
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations(range(len(columns)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double, n bigint")
+    middles = aggregate_row(df, [e for c in columns for e in (F.avg(number(df, c)), F.min(number(df, c)), F.max(number(df, c)))])
+    # the middle of a constant is the constant itself
+    middle = [low if low == high else avg for avg, low, high in zip(middles[::3], middles[1::3], middles[2::3])]
+    centred = df.select(*[(number(df, c) - F.lit(m).cast("double")).alias(f"v{i}") for i, (c, m) in enumerate(zip(columns, middle))])
     parts = []
     for start in range(0, len(pairs), PAIRS_AT_ONCE):
         aggregates = []
-        for x, y in pairs[start : start + PAIRS_AT_ONCE]:
-            a, b = number(df, x), number(df, y)
-            # rows without one of the two are left out
-            r = F.try_divide(F.regr_sxy(b, a), F.sqrt(F.regr_sxx(b, a)) * F.sqrt(F.regr_syy(b, a)))
-            n = F.regr_count(b, a)
-            aggregates.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"), n.alias("n")))
-        parts.append(df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows")))
-    return reduce(DataFrame.unionByName, parts, df.sparkSession.createDataFrame([], "x string, y string, r double, n bigint"))
+        for i, j in pairs[start : start + PAIRS_AT_ONCE]:
+            a, b = F.col(f"v{i}"), F.col(f"v{j}")
+            both = (a * b).isNotNull()
+            sums = [F.sum(F.when(both, v)).alias(name) for name, v in (("a", a), ("b", b), ("ab", a * b), ("aa", a * a), ("bb", b * b))]
+            aggregates.append(F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.count(a * b).alias("n"), *sums))
+        parts.append(centred.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows")))
+    found = reduce(DataFrame.unionByName, parts)
+    spread = {v: F.col(v * 2) - F.try_divide(F.col(v) * F.col(v), F.col("n")) for v in "ab"}
+    spread = {v: F.when(s > F.col(v * 2) * 1e-12, s) for v, s in spread.items()}
+    r = F.try_divide(F.col("ab") - F.try_divide(F.col("a") * F.col("b"), F.col("n")), F.sqrt(spread["a"]) * F.sqrt(spread["b"]))
+    return found.select("x", "y", r.alias("r"), "n")

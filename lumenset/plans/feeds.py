@@ -1,5 +1,6 @@
 """Queries of the dashboard feeds, the quality report and the page jobs."""
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def filtered_orders(spark, folder):
     chosen = f.apply_filters(
         orders,
         isin={"o_orderpriority": ["1-URGENT", "2-HIGH"], "o_orderstatus": ["O", "F"]},
-        between={"o_totalprice": (50_000.0, 300_000.0), "o_custkey": (10, None)},
+        between={"o_totalprice": (50_000.0, 300_000.0), "o_custkey": (10, None), "o_orderdate": (datetime(1993, 5, 1), datetime(1997, 12, 31))},
     )
     return _rounded(f.kpis(chosen, ["o_totalprice"]), "total", "mean")
 
@@ -109,7 +110,7 @@ FILTERED_ORDERS = """
 select 'o_totalprice' as measure, count(*) as n, round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 2) as mean,
        min(o_totalprice) as min, max(o_totalprice) as max
 from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus in ('O', 'F')
-  and o_totalprice between 50000 and 300000 and o_custkey >= 10"""
+  and o_totalprice between 50000 and 300000 and o_custkey >= 10 and o_orderdate between timestamp '1993-05-01' and timestamp '1997-12-31'"""
 
 PAIRED = ["l_extendedprice", "l_discount", "l_quantity", "l_linenumber", "fixed"]
 

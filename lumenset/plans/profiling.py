@@ -69,7 +69,7 @@ TEXTS = {
     "conversations": ["role", "text"],
     "customer": ["c_name", "c_mktsegment"],
 }
-KEYS = {"documents": "doc_id", "orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey"}
+KEYS = {"documents": ["doc_id"], "orders": ["o_orderkey"], "part": ["p_partkey"], "conversations": ["conv_id", "turn"], "customer": ["c_custkey"]}
 
 
 def _per_table(spark, folder, tables, job):
@@ -116,7 +116,7 @@ def first_texts(spark, folder):
 def _examples(t, c):
     return f"""
     select '{t}' as table_name, '{c}' as "column", cast(to_json(list(v order by seen)) as varchar) as example_values from (
-        select {c} as v, min({KEYS[t]}) as seen from {t} where {c} is not null group by {c} order by seen limit 3)
+        select {c} as v, min(({", ".join(KEYS[t])})) as seen from {t} where {c} is not null group by {c} order by seen limit 3)
     where (select count(distinct {c}) from {t}) >= 10 having count(*) > 0"""
 
 

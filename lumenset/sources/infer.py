@@ -43,17 +43,20 @@ CASTS = {"bigint": as_integer, "double": as_double, "boolean": as_boolean, "stri
 KINDS = ["bigint", "double", "boolean", "string"]
 
 
-def _kind(text: Column) -> Column:
+def _kind(text: Column, rest: Column) -> Column:
     """Place in :data:`KINDS` of the narrowest type of one value, null for a missing value.
 
-    Most texts are told by their first character, before any pattern is tried.
+    ``rest`` is the text without its digits. It tells plain numbers and most other texts; patterns are tried on
+    the few texts that may be numbers of another form, with an exponent or spaces.
     """
-    word = ~text.rlike(r"^\s*[-+.0-9iItTfF]")
-    # a short integer fits without being cast
-    integer = text.rlike(INTEGER) & ((F.length(text) <= 18) | text.try_cast("bigint").isNotNull())
-    place = F.when(text.isNull(), None).when(word, KINDS.index("string")).when(integer, KINDS.index("bigint"))
-    place = place.when(text.rlike(DOUBLE), KINDS.index("double")).when(as_boolean(text).isNotNull(), KINDS.index("boolean"))
-    return place.otherwise(KINDS.index("string"))
+    signed = rest.isin("+", "-", "+.", "-.") & F.substring(text, 1, 1).isin("+", "-")
+    plain = (F.length(rest) < F.length(text)) & (rest.isin("", ".") | signed)
+    fits = (F.length(text) <= 18) | text.try_cast("bigint").isNotNull()
+    other = F.length(F.translate(rest, "+-.eE \t\n\r\f\x0binfINFtyTY", "")) == 0
+    bigint, double, string = (F.lit(KINDS.index(k)) for k in ("bigint", "double", "string"))
+    place = F.when(text.isNull(), None).when(plain & F.contains(rest, F.lit(".")), double).when(plain, F.when(fits, bigint).otherwise(double))
+    place = place.when(as_boolean(text).isNotNull(), F.lit(KINDS.index("boolean"))).when(~other, string)
+    return place.when(text.rlike(INTEGER) & fits, bigint).when(text.rlike(DOUBLE), double).otherwise(string)
 
 
 def fit_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
@@ -81,7 +84,9 @@ def fit_types_by(df: DataFrame, key: str, columns: list[str]) -> dict[str, dict[
 
 
 def _tests(df: DataFrame, columns: list[str], *carried: Column) -> tuple[DataFrame, list[Column]]:
-    kinds = df.select(*carried, *[_kind(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns)])
+    texts = [t for i, c in enumerate(columns) for t in (quoted(c).alias(f"t{i}"), F.translate(quoted(c), "0123456789", "").alias(f"r{i}"))]
+    cells = df.select(*carried, *texts)
+    kinds = cells.select(*cells.columns[: len(carried)], *[_kind(F.col(f"t{i}"), F.col(f"r{i}")).alias(f"k{i}") for i in range(len(columns))])
     return kinds, [F.count(F.lit(1)), *[t for i in range(len(columns)) for t in (F.count(f"k{i}"), F.min(f"k{i}"), F.max(f"k{i}"))]]
 
 
