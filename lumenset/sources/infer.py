@@ -15,6 +15,8 @@ MISSING = [
 # The texts read as booleans.
 TRUE_TEXTS, FALSE_TEXTS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
+# Texts of more characters are told by patterns alone, which fail at their first letter.
+LONG = 40
 # Number texts. The match comes first: a failing cast is slow, and casts take forms such as "5d" too.
 INTEGER = r"^\s*[+-]?\d+\s*$"
 DOUBLE = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
@@ -46,8 +48,8 @@ KINDS = ["bigint", "double", "boolean", "string"]
 def _kind(text: Column, rest: Column) -> Column:
     """Place in :data:`KINDS` of the narrowest type of one value, null for a missing value.
 
-    ``rest`` is the text without its digits. It tells plain numbers and most other texts; patterns are tried on
-    the few texts that may be numbers of another form, with an exponent or spaces.
+    ``rest`` is the text without its digits, null for long texts. It tells plain numbers and most other texts; patterns are
+    tried on long texts and the few that may be numbers of another form, with an exponent or spaces.
     """
     signed = rest.isin("+", "-", "+.", "-.") & F.substring(text, 1, 1).isin("+", "-")
     plain = (F.length(rest) < F.length(text)) & (rest.isin("", ".") | signed)
@@ -84,7 +86,8 @@ def fit_types_by(df: DataFrame, key: str, columns: list[str]) -> dict[str, dict[
 
 
 def _tests(df: DataFrame, columns: list[str], *carried: Column) -> tuple[DataFrame, list[Column]]:
-    texts = [t for i, c in enumerate(columns) for t in (quoted(c).alias(f"t{i}"), F.translate(quoted(c), "0123456789", "").alias(f"r{i}"))]
+    rest = lambda text: F.when(F.length(text) <= LONG, F.translate(text, "0123456789", ""))
+    texts = [t for i, c in enumerate(columns) for t in (quoted(c).alias(f"t{i}"), rest(quoted(c)).alias(f"r{i}"))]
     cells = df.select(*carried, *texts)
     kinds = cells.select(*cells.columns[: len(carried)], *[_kind(F.col(f"t{i}"), F.col(f"r{i}")).alias(f"k{i}") for i in range(len(columns))])
     return kinds, [F.count(F.lit(1)), *[t for i in range(len(columns)) for t in (F.count(f"k{i}"), F.min(f"k{i}"), F.max(f"k{i}"))]]
