@@ -4,6 +4,10 @@ Every element gets its characters per tag, lowered for characters and tags in li
 have the largest sum of densities is the centre of the page; the least density on its path up to the body is
 the threshold. From the body down, every element at or above the threshold contributes its subtree of maximum density sum.
 
+Sparser parts (titles, leads, short sections) come with it: of every article element that holds a chosen subtree, all is returned, and of
+the main element around the centre if no article is. Without either, the highest element around the centre in which no
+other block of blocks is dense gives every block that is not mostly links. Headings beside a chosen subtree are returned, too.
+
 Elements that are boilerplate by their tag, role or class name (menus, footers, adverts, forms, comments) are
 left out before densities are computed. A page is read in one pass inside a task; pages are never shuffled.
 """
@@ -44,6 +48,7 @@ CLOSE_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("table td th caption button html body".split())
 
 TAG = re.compile(
@@ -146,6 +151,42 @@ class _Page:
                 at = end.start() if end else len(source)
         self._text(source[at:])
 
+    def _enclosing(self, tag: str) -> list[int]:
+        """For every element the outermost of this tag around it, itself included; 0 if there is none."""
+        found = [0] * len(self.tags)
+        for node in range(1, len(found)):
+            found[node] = found[self.parents[node]] or (node if self.tags[node] == tag else 0)
+        return found
+
+    def _root(self, top: int, body: int, candidate: list[bool], total: list[float]) -> int:
+        """The highest element around the centre in which no other block of blocks is dense."""
+        before = [0]  # such blocks among the elements before each
+        for node in range(len(self.tags)):
+            before.append(before[-1] + (candidate[node] and total[node] > 0.0))
+        node = top
+        while node != body and node:
+            parent = self.parents[node]
+            if before[node] - before[parent + 1] or before[self.ends[parent]] - before[self.ends[node]]:
+                break
+            node = parent
+        return node
+
+    def _light(self, root: int) -> list[bool]:
+        """Which elements below the root stand in a block whose own text is not mostly links."""
+        n = len(self.tags)
+        block, in_link, own, linked = list(range(n)), [False] * n, [0] * n, [0] * n
+        for node in range(root + 1, self.ends[root]):
+            parent = self.parents[node]
+            in_link[node] = self.tags[node] == "a" or in_link[parent]
+            if self.tags[node] in INLINE:
+                block[node] = block[parent]
+        for node, text in self.pieces:
+            if text and root <= node < self.ends[root] and not self.out[node]:
+                size = len("".join(text.split()))
+                own[block[node]] += size
+                linked[block[node]] += size * in_link[node]
+        return [root <= b < self.ends[root] and 2 * linked[b] <= own[b] for b in block]
+
     def content(self) -> list[bool]:
         """Which elements belong to the article."""
         n = len(self.tags)
@@ -192,12 +233,29 @@ class _Page:
         while node != body and node:
             node = self.parents[node]
             least = min(least, density[node])
+        candidate = [False] * n
         chosen = [False] * n
         for node in range(body, self.ends[body]):
             if not self.out[node] and chars[node] and density[node] >= least and self.tags[node] not in INLINE:
+                candidate[node] = True
                 chosen[best[node]] = True
+        # parts that are less dense belong to the article, too: an article that holds a chosen element comes whole
+        around, main = self._enclosing("article"), self._enclosing("main")[top]
+        for node in range(n):
+            if chosen[node]:
+                chosen[around[node] or node] = True
+        light = [False] * n
+        if main and not around[top]:
+            chosen[main] = True
+        elif not around[top]:
+            light = self._light(self._root(top, body, candidate, total))
+        beside = {self.parents[node] for node in range(1, n) if chosen[node]}
+        for node in range(1, n):
+            if self.tags[node] in HEADINGS and self.parents[node] in beside and 2 * links[node] <= chars[node]:
+                chosen[node] = True
         for node in range(1, n):
             chosen[node] = chosen[node] or chosen[self.parents[node]]
+        chosen = [c or x for c, x in zip(chosen, light)]
         return chosen
 
     def text(self) -> str:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import types as T
 
@@ -32,6 +34,32 @@ def test_pages(page, want):
     assert article_text(None if page is None else page.encode()) == want
 
 
+def paragraphs(n, size, word):
+    return " ".join(f"<p>{i} {(word + ' ') * (size // (len(word) + 1))}</p>" for i in range(n))
+
+
+MENU = "<nav><a href=1>One</a> <a href=2>Two</a></nav>"
+HEAD, LEAD = "<h1>A title of thirty characters</h1>", paragraphs(1, 200, "lead")
+LONG, SHORT = paragraphs(10, 200, "long"), paragraphs(3, 90, "short")
+
+
+@pytest.mark.parametrize(
+    "before, article, after",
+    [
+        (f"<body>{MENU}<article>", f"{HEAD}<section>{LONG}</section><section>{SHORT}</section>", "</article></body>"),
+        (f"<body>{MENU}<article>", f"{HEAD}{LEAD}<div>{LONG}</div>", "</article></body>"),
+        (f"<body>{MENU}<main>", f"{HEAD}<div>{LONG}</div><div>{SHORT}</div>", "</main></body>"),
+        ("<body><main><article>", f"{HEAD}<div>{LONG}</div></article><article>{HEAD}<div>{LONG}</div>{SHORT}", "</article></main></body>"),
+        # neither article nor main
+        ("<body><div>", f"{HEAD}{LEAD}<div>{LONG}</div>", f"</div>{MENU}</body>"),
+        ("<body>", f"{HEAD}<div>{LONG}</div><div>{paragraphs(8, 200, 'more')}</div>", "</body>"),
+    ],
+)
+def test_articles_come_whole(before, article, after):
+    want = " ".join(re.sub(r"<[^>]*>", " ", article).split())
+    assert article_text((before + article + after).encode()) == want
+
+
 def test_very_long_and_very_deep_pages():
     assert article_text(("<p>" + "word " * 300_000).encode()).count(" ") == 299_999
     assert article_text(("<div>" * 5000 + STORY + "</div>" * 5000).encode()) == TEXT
