@@ -8,8 +8,9 @@ Sparser parts (titles, leads, short sections) come with it: of every article ele
 the main element around the centre if no article is. Without either, the highest element around the centre in which no
 other block of blocks is dense gives every block that is not mostly links. Headings beside a chosen subtree are returned, too.
 
-Elements that are boilerplate by their tag, role or class name (menus, footers, adverts, forms, comments) are
-left out before densities are computed. A page is read in one pass inside a task; pages are never shuffled.
+Elements that are boilerplate by their tag or role (menus, footers, forms) are left out before densities are computed. So are those whose
+class name or id is made of the words of NAMES, unless they hold the article or, but for words such as comments and adverts, text that is
+dense and poor in links (see _cut_named). A page is read in one pass inside a task; pages are never shuffled.
 """
 
 import html
@@ -39,6 +40,21 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs footer footnav masthead toolbar pagination pager comment comments commentlist respond reply replies disqus discussion "
     "share sharing social related recommended recommendations skip skiplink hidden".split()
 )
+# names of what is never part of an article, however long it is
+FIRM = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr popup modal newsletter subscribe signup login "
+    "breadcrumb breadcrumbs footer footnav pagination pager comment comments commentlist respond reply replies disqus skiplink hidden".split()
+)
+# names that parts of an article may have as well
+OPEN = frozenset(
+    "notice notices overlay subscription widget widgets promotion social share sharing related recommended recommendations discussion consent skip".split()
+)
+# words that leave the meaning of a name beside them as it is
+NEUTRAL = frozenset(
+    "area list box block section container wrap wrapper item items link links bar form button buttons icon icons title row inner text left right top "
+    "bottom primary secondary site post posts entry stories thread wp count".split()
+)
+PARTIAL, OPEN_NAME, LAYOUT_NAME, FIRM_NAME = 1, 2, 3, 4
 # a start tag of the key ends an open element of these tags, up to the nearest element of the bounds
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -58,20 +74,32 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _name_of(token: str) -> int:
+    """What a class name or id says: 0 nothing, PARTIAL if only a part of it is a name of boilerplate, else the firmest of its names."""
+    parts = {p.lower() for p in PARTS.findall(token)}
+    names = parts & NAMES
+    if not names:
+        return 0
+    if parts - names - NEUTRAL:
+        return PARTIAL
+    return FIRM_NAME if names & FIRM else LAYOUT_NAME if names - OPEN else OPEN_NAME
+
+
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is boilerplate whatever it holds, and what its names say."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True
+        return True, 0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, 0
     found = {}
     for name, value in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), value.strip("\"'"))
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return True, 0
     if found.get("role", "").lower() in ROLES:
-        return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return any(p.lower() in NAMES for p in PARTS.findall(names))
+        return True, 0
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return False, max(map(_name_of, names), default=0)
 
 
 class _Page:
@@ -79,11 +107,14 @@ class _Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.ends, self.out, self.own = ["#page"], [0], [0], [False], [0]
+        self.named, self.inside = [0], [False]  # what names say, and whether an article or main is around
         self.pieces = []  # (element, text) and (element, None) at the edge of a block
         self.stack = [0]
         self._read(source)
         self._pop_to(0)
         self.ends[0] = len(self.tags)
+        if any(self.named):
+            self._cut_named()
 
     def _pop_to(self, depth: int):
         while len(self.stack) > depth + 1:
@@ -110,11 +141,14 @@ class _Page:
                     break
         parent = stack[-1]
         node = len(tags)
-        in_article = any(tags[n] in ("article", "main") for n in stack)
+        in_article = self.inside[parent] or tags[parent] in ("article", "main")
         tags.append(tag)
         self.parents.append(parent)
         self.ends.append(node + 1)
-        self.out.append(self.out[parent] or _is_boilerplate(tag, attributes, in_article))
+        out, named = _boilerplate(tag, attributes, in_article)
+        self.out.append(self.out[parent] or out)
+        self.named.append(named)
+        self.inside.append(in_article)
         if tag not in INLINE:
             self.pieces.append((node, None))
         if tag not in VOID:
@@ -151,6 +185,62 @@ class _Page:
                 at = end.start() if end else len(source)
         self._text(source[at:])
 
+    def _counts(self) -> tuple[list[int], list[int], list[int], list[int], int]:
+        """Of every element its characters, those in links, its tags and links, and which element is the body."""
+        n = len(self.tags)
+        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        in_link = [False] * n
+        for node in range(1, n):
+            in_link[node] = self.tags[node] == "a" or in_link[self.parents[node]]
+        for node, text in self.pieces:
+            if text and not self.out[node]:
+                size = len("".join(text.split()))
+                chars[node] += size
+                if in_link[node]:
+                    links[node] += size
+        for node in range(n - 1, 0, -1):
+            if not self.out[node]:
+                parent = self.parents[node]
+                chars[parent] += chars[node]
+                links[parent] += links[node]
+                tags[parent] += tags[node] + 1
+                link_tags[parent] += link_tags[node] + (self.tags[node] == "a")
+        body = next((i for i, t in enumerate(self.tags) if t == "body"), 0)
+        if not chars[body]:
+            body = 0
+        return chars, links, tags, link_tags, body
+
+    def _cut_named(self):
+        """Leave out what its names call boilerplate, unless what it holds tells otherwise."""
+        n = len(self.tags)
+        chars, links, tags, _, body = self._counts()
+        plain = [c - x for c, x in zip(chars, links)]
+        articles, mains = [0] * n, [0] * n  # inside each
+        for node in range(n - 1, 0, -1):
+            if not self.out[node] and chars[node]:
+                parent = self.parents[node]
+                articles[parent] += articles[node] + (self.tags[node] == "article")
+                mains[parent] += mains[node] + (self.tags[node] == "main")
+
+        def is_cut(node: int) -> bool:
+            named, light = self.named[node], 2 * links[node] <= chars[node]
+            most = 2 * plain[node] > plain[body]
+            # as many characters per tag as a half of the page's, a quarter inside an article
+            share = 4 if self.inside[node] else 2
+            dense = share * chars[node] * max(tags[body], 1) >= chars[body] * max(tags[node], 1)
+            if mains[node] or articles[node] and (named == PARTIAL or named < FIRM_NAME and most or articles[node] == articles[0]):
+                return False
+            if self.tags[node] in HEADINGS:
+                return named > OPEN_NAME
+            if named == PARTIAL:
+                return not most and not (light and (dense or self.inside[node]))
+            if named == OPEN_NAME:
+                return not (light and dense)
+            return named == FIRM_NAME or not (light and most)
+
+        for node in range(1, n):
+            self.out[node] = self.out[node] or self.out[self.parents[node]] or self.named[node] > 0 and is_cut(node)
+
     def _enclosing(self, tag: str) -> list[int]:
         """For every element the outermost of this tag around it, itself included; 0 if there is none."""
         found = [0] * len(self.tags)
@@ -190,26 +280,7 @@ class _Page:
     def content(self) -> list[bool]:
         """Which elements belong to the article."""
         n = len(self.tags)
-        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
-        for node in range(1, n):
-            in_link[node] = self.tags[node] == "a" or in_link[self.parents[node]]
-        for node, text in self.pieces:
-            if text and not self.out[node]:
-                size = len("".join(text.split()))
-                chars[node] += size
-                if in_link[node]:
-                    links[node] += size
-        for node in range(n - 1, 0, -1):
-            if not self.out[node]:
-                parent = self.parents[node]
-                chars[parent] += chars[node]
-                links[parent] += links[node]
-                tags[parent] += tags[node] + 1
-                link_tags[parent] += link_tags[node] + (self.tags[node] == "a")
-        body = next((i for i, t in enumerate(self.tags) if t == "body"), 0)
-        if not chars[body]:
-            body = 0
+        chars, links, tags, link_tags, body = self._counts()
         link_share = links[body] / max(chars[body], 1)
         density = [0.0] * n
         for node in range(n):

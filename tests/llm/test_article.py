@@ -60,6 +60,36 @@ def test_articles_come_whole(before, article, after):
     assert article_text((before + article + after).encode()) == want
 
 
+SIDE = f"<div class='sidebar'><p>Other stories.</p>{MENU}</div>"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "sidebar", "widget-container", "overlay"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_with_names_of_boilerplate(name, tag):
+    want = " ".join(re.sub(r"<[^>]*>", " ", HEAD + LONG).split())
+    assert article_text(f"<body>{MENU}<div class='{name}'><{tag}>{HEAD}{LONG}</{tag}>{SIDE}</div></body>".encode()) == want
+    if name.count("-"):  # no article element, but most of the text
+        assert article_text(f"<body>{MENU}<div class='{name}'><div>{HEAD}{LONG}</div>{SIDE}</div></body>".encode()) == want
+
+
+def test_article_parts_with_names_of_boilerplate():
+    parts = (f"{HEAD}{LONG}<h2 id='related-work'>Related work</h2>{LEAD}<h2 id='social-effects'>Social effects</h2>{LEAD}"
+             f"<p class='notice-period'>Three months.</p><section id='discussion'><h2>Discussion</h2>{SHORT}</section>")
+    rest = (f"<div class='share-buttons'>Share</div><div class='related-posts'><ul><li><a href=x>Another story</a></ul></div><h2 id='comments'>Comments</h2>"
+            f"<section class='comments-list'><article>{paragraphs(30, 200, 'comment')}</article></section>")
+    want = " ".join(re.sub(r"<[^>]*>", " ", parts).split())
+    assert article_text(f"<body><article>{parts}{rest}</article></body>".encode()) == want
+    # comments that hold most of the text, in articles of their own
+    page = f"<body><article>{HEAD}{LEAD}</article><div id='comments'><article>{paragraphs(30, 200, 'comment')}</article></div></body>"
+    assert article_text(page.encode()) == " ".join(re.sub(r"<[^>]*>", " ", HEAD + LEAD).split())
+
+
+def test_paragraphs_in_blocks_named_widgets():
+    blocks = [f"<div class='elementor-widget elementor-widget-text-editor'>{paragraphs(1, 200, w)}</div>" for w in ("one", "two", "three")]
+    want = " ".join(re.sub(r"<[^>]*>", " ", " ".join(blocks)).split())
+    assert article_text(f"<body>{MENU}{' '.join(blocks)}</body>".encode()) == want
+
+
 def test_very_long_and_very_deep_pages():
     assert article_text(("<p>" + "word " * 300_000).encode()).count(" ") == 299_999
     assert article_text(("<div>" * 5000 + STORY + "</div>" * 5000).encode()) == TEXT
