@@ -93,10 +93,11 @@ CSV_MANY_HEADERS = "select o_orderkey, o_custkey, case when o_orderkey % 3 < 2 t
 
 
 def json_mixed_list(spark, folder):
-    """Documents that are lists of plain values, one per order status; the list that also holds an object is refused."""
+    """Documents that are lists of plain values, one per order status and thousand order keys; the list that also holds an object is refused."""
     path = scratch_path(spark, "documents")
     keys = F.to_json(F.sort_array(F.collect_list("o_orderkey")))
-    read(spark, folder, "orders").groupBy("o_orderstatus").agg(keys.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    part = F.floor(F.col("o_orderkey") / 1000).alias("part")
+    read(spark, folder, "orders").groupBy("o_orderstatus", part).agg(keys.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     rows = read_json_documents(spark, path).drop(ROW_ID)
     mixed = read(spark, folder, "region").agg(F.concat(F.lit("[1,"), F.max(F.to_json(F.struct("r_name"))), F.lit("]")).alias("value"))
     why = mixed.select(document_problem(F.parse_json("value"))).first()[0]

@@ -11,7 +11,7 @@ from lumenset.operators.clean import fit_clean
 from lumenset.operators.markup import audit_html, repair_html
 from lumenset.operators import quality
 from lumenset.operators.clean_by import clean_by
-from lumenset.plans import all_queries
+from lumenset.plans import all_queries, sources
 from lumenset.plans.tables import read
 
 SMALL = "/root/testdata/sf0.001"
@@ -112,3 +112,11 @@ def test_a_fit_keeps_no_copy_of_the_table(spark):
     before = len(spark.sparkContext._jsc.getPersistentRDDs())
     fit_clean(events, "event_id", direct_rows=100)
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_documents_of_plain_values_have_bounded_size(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(sources, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    sources.json_mixed_list(spark, sf_dir)
+    documents = spark.read.option("wholetext", True).text(f"{tmp_path}/documents")
+    lengths = [r[0] for r in documents.selectExpr("size(from_json(value, 'array<bigint>'))").collect()]
+    assert sum(lengths) == read(spark, sf_dir, "orders").count() and max(lengths) <= 1000
