@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .frames import binary, bound_batches, opened, packed, stored, text_rows, unpacked
 from .words import as_long, encoded, hash_words, mix, window_hashes
 
-PIECE = 64  # a path of n edges from word s is written s * PIECE + n
-
 
 def paths_of(words: np.ndarray, counts: np.ndarray, window: int, anchor: int):
     """Of all texts: anchor hash, context hash, first word within the text, number of edges, and text of each path."""
@@ -67,6 +65,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others. Repeated rows repeat their windows, so both lose them. An empty table gives none.
     """
     bound_batches(docs.sparkSession)
+    factor = window - anchor + 2  # a path of n edges, at most window - anchor + 1, from word s is written s * factor + n
     rows = text_rows(docs, id_col, text_col)
 
     def cut(batches):
@@ -75,7 +74,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             words, counts = hash_words(texts)
             anchors, contexts, start, n, text = paths_of(words, counts, window, anchor)
             keys = row_keys(batch["_id"].to_pylist(), texts)
-            columns = [as_long(anchors), as_long(contexts), as_long(keys[text]), start * PIECE + n]
+            columns = [as_long(anchors), as_long(contexts), as_long(keys[text]), start * factor + n]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "context", "row", "piece"])
 
     paths = rows.select("_id", "_text").mapInArrow(cut, "anchor long, context long, row long, piece long")
@@ -100,9 +99,9 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             anchors, pieces = (asked.field(c).to_numpy() for c in ("anchor", "piece"))
             known = asked.field("known").to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(len(counts)), many)
-            n = pieces % PIECE
+            n = pieces % factor
             edge = np.repeat(np.arange(len(pieces)), n)
-            within = (pieces // PIECE)[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
+            within = (pieces // factor)[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
             hashes = window_hashes(words, (np.cumsum(counts) - counts)[text[edge]] + within, window)
             keys = batch["_row"].to_numpy()[text[edge]]
             columns = [pa.array(c, pa.int64()) for c in (anchors[edge], as_long(hashes), keys, within)]
@@ -114,7 +113,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "edge")
     twice = stored(twice, "edges")
     single = edges.filter("not known").join(twice, ["anchor", "edge"], "left_semi")
-    single = single.select("row", (F.col("at") * PIECE + 1).alias("piece"))
+    single = single.select("row", (F.col("at") * factor + 1).alias("piece"))
     gone = whole.unionByName(single).groupBy(F.col("row").alias("_of")).agg(F.collect_list("piece").alias("_gone"))
     joined = texts.join(gone, texts["_row"] == gone["_of"], "left").drop("_of", "_row")
     rest = rows.schema["_rest"]
@@ -132,7 +131,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 words = (text or b"").split()
                 n_words.append(len(words))
                 if len(piece):
-                    start, n = piece // PIECE, piece % PIECE
+                    start, n = piece // factor, piece % factor
                     steps = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(steps, start, 1)
                     np.add.at(steps, start + n + window - 1, -1)

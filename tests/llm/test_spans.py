@@ -36,6 +36,13 @@ def test_branching_passages(spark):
     assert got(out) == sorted(spans.kept_by_brute_force(docs, 12), key=str)
 
 
+def test_wide_windows_have_long_paths(spark):
+    shared = words(21, 900)
+    docs = [(i, f"{words(200 + i, 50 * i)} {shared if i % 2 else ''} {words(300 + i, 120)}") for i in range(8)]
+    out = spans.drop_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), window=120)
+    assert got(out) == sorted(spans.kept_by_brute_force(docs, 120), key=str)
+
+
 def test_columns_stay_and_an_empty_table_gives_none(spark):
     docs = documents(spark)
     out = spans.drop_repeated_spans(docs)
