@@ -66,6 +66,23 @@ def test_rules_hold_on_held_out_documents(spark):
     assert rules.keep_good(docs.filter(held_out), learned).count() == sum(r.kept for r in judged)
 
 
+def test_a_region_of_wrong_labels_does_not_end_the_list(spark):
+    draw = random.Random(3)
+    rows = []
+    for i in range(3000):
+        ratios = {n: draw.random() for n in rules.RATIOS}
+        noisy, clean = i % 5 == 0, i % 10 == 1
+        ratios["symbols_per_word"] += 2 * noisy
+        ratios["capitals_per_char"] += 2 * clean
+        rows.append(((noisy and draw.random() > 0.1) or clean, int(draw.random() < 1 / 3), *ratios.values()))
+    names = ["bad", "half", *rules.RATIOS]
+    learned = rules.learn(spark.createDataFrame(rows, names))
+    rejected = [r for r in rows if any(all((dict(zip(names, r))[c.statistic] > c.threshold) == c.above for c in rule) for rule in learned.rules)]
+    clean = [r for r in rows if dict(zip(names, r))["capitals_per_char"] > 2]
+    assert sum(r in rejected for r in clean) > 0.95 * len(clean)
+    assert sum(r[0] for r in rejected) >= 0.98 * len(rejected)
+
+
 def test_a_bounded_sample_gives_the_same_every_time(spark):
     docs, labels = labelled(spark)
     first = rules.fit_rules(docs, labels, sample=400)
