@@ -13,7 +13,7 @@ from ..operators.clean_by import clean_by
 from ..session import ROW_ID
 from ..sources.csv import BAD, FILE, TOO_LONG, file_headers, read_csv_fields
 from ..sources.infer import cast_types, fit_types_by
-from ..sources.json import KEY, column_type, document_problem, flatten_keyed_json, members_of
+from ..sources.json import KEY, MAX_FIELDS, column_type, document_problem, flatten_keyed_json, members_of
 from ..sources.sinks import write_table
 from ..sources.uploads import MAX_BYTES, check_uploads
 
@@ -53,6 +53,11 @@ def _json_tables(spark: SparkSession, paths: list[str], problems: dict[str, str]
         problems[row[FILE]] = row["why"]
     good = [p for p in paths if p not in problems]
     documents = documents.filter(F.col(FILE).isin(good))
+    names = flatten_keyed_json(documents, "_text", {}).select(FILE, F.explode(F.map_keys(members_of(F.col("_row")))).alias("field"))
+    for row in names.groupBy(FILE).agg(F.count_distinct("field").alias("n")).filter(F.col("n") > MAX_FIELDS).collect():
+        problems[row[FILE]] = f"the objects have more than {MAX_FIELDS} fields"
+    good = [p for p in good if p not in problems]
+    documents = documents.filter(F.col(FILE).isin(good))
     items = flatten_keyed_json(documents, "_text", {})
     fields = items.select(FILE, F.explode(members_of(F.col("_row"))).alias("field", "value"), F.col(KEY).isNotNull().alias("keyed"))
     present = F.count_if(~F.coalesce(F.is_variant_null("value"), F.lit(True)))
@@ -102,8 +107,8 @@ def ingest_stream(
     ``sink/rows`` gets the cleaned rows, one folder per dataset in the format of its file; ``sink/datasets`` a row of the
     dataset table per file, ids in the order of the paths; ``sink/rejected`` (file, reason) for each that can't be taken in.
     All are written under the batch number, so a batch that is run again replaces what it wrote before.
-    At most ``files_per_batch`` files are handled at a time; per file, a few scalars come to the driver. Files without a byte
-    are passed over.
+    At most ``files_per_batch`` files are handled at a time; per file, a few scalars and at most MAX_FIELDS field names come to the
+    driver; a JSON file of more fields is set aside. Files without a byte are passed over.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:

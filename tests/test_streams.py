@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenset.plans.tables import read
+from lumenset.streaming import ingest
 from lumenset.streaming.ingest import ingest_stream
 from lumenset.streaming.quota import over_quota, quota_violations, run_quota_stream
 
@@ -93,3 +94,15 @@ def test_files_are_cleaned_apart_and_taken_in_once(spark, folder):
     put("c.csv", header + "7,1,z,none\n")
     later, _ = run()
     assert (later["c.csv"].n_rows, later["c.csv"].n_columns) == (1, 6) and later["c.csv"].id > max(r.id for r in known.values())
+
+
+def test_a_file_of_too_many_fields_is_set_aside(spark, folder, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_FIELDS", 5, raising=False)
+    os.makedirs(folder + "/drop")
+    for name, text in (("ids.json", "{" + ",".join(f'"{i}":{i}' for i in range(6)) + "}"), ("good.json", '[{"a":1,"b":2},{"c":3,"d":4,"e":5}]')):
+        with open(f"{folder}/drop/{name}", "w") as f:
+            f.write(text)
+    ingest_stream(spark, folder + "/drop", folder + "/sink", folder + "/state", user_id=7).awaitTermination()
+    assert [(r.original_filename, r.n_rows) for r in spark.read.parquet(folder + "/sink/datasets").collect()] == [("good.json", 2)]
+    refused = spark.read.parquet(folder + "/sink/rejected").collect()
+    assert [(r.file.rsplit("/", 1)[-1], r.reason) for r in refused] == [("ids.json", "the objects have more than 5 fields")]
