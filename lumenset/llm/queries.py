@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tables import read
-from . import ann, article, hilbert, lines, mixing, neardup, packing, rules, spans, token_files
+from . import ann, article, hilbert, leaks, lines, middles, mixing, neardup, packing, periods, rules, spans, token_files
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,11 +114,96 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(docs, learned).select(*columns)
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by its id's checksum, with the words from some place on replaced by a repetition of the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, g = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.floor(h / 10)
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    repeated = F.slice(F.concat(F.slice(words, F.lit(1), a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), times))), F.lit(1), n)
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text")))
+
+
+def op11_periods(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = periods.collapse_runs(planted_periods(docs))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines_ = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(lines_, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_middles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    back = middles.restore_middle(middles.fill_in_middle(docs), with_text=False)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.col("sha256").alias("output_sha256"), "restored_sha256")
+
+
+OP12_SQL = r"""
+    with drawn as (
+        select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t,
+               [cast('0x' || substr(sha256('1:' || coalesce(doc_id::varchar, '')), 8 * i + 1, 8) as bigint) for i in range(4)] as h
+        from documents),
+    cut as (
+        select *, least(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) as low, greatest(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) as high,
+               case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 90 then 'plain'
+                    when h[4] % 100 < 20 then 'spm' else 'psm' end as form
+        from drawn),
+    parts as (
+        select *, array_to_string(t[1 : low], '') as p, array_to_string(t[low + 1 : high], '') as m, array_to_string(t[high + 1 : len(t)], '') as s from cut)
+    select doc_id, cast(len(t) as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+           case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+           sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                  else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+           sha256(text) as restored_sha256
+    from parts"""
+
+
+def op13_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+OP13_SQL = r"""
+    with docs as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from documents),
+    items as (
+        select coalesce(item_id::varchar, '') as item_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from benchmark),
+    windows as (
+        select distinct item_id, size, array_to_string(w[i : i + size - 1], ' ') as words
+        from (select *, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0)),
+    sizes as (select distinct size from windows),
+    places as (
+        select doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') as words
+        from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs join sizes on len(w) >= size)),
+    found as (select doc_id, i, places.size, item_id from places join windows using (words)),
+    hits as (
+        select doc_id, count(distinct place) as n_hit
+        from (select doc_id, unnest(range(i, i + size)) as place from (select distinct doc_id, i, size from found)) group by 1),
+    named as (
+        select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+        from (select distinct doc_id, item_id from found) group by 1)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+    from docs left join hits using (doc_id) left join named using (doc_id)"""
+
+
 QUERIES = {
     "op1_ann": op1_ann, "op2_spans": op2_spans, "op3_packing": op3_packing, "op4_token_files": op4_token_files, "op5_neardup": op5_neardup, "op6_hilbert": op6_hilbert,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_article": op9_article, "op10_rules": op10_rules,
+    "op11_periods": op11_periods, "op12_middles": op12_middles, "op13_leaks": op13_leaks,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op2_spans": OP2_SQL, "op5_neardup": OP5_SQL, "op7_lines": OP7_SQL}
+SQL = {"op2_spans": OP2_SQL, "op5_neardup": OP5_SQL, "op7_lines": OP7_SQL, "op12_middles": OP12_SQL, "op13_leaks": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

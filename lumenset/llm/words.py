@@ -1,23 +1,22 @@
 """Words of texts as arrays of 64-bit hashes, inside tasks.
 
-A word is a run of bytes other than space and 0x09-0x0D. Texts are hashed in segments of about a
-megabyte, cut at white space, so memory follows the words of one batch and not the bytes.
+A word is a run of bytes other than space and 0x09-0x0D, or what a given ``split`` makes of a segment. Texts are hashed in
+segments of about a megabyte, cut at white space, so memory follows the words of one batch and not the bytes.
 """
 
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 SEGMENT = 1 << 20
-SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NEXT_SPACE = re.compile(b"[\x20\x09-\x0d]")
 
-_random = np.random.default_rng(20240229)
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+KNOWN_WORDS = 1 << 18
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_IS_WORD = np.ones(256, dtype=bool)
-_IS_WORD[list(SPACES)] = False
 _powers = {}
 
 
@@ -43,49 +42,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _segments(texts: list[bytes]):
-    """Lists of (text number, bytes), about SEGMENT bytes each; long texts are cut at white space."""
-    part, size = [], 0
-    for number, text in enumerate(texts):
-        at = 0
-        if len(text) > SEGMENT and part:
-            yield part
-            part, size = [], 0
-        while len(text) - at > SEGMENT:
-            found = NEXT_SPACE.search(text, at + SEGMENT)
-            end = found.start() if found else len(text)
-            yield [(number, text[at:end])]
-            at = end
-        part.append((number, text[at:] if at else text))
-        size += len(text) - at + 1
-        if size >= SEGMENT:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+class _Hashes(dict):
+    """Cryptographic 64-bit hashes of words; those of frequent words are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
+_hashes = _Hashes()
+
+
+def segments_of(text: bytes, split: Callable[[bytes], list[bytes]] = bytes.split) -> Iterator[list[bytes]]:
+    """The words of a text in lists, one for about a megabyte of it."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        found = NEXT_SPACE.search(text, at + SEGMENT)
+        end = found.start() if found else len(text)
+        yield split(text[at:end])
+        at = end
+    yield split(text[at:] if at else text)
+
+
+def hash_words(texts: list[bytes], split: Callable[[bytes], list[bytes]] = bytes.split) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after the other, and how many each text has."""
     counts = np.zeros(len(texts), dtype=np.int64)
-    hashes = []
-    for part in _segments(texts):
-        raw = np.frombuffer(b" ".join([b"", *(b for _, b in part), b""]), dtype=np.uint8)
-        inside = _IS_WORD[raw]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        start, end = edges[::2], edges[1::2]
-        if not len(start):
-            continue
-        up, down = powers(len(raw))
-        total = np.empty(len(raw) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64, out=total[1:])
-        found = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-        first = np.cumsum([1] + [len(b) + 1 for _, b in part])[:-1]
-        of = np.searchsorted(first, start, side="right") - 1
-        numbers = np.array([n for n, _ in part])
-        counts[numbers[0] : numbers[-1] + 1] += np.bincount(numbers[of] - numbers[0], minlength=numbers[-1] - numbers[0] + 1)
-        hashes.append(found)
+    hashes, get = [], _hashes.__getitem__
+    for number, text in enumerate(texts):
+        for words in segments_of(text, split):
+            counts[number] += len(words)
+            hashes.append(np.fromiter(map(get, words), np.uint64, len(words)))
     return (np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)), counts
 
 

@@ -21,6 +21,13 @@ RESULTS = {
         "doc_id": LONG, "n_words": LONG, "word_chars": LONG, "n_symbols": LONG, "n_dup_lines": LONG, "n_repeat_words": LONG,
         "base_failed": "boolean", "kept": "boolean",
     },
+    "op11_periods": {
+        "doc_id": LONG, "n_runs": LONG, "start": LONG, "length": LONG, "period": LONG, "exponent_milli": LONG, "runs_sha256": TEXT, "collapsed_sha256": TEXT,
+    },
+    "op12_middles": {
+        "doc_id": LONG, "n": LONG, "form": TEXT, "prefix_chars": LONG, "middle_chars": LONG, "output_sha256": TEXT, "restored_sha256": TEXT,
+    },
+    "op13_leaks": {"doc_id": LONG, "n_words": LONG, "n_hit": LONG, "n_items": LONG, "items_sha256": TEXT, "contaminated": "boolean"},
 }
 
 
