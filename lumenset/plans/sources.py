@@ -76,6 +76,24 @@ def csv_multiline(spark, folder):
     return read_csv_table(spark, path).drop(ROW_ID)
 
 
+def csv_split_notes(spark, folder):
+    """Line items with notes over several lines, in files larger than a block: many tasks cut the records of each."""
+    path = scratch_path(spark, "csv")
+    lines = read(spark, folder, "lineitem")
+    note = F.concat(F.lit('"'), "l_returnflag", F.lit('",\n\n'), text("yyyy-MM-dd", "l_shipdate"), F.lit('\nk,"'), F.repeat(F.lit("-\n"), F.col("l_linenumber").cast("int")))
+    broken = F.when(F.col("l_orderkey") % 3 == 0, F.concat("l_returnflag", F.lit(' "plain"'))).otherwise(note)
+    write_table(lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", broken.alias("note"), "l_extendedprice"), path, "csv")
+    return read_csv_table(spark, path).drop(ROW_ID)
+
+
+CSV_SPLIT_NOTES = """
+select l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       case when l_orderkey % 3 = 0 then l_returnflag || ' "plain"'
+            else '"' || l_returnflag || '",' || chr(10) || chr(10) || strftime(l_shipdate, '%Y-%m-%d') || chr(10) || 'k,"' || repeat('-' || chr(10), cast(l_linenumber as bigint)) end as note,
+       l_extendedprice
+from lineitem"""
+
+
 CSV_MULTILINE = """
 select o_orderkey, 'first, ' || chr(10) || o_orderpriority || chr(10) || chr(10) || '"last" line of ' || o_orderkey as note, o_totalprice from orders"""
 
@@ -308,6 +326,7 @@ select page_id, name, length, ext, reason = '' as accepted, reason from r"""
 QUERIES = {
     "csv_orders": csv_orders,
     "csv_multiline": csv_multiline,
+    "csv_split_notes": csv_split_notes,
     "csv_many_headers": csv_many_headers,
     "json_orders": json_orders,
     "json_mixed_list": json_mixed_list,
@@ -325,6 +344,7 @@ QUERIES = {
 SQL = {
     "csv_orders": CSV_ORDERS,
     "csv_multiline": CSV_MULTILINE,
+    "csv_split_notes": CSV_SPLIT_NOTES,
     "csv_many_headers": CSV_MANY_HEADERS,
     "json_orders": JSON_ORDERS,
     "json_mixed_list": JSON_MIXED_LIST,

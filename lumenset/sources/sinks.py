@@ -21,6 +21,8 @@ def write_table(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists",
     if partition_by:
         writer = writer.partitionBy(partition_by)
     if fmt == "csv":
+        # values keep the spaces and line breaks at their ends
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)

@@ -54,7 +54,6 @@ def compare(spark, folder, name):
         return len(rows), seconds, f"SQL types {bad}"
     got, want = rows_of(df.columns, rows), rows_of(names, result.fetchall())
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        extra, missing = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
         return len(rows), seconds, f"{sorted(names)}\n{len(got)} rows, want {len(want)}\nextra {extra}\nmissing {missing}"
     return len(rows), seconds, ""
