@@ -28,6 +28,8 @@ BLOCK = 4_096
 # Columns per block, and how many standard deviations reject a candidate.
 COLUMNS = 16
 SIGNIFICANCE = 2.1
+# Vectors longer than so many times the length that 99 % of vectors have at most are scored exactly, outside the lists.
+OUTSIZE = 8.0
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -41,6 +43,22 @@ def lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([vectors, rest[:, None]])
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, which rank candidates alike; scaled first, so that no square overflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, initial=0.0, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+
+
+def best_exact(queries: np.ndarray, candidates: np.ndarray, k: int):
+    """For each query the places and scores of the k candidates of largest inner product, ties at the end included."""
+    for number, query in enumerate(queries):
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (candidates * query).sum(axis=1)
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+        at = np.flatnonzero(~(scores < least))
+        yield number, at, scores[at]
+
+
 def fit_centroids(vectors: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     """k-means from evenly spread members of the sample."""
     lists = max(1, min(lists, len(vectors)))
@@ -117,7 +135,8 @@ def nearest_neighbours(
     candidates: it probes at least the share ``probes`` of the lists, and more until they hold enough.
 
     Rows without an id, and vectors that are null, empty, zero or of another length than most, or hold null or non-finite components,
-    take no part. Rows that share an id and a vector are one; rows that share an id only are candidates of their own.
+    take no part. Rows that share an id and a vector are one; rows that share an id only are candidates of their own. Vectors far
+    longer than others (``OUTSIZE``) are in no list and are scored exactly for every query; a score beyond doubles is infinite.
     An empty table gives none.
     """
     spark = vectors.sparkSession
@@ -146,21 +165,29 @@ def nearest_neighbours(
     members = rows.select("key", "id").distinct().withColumn("at", F.row_number().over(equal)).filter(F.col("at") <= k + 1)
     members = stored(members.select("key", "id"), "members")
     distinct = stored(rows.dropDuplicates(["key"]).select("key", "v"), "vectors")
-    longest, total = distinct.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count(F.lit(1))).first()
-    sample = distinct.orderBy("key").limit(SAMPLE).collect()
+    # scaled by the largest component, so that no square overflows
+    most = F.array_max(F.transform("v", F.abs))
+    length = most * F.sqrt(F.aggregate(F.transform("v", lambda x: x / most), F.lit(0.0), lambda a, x: a + x * x))
+    measured = distinct.select("key", "v", length.alias("length"))
+    usual = OUTSIZE * measured.agg(F.percentile_approx("length", 0.99, 10_000)).first()[0]
+    longest, total = measured.filter(F.col("length") <= usual).agg(F.max("length"), F.count(F.lit(1))).first()
+    sample = measured.filter(F.col("length") <= usual).orderBy("key").limit(SAMPLE).collect()
     turn = rotation(dims + 1)
     lists = min(MOST_LISTS, max(8, -(-total // ROWS_PER_LIST)))
     centroids = fit_centroids(lengthened(np.array([r["v"] for r in sample]), longest) @ turn, lists)
-    lists = len(centroids)
+    lists = len(centroids)  # the outsize vectors are one more
 
     def to_lists(batches):
         for batch in batches:
             if batch.num_rows:
-                turned = lengthened(_matrix(batch["v"], dims), longest) @ turn
-                yield pa.RecordBatch.from_arrays([batch["key"], batch["v"], pa.array(assign(turned, centroids), pa.int32())], ["key", "v", "list"])
-
-    listed = stored(distinct.mapInArrow(to_lists, "key string, v array<double>, list int"), "lists")
-    sizes = np.zeros(lists, dtype=np.int64)
+                place = np.full(batch.num_rows, lists)
+                own = batch["length"].to_numpy() <= usual
+                if own.any():
+                    place[own] = assign(lengthened(_matrix(batch["v"], dims)[own], longest) @ turn, centroids)
+                yield pa.RecordBatch.from_arrays([batch["key"], batch["v"], pa.array(place, pa.int32())], ["key", "v", "list"])
+
+    listed = stored(measured.mapInArrow(to_lists, "key string, v array<double>, list int"), "lists")
+    sizes = np.zeros(lists + 1, dtype=np.int64)
     for r in listed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["count"]
     row_blocks = np.maximum(1, -(-sizes // BLOCK))
@@ -169,11 +196,13 @@ def nearest_neighbours(
         for batch in batches:
             if batch.num_rows:
                 # a query has the length 0 in the added coordinate
-                turned = np.hstack([_matrix(batch["v"], dims), np.zeros((batch.num_rows, 1))]) @ turn
+                turned = np.hstack([unit(_matrix(batch["v"], dims)), np.zeros((batch.num_rows, 1))]) @ turn
                 order = np.argsort(distances(turned, centroids), axis=1, kind="stable")
+                if sizes[lists]:  # all ask for the outsize vectors, and first
+                    order = np.hstack([np.full((batch.num_rows, 1), lists), order])
                 held = np.cumsum(sizes[order], axis=1)
                 most = np.maximum(np.ceil(probes * lists), 1 + (held < k + 1).sum(axis=1)).astype(int)
-                most = np.minimum(most, lists)
+                most = np.minimum(most, order.shape[1])
                 of = np.repeat(np.arange(batch.num_rows), most)
                 to = np.concatenate([o[:m] for o, m in zip(order, most)])
                 # the nearest lists that hold k + 1 vectors
@@ -182,11 +211,11 @@ def nearest_neighbours(
 
     questions = stored(asked.dropDuplicates(["key"]).select("key", "v"), "questions")
     probed = stored(questions.mapInArrow(to_probes, "key string, list int, first boolean"), "probes")
-    asking = np.zeros(lists, dtype=np.int64)
+    asking = np.zeros(lists + 1, dtype=np.int64)
     for r in probed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         asking[r["list"]] = r["count"]
     query_blocks = np.maximum(1, -(-asking // BLOCK))
-    plan = spark.createDataFrame([(i, int(row_blocks[i]), int(query_blocks[i])) for i in range(lists)], "list int, n_rows int, n_queries int")
+    plan = spark.createDataFrame([(i, int(row_blocks[i]), int(query_blocks[i])) for i in range(lists + 1)], "list int, n_rows int, n_queries int")
     plan = F.broadcast(plan)  # at most MOST_LISTS rows
 
     def blocks(df: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
@@ -197,20 +226,30 @@ def nearest_neighbours(
     left = blocks(listed, "n_rows", "n_queries", "row_block", "query_block")
     cell = ["list", "row_block", "query_block"]
 
-    def scan(_, asked_here, candidates):
+    def scan(key, asked_here, candidates):
         if not candidates.num_rows or not asked_here.num_rows:
             return pa.table({"query": pa.array([], pa.string()), "key": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
         own, seeking = _matrix(candidates["v"], dims), _matrix(asked_here["v"], dims)
-        turned = lengthened(own, longest) @ turn
-        turned_queries = np.hstack([seeking, np.zeros((len(seeking), 1))]) @ turn
-        # the score of the bound as a distance between lengthened vectors
-        scores_found = asked_here["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
-        bounds = (turned_queries**2).sum(axis=1) + longest**2 - 2 * scores_found
+        if key[0].as_py() == lists:
+            best = best_exact(seeking, own, k + 1)
+        else:
+            turned = lengthened(own, longest) @ turn
+            units = unit(seeking)
+            turned_queries = np.hstack([units, np.zeros((len(units), 1))]) @ turn
+            # the score of the bound as a distance between lengthened vectors
+            scores_found = asked_here["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
+            size = np.abs(seeking).max(axis=1)
+            size = size * np.sqrt(((seeking / size[:, None]) ** 2).sum(axis=1))
+            bounds = 1 + longest**2 - 2 * scores_found / size
+            # a bound beyond doubles is that of an outsize vector: nothing here is above it
+            bounds = np.where(np.isnan(bounds), np.where(np.isposinf(scores_found), -np.inf, np.inf), bounds)
+            near_ones = adaptive_scan(turned_queries, turned, k + 1, bounds)
+            best = ((number, places, (own[places] * seeking[number]).sum(axis=1)) for number, places in near_ones)
         of, at, scores = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
-        for number, places in adaptive_scan(turned_queries, turned, k + 1, np.where(np.isnan(bounds), np.inf, bounds)):
+        for number, places, found in best:
             of.append(np.full(len(places), number))
             at.append(places)
-            scores.append((own[places] * seeking[number]).sum(axis=1))
+            scores.append(found)
         of, at = np.concatenate(of), np.concatenate(at)
         keys = [asked_here["key"].combine_chunks().take(pa.array(of)), candidates["key"].combine_chunks().take(pa.array(at))]
         return pa.table({"query": keys[0], "key": keys[1], "score": np.concatenate(scores)})

@@ -15,6 +15,7 @@ dense and poor in links (see _cut_named). A page is read in one pass inside a ta
 
 import html
 import re
+from collections import Counter
 from math import e, log
 
 import pyarrow as pa
@@ -54,7 +55,7 @@ NEUTRAL = frozenset(
     "area list box block section container wrap wrapper item items link links bar form button buttons icon icons title row inner text left right top "
     "bottom primary secondary site post posts entry stories thread wp count".split()
 )
-PARTIAL, OPEN_NAME, LAYOUT_NAME, FIRM_NAME = 1, 2, 3, 4
+PARTIAL, OPEN_NAME, LAYOUT_NAME, FIRM_PART, FIRM_NAME = 1, 2, 3, 4, 5
 # a start tag of the key ends an open element of these tags, up to the nearest element of the bounds
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -75,13 +76,13 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _name_of(token: str) -> int:
-    """What a class name or id says: 0 nothing, PARTIAL if only a part of it is a name of boilerplate, else the firmest of its names."""
+    """What a class name or id says: 0 nothing, FIRM_PART or PARTIAL if only a part of it is a name of boilerplate, else the firmest of its names."""
     parts = {p.lower() for p in PARTS.findall(token)}
     names = parts & NAMES
     if not names:
         return 0
     if parts - names - NEUTRAL:
-        return PARTIAL
+        return FIRM_PART if names & FIRM else PARTIAL
     return FIRM_NAME if names & FIRM else LAYOUT_NAME if names - OPEN else OPEN_NAME
 
 
@@ -110,6 +111,7 @@ class _Page:
         self.named, self.inside = [0], [False]  # what names say, and whether an article or main is around
         self.pieces = []  # (element, text) and (element, None) at the edge of a block
         self.stack = [0]
+        self.open = Counter()  # elements on the stack by tag, so that stray tags need no walk
         self._read(source)
         self._pop_to(0)
         self.ends[0] = len(self.tags)
@@ -119,6 +121,7 @@ class _Page:
     def _pop_to(self, depth: int):
         while len(self.stack) > depth + 1:
             node = self.stack.pop()
+            self.open[self.tags[node]] -= 1
             self.ends[node] = len(self.tags)
             if self.tags[node] not in INLINE:
                 self.pieces.append((node, None))
@@ -129,10 +132,10 @@ class _Page:
 
     def _open(self, tag: str, attributes: str):
         stack, tags = self.stack, self.tags
-        if tag in ("html", "body") and any(tags[n] == tag for n in stack):
+        if tag in ("html", "body") and self.open[tag]:
             return
         closes, bounds = ({"p"}, SCOPE) if tag in CLOSE_P else ENDS.get(tag, ((), ()))
-        if closes:
+        if any(self.open[c] for c in closes):
             for depth in range(len(stack) - 1, 0, -1):
                 if tags[stack[depth]] in closes:
                     self._pop_to(depth - 1)
@@ -153,8 +156,11 @@ class _Page:
             self.pieces.append((node, None))
         if tag not in VOID:
             stack.append(node)
+            self.open[tag] += 1
 
     def _close(self, tag: str):
+        if not self.open[tag]:
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.tags[self.stack[depth]] == tag:
                 self._pop_to(depth - 1)
@@ -231,7 +237,9 @@ class _Page:
             if mains[node] or articles[node] and (named == PARTIAL or named < FIRM_NAME and most or articles[node] == articles[0]):
                 return False
             if self.tags[node] in HEADINGS:
-                return named > OPEN_NAME
+                return named in (LAYOUT_NAME, FIRM_NAME)
+            if named == FIRM_PART:
+                return not most
             if named == PARTIAL:
                 return not most and not (light and (dense or self.inside[node]))
             if named == OPEN_NAME:

@@ -67,12 +67,12 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 def packed(rows: DataFrame, row_key=None) -> DataFrame:
     """The rows with ``_text`` replaced by ``_blob``, the compressed bytes (null stays null), for shuffles of whole texts.
 
-    ``row_key(ids, texts)`` adds its 64-bit keys as ``_row``.
+    ``row_key(ids, texts)`` adds its keys, byte strings, as ``_row``.
     """
     schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("_blob", T.BinaryType())])
     keep = [f.name for f in rows.schema if f.name != "_text"]
     if row_key:
-        schema = schema.add("_row", T.LongType())
+        schema = schema.add("_row", T.BinaryType())
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -80,7 +80,7 @@ def packed(rows: DataFrame, row_key=None) -> DataFrame:
             texts = binary(batch["_text"])
             columns = [*[batch[k] for k in keep], pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())]
             if row_key:
-                columns.append(pa.array(row_key(batch["_id"].to_pylist(), [t or b"" for t in texts]).view("int64"), pa.int64()))
+                columns.append(row_key(batch["_id"].to_pylist(), [t or b"" for t in texts]))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(pack, schema)
@@ -91,11 +91,6 @@ def opened(blobs: pa.Array) -> list[bytes | None]:
     return [None if b is None else press.decompress(b, max_output_size=0) for b in blobs.to_pylist()]
 
 
-def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
-    """Enough partitions for ``each`` rows per task, and at least the session's number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
-
-
 def with_rank(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """Stored rows with their place (from 0) in the total order of ``order``, and how many rows there are.
 

@@ -71,7 +71,7 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, cap: int, many: int) -
     mass = F.col("n") * F.col("size") * rate
     for _ in range(STEPS):
         sums = histogram.join(state.filter("not done").select("src", "multiplier", "scale"), "src").groupBy("src").agg(
-            F.sum(mass).alias("given"), F.sum(F.when(exponent < F.log(F.lit(float(cap))), mass * F.col("size") / F.col("scale"))).alias("slope")
+            exact_sum(mass).alias("given"), exact_sum(F.when(exponent < F.log(F.lit(float(cap))), mass * F.col("size") / F.col("scale"))).alias("slope")
         )
         gap = F.col("given") - F.col("target")
         lo = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("lo"))
@@ -95,6 +95,11 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, cap: int, many: int) -
     return sources.select("src", "target").join(state.select("src", "multiplier", "scale"), "src", "left").select("src", given.alias("multiplier"), "scale")
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles rounded to nine places: the same in whatever order tasks end."""
+    return F.sum(value.cast("decimal(38,9)")).cast("double")
+
+
 def document_rates(rows: DataFrame, cap: int) -> DataFrame:
     """``rate`` of rows with ``size``, ``multiplier`` and ``scale``. Documents without words are taken once."""
     tilt = F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("scale"), F.log(F.lit(float(cap)))))
@@ -126,7 +131,7 @@ def round_rates(rated: DataFrame) -> DataFrame:
     bin_ = F.floor(F.least(F.col("priority") * (BINS // 4), F.lit(BINS)))
     share = (F.col("rate") - F.floor("rate")) * F.col("size")
     sums = rated.filter(_has_fraction()).groupBy("src", _size_class().alias("class"), bin_.alias("bin"))
-    sums = sums.agg(F.sum("size").alias("words"), F.sum(share).alias("share"))
+    sums = sums.agg(F.sum("size").alias("words"), exact_sum(share).alias("share"))
 
     def choose(table: pd.DataFrame) -> pd.DataFrame:
         rows, owed = [], 0.0

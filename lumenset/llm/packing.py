@@ -119,10 +119,18 @@ def pack_documents(
 
 
 def sequence_ids(docs: DataFrame, packing: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, path: str | None = None) -> DataFrame:
-    """The packed sequences themselves: ``sequence_id`` and ``ids``, in the order of their offsets."""
+    """The packed sequences themselves: ``sequence_id`` and ``ids``, in the order of their offsets.
+
+    ``packing`` is what :func:`pack_documents` made of ``docs``. Rows that repeat an id must repeat its text (null is an id like others); an id
+    of several texts is an error, as a piece does not tell which of them it is from. Without rows there are no sequences.
+    """
     path = path or default_path()
     wanted = packing.groupBy(F.col(id_col).alias("_of")).agg(F.collect_list(F.struct("sequence_id", "offset", "start", "length")).alias("_pieces"))
     rows = text_rows(docs.select(id_col, text_col), id_col, text_col)
+    rows = rows.withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    several = rows.groupBy("_id").agg(F.min("_digest").alias("least"), F.max("_digest").alias("most")).filter("least <> most")
+    if not several.isEmpty():
+        raise ValueError("an id has several texts: packed pieces can't be told apart")
     joined = rows.dropDuplicates(["_id"]).join(wanted, F.col("_id").eqNullSafe(F.col("_of"))).select("_text", "_pieces")
 
     def encode(batches):

