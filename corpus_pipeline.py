@@ -17,11 +17,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; ``n_chars`` follows the text."""
-    kept = lines.drop_repeated_lines(docs).select(*docs.columns)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    """Lines that an earlier document holds go; ``n_chars`` follows the text.
+
+    A document that this cuts below the least number of words of the quality rules goes as a whole: what is left of a copy are its
+    few changed lines, no text. Documents that lose nothing stay as they are, null and empty texts included. Other columns
+    are carried along whatever their names.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    kept = lines.drop_repeated_lines(rows)
+    kept = kept.filter((F.col("n_dropped") == 0) | (mixing.n_words(F.col("text")) >= rules.LEAST_WORDS))
+    chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), **chars}
+    return kept.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
