@@ -2,131 +2,18 @@
 
 from dataclasses import replace
 from functools import reduce
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import detect_format, iso_date, parse_as, parse_by
 from ..functions.kinds import BOOL, NUMERIC, STRING, columns_of, kind_of, number, quoted
 from ..session import cut_lineage, with_row_order
+from .group_quantiles import GROUP_ROWS, group_quantiles
 from .impute import UNKNOWN
-from .joins import BROADCAST_BYTES, SALT_ROWS, GroupSizes, group_sizes, hot_groups, same_group_join, stats_join
+from .joins import BROADCAST_BYTES, SALT_ROWS, GroupSizes, group_sizes, same_group_join, stats_join
 from .outliers import REACH
-from .quantiles import SKETCH_ACCURACY
 from .values import is_digest, key_of
 
-# Rows of one group whose exact percentiles one task may hold; the numbers of larger groups are ranked in pieces.
-GROUP_ROWS = 200_000
-
-
-def rank_values(counts: DataFrame, group: list[str], in_pieces: int = 0) -> DataFrame:
-    """Rank (group, value, n): adds ``below`` (rows with a smaller value), ``present`` and ``missing``.
-
-    With ``in_pieces`` the distinct values are range-partitioned first, so that a hot group is
-    sorted by many tasks, and the offsets of the pieces come from their small totals.
-    """
-    has = F.col("value").isNotNull()
-    total = F.sum(F.when(has, F.col("n")).otherwise(0))
-    gaps = F.sum(F.when(~has, F.col("n")).otherwise(0))
-    order = F.col("value").asc_nulls_last()
-    whole = W.partitionBy(*group)
-    if not in_pieces:
-        running = F.sum("n").over(whole.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-        return counts.select(
-            "*",
-            (running - F.col("n")).alias("below"),
-            total.over(whole).alias("present"),
-            gaps.over(whole).alias("missing"),
-        )
-    ranged = counts.repartitionByRange(in_pieces, *group, order).withColumn("piece", F.spark_partition_id())
-    pieces = cut_lineage(ranged)
-    totals = pieces.groupBy(*group, "piece").agg(
-        F.sum("n").alias("rows"), total.alias("present"), gaps.alias("missing")
-    )
-    before = F.sum("rows").over(whole.orderBy("piece").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")
-    offsets = totals.select(
-        *[F.col(g).alias(f"_{g}") for g in group],
-        F.col("piece").alias("_piece"),
-        before.alias("offset"),
-        F.sum("present").over(whole).alias("present"),
-        F.sum("missing").over(whole).alias("missing"),
-    )
-    match = pieces["piece"] == offsets["_piece"]
-    for g in group:
-        match &= pieces[g].eqNullSafe(offsets[f"_{g}"])
-    inside = W.partitionBy(*group, "piece").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    below = F.col("offset") + F.sum("n").over(inside) - F.col("n")
-    return pieces.join(offsets, match).select(*counts.columns, below.alias("below"), "present", "missing")
-
-
-def _numeric_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, group_rows: int, limits: dict, approx: bool) -> DataFrame:
-    """One row per group with a struct (median, q1, q3) per column: the median of the present values, quartiles after filling with it."""
-    if approx or sizes.largest <= group_rows:
-        return _by_percentiles(df, keys, columns, sizes, limits, approx)
-    hot = hot_groups(sizes, keys, group_rows, limits["broadcast_bytes"])
-    marked = df.join(F.broadcast(hot), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]), "left")
-    marked = marked.drop(*[f"_hot_{k}" for k in keys])
-    few = _by_percentiles(marked.where("_pieces is null"), keys, columns, sizes, limits)
-    large = marked.where("_pieces is not null")
-    values = sizes.counted.where(F.col("_n") > group_rows).agg(F.sum("_n")).first()[0] * len(columns)
-    ranked = _by_ranks(large, keys, columns, ceil(values / group_rows) + 8)
-    return few.unionByName(_per_key(ranked, keys, columns, ["median", "q1", "q3"]))
-
-
-def _by_percentiles(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, limits: dict, approx: bool = False) -> DataFrame:
-    """Numbers of a group meet in one aggregate, where equal ones are one entry; rows are not shuffled."""
-    names = {c: f"v{i}" for i, c in enumerate(columns)}
-    rows = df.select(*keys, *[number(df, c).alias(v) for c, v in names.items()])
-    quantiles = lambda v, ps: F.percentile_approx(v, ps, SKETCH_ACCURACY) if approx else F.percentile(v, F.array(*[F.lit(p) for p in ps]))
-    found = [quantiles(v, [0.25, 0.5, 0.75]).alias(f"{v}_p") for v in names.values()]
-    gaps = [(F.count("*") - F.count(v)).alias(f"{v}_gaps") for v in names.values()]
-    # one row per group, stored: it tells which columns have gaps and fills them
-    stats = cut_lineage(rows.groupBy(*keys).agg(*found, *gaps))
-    most = stats.agg(*[F.max(f"{v}_gaps") for v in names.values()]).first()
-    gappy = [v for v, n in zip(names.values(), most) if n]
-    if gappy:
-        medians = stats.select(*keys, *[F.col(f"{v}_p")[1].alias(f"{v}_median") for v in gappy])
-        filled = stats_join(rows.select(*keys, *gappy), medians, keys, gappy, sizes.stats_bytes(len(gappy)), sizes, **limits)
-        again = filled.groupBy(*keys).agg(*[quantiles(F.coalesce(v, f"{v}_median"), [0.25, 0.75]).alias(f"{v}_q") for v in gappy])
-        stats = same_group_join(stats, again, keys)
-    structs = []
-    for c, v in names.items():
-        ends = (F.col(f"{v}_q")[0], F.col(f"{v}_q")[1]) if v in gappy else (F.col(f"{v}_p")[0], F.col(f"{v}_p")[2])
-        structs.append(F.struct(F.col(f"{v}_p")[1].alias("median"), ends[0].alias("q1"), ends[1].alias("q3")).alias(f"_{c}_stats"))
-    return stats.select(*keys, *structs)
-
-
-def _by_ranks(df: DataFrame, keys: list[str], columns: list[str], in_pieces: int) -> DataFrame:
-    """(keys, column, median, q1, q3) of groups too large for one task."""
-    long = df.select(*keys, *[number(df, c).alias(c) for c in columns]).unpivot(keys, [quoted(c) for c in columns], "column", "value")
-    counts = long.groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
-    ranked = rank_values(counts, [*keys, "column"], in_pieces)
-
-    n, gaps = F.col("present"), F.col("missing")
-    middle = F.floor((n - 1) / 2)
-    ranks = {"m_low": middle, "m_high": F.ceil((n - 1) / 2)}
-    for name, p in (("q1", 0.25), ("q3", 0.75)):
-        at = (n + gaps - 1) * p
-        for end, k in (("low", F.floor(at)), ("high", F.ceil(at))):
-            # filled rows sit right behind the lower middle value; -1 marks a rank among them
-            rank = F.when(k <= middle, k).when(k <= middle + gaps, F.lit(-1)).otherwise(k - gaps)
-            ranks[f"{name}_{end}"] = rank
-    covers = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("n")) & F.col("value").isNotNull()
-    found = ranked.groupBy(*keys, "column").agg(
-        *[F.max(F.when(covers(rank), F.col("value"))).alias(name) for name, rank in ranks.items()],
-        F.max("present").alias("present"),
-        F.max("missing").alias("missing"),
-    )
-    median = (F.col("m_low") + F.col("m_high")) / 2
-    stats = found.withColumn("median", median)
-    for name, p in (("q1", 0.25), ("q3", 0.75)):
-        at = (n + gaps - 1) * p
-        weight = at - F.floor(at)
-        low, high = (F.coalesce(F.col(f"{name}_{e}"), F.col("median")) for e in ("low", "high"))
-        stats = stats.withColumn(name, (1 - weight) * low + weight * high)
-    return stats.select(*keys, "column", "median", "q1", "q3")
-
-
 def _text_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: GroupSizes, limits: dict) -> DataFrame:
     """(keys, column, fill, pattern, share): mode, date pattern and share of parsable values.
 
@@ -202,7 +89,7 @@ def clean_by(
 ) -> DataFrame:
     """Impute, flag outliers and add dates with statistics of each row's own group.
 
-    Groups of more than ``group_rows`` are ranked by many tasks, statistics of more than ``broadcast_bytes`` are joined by a
+    Groups of more than ``group_rows`` are counted around edges (:mod:`.group_quantiles`), statistics of more than ``broadcast_bytes`` are joined by a
     shuffle in which a group has ``salt_rows`` per task at most. With ``approx`` medians and quartiles come from one bounded sketch
     per group, whatever its size.
 
@@ -227,7 +114,7 @@ def clean_by(
     limits = {"broadcast_bytes": broadcast_bytes, "salt_rows": salt_rows}
     per_key = []
     if numbers:
-        per_key.append(_numeric_stats(base, group, numbers, sizes, group_rows, limits, approx))
+        per_key.append(group_quantiles(base, group, numbers, sizes, limits, group_rows, approx))
     if texts:
         stats = _text_stats(base, group, texts, sizes, limits)
         per_key.append(_per_key(stats, group, texts, ["fill", "pattern", "share"]))
