@@ -4,7 +4,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import profile as p
+from ..operators import profile as p, profile_state
+from ..session import scratch_path
 from .cleaning import r6
 from .tables import GAPPY_LINEITEM, gappy_lineitem, read
 
@@ -239,7 +240,47 @@ with t as (select '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_custk
 select case when length(text) > 2000 then substring(text, 1, 2000) || '...' else text end as excerpt from t"""
 
 
+LOADS = 3
+PROBABILITIES = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+def profile_by_load(spark, folder):
+    """Line items that arrive in loads, one of them twice: each is read once for its state, and the merged state is the profile of all.
+
+    Estimates are shown by whether they keep to their bounds against the exact ranks of the whole table.
+    """
+    lines, path = gappy_lineitem(spark, folder), scratch_path(spark, "states")
+    for load in [*range(LOADS), 0]:
+        profile_state.add_load(lines.where(F.col("l_orderkey") % LOADS == load), path, load)
+    merged = profile_state.merged_profile(spark.read.schema(f"{profile_state.STATE}, load int").parquet(path), PROBABILITIES)
+    found = profile_state.known_values(merged, PROBABILITIES)
+    errors = profile_state.rank_errors(lines, found).groupBy("column").agg(F.max("error").alias("error"))
+    texts = [c for c, kind in lines.dtypes if kind == "string"]
+    exact = lines.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("exact")) for c in texts]).alias("rows")).select(F.inline("rows"))
+    shown = merged.join(errors, "column", "left").join(exact, "column", "left")
+    near = F.abs(F.col("unique_values") - F.col("exact")) <= 0.06 * F.col("exact")
+    return r6(shown, "min", "max").select(
+        "position", "column", "type", "n_rows", "n", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        profile_state.within(F.col("error")).alias("ranks_hold"), F.coalesce(near, F.lit(True)).alias("distinct_holds"),
+    )
+
+
+def _load_row(place, c, kind):
+    stats = ", ".join(f"{x} as {n}" for n, x in (
+        ("min", f"round(cast(min({c}) as double), 6)"), ("max", f"round(cast(max({c}) as double), 6)"), ("mean", f"round(avg({c}), 4)"), ("std", f"round(stddev_samp({c}), 4)"),
+    )) if kind != "object" else ", ".join(f"cast(null as double) as {n}" for n in ("min", "max", "mean", "std"))
+    return f"select {place} as position, '{c}' as \"column\", '{kind}' as type, count(*) as n_rows, count({c}) as n, {stats}, true as ranks_hold, true as distinct_holds from d"
+
+
+_LOADED = [
+    ("l_orderkey", "int64"), ("l_partkey", "int64"), ("l_suppkey", "int64"), ("l_linenumber", "int64"), ("l_extendedprice", "float64"), ("l_discount", "float64"),
+    ("l_quantity", "float64"), ("l_returnflag", "object"), ("shipped", "object"),
+]
+PROFILE_BY_LOAD = f"with d as ({GAPPY_LINEITEM}) " + " union all ".join(_load_row(i, c, kind) for i, (c, kind) in enumerate(_LOADED))
+
+
 QUERIES = {
+    "profile_by_load": profile_by_load,
     "shapes": shapes,
     "numeric_columns": numeric_columns,
     "time_columns": time_columns,
@@ -254,6 +295,7 @@ QUERIES = {
 }
 
 SQL = {
+    "profile_by_load": PROFILE_BY_LOAD,
     "shapes": SHAPES,
     "numeric_columns": NUMERIC_COLUMNS,
     "time_columns": TIME_COLUMNS,

@@ -8,7 +8,7 @@ from ..session import scratch_path
 from ..sources.csv import BAD, FILE, file_headers, read_csv_fields
 from ..sources.infer import cast_types
 from ..streaming.ingest import ID, ingest_stream
-from ..streaming.quota import quota_violations, run_quota_stream
+from ..streaming.quota import answer_requests, quota_violations, run_quota_stream, run_refusal_stream
 from .tables import read, text
 
 # the events of one user are few, so the limits are low
@@ -42,12 +42,49 @@ def over_quota_stream(spark, folder):
     return _shown(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+ANSWERED = ["client", "id", "at", "hour_number", "day_number", "accepted"]
+
+
+def _answers(rows):
+    return rows.select(*ANSWERED[:2], F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), *ANSWERED[3:])
+
+
+def answered_requests(spark, folder):
+    return _answers(answer_requests(read(spark, folder, "events"), "user_id", "ts", "event_id", PER_HOUR, PER_DAY))
+
+
+ANSWERED_REQUESTS = f"""
+with d as (select user_id as client, event_id as id, ts,
+                  row_number() over (partition by user_id, date_trunc('hour', ts) order by ts, event_id) as hour_number,
+                  row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) as day_number from events)
+select client, id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at, hour_number, day_number, hour_number <= {PER_HOUR} and day_number <= {PER_DAY} as accepted from d"""
+
+
+def answered_stream(spark, folder):
+    """The same from a stream of four files, later events in later ones: numbers go on over batches."""
+    events, drop, sink = read(spark, folder, "events"), scratch_path(spark, "requests"), scratch_path(spark, "answers")
+    events = events.withColumn("at", F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx("at", [0.25, 0.5, 0.75])).first()[0]
+    part = sum((F.col("at") > F.lit(c)).cast("int") for c in cuts)
+    for i in range(4):  # one after the other, since a stream takes files by the time they were written
+        events.filter(part == i).select("user_id", "event_id", "at").write.mode("append").parquet(f"{drop}/{i}")
+    names = "user_id bigint, event_id bigint, at timestamp"
+    stream = spark.readStream.schema(names).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(drop)
+    run_refusal_stream(stream, "user_id", "at", "event_id", sink, scratch_path(spark, "state"), PER_HOUR, PER_DAY).awaitTermination()
+    return _answers(spark.read.parquet(sink))
+
+
+# keys per dropped file: files are as large for a large table as for a small one
+ORDERS_EACH, CUSTOMERS_EACH = 100_000, 10_000
+
+
 def _drop_orders(spark, folder, drop):
-    """Orders as one CSV file per status and year, columns in two orders, and one file of a header alone."""
+    """Orders as one CSV file per status, year and ORDERS_EACH keys, columns in two orders, and one file of a header alone."""
     key = F.col("o_orderkey")
+    part = F.concat("o_orderstatus", text("yyyy", "o_orderdate"), F.lit("-"), F.floor(key / ORDERS_EACH))
     orders = read(spark, folder, "orders").select(
-        F.concat("o_orderstatus", text("yyyy", "o_orderdate")).alias("part"),
-        F.concat(F.lit("s-"), "o_orderstatus", text("yyyy", "o_orderdate")).alias("label"),
+        part.alias("part"),
+        F.concat(F.lit("s-"), part).alias("label"),
         "o_orderkey",
         F.when(key % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"),
         F.when(key % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
@@ -74,12 +111,30 @@ def ingested_orders(spark, folder):
     return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
+def _drop_customers(spark, folder, drop):
+    """Customers as one JSON document per nation and CUSTOMERS_EACH keys."""
+    block = F.floor(F.col("c_custkey") / CUSTOMERS_EACH).alias("block")
+    members = F.sort_array(F.collect_list(F.struct("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")))
+    customers = read(spark, folder, "customer").groupBy("c_nationkey", block).agg(members.alias("customers"))
+    customers.select("customers").write.option("maxRecordsPerFile", 1).json(f"{drop}/json")
+
+
+def ingested_customers(spark, folder):
+    """The cleaned rows of dropped JSON documents, each cleaned with its own statistics."""
+    drop, sink = scratch_path(spark, "drop"), scratch_path(spark, "sink")
+    _drop_customers(spark, folder, drop)
+    ingest_stream(spark, drop, sink, scratch_path(spark, "state"), user_id=1).awaitTermination()
+    kinds = "c_custkey bigint, c_acctbal double, c_mktsegment string, c_nationkey bigint, _key string"
+    flags = ", ".join(f"{c}_outlier boolean" for c in ("c_custkey", "c_acctbal", "c_nationkey"))
+    rows = spark.read.schema(f"{kinds}, {flags}").json(f"{sink}/rows/batch=*/table=*/{ID}=*")
+    return rows.withColumn("c_acctbal", F.round("c_acctbal", 6)).withColumnRenamed("_key", "found_under")
+
+
 def ingested_mixed(spark, folder):
     """What is registered and what is refused of a drop folder of CSV files and JSON documents, one file being unreadable."""
     drop, sink = scratch_path(spark, "drop"), scratch_path(spark, "sink")
     _drop_orders(spark, folder, drop)
-    customers = read(spark, folder, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey", "c_acctbal", "c_mktsegment")).alias("customers"))
-    customers.select("customers").write.option("maxRecordsPerFile", 1).json(f"{drop}/json")
+    _drop_customers(spark, folder, drop)
     # a record longer than its header
     spark.createDataFrame([("1,2",)], "a string").coalesce(1).write.option("header", True).option("sep", "|").csv(f"{drop}/bad")
     ingest_stream(spark, drop, sink, scratch_path(spark, "state"), user_id=1).awaitTermination()
@@ -88,10 +143,10 @@ def ingested_mixed(spark, folder):
     return known.unionByName(refused.select("file_type", F.lit(0).alias("n_columns"), "n_files", F.lit(0).cast("long").alias("n_rows")))
 
 
-INGESTED_MIXED = """
-select 'csv' as file_type, 8 as n_columns, count(distinct (o_orderstatus, year(o_orderdate))) as n_files, count(*) as n_rows from orders
+INGESTED_MIXED = f"""
+select 'csv' as file_type, 8 as n_columns, count(distinct (o_orderstatus, year(o_orderdate), o_orderkey // {ORDERS_EACH})) as n_files, count(*) as n_rows from orders
 union all select 'csv', 5, 1, 0
-union all select 'json', 6, count(distinct c_nationkey), count(*) from customer
+union all select 'json', 8, count(distinct (c_nationkey, c_custkey // {CUSTOMERS_EACH})), count(*) from customer
 union all select 'a record has more fields than the header of its file', 0, 1, 0"""
 
 
@@ -104,7 +159,7 @@ def _quartiles(c):
 
 
 INGESTED_ORDERS = f"""
-with d as (select 's-' || o_orderstatus || year(o_orderdate) as label, o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice,
+with d as (select 's-' || o_orderstatus || year(o_orderdate) || '-' || o_orderkey // {ORDERS_EACH} as label, o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as o_totalprice,
                   case when o_orderkey % 5 = 0 then null else o_orderpriority end as o_orderpriority, o_orderdate from orders),
      c as (select label, o_orderpriority as fill, count(*) as n from d where o_orderpriority is not null group by all),
      m as (select label, fill from c qualify row_number() over (partition by label order by n desc, fill) = 1),
@@ -118,7 +173,18 @@ select label, o_orderkey, round(o_totalprice, 6) as o_totalprice, o_orderpriorit
 from f join q using (label)"""
 
 
+INGESTED_CUSTOMERS = f"""
+with d as (select *, c_custkey // {CUSTOMERS_EACH} as block from customer),
+     q as (select c_nationkey, block, {_quartiles('c_custkey')}, {_quartiles('c_acctbal')} from d group by all)
+select c_custkey, round(c_acctbal, 6) as c_acctbal, c_mktsegment, c_nationkey, 'customers' as found_under, {_flag('c_custkey')}, {_flag('c_acctbal')},
+       false as c_nationkey_outlier
+from d join q using (c_nationkey, block)"""
+
+
 QUERIES = {
+    "answered_requests": answered_requests,
+    "answered_stream": answered_stream,
+    "ingested_customers": ingested_customers,
     "over_quota": over_quota,
     "over_quota_stream": over_quota_stream,
     "ingested_orders": ingested_orders,
@@ -126,6 +192,9 @@ QUERIES = {
 }
 
 SQL = {
+    "answered_requests": ANSWERED_REQUESTS,
+    "answered_stream": ANSWERED_REQUESTS,
+    "ingested_customers": INGESTED_CUSTOMERS,
     "over_quota": OVER_QUOTA,
     "over_quota_stream": OVER_QUOTA,
     "ingested_orders": INGESTED_ORDERS,

@@ -1,7 +1,11 @@
-"""Requests per client in fixed windows, and the windows over quota."""
+"""Requests per client in fixed windows, the windows over quota, and the requests to refuse as they arrive."""
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Requests allowed per client and window.
 PER_HOUR, PER_DAY = 50, 200
@@ -48,3 +52,73 @@ def run_quota_stream(
     if output_mode == "append":
         return writer.format("parquet").start(sink)
     return writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink)).start()
+
+
+HOUR, DAY = 3600, 86400
+ANSWERED = "client bigint, id bigint, at timestamp, hour_number bigint, day_number bigint, accepted boolean"
+
+
+def _numbered(events: DataFrame, key: str, ts: str, request: str) -> DataFrame:
+    client, number = F.col(key).cast("bigint").alias("client"), F.col(request).cast("bigint").alias("id")
+    return events.select(client, number, F.col(ts).cast("timestamp").alias("at"))
+
+
+def _accepted(per_hour: int, per_day: int) -> Column:
+    return (F.col("hour_number") <= per_hour) & (F.col("day_number") <= per_day)
+
+
+def answer_requests(events: DataFrame, key: str, ts: str, request: str, per_hour: int = PER_HOUR, per_day: int = PER_DAY) -> DataFrame:
+    """Every request of a table with its number in its client's hour and day, and whether both are within quota.
+
+    Requests of one moment are numbered by id. Refused requests count like accepted ones.
+    """
+    place = lambda grain: F.row_number().over(W.partitionBy("client", F.date_trunc(grain, "at")).orderBy("at", "id")).cast("bigint")
+    numbered = _numbered(events, key, ts, request).withColumns({"hour_number": place("hour"), "day_number": place("day")})
+    return numbered.withColumn("accepted", _accepted(per_hour, per_day))
+
+
+def _answer(per_hour: int, per_day: int):
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Numbers the requests of a client as they come and keeps the counts of its windows that are still open."""
+        starts, counts = (list(x) for x in state.get) if state.exists else ([], [])
+        known = dict(zip(map(tuple, starts), counts))
+        if state.hasTimedOut:
+            closed = state.getCurrentWatermarkMs() // 1000
+        else:
+            requests = pd.concat(batches, ignore_index=True).sort_values(["at", "id"], kind="stable", ignore_index=True)
+            # pandas keeps the wall clock of the session's zone, in which windows are cut
+            seconds = requests["at"].astype("datetime64[us]").astype("int64") // 1_000_000
+            for name, width in (("hour_number", HOUR), ("day_number", DAY)):
+                window = seconds // width * width
+                before = window.map(lambda w: known.get((width, w), 0))  # noqa: B023
+                requests[name] = window.groupby(window).cumcount() + 1 + before
+                for w, n in window.value_counts().items():
+                    known[width, w] = known.get((width, w), 0) + int(n)
+            requests["accepted"] = (requests["hour_number"] <= per_hour) & (requests["day_number"] <= per_day)
+            yield requests[["client", "id", "at", "hour_number", "day_number", "accepted"]]
+            closed = state.getCurrentWatermarkMs() // 1000
+        known = {k: n for k, n in known.items() if k[0] + k[1] > closed}
+        if known:
+            state.update((list(map(list, known)), list(known.values())))
+            state.setTimeoutTimestamp(max(max(w + width for width, w in known), closed + 1) * 1000)
+        else:
+            state.remove()
+
+    return answer
+
+
+def run_refusal_stream(
+    events: DataFrame, key: str, ts: str, request: str, sink: str, checkpoint: str, per_hour: int = PER_HOUR, per_day: int = PER_DAY, watermark: str = "1 hour",
+) -> StreamingQuery:
+    """Answer every request when it arrives, read what is there, then stop: ``sink`` gets each with its numbers and ``accepted``.
+
+    Per client the counts of its open hours and days are kept; a timer drops them once the watermark has passed their ends.
+    The requests of one client in one micro-batch meet in one task, so batches should be small (``maxFilesPerTrigger`` and the
+    like at the source). Requests are numbered in the order of their batches, within a batch by time and id; one that is later
+    than the watermark counts anew. Windows are cut in the session's time zone, which must be UTC.
+    """
+    schema = "windows array<array<bigint>>, counts array<bigint>"
+    stamped = _numbered(events, key, ts, request).withWatermark("at", watermark)
+    answered = stamped.groupBy("client").applyInPandasWithState(_answer(per_hour, per_day), ANSWERED, schema, "append", GroupStateTimeout.EventTimeTimeout)
+    writer = answered.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.format("parquet").start(sink)
