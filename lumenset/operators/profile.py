@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.kinds import BOOL, DATETIME, NUMERIC, STRING, columns_of, dtype_name, number, quoted
 from ..session import ROW_ID, cut_lineage, with_row_order
+from .frequent import all_values
 from .quantiles import exact_quantiles
 from .values import value_counts, with_values
 
@@ -109,9 +110,15 @@ def _top(shown: DataFrame, k: int) -> DataFrame:
 
 
 def top_values(df: DataFrame, k: int = TOP_VALUES, max_distinct: int = MANY_VALUES, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, n, place) of text columns with 1 to ``max_distinct - 1`` distinct values."""
+    """(column, value, n, place) of text columns with 1 to ``max_distinct - 1`` distinct values.
+
+    Told from bounded counters: columns of more values cost no shuffle of them.
+    """
     columns = columns_of(df, STRING) if columns is None else columns
-    return _top(_shown_values(df, columns, None, max_distinct, 1), k).select("column", "value", "n", "place")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint, place int")
+    shown = with_values(cut_lineage(all_values(df, columns, max_distinct - 1)), df, columns)
+    return _first_k(shown, [F.desc("n"), F.asc("value")], k).select("column", "value", "n", "place")
 
 
 def _examples(shown: DataFrame) -> DataFrame:

@@ -59,8 +59,17 @@ def with_values(chosen: DataFrame, df: DataFrame, columns: list[str]) -> DataFra
 def find_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """Most frequent value per column, the smallest among equals; nothing for all-null columns.
 
-    One row per column comes back.
+    Columns with a value that clearly leads are told from bounded counters; the values of the others are counted whole. One row
+    per column comes back then.
     """
+    from .frequent import leading_values
+
+    modes = leading_values(df, columns)
+    columns = [c for c in columns if c not in modes]
+    return modes | _counted_modes(df, columns) if columns else modes
+
+
+def _counted_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     counts = value_counts(df, columns)
     long = is_digest(F.col("key"))
     best = F.min(F.when(~long, F.struct((-F.col("n")).alias("rank"), F.col("key"))))["key"]

@@ -115,7 +115,7 @@ def run_refusal_stream(
     Per client the counts of its open hours and days are kept; a timer drops them once the watermark has passed their ends.
     The requests of one client in one micro-batch meet in one task, so batches should be small (``maxFilesPerTrigger`` and the
     like at the source). Requests are numbered in the order of their batches, within a batch by time and id; one that is later
-    than the watermark counts anew. Windows are cut in the session's time zone, which must be UTC.
+    than the watermark gets no answer. Windows are cut in the session's time zone, which must be UTC.
     """
     schema = "windows array<array<bigint>>, counts array<bigint>"
     stamped = _numbered(events, key, ts, request).withWatermark("at", watermark)
