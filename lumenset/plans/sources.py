@@ -59,13 +59,15 @@ def json_orders(spark, folder):
     path = scratch_path(spark, "json")
     orders = gappy_orders(spark, folder)
     nested = F.struct(F.col("o_orderkey").alias("k"), F.array("is_open").alias("flags"))
-    write_table(orders.withColumn("detail", nested), path, "json")
-    return read_json_records(spark, path).drop(ROW_ID)
+    # a field of the name that readers attach themselves; it is written by Spark, as write_table leaves it out
+    given = (F.col("o_orderkey") * 2).alias(ROW_ID)
+    orders.select("*", nested.alias("detail"), given).write.option("ignoreNullFields", False).json(path)
+    return read_json_records(spark, path).drop(ROW_ID).withColumnRenamed(f"{ROW_ID}.1", "given_row_id")
 
 
 JSON_ORDERS = f"""
 select * replace (cast(o_custkey as double) as o_custkey),
-       '{{"k":' || o_orderkey || ',"flags":[' || case when is_open then 'true' else 'false' end || ']}}' as detail
+       '{{"k":' || o_orderkey || ',"flags":[' || case when is_open then 'true' else 'false' end || ']}}' as detail, o_orderkey * 2 as given_row_id
 from ({GAPPY_ORDERS})"""
 
 def csv_multiline(spark, folder):

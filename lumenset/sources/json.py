@@ -6,10 +6,10 @@ from ..functions.dates import parse_any
 from ..functions.kinds import NUMERIC, STRING, kind_of, quoted
 from ..operators.quantiles import aggregate_row
 from ..session import ROW_ID, cut_lineage
-from .csv import refers_to
+from .csv import free_names, refers_to
 
 KEY = "_key"
-BAD = "_bad_record"
+BAD = "_bad_record\n"
 NOT_JSON = "the text is not JSON"
 NO_TABLE = "a document must be a list or an object"
 MIXED_LIST = "a list must hold objects only, or plain values only"
@@ -41,7 +41,8 @@ def read_json_records(
 ) -> DataFrame:
     """One row per object: JSON lines by default, files that hold one list of objects with ``multi_line``.
 
-    Nested values stay as JSON text, integer columns with gaps become doubles. Anything else than objects is an error, found
+    Nested values stay as JSON text, integer columns with gaps become doubles. A field named like the ``_row_id`` that is attached
+    here, or like another in another case, is numbered. Anything else than objects is an error, found
     when the schema is inferred or the rows are read. With ``schema`` given the passes that infer types are skipped.
     """
     reader = spark.read.option("multiLine", multi_line).option("columnNameOfCorruptRecord", BAD)
@@ -58,7 +59,7 @@ def read_json_records(
     if integers and schema is None:
         gaps = aggregate_row(out, [F.count_if(quoted(c).isNull()) for c in integers])
         out = out.withColumns({c: quoted(c).cast("double") for c, n in zip(integers, gaps) if n})
-    out = out.withColumn(ROW_ID, F.monotonically_increasing_id())
+    out = out.toDF(*free_names(out.columns)).withColumn(ROW_ID, F.monotonically_increasing_id())
     return convert_named_dates(out) if convert_date_names else out
 
 
@@ -68,10 +69,15 @@ def read_json_documents(spark: SparkSession, path: str | list[str], convert_date
     rows = flatten_keyed_json(files, "value")
     if KEY in rows.columns and not rows.where(F.col(KEY).isNotNull()).head(1):
         rows = rows.drop(KEY)
-    out = rows.withColumn(ROW_ID, F.monotonically_increasing_id())
+    out = rows.toDF(*free_names(rows.columns)).withColumn(ROW_ID, F.monotonically_increasing_id())
     return convert_named_dates(out) if convert_date_names else out
 
 
+def parsed_document(text: Column) -> Column:
+    """The variant of a JSON text, null for other texts. ``NaN`` and ``Infinity`` are numbers, which plain JSON has not."""
+    return F.coalesce(F.try_parse_json(text), F.from_json(text, "variant"))
+
+
 def _list(value: Column) -> Column:
     """Elements of a variant list, null for anything else."""
     return value.try_cast("array<variant>")
@@ -150,7 +156,7 @@ def flatten_keyed_json(df: DataFrame, json_col: str, fields: dict[str, str] | No
     With ``fields`` (name to type) given, the pass that finds them is skipped; with none, the objects stay whole in ``_row``.
     """
     carried = [quoted(c) for c in df.columns if c != json_col]
-    listed = document_rows(F.parse_json(quoted(json_col)))
+    listed = document_rows(parsed_document(quoted(json_col)))
     rows = df.select(*carried, F.explode(listed).alias("_item")).select(*carried, F.col("_item.key").alias("_found"), F.col("_item.row").alias("row"))
     if fields == {}:
         return rows.select(*carried, F.col("_found").alias(KEY), F.col("row").alias("_row"))
@@ -159,7 +165,8 @@ def flatten_keyed_json(df: DataFrame, json_col: str, fields: dict[str, str] | No
         rows = cut_lineage(rows)
         fields = document_fields(rows)
     as_map = members_of(F.col("row"))
-    value = lambda name, kind: F.try_element_at(as_map, F.lit(name)).try_cast(kind)
+    missing = lambda value, kind: F.nullif(value, F.lit(float("nan"))) if kind == "double" else value
+    value = lambda name, kind: missing(F.try_element_at(as_map, F.lit(name)).try_cast(kind), kind)
     key = F.coalesce("_found", value(KEY, "string")) if KEY in fields else F.col("_found")
     return rows.select(*carried, *[value(n, t).alias(n) for n, t in fields.items() if n != KEY], key.alias(KEY))
 

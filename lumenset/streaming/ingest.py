@@ -11,9 +11,9 @@ from ..functions.kinds import quoted
 from ..operators.catalog import DATASET_SCHEMA
 from ..operators.clean_by import clean_by
 from ..session import ROW_ID
-from ..sources.csv import BAD, FILE, TOO_LONG, file_headers, read_csv_fields
+from ..sources.csv import BAD, FILE, TOO_LONG, file_headers, free_names, read_csv_fields
 from ..sources.infer import cast_types, fit_types_by
-from ..sources.json import KEY, MAX_FIELDS, column_type, document_problem, flatten_keyed_json, members_of
+from ..sources.json import KEY, MAX_FIELDS, column_type, document_problem, flatten_keyed_json, members_of, parsed_document
 from ..sources.sinks import write_table
 from ..sources.uploads import MAX_BYTES, check_uploads
 
@@ -48,7 +48,7 @@ def _csv_tables(spark: SparkSession, paths: list[str], problems: dict[str, str])
 def _json_tables(spark: SparkSession, paths: list[str], problems: dict[str, str]):
     """(rows with their file, files) of JSON documents, one table per set of fields and types."""
     documents = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias(FILE), F.col("value").alias("_text"))
-    variant = F.try_parse_json("_text")
+    variant = parsed_document(F.col("_text"))
     for row in documents.select(FILE, document_problem(variant).alias("why")).filter("why is not null").collect():
         problems[row[FILE]] = row["why"]
     good = [p for p in paths if p not in problems]
@@ -75,7 +75,8 @@ def _json_tables(spark: SparkSession, paths: list[str], problems: dict[str, str]
         by_types[path in keyed, tuple(types[path].items())].append(path)
     for (has_key, kinds), same in by_types.items():
         rows = flatten_keyed_json(documents.filter(F.col(FILE).isin(same)), "_text", dict(kinds)).drop("_row")
-        yield (rows if has_key else rows.drop(KEY)).withColumn(ROW_ID, F.monotonically_increasing_id()), same
+        rows = rows if has_key else rows.drop(KEY)
+        yield rows.toDF(*free_names(rows.columns)).withColumn(ROW_ID, F.monotonically_increasing_id()), same
 
 
 def clean_files(rows: DataFrame, files: list[str]):

@@ -108,6 +108,19 @@ def test_other_json_is_an_error(spark, folder):
         read_json_records(spark, put(folder, "r.json", '[{"a":1},\n2]'), multi_line=True).collect()
 
 
+def test_numbers_that_plain_json_has_not(spark, folder):
+    path = put(folder, "n.json", '{"k": [{"a": NaN, "b": 1, "c": "NaN"}, {"a": 2.5, "b": Infinity, "c": "x"}, {"a": 1, "b": -Infinity}]}')
+    rows = read_json_documents(spark, path).orderBy("b").select("a", "b", "c").collect()
+    assert [tuple(r) for r in rows] == [(1.0, float("-inf"), None), (None, 1.0, "NaN"), (2.5, float("inf"), "x")]
+
+
+def test_fields_of_reserved_and_like_names(spark, folder):
+    rows = read_json_documents(spark, put(folder, "r.json", '[{"_row_id": 7, "a": 1}, {"_row_id": 8, "A": 2}]'))
+    assert sorted(rows.columns) == ["A", "_row_id", "_row_id.1", "a.1"] and sorted(r["_row_id.1"] for r in rows.collect()) == [7, 8]
+    lines = read_json_records(spark, put(folder, "l.json", '{"_row_id": 7}\n{"_row_id": 8}\n'))
+    assert sorted(r["_row_id.1"] for r in lines.collect()) == [7, 8]
+
+
 def test_integers_with_gaps_are_doubles(spark, folder):
     path = put(folder, "g.json", '{"a":1,"b":1}\n{"a":null,"b":2}\n')
     assert dict(read_json_records(spark, path).drop(ROW_ID).dtypes) == {"a": "double", "b": "bigint"}
