@@ -60,7 +60,8 @@ def merged_profile(states: DataFrame, probabilities: list[float] | None = None)
     several types is text. Without a load there are no rows.
     """
     probabilities = probabilities or []
-    loads = states.select("load", "n_rows").distinct().agg(F.sum("n_rows").alias("all_rows")) if "load" in states.columns else None
+    # the rows of all loads, also of those without a column; one number comes to the driver
+    all_rows = states.select("load", "n_rows").distinct().agg(F.sum("n_rows")).first()[0] if "load" in states.columns else None
     weight = F.sum("n")
     mean = F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum(F.when(F.col("mean").isNotNull(), F.col("n"))), F.lit(0))
     means = states.groupBy("column").agg(mean.alias("_mean"))
@@ -74,9 +75,8 @@ def merged_profile(states: DataFrame, probabilities: list[float] | None = None)
         F.when(F.count("distinct_texts") > 0, F.hll_sketch_estimate(F.hll_union_agg("distinct_texts"))).alias("unique_values"),
         F.min("first").alias("first"), F.max("last").alias("last"),
     )
-    if loads is not None:
-        # the number of rows of all loads, also of those without the column
-        merged = merged.withColumn("_one", F.lit(1)).join(F.broadcast(loads.withColumn("_one", F.lit(1))), "_one").drop("_one").withColumn("n_rows", F.col("all_rows"))
+    if all_rows is not None:
+        merged = merged.withColumn("n_rows", F.lit(all_rows).cast("bigint"))
     at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))
     known = lambda value: F.when(F.col("sketch").isNotNull(), value)
     quantiles = F.array(*[at(p) for p in probabilities]) if probabilities else F.array().cast("array<double>")

@@ -96,7 +96,7 @@ def test_repeated_rows_are_counted_by_their_keys(spark, monkeypatch):
 
 
 def test_groups_are_cleaned_without_shuffling_their_rows(spark, monkeypatch):
-    """Statistics are aggregates of the rows; only texts are counted by value."""
+    """Statistics are aggregates of the numbers, which alone are shuffled; only texts are counted by value."""
     from lumenset.operators import clean_by as module
 
     made = []
