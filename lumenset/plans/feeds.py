@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import feeds as f
 from ..operators.markup import audit_html, repair_html, strip_code_fence
 from ..operators.quality import duplicate_rows, quality_report
+from ..operators.ranks import rank_correlations
 from .tables import GAPPY_LINEITEM, gappy_lineitem, read, text
 
 # --- rows and aggregates ----------------------------------------------------------------------
@@ -128,6 +129,25 @@ LINEITEM_CORRELATIONS = f"with d as (select *, cast(1 as double) as fixed from (
     for b in PAIRED[i + 1 :]
 )
 
+RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "fixed"]
+
+
+def lineitem_rank_correlations(spark, folder):
+    """Ties everywhere: a few discounts, quantities with gaps, a constant."""
+    lines = gappy_lineitem(spark, folder).withColumn("fixed", F.lit(1.0))
+    return rank_correlations(lines, RANKED).withColumn("r", F.round(F.col("r"), 6))
+
+
+LINEITEM_RANK_CORRELATIONS = f"with d as (select *, cast(1 as double) as fixed from ({GAPPY_LINEITEM})), k as (select " + ", ".join(
+    f"case when {c} is not null then rank() over (partition by {c} is null order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 end as {c}" for c in RANKED
+) + " from d) " + " union all ".join(
+    f"select '{a}' as x, '{b}' as y, count(*) as n, "
+    + ("cast(null as double)" if "fixed" in (a, b) else f"round(corr(cast({a} as double), cast({b} as double)), 6)")
+    + f" as r from k where {a} is not null and {b} is not null"
+    for i, a in enumerate(RANKED)
+    for b in RANKED[i + 1 :]
+)
+
 # --- data quality -----------------------------------------------------------------------------
 
 
@@ -310,6 +330,7 @@ QUERIES = {
     "order_points": order_points,
     "filtered_orders": filtered_orders,
     "lineitem_correlations": lineitem_correlations,
+    "lineitem_rank_correlations": lineitem_rank_correlations,
     "quality_issues": quality_issues,
     "repeated_texts": repeated_texts,
     "page_audit": page_audit,
@@ -326,6 +347,7 @@ SQL = {
     "order_points": ORDER_POINTS,
     "filtered_orders": FILTERED_ORDERS,
     "lineitem_correlations": LINEITEM_CORRELATIONS,
+    "lineitem_rank_correlations": LINEITEM_RANK_CORRELATIONS,
     "quality_issues": QUALITY_ISSUES,
     "repeated_texts": REPEATED_TEXTS,
     "page_audit": PAGE_AUDIT,
