@@ -90,13 +90,18 @@ def _gathered(rows: DataFrame, keys: list[str], names: dict[str, str]) -> DataFr
 
     Rows go to their group's task before the arrays are made: arrays made before would be no smaller, and made twice.
     """
-    listed = rows.repartition(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.sort_array(F.collect_list(v)).alias(v) for v in names.values()])
+    listed = rows.select(*keys, F.struct(*names.values()).alias("_v")).repartition(*keys).groupBy(*keys).agg(F.collect_list("_v").alias("_rows"))
+
+    def of(ordered: Column) -> Column:
+        present = F.size(ordered).cast("bigint")
+        gaps = F.size("_rows") - present
+        return from_ranks([F.get(ordered, F.when(r >= 0, r).cast("int")) for r in wanted_ranks(present, gaps)], present, gaps)
+
     stats = []
     for c, v in names.items():
-        present = F.size(v).cast("bigint")
-        gaps = F.col("_rows") - present
-        values = [F.get(F.col(v), F.when(r >= 0, r).cast("int")) for r in wanted_ranks(present, gaps)]
-        stats.append(from_ranks(values, present, gaps).alias(f"_{c}_stats"))
+        ordered = F.sort_array(F.filter(F.col("_rows")[v], lambda x: x.isNotNull()))
+        # a list of one list, so that it is put in order once and not for every place read
+        stats.append(F.transform(F.array(ordered), of)[0].alias(f"_{c}_stats"))
     # written once: the arrays are read here and go no further
     return cut_lineage(listed.select(*keys, *stats))
 
