@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import detect_format, iso_date, parse_as, parse_by
+from ..functions.dates import detect_format, iso_date, parse_as
 from ..functions.kinds import BOOL, NUMERIC, STRING, columns_of, kind_of, number, quoted
 from ..session import cut_lineage, with_row_order
 from .group_quantiles import GROUP_ROWS, group_quantiles
@@ -46,7 +46,9 @@ def _text_stats(df: DataFrame, keys: list[str], columns: list[str], sizes: Group
     plans = plans.withColumn("fill", fill).withColumn("pattern", detect_format(F.coalesce("first", "fill")))
     plans = plans.select(*group, "fill", "pattern")
 
-    fits = lambda value: parse_by(F.col(value), F.col("pattern")).isNotNull()
+    # the patterns in use, of a few dozen that there are: a parser is made once for each of them, not for every value
+    in_use = sorted(r[0] for r in plans.where("pattern is not null").select("pattern").distinct().collect())
+    fits = lambda value: F.coalesce(*[F.when(F.col("pattern") == p, parse_as(F.col(value), p).isNotNull()) for p in in_use], F.lit(False))
     tested = plans.select(*group, "pattern", fits("fill").alias("fill_fits"))
     tested = _per_key(tested, keys, columns, ["pattern", "fill_fits"])
     joined = stats_join(counts.drop("seen"), tested, keys, ["column", "key"], sizes.stats_bytes(len(columns)), sizes, **limits)
