@@ -35,9 +35,14 @@ def by_category(df: DataFrame, dimension: str, measure: str, n: int = 10) -> Dat
     Everything is a partial aggregate but the join of the sums, one row per category, with the n leading ones.
     """
     sums = df.groupBy(quoted(dimension).alias("category")).agg(F.count("*").alias("n"), F.sum(number(df, measure)).alias("total"))
+    return leaders(sums, n)
+
+
+def leaders(sums: DataFrame, n: int) -> DataFrame:
+    """The n largest of sums (category, n, total), one row per category, and the others as one row, with shares."""
     # ordering by all columns keeps both uses of the sums alike, so they are computed once
-    leaders = sums.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("category"), "n").limit(n)
-    marked = leaders.select(F.col("category").alias("_leader"), F.lit(True).alias("_leads"))
+    first = sums.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("category"), "n").limit(n)
+    marked = first.select(F.col("category").alias("_leader"), F.lit(True).alias("_leads"))
     joined = sums.join(marked, F.col("category").eqNullSafe(F.col("_leader")), "left")
     is_other = F.col("_leads").isNull()
     grouped = joined.groupBy(F.when(is_other, F.lit(OTHER)).otherwise(F.col("category")).alias("category"), is_other.alias("is_other")).agg(

@@ -6,7 +6,8 @@ that user does not have.
 
 from pyspark.sql import functions as F
 
-from ..operators import access, catalog as c, lifecycle
+from ..operators import access, catalog as c, gallery, lifecycle, reasons
+from ..session import scratch_path
 from .tables import CATALOG, catalog, read
 
 UID = 7
@@ -124,6 +125,23 @@ def gallery_next_page(spark, folder):
 GALLERY_NEXT_PAGE = GALLERY_PAGE
 
 
+def gallery_deep_page(spark, folder):
+    """The middle page of the largest gallery, of stored galleries of all users."""
+    cat = catalog(spark, folder)
+    mine = c.visualisations_owned(cat).select("viewer_id", "id", "title", "created_at")
+    stored = gallery.write_gallery(mine, scratch_path(spark, "gallery"))
+    owner = _hot_owner(cat)
+    middle = (gallery.gallery_total(stored, owner) + c.PAGE_SIZE - 1) // c.PAGE_SIZE // 2
+    shown = gallery.gallery_page_at(stored, owner, middle)
+    return shown.select("id", "title", _at("created_at"))
+
+
+GALLERY_DEEP_PAGE = _with(f"""
+, m as (select v.id, title, v.created_at, row_number() over (order by v.created_at desc, v.id desc) as place, count(*) over () as total
+        from visualisations v join datasets d on d.id = v.dataset_id where user_id = (select user_id from datasets where id = 0))
+select id, title, {CREATED} as created_at from m where (place - 1) // 6 = greatest((total + 5) // 6 // 2, 1) - 1""")
+
+
 def gallery_size(spark, folder):
     cat = catalog(spark, folder)
     return c.page_info(c.visualisations_owned(cat), 3)
@@ -351,6 +369,50 @@ group by object_type, object_id, owner_id, target_id having count(*) > 1
 union all select 'repeated e-mail', 'user', -1, email, count(*) from users group by email having count(*) > 1""")
 
 
+def rights_after_changes(spark, folder):
+    """Rights over datasets and dashboards, kept up to date through one change of each kind; the catalog is read for the first batch only."""
+    cat = catalog(spark, folder)
+    path = scratch_path(spark, "reasons")
+    orders = read(spark, folder, "orders")
+    third = cat.datasets.where("id % 3 = 0").select(F.col("user_id").alias("owner_id"), F.lit("dataset").alias("object_type"), F.col("id").alias("object_id"))
+    new = third.withColumn("target_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("object_id"))
+    changes = [
+        lambda now: reasons.all_reasons(cat),
+        lambda now: reasons.granted(now, new.unionByName(new)),
+        lambda now: reasons.revoked(now, cat.shares.join(urgent, "object_id", "left_semi")),
+        lambda now: reasons.flipped(now, orders.where("o_totalprice > 200000").select(F.col("o_orderkey").alias("id"))),
+        lambda now: reasons.without_visualisations(now, cat.visualisations.where(F.startswith(F.col("title"), F.lit("error"))).select("id")),
+        lambda now: reasons.without_datasets(now, cat.datasets.where("id % 7 = 3").select("id")),
+        lambda now: reasons.without_users(now, read(spark, folder, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))),
+    ]
+    for batch, change in enumerate(changes):
+        reasons.add_batch(change(reasons.read_reasons(spark, path, batch) if batch else None), path, batch)
+    now = reasons.read_reasons(spark, path)
+    both = [reasons.rights(now, kind).withColumn("object_type", F.lit(kind)) for kind in (c.DATASET, c.VISUALISATION)]
+    return both[0].unionByName(both[1]).withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
+RIGHTS_AFTER_CHANGES = _with(f"""
+, new as (select user_id as owner_id, t as target_id, 'dataset' as object_type, id as object_id from datasets, (values (0), (1)) x(t) where id % 3 = 0),
+s1 as (select owner_id, target_id, object_type, object_id from shares
+       union all select * from new where not exists (select 1 from shares s where s.owner_id = new.owner_id and s.target_id = new.target_id
+                 and s.object_type = new.object_type and s.object_id = new.object_id)),
+u as (select o_orderkey as id from orders where o_orderpriority = '1-URGENT'),
+s2 as (select s1.* from s1 where not exists (
+           select 1 from shares s where s.object_id in (select id from u) and s.owner_id = s1.owner_id and s.target_id = s1.target_id
+           and s.object_type = s1.object_type and s.object_id = s1.object_id)
+       and target_id not in {_DEBTORS} and owner_id not in {_DEBTORS} and not (object_type = 'visualisation' and object_id in {_ERRORS})),
+d2 as (select id, user_id, is_public <> (id in (select o_orderkey from orders where o_totalprice > 200000)) as is_public from datasets
+       where id % 7 <> 3 and user_id not in {_DEBTORS}),
+o as (select 'dataset' as object_type, id as object_id, user_id, is_public from d2
+      union all select 'visualisation', v.id, d2.user_id, d2.is_public from visualisations v join d2 on d2.id = v.dataset_id where v.id not in {_ERRORS})
+select object_type, user_id, object_id, 'owner' as reason, is_public from o
+union all select object_type, -1, object_id, 'public', true from o where is_public
+union all select distinct o.object_type, target_id, o.object_id, case when is_public then 'public' else 'shared' end, is_public
+from s2 join o on o.object_id = s2.object_id and o.object_type = s2.object_type where target_id <> user_id""")
+
+
 QUERIES = {
     "own_datasets": own_datasets,
     "received_datasets": received_datasets,
@@ -361,6 +423,7 @@ QUERIES = {
     "own_dashboards": own_dashboards,
     "gallery_page": gallery_page,
     "gallery_next_page": gallery_next_page,
+    "gallery_deep_page": gallery_deep_page,
     "gallery_size": gallery_size,
     "received_dashboards": received_dashboards,
     "dashboards_by_dataset": dashboards_by_dataset,
@@ -377,6 +440,7 @@ QUERIES = {
     "without_debtors": without_debtors,
     "flipped_datasets": flipped_datasets,
     "integrity": integrity,
+    "rights_after_changes": rights_after_changes,
 }
 
 SQL = {
@@ -389,6 +453,7 @@ SQL = {
     "own_dashboards": OWN_DASHBOARDS,
     "gallery_page": GALLERY_PAGE,
     "gallery_next_page": GALLERY_NEXT_PAGE,
+    "gallery_deep_page": GALLERY_DEEP_PAGE,
     "gallery_size": GALLERY_SIZE,
     "received_dashboards": RECEIVED_DASHBOARDS,
     "dashboards_by_dataset": DASHBOARDS_BY_DATASET,
@@ -405,4 +470,5 @@ SQL = {
     "without_debtors": WITHOUT_DEBTORS,
     "flipped_datasets": FLIPPED_DATASETS,
     "integrity": INTEGRITY,
+    "rights_after_changes": RIGHTS_AFTER_CHANGES,
 }

@@ -5,10 +5,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import feeds as f
+from ..operators import cube as cb, feeds as f
 from ..operators.markup import audit_html, repair_html, strip_code_fence
 from ..operators.quality import duplicate_rows, quality_report
 from ..operators.ranks import rank_correlations
+from ..session import scratch_path
 from .tables import GAPPY_LINEITEM, gappy_lineitem, read, text
 
 # --- rows and aggregates ----------------------------------------------------------------------
@@ -113,6 +114,38 @@ select 'o_totalprice' as measure, count(*) as n, round(sum(o_totalprice), 2) as
 from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus in ('O', 'F')
   and o_totalprice between 50000 and 300000 and o_custkey >= 10 and o_orderdate between timestamp '1993-05-01' and timestamp '1997-12-31'"""
 
+CUBE_DIMENSIONS = ["o_orderstatus", "o_orderpriority", "year"]
+CHOSEN = {"o_orderpriority": ["1-URGENT", "2-HIGH", "5-LOW"]}
+MONTHS = {"month": (datetime(1993, 5, 1), datetime(1997, 12, 1))}
+
+
+def feeds_from_cube(spark, folder):
+    """KPIs, categories, months and a heatmap of orders under filters, all from one cube; the rows are read once, when it is built."""
+    orders = read(spark, folder, "orders").withColumn("year", F.year("o_orderdate").cast("string"))
+    orders = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    cube = cb.build_cube(orders, CUBE_DIMENSIONS, ["o_totalprice"], scratch_path(spark, "cube"), {"month": ("o_orderdate", "month")})
+    blocks = {
+        "kpis": (cb.kpis_of(cube, CHOSEN, MONTHS), F.lit("o_totalprice"), F.lit("")),
+        "categories": (cb.by_category_of(cube, "year", "o_totalprice", 3, CHOSEN), F.col("category"), F.lit("")),
+        "months": (cb.by_time_of(cube, "month", "o_totalprice", CHOSEN, MONTHS), F.date_format("bucket", "yyyy-MM-dd"), F.lit("")),
+        "heatmap": (cb.by_two_of(cube, "o_orderstatus", "o_orderpriority", "o_totalprice", None, MONTHS), F.col("row"), F.col("column")),
+    }
+    parts = [df.select(F.lit(k).alias("block"), a.alias("first"), b.alias("second"), "n", F.round("total", 2).alias("total")) for k, (df, a, b) in blocks.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_CHOSEN_SQL = "o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW')"
+_MONTHS_SQL = "o_orderdate >= timestamp '1993-05-01' and o_orderdate < timestamp '1998-01-01'"
+FEEDS_FROM_CUBE = f"""
+with d as (select o_orderdate, o_orderstatus, o_orderpriority, case when o_orderkey % 7 = 0 then null else o_totalprice end as price from orders),
+     y as (select cast(year(o_orderdate) as varchar) as category, count(*) as n, sum(price) as total from d where {_CHOSEN_SQL} group by 1),
+     r as (select *, row_number() over (order by total desc, category) > 3 as is_other from y)
+select 'kpis' as block, 'o_totalprice' as first, '' as second, count(price) as n, round(sum(price), 2) as total from d where {_CHOSEN_SQL} and {_MONTHS_SQL}
+union all select 'categories', case when is_other then 'Other' else category end, '', cast(sum(n) as bigint), round(sum(total), 2) from r group by 2, is_other
+union all select 'months', strftime(date_trunc('month', o_orderdate), '%Y-%m-%d'), '', count(*), round(sum(price), 2) from d
+          where {_CHOSEN_SQL} and {_MONTHS_SQL} group by 2
+union all select 'heatmap', o_orderstatus, o_orderpriority, count(*), round(sum(price), 2) from d where {_MONTHS_SQL} group by 2, 3"""
+
 PAIRED = ["l_extendedprice", "l_discount", "l_quantity", "l_linenumber", "fixed"]
 
 
@@ -329,6 +362,7 @@ QUERIES = {
     "segments_by_priority": segments_by_priority,
     "order_points": order_points,
     "filtered_orders": filtered_orders,
+    "feeds_from_cube": feeds_from_cube,
     "lineitem_correlations": lineitem_correlations,
     "lineitem_rank_correlations": lineitem_rank_correlations,
     "quality_issues": quality_issues,
@@ -346,6 +380,7 @@ SQL = {
     "segments_by_priority": SEGMENTS_BY_PRIORITY,
     "order_points": ORDER_POINTS,
     "filtered_orders": FILTERED_ORDERS,
+    "feeds_from_cube": FEEDS_FROM_CUBE,
     "lineitem_correlations": LINEITEM_CORRELATIONS,
     "lineitem_rank_correlations": LINEITEM_RANK_CORRELATIONS,
     "quality_issues": QUALITY_ISSUES,
