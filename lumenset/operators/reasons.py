@@ -2,8 +2,8 @@
 
 A reason is a row (object_type, dataset_id, object_id, user_id, reason, granter_id, n): an object has one ``owner`` row, a ``public`` row while it
 is public (no user, the owner as granter) and a ``shared`` row per granter and receiver that counts the shares. Every change of the catalog
-becomes rows with positive or negative ``n``, computed from the reasons it touches only, and stored as a batch of its own. Adding up the batches
-gives the reasons of now; the tables of the catalog are not read again.
+becomes rows with positive or negative ``n``, stored as a batch of its own. Adding up the batches gives the reasons of now; the tables of the
+catalog are not read again. Functions that compute a change take the rows of all batches and add up only those that it touches.
 
 A missing public flag counts as not public. Objects without an id and dashboards of unknown datasets have no owner row; shares of unknown
 objects are kept, as in the catalog, and count again once the object exists. Ids without a value match nothing. Dataset and dashboard ids are unique.
@@ -50,7 +50,7 @@ def added_visualisations(reasons: DataFrame, visualisations: DataFrame) -> DataF
     """The change that new dashboards (id, dataset_id) on known datasets make."""
     mine = reasons.where((F.col("object_type") == DATASET) & F.col("reason").isin(OWNER, PUBLIC))
     wanted = visualisations.select("dataset_id").distinct()
-    datasets = _objects(mine.join(wanted, "dataset_id", "left_semi"))
+    datasets = _objects(merged(mine.join(wanted, "dataset_id", "left_semi")))
     boards = visualisations.select(F.col("id").alias("object_id"), "dataset_id")
     return _object_rows(boards.join(datasets.drop("object_id", "object_type"), "dataset_id"), VISUALISATION)
 
@@ -65,12 +65,13 @@ def all_reasons(cat: Catalog) -> DataFrame:
 def granted(reasons: DataFrame, new: DataFrame) -> DataFrame:
     """Shares (SHARE_KEY) that do not exist yet, once each."""
     fresh = _share_rows(new.select(SHARE_KEY).distinct().withColumn("n", F.lit(1)))
-    have = reasons.where(F.col("reason") == SHARED).select("object_type", "object_id", "user_id", "granter_id")
-    return fresh.join(have, have.columns, "left_anti").select(*[c.split(" ")[0] for c in REASONS.split(", ")])
+    same = ["object_type", "object_id", "user_id", "granter_id"]
+    have = merged(reasons.where(F.col("reason") == SHARED).join(fresh.select(same), same, "left_semi"))
+    return fresh.join(have.select(same), same, "left_anti").select(*KEY, "n")
 
 
 def _negated(rows: DataFrame) -> DataFrame:
-    return rows.select(*KEY, (-F.col("n")).alias("n"))
+    return merged(rows).select(*KEY, (-F.col("n")).alias("n"))
 
 
 def revoked(reasons: DataFrame, keys: DataFrame) -> DataFrame:
@@ -94,23 +95,23 @@ def without_datasets(reasons: DataFrame, ids: DataFrame) -> DataFrame:
 
 def without_users(reasons: DataFrame, ids: DataFrame) -> DataFrame:
     """Accounts go with what they own, grant and receive. Public rows have the owner as granter."""
-    gone = ids.select(F.col("id").alias("_gone")).distinct()
-    left = reasons.withColumn("_one", F.explode(F.array_distinct(F.array("user_id", "granter_id"))))
-    # a row that matches by both its users goes once
-    hit = left.join(gone, F.col("_one") == F.col("_gone"), "left_semi").select(*KEY, "n").distinct()
-    return _negated(hit)
+    gone = ids.select(F.col("id").alias("_gone"))
+    received = reasons.join(gone, F.col("user_id") == F.col("_gone"), "left_semi")
+    rest = reasons.join(gone, F.col("user_id") == F.col("_gone"), "left_anti")
+    return _negated(received.unionByName(rest.join(gone, F.col("granter_id") == F.col("_gone"), "left_semi")))
 
 
 def _objects(rows: DataFrame) -> DataFrame:
     """(object_type, dataset_id, object_id, owner_id, is_public) from owner and public rows."""
-    return rows.groupBy("object_type", "dataset_id", "object_id").agg(
+    seen = rows.groupBy(F.struct("object_type", "dataset_id", "object_id").alias("_key")).agg(
         F.max(F.when(F.col("reason") == OWNER, F.col("user_id"))).alias("owner_id"), F.max(F.col("reason") == PUBLIC).alias("is_public")
     )
+    return seen.select("_key.*", "owner_id", "is_public")
 
 
 def flipped(reasons: DataFrame, ids: DataFrame) -> DataFrame:
     """Flip the public flag of datasets, and so of their dashboards."""
-    objects = _objects(_touched(reasons.where(F.col("reason").isin(OWNER, PUBLIC)), "dataset_id", ids))
+    objects = _objects(merged(_touched(reasons.where(F.col("reason").isin(OWNER, PUBLIC)), "dataset_id", ids)))
     sign = F.when(F.col("is_public"), -1).otherwise(1)
     return objects.select(F.inline(F.array(_rows(
         object_type=F.col("object_type"), dataset_id=F.col("dataset_id"), object_id=F.col("object_id"), reason=F.lit(PUBLIC), granter_id=F.col("owner_id"), n=sign,
@@ -118,8 +119,11 @@ def flipped(reasons: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def merged(changes: DataFrame) -> DataFrame:
-    """Reasons of now from signed rows; reasons that cancel out are gone. One partial aggregate."""
-    return changes.groupBy(KEY).agg(F.sum("n").alias("n")).where("n <> 0")
+    """Reasons of now from signed rows; reasons that cancel out are gone. One partial aggregate.
+
+    The key is one value: rows that a join has dealt by a hot dataset or user alone are dealt anew, so that join may be split.
+    """
+    return changes.groupBy(F.struct(*KEY).alias("_key")).agg(F.sum("n").alias("n")).where("n <> 0").select("_key.*", "n")
 
 
 def add_batch(changes: DataFrame, path: str, batch: int) -> None:
@@ -127,10 +131,15 @@ def add_batch(changes: DataFrame, path: str, batch: int) -> None:
     changes.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def read_reasons(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Reasons of now, or as they were before a batch, from which that batch can be computed again."""
+def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The rows of all batches, or of those before a batch, from which that batch can be computed again."""
     rows = spark.read.schema(REASONS).parquet(path)
-    return merged(rows if before is None else rows.where(F.col("batch") < before))
+    return (rows if before is None else rows.where(F.col("batch") < before)).select(*KEY, "n")
+
+
+def read_reasons(spark: SparkSession, path: str) -> DataFrame:
+    """Reasons of now."""
+    return merged(read_batches(spark, path))
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:

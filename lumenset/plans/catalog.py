@@ -387,7 +387,7 @@ def rights_after_changes(spark, folder):
         lambda now: reasons.without_users(now, read(spark, folder, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))),
     ]
     for batch, change in enumerate(changes):
-        reasons.add_batch(change(reasons.read_reasons(spark, path, batch) if batch else None), path, batch)
+        reasons.add_batch(change(reasons.read_batches(spark, path, batch) if batch else None), path, batch)
     now = reasons.read_reasons(spark, path)
     both = [reasons.rights(now, kind).withColumn("object_type", F.lit(kind)) for kind in (c.DATASET, c.VISUALISATION)]
     return both[0].unionByName(both[1]).withColumn("user_id", F.coalesce("user_id", F.lit(-1)))

@@ -36,7 +36,7 @@ def kept(now):
 def stored(spark, path, change, batch):
     """The change is stored twice, as after a failure."""
     for _ in range(2):
-        r.add_batch(change(r.read_reasons(spark, path, batch) if batch else None), path, batch)
+        r.add_batch(change(r.read_batches(spark, path, batch) if batch else None), path, batch)
     return r.read_reasons(spark, path)
 
 
