@@ -4,11 +4,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators.profile_state import within
 from ..session import scratch_path
 from ..sources.csv import BAD, FILE, file_headers, read_csv_fields
 from ..sources.infer import cast_types
 from ..streaming.ingest import ID, ingest_stream
 from ..streaming.quota import answer_requests, quota_violations, run_quota_stream, run_refusal_stream
+from ..streaming.tenants import run_tenant_stream
 from .tables import read, text
 
 # the events of one user are few, so the limits are low
@@ -74,6 +76,43 @@ def answered_stream(spark, folder):
     return _answers(spark.read.parquet(sink))
 
 
+def tenant_batches(spark, folder):
+    """Events in four files, taken one after the other, a third of them of one tenant: what each batch filled, and how far its medians lie from their ranks."""
+    key = F.col("event_id")
+    events = read(spark, folder, "events").select(
+        F.when(key % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("user_id") % 20).alias("user"), "event_id",
+        F.when(key % 7 != 0, F.col("value")).alias("value"), F.when(key % 5 != 0, F.col("event_type")).alias("kind"), (key % 4).alias("part"),
+    )
+    drop, sink, state = (scratch_path(spark, name) for name in ("tenants", "cleaned", "states"))
+    for i in range(4):
+        events.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{drop}/{i}")
+    stream = spark.readStream.schema(events.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(drop)
+    run_tenant_stream(stream, state, sink, scratch_path(spark, "state"), "user", ["value"], ["kind"]).awaitTermination()
+    cleaned = spark.read.parquet(sink).withColumn("gap", F.col("event_id") % 7 == 0)
+    used = cleaned.groupBy("user", "batch").agg(
+        F.count("*").alias("n"), F.count_if("gap").alias("n_filled"), F.max(F.when(F.col("gap"), F.col("value"))).alias("median"),
+        F.max(F.when(F.col("event_id") % 5 == 0, F.col("kind"))).alias("kind_filled"),
+    )
+    # the place of each median among the values of its tenant up to its batch
+    values = events.where("value is not null").select(F.col("user").alias("of"), "value", "part")
+    near = used.join(values, (F.col("user") == F.col("of")) & (F.col("part") <= F.col("batch"))).groupBy(F.struct("user", "batch").alias("k")).agg(
+        F.count("*").alias("all"), F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto")
+    )
+    off = F.greatest(F.col("below") / F.col("all") - 0.5, 0.5 - F.col("upto") / F.col("all"))
+    near = near.select("k.*", F.col("all").alias("n_values"), within(off).alias("near"))
+    return used.join(near, ["user", "batch"]).select("user", "batch", "n", "n_filled", F.coalesce("kind_filled", F.lit("")).alias("kind_filled"), "n_values", "near")
+
+
+TENANT_BATCHES = """
+with e as (select case when event_id % 3 = 0 then -1 else user_id % 20 end as user, event_id, event_id % 4 as part,
+                  case when event_id % 7 = 0 then null else value end as value, case when event_id % 5 = 0 then null else event_type end as kind from events),
+     b as (select user, part as batch, count(*) as n, count(*) filter (event_id % 7 = 0) as n_filled, count(*) filter (event_id % 5 = 0) as kinds from e group by 1, 2),
+     c as (select b.user, batch, kind, count(*) as m from b join e on e.user = b.user and e.part <= b.batch where kind is not null group by 1, 2, 3),
+     m as (select user, batch, kind from c qualify row_number() over (partition by user, batch order by m desc, kind) = 1),
+     v as (select b.user, batch, count(value) as n_values from b join e on e.user = b.user and e.part <= b.batch group by 1, 2)
+select b.user as "user", b.batch, n, n_filled, case when kinds = 0 then '' else coalesce(m.kind, '') end as kind_filled, n_values, true as near
+from b join v on v.user = b.user and v.batch = b.batch left join m on m.user = b.user and m.batch = b.batch where n_values > 0"""
+
 # keys per dropped file: files are as large for a large table as for a small one
 ORDERS_EACH, CUSTOMERS_EACH = 100_000, 10_000
 
@@ -184,6 +223,7 @@ from d join q using (c_nationkey, block)"""
 QUERIES = {
     "answered_requests": answered_requests,
     "answered_stream": answered_stream,
+    "tenant_batches": tenant_batches,
     "ingested_customers": ingested_customers,
     "over_quota": over_quota,
     "over_quota_stream": over_quota_stream,
@@ -194,6 +234,7 @@ QUERIES = {
 SQL = {
     "answered_requests": ANSWERED_REQUESTS,
     "answered_stream": ANSWERED_REQUESTS,
+    "tenant_batches": TENANT_BATCHES,
     "ingested_customers": INGESTED_CUSTOMERS,
     "over_quota": OVER_QUOTA,
     "over_quota_stream": OVER_QUOTA,
