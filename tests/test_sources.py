@@ -173,3 +173,16 @@ def test_manifest(spark, folder):
 
 def test_empty_csv_has_text_columns(spark, folder):
     assert fit_types(spark.createDataFrame([], "a string"), ["a"]) == {"a": "string"}
+
+
+def test_repeated_keys_are_refused_unless_the_session_takes_them(spark, tmp_path):
+    (tmp_path / "twice.json").write_text('[{"a": 1, "a": 2, "b": "x"}, {"a": 3, "b": "y", "b": null}]')
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    with pytest.raises(Exception):
+        read_json_documents(spark, str(tmp_path)).collect()
+    spark.conf.set(setting, "true")
+    try:
+        rows = read_json_documents(spark, str(tmp_path)).select("a", "b").collect()
+    finally:
+        spark.conf.unset(setting)
+    assert sorted(map(tuple, rows)) == [(2, "x"), (3, None)]
