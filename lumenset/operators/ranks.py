@@ -6,9 +6,12 @@ from ..functions.kinds import NUMERIC, columns_of, number
 from ..session import cut_lineage
 from .feeds import correlations
 
+# Cells of one value that one task may join; the ranks of values with more are broadcast.
+HOT_ROWS = 100_000
+
 
 def value_ranks(cells: DataFrame) -> DataFrame:
-    """(column, value, rank) of (column, value) cells: the average place, from 1, of the value among all of its column.
+    """(column, value, n, rank) of (column, value) cells: how often the value occurs, and its average place, from 1, among all of its column.
 
     Distinct values with their counts are range-partitioned, so that every task orders a run of them; the places before a run are
     the sums of the runs before, of which there is one row per task and column.
@@ -22,21 +25,25 @@ def value_ranks(cells: DataFrame) -> DataFrame:
     upto = F.sum("n").over(W.partitionBy("column", "run").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
     placed = runs.withColumn("upto", upto).join(offsets, ["column", "run"])
     # a value of n rows that ends at place e has the places e - n + 1 to e
-    return placed.select("column", "value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+    return placed.select("column", "value", "n", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def ranked_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def ranked_columns(df: DataFrame, columns: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row that has a value in any of the columns, each value replaced by its average rank in its column; nulls stay null.
 
-    Equal values have equal ranks. Cells meet the ranks of their column by a join on the value, in which Spark may split a hot value
-    (keep ``spark.sql.adaptive.skewJoin.enabled``), and come back together by the number of their row.
+    Equal values have equal ranks. Cells meet the ranks of their column by a join on the value: the ranks of frequent values, few by their
+    count, are broadcast, only cells of the others are shuffled. Cells come back together by the number of their row.
     """
     columns = columns_of(df, NUMERIC) if columns is None else columns
     cells = [F.struct(F.lit(i).alias("column"), number(df, c).alias("value")) for i, c in enumerate(columns)]
     # written once, narrow: rows are numbered, and both the ranks and the join read the numbers
     rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), F.filter(F.array(*cells), lambda x: x["value"].isNotNull()).alias("cells")))
     long = rows.select("row", F.inline("cells"))
-    ranked = long.join(value_ranks(long.select("column", "value")), ["column", "value"])
+    ranks = cut_lineage(value_ranks(long.select("column", "value")))
+    hot = ranks.where(F.col("n") > hot_rows).select(F.col("column").alias("_c"), F.col("value").alias("_v"), "rank")
+    marked = long.join(F.broadcast(hot), (F.col("column") == F.col("_c")) & (F.col("value") == F.col("_v")), "left").drop("_c", "_v")
+    rest = marked.where("rank is null").drop("rank").join(ranks.where(F.col("n") <= hot_rows).drop("n"), ["column", "value"])
+    ranked = marked.where("rank is not null").unionByName(rest)
     back = ranked.groupBy("row").agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
     return back.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
 

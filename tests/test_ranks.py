@@ -27,6 +27,15 @@ def test_ranks_are_those_of_pandas(table):
     pd.testing.assert_frame_equal(got.sort_values(names, ignore_index=True), want.sort_values(names, ignore_index=True), check_dtype=False)
 
 
+def test_ranks_of_frequent_values_are_broadcast(table, capfd):
+    names = ["ties", "g.aps", "hot"]
+    want = pd.DataFrame([tuple(r) for r in table.collect()], columns=table.columns)[names].astype(float).rank()
+    found = ranked_columns(table, names, hot_rows=400)
+    found.explain()
+    assert "BroadcastHashJoin" in capfd.readouterr().out
+    pd.testing.assert_frame_equal(found.toPandas().sort_values(names, ignore_index=True), want.sort_values(names, ignore_index=True), check_dtype=False)
+
+
 def test_correlations_of_ranks(table):
     names = ["ties", "g.aps", "fixed", "none", "hot"]
     frame = pd.DataFrame([tuple(r) for r in table.collect()], columns=table.columns)[names].astype(float).rank()
