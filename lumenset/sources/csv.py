@@ -7,8 +7,9 @@ file's path and the record that could not be read by names that no header of one
 import csv
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.joins import BROADCAST_BYTES, ROW_BYTES
 from ..session import ROW_ID
 from .infer import cast_types, fit_types, missing_as_null
 from .records import file_lines, line_breaks, read_records
@@ -96,15 +97,20 @@ def read_csv_fields(spark: SparkSession, path: str | list[str], headers: dict[st
     return _named(raw.select(*fields, F.col("bad").alias(BAD), F.col("_metadata.file_path").alias(FILE)), headers)
 
 
+def _by_file(spark: SparkSession, facts: dict, field: str) -> DataFrame:
+    """One row per file with a fact about it. Rows of few files stay where they are: dealt by file, those of a file would meet in one task."""
+    rows = spark.createDataFrame(list(facts.items()), f"_of string, {field}")
+    size = sum(len(f) + len(str(fact)) + ROW_BYTES for f, fact in facts.items())
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
 def _split_records(spark: SparkSession, lines: DataFrame, first: dict[str, str], headers: dict[str, list[str]]) -> DataFrame:
     """What :func:`read_csv_fields` returns and ``_row_id``, from records that many tasks have cut out of each file."""
     fields = _places(headers)
-    heads = spark.createDataFrame(list(first.items()), "_of string, _head string")  # one row per file
+    heads = _by_file(spark, first, "_head string")
     records = read_records(lines).join(heads, F.col("file") == F.col("_of"), "left").drop("_of")
-    # of the records of a file's first block that read like its header, the first one is the header
-    alike = (F.col("block") == 0) & F.col("record").eqNullSafe(F.col("_head"))
-    again = records.filter(alike).withColumn("_place", F.row_number().over(W.partitionBy("file").orderBy("id")))
-    data = records.filter(~alike).unionByName(again.filter("_place > 1").drop("_place"))
+    # the first record of a file is its header, if it reads like it
+    data = records.filter(~(F.col("first") & (F.col("block") == 0) & F.col("record").eqNullSafe(F.col("_head"))))
     schema = ", ".join(f"{f} string" for f in [*fields, "bad"])
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
     parsed = data.select(F.from_csv("record", schema, options).alias("r"), F.col("file").alias(FILE), F.col("id").alias(ROW_ID))
@@ -117,8 +123,7 @@ def _named(raw: DataFrame, headers: dict[str, list[str]], *carried: str) -> Data
     distinct = list(dict.fromkeys(map(tuple, headers.values())))
     names = list({n.lower(): n for n in dict.fromkeys(n for header in distinct for n in header)}.values())
     if len(distinct) > 1:
-        # one row per file
-        kinds = raw.sparkSession.createDataFrame([(f, distinct.index(tuple(h))) for f, h in headers.items()], "_of string, _kind int")
+        kinds = _by_file(raw.sparkSession, {f: distinct.index(tuple(h)) for f, h in headers.items()}, "_kind int")
         raw = raw.join(kinds, F.col(FILE) == F.col("_of"), "left").drop("_of")
     else:
         raw = raw.withColumn("_kind", F.lit(0))

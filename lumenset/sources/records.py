@@ -2,11 +2,16 @@
 
 A file is read by blocks, line by line. Whether a line begins inside a quoted value depends on all lines before it, but only
 through one bit, so every line is a map of that bit to the bit at its end: most leave it as it is, some swap it, some end in one
-state whatever they began in. The maps of a block are composed into one, the maps of the blocks before give the bit with which a
-block begins, and then every line of it has its own. Only blocks with a quoted line break are shuffled, block by block, and
-only lines of records that go on over a line are joined, also over the edges of blocks.
+state whatever they began in. The task that reads a block composes the maps of its lines as they come, the maps of the blocks before
+give the bit with which a block begins, and the task that reads the block again cuts its records, a batch of lines at a time. Only
+lines of records that go on over the edge of a block are shuffled.
 """
 
+import sys
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.joins import BROADCAST_BYTES
@@ -14,9 +19,13 @@ from ..session import cut_lineage
 
 OPEN_END = "a quoted value is never closed"
 MOVED = "the blocks of a file were cut anew while it was read"
+UNORDERED = "the lines of a block do not come in their order"
 # Bytes of a row about a block besides the file's path.
 BLOCK_BYTES = 64
 
+# workers get the functions themselves: they need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # After a quote: inside a value (1), or behind one that the quote closed (2); elsewhere a quote opens a value (3) or is a plain character (0).
 PLAIN, INSIDE, CLOSED, READY = 0, 1, 2, 3
 
@@ -50,15 +59,92 @@ def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def line_breaks(lines: DataFrame) -> tuple[bool, bool, bool]:
     """Whether a quoted value goes on over a line feed, whether a carriage return stands inside a line, and whether a file has several blocks."""
     returns = F.instr("line", "\r").between(1, F.length("line") - 1)
-    row = lines.agg(F.max(ends_inside(F.col("line"), False)), F.max(returns), F.max("block")).first()
-    return bool(row[0]), bool(row[1]), bool(row[2])
-
-
-def _maps(lines: DataFrame) -> DataFrame:
-    """Add what a line does: ``settles`` (the state it ends in, whatever it began in, else null) and ``swaps`` (0 or 1)."""
-    ends = lines.withColumns({"from0": ends_inside(F.col("line"), False), "from1": ends_inside(F.col("line"), True)})
-    settles = F.when(F.col("from0") == F.col("from1"), F.col("from0"))
-    return ends.withColumns({"settles": settles, "swaps": (F.col("from0") > F.col("from1")).cast("int")})
+    row = lines.agg(F.max(returns), F.max("block")).first()
+    # the first line found is enough
+    breaks = not lines.filter(ends_inside(F.col("line"), False) == 1).isEmpty()
+    return breaks, bool(row[0]), bool(row[1])
+
+
+def _end(line: bytes, inside: int) -> int:
+    """:func:`ends_inside` for one line."""
+    first, *rest = line.split(b'"')
+    state = INSIDE if inside else READY if not first or first.endswith(b",") else PLAIN
+    for piece in rest:
+        if state in (READY, CLOSED):
+            state = INSIDE
+        elif state == INSIDE and not piece:
+            state = CLOSED
+        else:
+            state = READY if piece.endswith(b",") else PLAIN
+    return int(state == INSIDE)
+
+
+MAPS = "number long, end0 int, end1 int, head1 long, tail0 long, tail1 long"
+
+
+def _block_maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block does to the state it begins in (0 or 1), from its lines with quotes (number of the block, id, line): the state at its end,
+    and with it the id of the line that ends the record it begins in (head) and of the line that begins the record open at its end (tail)."""
+    of, last = None, -1
+    end0, end1, head1, tail0, tail1 = 0, 1, None, None, None
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((of, end0, end1, head1, tail0, tail1), kinds)], ["number", "end0", "end1", "head1", "tail0", "tail1"])
+
+    for batch in batches:
+        for number, id_, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != of:
+                if of is not None:
+                    yield row()
+                of, last = number, -1
+                end0, end1, head1, tail0, tail1 = 0, 1, None, None, None
+            if id_ <= last:
+                raise ValueError(UNORDERED)
+            last = id_
+            after0 = _end(line, end0)
+            after1 = after0 if end0 == end1 else _end(line, end1)
+            if after0 != end0:
+                tail0 = id_ if after0 else None
+            if after1 != end1:
+                if not after1 and head1 is None and tail1 is None:
+                    head1 = id_
+                tail1 = id_ if after1 else None
+            end0, end1 = after0, after1
+    if of is not None:
+        yield row()
+
+
+def _cut_records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, id, record, first) of the lines of blocks that begin and end outside of a record; ``first`` is the first record of its block that is
+    not blank."""
+    open_, of, begun = [], None, False
+    for batch in batches:
+        numbers, ids, records, firsts = [], [], [], []
+        for number, id_, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != of:
+                of, begun = number, False
+            if not open_:
+                start = id_
+            if b'"' in line:
+                inside = _end(line, int(bool(open_)))
+            else:
+                inside = bool(open_)
+            if inside:
+                open_.append(line)
+                continue
+            if open_:
+                line = b"\n".join([*open_, line])
+                open_ = []
+            line = line.removesuffix(b"\r")
+            if not line.strip(b" "):
+                continue
+            numbers.append(number)
+            ids.append(start)
+            records.append(line)
+            firsts.append(not begun)
+            begun = True
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array(records, pa.binary()), pa.array(firsts, pa.bool_())], ["number", "id", "record", "first"])
 
 
 def _composed(window, place: str, start: Column) -> Column:
@@ -71,60 +157,68 @@ def _composed(window, place: str, start: Column) -> Column:
     return F.pmod(F.coalesce(last["settles"] - last["turned"], start) + turned, F.lit(2))
 
 
-def block_starts(lines: DataFrame) -> DataFrame:
-    """(file, block, start, opens): the state in which each block begins, and whether any line of it may open a value. One row per block."""
-    inside = W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
-    blocks = lines.groupBy("file", "block").agg(F.max(ends_inside(F.col("line"), False)).alias("opens"))
-    # lines that change nothing are left out before the shuffle, and no text is shuffled
-    acts = _maps(lines.filter(F.contains("line", F.lit('"')))).filter("settles is not null or swaps = 1").select("file", "block", "id", "settles", "swaps")
-    acts = acts.withColumn("turned", F.sum("swaps").over(inside))
-    last = F.max(F.when(F.col("settles").isNotNull(), F.struct("id", "settles", "turned")))
-    maps = acts.groupBy("file", "block").agg(last.alias("last"), F.max("turned").alias("all"))
-    settles = F.pmod(F.col("last.settles") + F.col("all") - F.col("last.turned"), F.lit(2))
-    maps = maps.select("file", "block", settles.alias("settles"), F.when(settles.isNull(), F.col("all") % 2).otherwise(0).alias("swaps"))
-    whole = blocks.join(maps, ["file", "block"], "left").withColumn("swaps", F.coalesce("swaps", F.lit(0)))
+def _known(blocks: DataFrame) -> tuple[DataFrame, bool]:
+    """A table of a row per block for a join with lines, and whether it is small enough to be broadcast, so that lines stay in their order."""
+    n, width = blocks.agg(F.count(F.lit(1)), F.max(F.octet_length("file"))).first()
+    small = n * ((width or 0) + BLOCK_BYTES) <= BROADCAST_BYTES
+    return F.broadcast(blocks) if small else blocks, small
+
+
+def block_starts(lines: DataFrame, in_order: bool = False) -> DataFrame:
+    """(file, block, number, start, end, head, tail, carried): the states in which each block begins and ends, the id of the line up to which it
+    goes on with the record it begins in, of the line that begins the record open at its end, and of that at the end of the blocks before.
+    One row per block, with a number of its own.
+
+    Lines ``in_order``, as files are read, stay in their tasks; others are first brought to a task per block.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = cut_lineage(blocks.select("file", "block", F.monotonically_increasing_id().alias("number")))
+    known, small = _known(blocks)
+    # lines that change nothing are left out, and text may be no valid UTF-8
+    acts = lines.filter(F.contains("line", F.lit('"'))).join(known, ["file", "block"]).select("number", "id", F.col("line").cast("binary").alias("line"))
+    if not (in_order and small):
+        acts = acts.repartition("number").sortWithinPartitions("number", "id")
+    maps = acts.mapInArrow(_block_maps, MAPS)
+    whole = blocks.join(maps, "number", "left").withColumns({"end0": F.coalesce("end0", F.lit(0)), "end1": F.coalesce("end1", F.lit(1))})
+    settles = F.when(F.col("end0") == F.col("end1"), F.col("end0"))
+    whole = whole.withColumns({"settles": settles, "swaps": (F.col("end0") > F.col("end1")).cast("int")})
     upto = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = whole.withColumn("turned", F.sum("swaps").over(upto)).withColumn("start", _composed(before, "block", F.lit(0)))
-    end = F.coalesce("settles", (F.col("start") + F.col("swaps")) % 2)
-    return cut_lineage(whole.select("file", "block", "start", "opens", end.alias("end")))
+    begun = lambda one, none: F.when(F.col("start") == 1, one).otherwise(none)
+    whole = whole.withColumns({"end": begun(F.col("end1"), F.col("end0")), "head": begun(F.col("head1"), F.lit(None)), "tail": begun(F.col("tail1"), F.col("tail0"))})
+    carried = F.last("tail", ignorenulls=True).over(before)
+    return cut_lineage(whole.select("file", "block", "number", "start", "end", "head", "tail", carried.alias("carried")))
 
 
 def read_records(lines: DataFrame) -> DataFrame:
-    """(file, block, id, record) of lines as :func:`file_lines` gives them; a record over several lines has the id and block of the first.
+    """(file, block, id, record, first) of lines as :func:`file_lines` gives them; a record over several lines has the id and block of the first,
+    ``first`` is the first of a block that is not blank.
 
     A value that is never closed is an error. Carriage returns before line feeds inside values stay, the one at the end of a record goes.
     """
-    starts = block_starts(lines)
+    starts = block_starts(lines, in_order=True)
     behind = W.partitionBy("file").orderBy(F.desc("block"))
     open_ = starts.withColumn("place", F.row_number().over(behind)).filter("place = 1 and end = 1").select("file").head(1)
     if open_:
         raise ValueError(f"{OPEN_END}: {open_[0]['file']}")
-    n, width = starts.agg(F.count(F.lit(1)), F.max(F.octet_length("file"))).first()
-    small = n * ((width or 0) + BLOCK_BYTES) <= BROADCAST_BYTES
-    known = starts.select("file", "block", "start", ((F.col("start") == 1) | (F.col("opens") == 1)).alias("cut"))
-    placed = lines.join(F.broadcast(known) if small else known, ["file", "block"], "left")
+    known, small = _known(starts)
+    placed = lines.join(known, ["file", "block"], "left")
     # a cluster that grows may cut files anew between two scans
     placed = placed.filter(F.when(F.col("start").isNull(), F.raise_error(F.lit(MOVED)).cast("boolean")).otherwise(True))
-    plain = placed.filter("not cut").select("file", "block", "id", F.col("line").alias("record"))
-
-    inside = W.partitionBy("file", "block").orderBy("id")
-    upto, before = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
-    acts = _maps(placed.filter("cut")).withColumn("turned", F.sum("swaps").over(upto))
-    acts = acts.withColumn("begins", _composed(before, "id", F.col("start")))
-    acts = acts.withColumn("ends", F.when(F.col("begins") == 1, F.col("from1")).otherwise(F.col("from0")))
-    # where the record that a line is part of begins, if that is in its block
-    first = F.max(F.when(F.col("begins") == 0, F.col("id"))).over(upto)
-    marked = cut_lineage(acts.select("file", "block", "id", "line", "begins", "ends", first.alias("first")))
-    single = marked.filter("begins = 0 and ends = 0").select("file", "block", "id", F.col("line").alias("record"))
-    lasts = marked.groupBy("file", "block").agg(F.max("first").alias("last"))
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = lasts.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    parts = marked.filter("begins = 1 or ends = 1").join(carried, ["file", "block"])
-    parts = parts.withColumn("of", F.coalesce("first", "carried"))
+    heads = (F.col("start") == 1) & (F.col("head").isNull() | (F.col("id") <= F.col("head")))
+    placed = placed.withColumn("of", F.when(heads, F.col("carried")).when(F.col("id") >= F.col("tail"), F.col("tail")))
+
+    inner = placed.filter("of is null").select("number", "id", F.col("line").cast("binary").alias("line"))
+    if not small:  # the join has changed their order
+        inner = inner.repartition("number").sortWithinPartitions("number", "id")
+    cut = inner.mapInArrow(_cut_records, "number long, id long, record binary, first boolean")
+    cut = cut.join(known.select("number", "file", "block"), "number")
+    cut = cut.select("file", "block", "id", F.col("record").cast("string").alias("record"), "first")
+
     listed = F.sort_array(F.collect_list(F.struct("block", "id", "line")))
-    joined = parts.groupBy("file", "of").agg(listed.alias("lines"))
-    joined = joined.select("file", F.col("lines")[0]["block"].alias("block"), F.col("of").alias("id"), F.array_join(F.col("lines")["line"], "\n").alias("record"))
-    whole = plain.unionByName(single).unionByName(joined)
+    joined = placed.filter("of is not null").groupBy("file", "of").agg(listed.alias("lines"))
+    record = F.array_join(F.col("lines")["line"], "\n")
     end = F.when(F.endswith("record", F.lit("\r")), F.expr("left(record, length(record) - 1)")).otherwise(F.col("record"))
-    return whole.withColumn("record", end).filter(F.length(F.trim("record")) > 0)
+    joined = joined.select("file", F.col("lines")[0]["block"].alias("block"), F.col("of").alias("id"), record.alias("record"), F.lit(False).alias("first"))
+    return cut.unionByName(joined.withColumn("record", end).filter(F.length(F.trim("record")) > 0))

@@ -138,6 +138,14 @@ def test_state_of_lines(spark):
         assert (r.a, r.b) == (state_by_hand(r.line, False), state_by_hand(r.line, True)), r.line
 
 
+def test_lines_stay_in_the_task_that_reads_them(spark, tmp_path, small_blocks, capfd):
+    """Neither lines nor records are put in order or dealt by their file: such a task would hold a whole block or file."""
+    read_csv_text(spark, put(tmp_path, "a.csv", written(values(11, 60)))).explain()
+    plan = capfd.readouterr().out
+    assert "from_csv" in plan and "MapInArrow" in plan
+    assert not any(step in plan for step in ("Window", "SortMergeJoin", "Sort ["))
+
+
 def test_states_of_blocks(spark):
     """Blocks of lines of all kinds, against the states of one line after the other."""
     draw = random.Random(10)
