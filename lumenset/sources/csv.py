@@ -47,7 +47,9 @@ def first_lines(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
     lines = spark.read.text(path)
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     lines = lines.filter((F.col("at") == 0) & (F.length("value") > 0)).withColumn("id", F.monotonically_increasing_id())
-    return {r["file"]: r["line"] for r in sorted(lines.groupBy("file").agg(F.min_by("value", "id").alias("line")).collect())}
+    # numbers alone are aggregated: texts would be put in order, all lines of a block by one task
+    ids = lines.groupBy("file").agg(F.min("id").alias("id"))
+    return {r["file"]: r["value"] for r in sorted(lines.join(F.broadcast(ids), ["file", "id"]).select("file", "value").collect())}
 
 
 def file_headers(spark: SparkSession, path: str | list[str], problems: dict[str, str] | None = None) -> dict[str, list[str]]:

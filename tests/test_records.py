@@ -146,6 +146,22 @@ def test_lines_stay_in_the_task_that_reads_them(spark, tmp_path, small_blocks, c
     assert not any(step in plan for step in ("Window", "SortMergeJoin", "Sort ["))
 
 
+def test_first_lines_are_found_without_putting_lines_in_order(spark, tmp_path, small_blocks, monkeypatch):
+    put(tmp_path, "a.csv", "\n\nk,a\n" + "1,x\n" * 200)
+    put(tmp_path, "b.csv", "b,k\n2,y\n")
+    put(tmp_path, "c.csv", "\n")
+    plans, real = [], type(spark.range(1)).collect
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", seen)
+    found = source.first_lines(spark, str(tmp_path))
+    assert {f.rsplit("/", 1)[1]: line for f, line in found.items()} == {"a.csv": "k,a", "b.csv": "b,k"}
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 def test_states_of_blocks(spark):
     """Blocks of lines of all kinds, against the states of one line after the other."""
     draw = random.Random(10)
