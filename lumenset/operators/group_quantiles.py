@@ -163,13 +163,15 @@ def _narrowed(meet, state: DataFrame, keys: list[str], columns: list[str], first
             ends += [F.when(use, F.get(sketch, F.greatest(cell - 1, F.lit(0)).cast("int"))), F.when(use, F.get(sketch, F.least(cell + 2, F.lit(GRID)).cast("int")))]
         edges[f"{v}_e"] = F.array_sort(F.array_distinct(F.array_compact(F.array(*ends))))
     with_edges = cut_lineage(both.withColumns(edges).drop(*[f"{v}_s{i}" for v, i in sketches]))
-    # where a value lies: 2 k between the edges k - 1 and k, 2 k + 1 at edge k
-    cells = []
-    for i, v in enumerate(columns):
-        step = lambda j: F.when(F.get(F.col(f"{v}_e"), F.lit(j)) < F.col(v), 2).when(F.get(F.col(f"{v}_e"), F.lit(j)) == F.col(v), 1).otherwise(0)  # noqa: E731, B023
-        slot = reduce(lambda a, b: a + b, [step(j) for j in range(2 * len(RANKS))])
-        cells.append(F.struct(F.lit(i).alias("_c"), F.when(F.col(v).isNotNull(), slot).alias("_slot")))
-    counted = meet(with_edges).select(*keys, F.inline(F.array(*cells))).where("_slot is not null").groupBy(*keys, "_c", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    # where a value lies: 2 k between the edges k - 1 and k, 2 k + 1 at edge k. A row per value comes first: one expression over the values of all
+    # columns is too long to be compiled
+    ends = range(2 * len(RANKS))
+    around = with_edges.select(*keys, *[F.struct(*[F.get(F.col(f"{v}_e"), F.lit(j)).alias(f"_{j}") for j in ends]).alias(f"{v}_s") for v in columns])
+    cells = [F.struct(F.lit(i).alias("_c"), F.col(v).alias("_v"), F.col(f"{v}_s").alias("_s")) for i, v in enumerate(columns)]
+    values = meet(around).select(*keys, F.inline(F.array(*cells))).where("_v is not null")
+    slot = reduce(lambda a, b: a + b, [F.when(F.col(f"_s._{j}") < F.col("_v"), 2).when(F.col(f"_s._{j}") == F.col("_v"), 1).otherwise(0) for j in ends])
+    values = values.select(*keys, "_c", slot.alias("_slot"))
+    counted = values.groupBy(*keys, "_c", "_slot").agg(F.count(F.lit(1)).alias("_n"))
     listed = counted.groupBy(*keys).agg(F.collect_list(F.struct("_c", "_slot", "_n")).alias("_slots"))
     found = same_group_join(with_edges, listed, keys)
     return found.select(*keys, *[x for i, v in enumerate(columns) for x in (F.col(f"{v}_n"), F.col(f"{v}_gaps"), _updated(v, i).alias(f"{v}_b"))])
@@ -206,13 +208,19 @@ def _updated(v: str, i: int) -> Column:
 
 def _picked(meet, state: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
     """The values at the ranks that no edge has hit: those between the edges are counted and put in order."""
-    cells = []
-    for i, v in enumerate(names.values()):
-        for j in range(len(RANKS)):
-            b = F.col(f"{v}_b")[j]
-            wanted = _open(b) & _between(F.col(v), b)
-            cells.append(F.when(wanted, F.struct(F.lit(i).alias("_c"), F.lit(j).alias("_j"), (b["rank"] - b["below"]).alias("_at"), F.col(v).alias("_v"))))
-    inside = meet(state).select(*keys, F.inline(F.array_compact(F.array(*cells)))).groupBy(*keys, "_c", "_j", "_at", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # a row per value first, the ranks of few values after: an expression over all columns and ranks is too long to be compiled
+    ranks = range(len(RANKS))
+    wanted = lambda v, j, x: F.when(_open(F.col(f"{v}_b")[j]), x)
+    sides = {v: [wanted(v, j, F.col(f"{v}_b")[j][side]).alias(f"_{side}{j}") for j in ranks for side in ("lo", "hi")] for v in names.values()}
+    ats = {v: F.array(*[wanted(v, j, F.col(f"{v}_b")[j]["rank"] - F.col(f"{v}_b")[j]["below"]) for j in ranks]).alias("_ats") for v in names.values()}
+    around = state.select(*keys, *[F.struct(*sides[v], ats[v]).alias(f"{v}_s") for v in names.values()])
+    cells = [F.struct(F.lit(i).alias("_c"), F.col(v).alias("_v"), F.col(f"{v}_s").alias("_s")) for i, v in enumerate(names.values())]
+    values = meet(around).select(*keys, F.inline(F.array(*cells))).where("_v is not null")
+    hits = [_between(F.col("_v"), {side: F.col(f"_s._{side}{j}") for side in ("lo", "hi")}) for j in ranks]
+    near = values.where(reduce(lambda a, b: a | b, hits))
+    places = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(j).alias("_j"), F.col("_s._ats")[j].alias("_at"))) for j, hit in enumerate(hits)]))
+    listed = near.select(*keys, "_c", "_v", F.inline(places))
+    inside = listed.groupBy(*keys, "_c", "_j", "_at", "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(*keys, "_c", "_j").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
     hit = inside.withColumn("_upto", upto).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n")))
     listed = hit.groupBy(*keys).agg(F.collect_list(F.struct("_c", "_j", "_v")).alias("_found"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenset.operators import group_quantiles as module
 from lumenset.operators.group_quantiles import group_quantiles
-from lumenset.operators.joins import group_sizes
+from lumenset.operators.joins import group_sizes, stats_join
 
 LIMITS = {"broadcast_bytes": 1 << 26, "salt_rows": 1 << 20}
 
@@ -94,3 +94,24 @@ def test_few_values_lie_between_edges(spark):
     stats = group_quantiles(df, ["g"], ["v"], sizes, LIMITS, 5000).first()["_v_stats"]
     values = np.array([r[0] for r in df.select("v").collect()])
     assert tuple(stats) == pytest.approx((np.median(values), *np.quantile(values, [0.25, 0.75])), rel=1e-12)
+
+
+def test_rows_meet_the_edges_of_a_column_as_plain_numbers(spark, monkeypatch):
+    df, rows = table(spark)
+    met = []
+
+    def watched(values, state, *rest, **limits):
+        met.append(state.columns)
+        return stats_join(values, state, *rest, **limits)
+
+    monkeypatch.setattr(module, "stats_join", watched)
+    found = group_quantiles(df, ["g"], ["a", "b", "c.d"], group_sizes(df, ["g"]), LIMITS, 2000).collect()
+    assert len(met) >= 3
+    # an array of edges and brackets per column, looked into for all columns at once, took 70 microseconds a row
+    assert not any(c.endswith("_e") for columns in met for c in columns)
+    assert not any(c.endswith("_b") for c in met[-1])
+    wanted = expected(rows)
+    for r in found:
+        for c in ("a", "b", "c.d"):
+            got = r[f"_{c}_stats"]
+            assert got is None if wanted[r["g"], c] is None else np.allclose(tuple(got), wanted[r["g"], c])
