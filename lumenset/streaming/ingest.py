@@ -2,7 +2,9 @@
 statistics, written in its own format and registered; files that can't be read are set aside with the reason."""
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,8 @@ from ..sources.sinks import write_table
 from ..sources.uploads import MAX_BYTES, check_uploads
 
 FILES_PER_BATCH = 100
+# Groups of so many files that are handled side by side: their jobs are short, so one group after the other would leave most cores waiting for the driver.
+GROUPS = 8
 LISTED = "path string, modificationTime timestamp, length bigint, content binary"
 ID = "dataset_id"
 
@@ -108,23 +112,19 @@ def ingest_stream(
     ``sink/rows`` gets the cleaned rows, one folder per dataset in the format of its file; ``sink/datasets`` a row of the
     dataset table per file, ids in the order of the paths; ``sink/rejected`` (file, reason) for each that can't be taken in.
     All are written under the batch number, so a batch that is run again replaces what it wrote before.
-    At most ``files_per_batch`` files are handled at a time; per file, a few scalars and at most MAX_FIELDS field names come to the
-    driver; a JSON file of more fields is set aside. Files without a byte are passed over.
+    A batch is up to GROUPS groups of at most ``files_per_batch`` files, each handled by jobs of its own, side by side; per file, a few
+    scalars and at most MAX_FIELDS field names come to the driver; a JSON file of more fields is set aside. Files without a byte are passed over.
     """
 
-    def take_in(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        listed = batch.select(F.col("path"), F.substring_index("path", "/", -1).alias("name"), "length")
-        files = {r["path"]: r for r in check_uploads(listed, "name", "length", max_bytes).collect()}
-        problems = {p: r["reason"] for p, r in files.items() if not r["accepted"]}
-        before = _read(session, f"{sink}/datasets", DATASET_SCHEMA + ", batch bigint").filter(F.col("batch") < batch_id)
-        numbers = {p: i for i, p in enumerate(sorted(files), 1 + (before.agg(F.max("id")).first()[0] or 0))}
-        datasets, place = [], 0
+    def take_group(session: SparkSession, batch_id: int, files: dict, numbers: dict[str, int], group: int):
+        """(rows of the dataset table, problems) of one group of files."""
+        problems, datasets, place = {}, [], 0
         for kind, tables in (("csv", _csv_tables), ("json", _json_tables)):
-            paths = [p for p, r in files.items() if r["accepted"] and r["ext"] == kind]
+            paths = [p for p, r in files.items() if r["ext"] == kind]
             for rows, same in tables(session, paths, problems) if paths else []:
                 for cleaned, members, counts in clean_files(rows, same):
-                    path = f"{sink}/rows/batch={batch_id}/table={place}"
+                    # numbers that no other group has
+                    path = f"{sink}/rows/batch={batch_id}/table={place * GROUPS + group}"
                     place += 1
                     ids = F.create_map(*[F.lit(x) for p in members for x in (p, numbers[p])])
                     out = cleaned.withColumn(ID, ids[F.col(FILE)]).drop(FILE, ROW_ID)
@@ -132,13 +132,33 @@ def ingest_stream(
                     for p in members:
                         at = f"{path}/{ID}={numbers[p]}"
                         datasets.append((numbers[p], user_id, at.rsplit("/", 1)[-1], files[p]["name"], at, kind, counts.get(p, 0), len(out.columns) - 1, is_public))
+        return datasets, problems
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        listed = batch.select(F.col("path"), F.substring_index("path", "/", -1).alias("name"), "length")
+        files = {r["path"]: r for r in check_uploads(listed, "name", "length", max_bytes).collect()}
+        problems = {p: r["reason"] for p, r in files.items() if not r["accepted"]}
+        before = _read(session, f"{sink}/datasets", DATASET_SCHEMA + ", batch bigint").filter(F.col("batch") < batch_id)
+        numbers = {p: i for i, p in enumerate(sorted(files), 1 + (before.agg(F.max("id")).first()[0] or 0))}
+        # neighbours, which are likely to have the same columns, are of one group
+        taken = sorted((p for p, r in files.items() if r["accepted"]), key=lambda p: (files[p]["ext"], p))
+        groups = [{p: files[p] for p in taken[i : i + files_per_batch]} for i in range(0, len(taken), files_per_batch)]
+        datasets = []
+        with ThreadPoolExecutor(GROUPS) as pool:
+            # each thread gets the job group and the properties of this one
+            started = [pool.submit(inheritable_thread_target(session)(take_group), session, batch_id, group, numbers, i) for i, group in enumerate(groups)]
+            for done in started:
+                rows, refused = done.result()
+                datasets += rows
+                problems.update(refused)
         known = session.createDataFrame(datasets, DATASET_SCHEMA.rsplit(",", 1)[0]).withColumn("uploaded_at", F.current_timestamp())
         known.coalesce(1).write.mode("overwrite").parquet(f"{sink}/datasets/batch={batch_id}")
         refused = session.createDataFrame(sorted(problems.items()), "file string, reason string")
         refused.coalesce(1).write.mode("overwrite").parquet(f"{sink}/rejected/batch={batch_id}")
 
     reader = spark.readStream.format("binaryFile").schema(LISTED).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    stream = reader.option("maxFilesPerTrigger", files_per_batch).load(folder).select("path", "length")
+    stream = reader.option("maxFilesPerTrigger", GROUPS * files_per_batch).load(folder).select("path", "length")
     return stream.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -106,3 +106,23 @@ def test_a_file_of_too_many_fields_is_set_aside(spark, folder, monkeypatch):
     assert [(r.original_filename, r.n_rows) for r in spark.read.parquet(folder + "/sink/datasets").collect()] == [("good.json", 2)]
     refused = spark.read.parquet(folder + "/sink/rejected").collect()
     assert [(r.file.rsplit("/", 1)[-1], r.reason) for r in refused] == [("ids.json", "the objects have more than 5 fields")]
+
+
+def test_groups_of_a_batch_are_taken_side_by_side(spark, tmp_path):
+    (tmp_path / "drop").mkdir()
+    for i in range(5):
+        head = "a,b" if i % 2 else "b,a"
+        (tmp_path / "drop" / f"f{i}.csv").write_text(head + "\n" + "".join(f"{i},{k}\n" for k in range(i + 1)))
+    (tmp_path / "drop" / "f5.json").write_text('[{"a": 1}, {"a": 2}]')
+    (tmp_path / "drop" / "f6.csv").write_text("a,b\n1,2,3\n")
+    folder = f"file://{tmp_path}"
+    ingest_stream(spark, folder + "/drop", folder + "/sink", folder + "/state", user_id=7, files_per_batch=2).awaitTermination()
+    known = {r["original_filename"]: r for r in spark.read.parquet(folder + "/sink/datasets").collect()}
+    assert {r["batch"] for r in known.values()} == {0}  # one group a batch made four of them
+    assert [known[f"f{i}.csv"]["id"] for i in range(5)] + [known["f5.json"]["id"]] == [1, 2, 3, 4, 5, 6]
+    assert {n: r["n_rows"] for n, r in known.items()} == {**{f"f{i}.csv": i + 1 for i in range(5)}, "f5.json": 2}
+    for i in range(5):
+        read = spark.read.option("header", True).csv(known[f"f{i}.csv"]["file_path"]).collect()
+        first, second = ("a", "b") if i % 2 else ("b", "a")
+        assert sorted((r[first], r[second]) for r in read) == [(str(i), str(k)) for k in range(i + 1)]
+    assert [r["reason"] for r in spark.read.parquet(folder + "/sink/rejected").collect()] == ["a record has more fields than the header of its file"]
