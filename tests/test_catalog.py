@@ -131,3 +131,22 @@ def test_toggle_and_list(cat, spark):
     assert (row.file_type, row.visibility, row.uploaded_at, row.day, row.minute) == (
         "CSV", "Public", "2024-01-03T00:00:00", "Jan 03, 2024", "Jan 03, 2024 00:00"
     )
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_requests_meet_shares_in_one_aggregate(cat, spark, capsys):
+    asked = [(3, 10), (3, 10), (4, 11), (1, 10), (2, 10), (3, 12), (None, 10), (3, None), (None, 11)]
+    given = [(7, 1, None, "dataset", 10, None), (8, 1, 3, "dataset", None, None)]
+    with_nulls = cat.replace(shares=cat.shares.unionByName(spark.createDataFrame(given, c.SHARE_SCHEMA)))
+    checked = access.can_view_dataset(with_nulls, spark.createDataFrame(asked, "user_id bigint, object_id bigint"))
+    # the objects are joined, shares are not
+    assert plan_of(checked, capsys).count("Join") == 1
+    assert sorted(((r.user_id or 0, r.object_id or 0), r.allowed, r.reason) for r in checked.collect()) == [
+        ((0, 10), False, None), ((0, 11), True, "public"), ((1, 10), True, "owner"), ((2, 10), False, None),
+        ((3, 0), False, None), ((3, 10), True, "shared"), ((3, 12), False, None), ((4, 11), True, "public"),
+    ]
