@@ -150,3 +150,12 @@ def test_requests_meet_shares_in_one_aggregate(cat, spark, capsys):
         ((0, 10), False, None), ((0, 11), True, "public"), ((1, 10), True, "owner"), ((2, 10), False, None),
         ((3, 0), False, None), ((3, 10), True, "shared"), ((3, 12), False, None), ((4, 11), True, "public"),
     ]
+
+
+def test_repeated_shares_are_not_held_by_the_tasks_that_read_them(cat, spark, capsys):
+    more = [(7, None, 3, "dataset", 10, None), (8, None, 3, "dataset", 10, None), (9, 1, 3, "dataset", 10, None)]
+    report = lifecycle.integrity_report(cat.replace(shares=cat.shares.unionByName(spark.createDataFrame(more, c.SHARE_SCHEMA))))
+    lines = plan_of(report, capsys).splitlines()
+    assert not any("Aggregate" in line and "target_id" in line for line in lines)
+    repeated = {(r.object_type, r.object_id, r.detail, r.n) for r in report.collect() if r.issue == "repeated share"}
+    assert repeated == {("dataset", 10, "1->3", 3), ("dataset", 10, "3", 2)}
