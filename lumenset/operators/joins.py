@@ -14,6 +14,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALT_ROWS = 1_000_000
 # Bytes of a row besides its keys.
 ROW_BYTES = 100
+# Bytes of a bitmap, which tells of 32,768 ids whether they are in a list.
+BITMAP_BYTES = 4096
 
 
 @dataclass(frozen=True)
@@ -83,3 +85,21 @@ def same_group_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     """Join two tables of one row per key, null equal to null."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     return left.join(renamed, _match(keys, "_right_"), how).drop(*[f"_right_{k}" for k in keys])
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi", broadcast_bytes: int | None = None) -> DataFrame:
+    """Rows whose ``column`` is among ``ids.id``, both bigint, or with ``left_anti`` the others; ids without a value match nothing. Ids are read twice.
+
+    Ids that lie close together, as ids that count up do, are broadcast as bitmaps, so the rows stay where they are. If they lie too far apart for that, which
+    is measured, both sides are shuffled.
+    """
+    broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    ids = ids.where("id is not null").select("id")
+    if ids.agg(F.approx_count_distinct(F.bitmap_bucket_number("id"))).first()[0] * BITMAP_BYTES > broadcast_bytes:
+        return rows.join(ids.withColumnRenamed("id", "_id"), F.col(column) == F.col("_id"), how)
+    # ids are dealt, not the bitmaps of each task, which would repeat a bitmap in every task that reads one of its ids
+    dealt = ids.withColumn("_bucket", F.bitmap_bucket_number("id")).repartition("_bucket")
+    maps = dealt.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("_bits"))
+    place = F.bitmap_bit_position(column)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(column) == F.col("_bucket")) & (F.getbit(byte, (place % 8).cast("int")) == 1), how)

@@ -7,6 +7,7 @@ that user does not have.
 from pyspark.sql import functions as F
 
 from ..operators import access, catalog as c, gallery, lifecycle, reasons
+from ..operators.joins import among
 from ..session import scratch_path
 from .tables import CATALOG, catalog, read
 
@@ -376,11 +377,11 @@ def rights_after_changes(spark, folder):
     orders = read(spark, folder, "orders")
     third = cat.datasets.where("id % 3 = 0").select(F.col("user_id").alias("owner_id"), F.lit("dataset").alias("object_type"), F.col("id").alias("object_id"))
     new = third.withColumn("target_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
-    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("object_id"))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
     changes = [
         lambda now: reasons.all_reasons(cat),
         lambda now: reasons.granted(now, new.unionByName(new)),
-        lambda now: reasons.revoked(now, cat.shares.join(urgent, "object_id", "left_semi")),
+        lambda now: reasons.revoked(now, among(reasons.granted_before(spark, path, 1), "object_id", urgent)),
         lambda now: reasons.flipped(now, orders.where("o_totalprice > 200000").select(F.col("o_orderkey").alias("id"))),
         lambda now: reasons.without_visualisations(now, cat.visualisations.where(F.startswith(F.col("title"), F.lit("error"))).select("id")),
         lambda now: reasons.without_datasets(now, cat.datasets.where("id % 7 = 3").select("id")),

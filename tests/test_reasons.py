@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lumenset.operators import access, catalog as c, lifecycle, reasons as r
+from lumenset.operators import access, catalog as c, joins, lifecycle, reasons as r
 
 DATASETS = "id bigint, user_id bigint, is_public boolean"
 BOARDS = "id bigint, dataset_id bigint"
@@ -100,3 +100,52 @@ def test_empty_catalog(spark, tmp_path):
     now = stored(spark, str(tmp_path), lambda _: r.all_reasons(cat), 0)
     assert kept(now) == []
     assert kept(stored(spark, str(tmp_path), lambda now: r.without_users(now, full.users), 1)) == []
+
+
+def changes(spark, now, cat):
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "id bigint")
+    new = [(1, 2, "dataset", 12), (1, 2, "dataset", 12), (None, 2, "dataset", 12), (None, 2, "dataset", 12), (1, 2, "visualisation", 12), (2, 2, "dataset", 2**62)]
+    return [
+        r.granted(now, spark.createDataFrame(new, SHARES).unionByName(cat.shares.where("object_id % 2 = 0"))),
+        r.revoked(now, cat.shares.where("target_id in (1, 2)").unionByName(cat.shares.where("target_id = 1"))),
+        r.flipped(now, ids(10, 11, 11, 12, None, -1)),
+        r.without_visualisations(now, ids(100, 103, 100, 999, None)),
+        r.without_datasets(now, ids(11, 15, None)),
+        r.without_users(now, ids(2, 4, 4, None)),
+    ]
+
+
+def test_reasons_that_a_change_does_not_touch_are_not_shuffled(spark, tmp_path):
+    cat = tables(spark, 5)
+    r.add_batch(r.all_reasons(cat), str(tmp_path), 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids were many
+    try:
+        for change in changes(spark, r.read_batches(spark, str(tmp_path)), cat):
+            text = change._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+            # rows are dealt once; the other exchange deals the ids to their bitmaps
+            assert text.count("Exchange hashpartitioning(_bucket") + text.count("ReusedExchange") >= 1
+            assert len([x for x in text.splitlines() if "Exchange hashpartitioning" in x and "_bucket" not in x]) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_changes_by_bitmaps_and_by_shuffles_agree(spark, tmp_path, monkeypatch):
+    cat = tables(spark, 6)
+    r.add_batch(r.all_reasons(cat), str(tmp_path), 0)
+    rows = lambda: [sorted(map(str, change.collect())) for change in changes(spark, r.read_batches(spark, str(tmp_path)), cat)]
+    by_bitmaps = rows()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    assert rows() == by_bitmaps and all(by_bitmaps)
+
+
+def test_ids_far_apart_and_at_the_edges(spark):
+    edges = [0, 1, -1, 7, 8, 9, 32767, 32768, 32769, -32767, -32768, -32769, 65536, 2**40, 2**63 - 1, -(2**63), 5]
+    rows = spark.createDataFrame([(v,) for v in [*edges, *edges, None]], "x bigint")
+    for chosen in (edges[::2], edges[1::2], []):
+        ids = spark.createDataFrame([(v,) for v in [*chosen, *chosen, None]], "id bigint")
+        for limit in (None, 0):
+            assert sorted(x for x, in joins.among(rows, "x", ids, broadcast_bytes=limit).collect()) == sorted(chosen * 2)
+            left = [x for x, in joins.among(rows, "x", ids, "left_anti", limit).collect()]
+            assert sorted(str(x) for x in left) == sorted(str(x) for x in [*edges, *edges, None] if x not in chosen)
