@@ -97,9 +97,8 @@ def among(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi",
     ids = ids.where("id is not null").select("id")
     if ids.agg(F.approx_count_distinct(F.bitmap_bucket_number("id"))).first()[0] * BITMAP_BYTES > broadcast_bytes:
         return rows.join(ids.withColumnRenamed("id", "_id"), F.col(column) == F.col("_id"), how)
-    # ids are dealt, not the bitmaps of each task, which would repeat a bitmap in every task that reads one of its ids
-    dealt = ids.withColumn("_bucket", F.bitmap_bucket_number("id")).repartition("_bucket")
-    maps = dealt.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("_bits"))
+    # each task makes bitmaps of the ids that it reads, and only these are dealt: ids that repeat are not gathered in one task
+    maps = ids.groupBy(F.bitmap_bucket_number("id").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("_bits"))
     place = F.bitmap_bit_position(column)
     byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(column) == F.col("_bucket")) & (F.getbit(byte, (place % 8).cast("int")) == 1), how)
