@@ -63,16 +63,17 @@ select client, id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at, hour_number, day_
 
 
 def answered_stream(spark, folder):
-    """The same from a stream of four files, later events in later ones: numbers go on over batches."""
-    events, drop, sink = read(spark, folder, "events"), scratch_path(spark, "requests"), scratch_path(spark, "answers")
+    """The same from a stream of four deliveries, later events in later ones: numbers go on over batches."""
+    events, drop, sink, state = read(spark, folder, "events"), scratch_path(spark, "requests"), scratch_path(spark, "answers"), scratch_path(spark, "state")
     events = events.withColumn("at", F.col("ts").cast("timestamp"))
     cuts = events.agg(F.percentile_approx("at", [0.25, 0.5, 0.75])).first()[0]
     part = sum((F.col("at") > F.lit(c)).cast("int") for c in cuts)
-    for i in range(4):  # one after the other, since a stream takes files by the time they were written
-        events.filter(part == i).select("user_id", "event_id", "at").write.mode("append").parquet(f"{drop}/{i}")
     names = "user_id bigint, event_id bigint, at timestamp"
-    stream = spark.readStream.schema(names).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(drop)
-    run_refusal_stream(stream, "user_id", "at", "event_id", sink, scratch_path(spark, "state"), PER_HOUR, PER_DAY).awaitTermination()
+    for i in range(4):
+        # the files of a delivery hold the same hours, so all of them are one batch: of two batches the second would be late
+        events.filter(part == i).select("user_id", "event_id", "at").write.mode("append").parquet(f"{drop}/{i}")
+        stream = spark.readStream.schema(names).option("recursiveFileLookup", True).parquet(drop)
+        run_refusal_stream(stream, "user_id", "at", "event_id", sink, state, PER_HOUR, PER_DAY).awaitTermination()
     return _answers(spark.read.parquet(sink))
 
 

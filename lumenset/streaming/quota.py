@@ -1,7 +1,9 @@
 """Requests per client in fixed windows, the windows over quota, and the requests to refuse as they arrive."""
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,8 +56,12 @@ def run_quota_stream(
     return writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink)).start()
 
 
-HOUR, DAY = 3600, 86400
-ANSWERED = "client bigint, id bigint, at timestamp, hour_number bigint, day_number bigint, accepted boolean"
+WIDTHS = {"hour_number": 3600, "day_number": 86400}
+# What names a window of a client, in the state of a bucket.
+NAMED = ["no_client", "client", "width", "start"]
+ANSWERED = "no_client boolean, client bigint, no_id boolean, id bigint, at timestamp, hour_number bigint, day_number bigint"
+# Clients are dealt to so many states. A call for each client takes far longer than its few requests; checkpoints hold to the number.
+BUCKETS = 1024
 
 
 def _numbered(events: DataFrame, key: str, ts: str, request: str) -> DataFrame:
@@ -77,34 +83,49 @@ def answer_requests(events: DataFrame, key: str, ts: str, request: str, per_hour
     return numbered.withColumn("accepted", _accepted(per_hour, per_day))
 
 
-def _answer(per_hour: int, per_day: int):
-    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Numbers the requests of a client as they come and keeps the counts of its windows that are still open."""
-        starts, counts = (list(x) for x in state.get) if state.exists else ([], [])
-        known = dict(zip(map(tuple, starts), counts))
-        if state.hasTimedOut:
-            closed = state.getCurrentWatermarkMs() // 1000
-        else:
-            requests = pd.concat(batches, ignore_index=True).sort_values(["at", "id"], kind="stable", ignore_index=True)
-            # pandas keeps the wall clock of the session's zone, in which windows are cut
-            seconds = requests["at"].astype("datetime64[us]").astype("int64") // 1_000_000
-            for name, width in (("hour_number", HOUR), ("day_number", DAY)):
-                window = seconds // width * width
-                before = window.map(lambda w: known.get((width, w), 0))  # noqa: B023
-                requests[name] = window.groupby(window).cumcount() + 1 + before
-                for w, n in window.value_counts().items():
-                    known[width, w] = known.get((width, w), 0) + int(n)
-            requests["accepted"] = (requests["hour_number"] <= per_hour) & (requests["day_number"] <= per_day)
-            yield requests[["client", "id", "at", "hour_number", "day_number", "accepted"]]
-            closed = state.getCurrentWatermarkMs() // 1000
-        known = {k: n for k, n in known.items() if k[0] + k[1] > closed}
-        if known:
-            state.update((list(map(list, known)), list(known.values())))
-            state.setTimeoutTimestamp(max(max(w + width for width, w in known), closed + 1) * 1000)
-        else:
-            state.remove()
-
-    return answer
+def _added(known: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of windows (rows of NAMED, then the count) after ``new`` ones came, and for each of these the count before."""
+    both = np.concatenate([known, new])
+    order = np.lexsort(both[:, :-1].T)  # stable: a known count stands before a new one of its window
+    both = both[order]
+    first = np.ones(len(both), dtype=bool)
+    first[1:] = (both[1:, :-1] != both[:-1, :-1]).any(axis=1)
+    again = np.flatnonzero(~first)
+    before = np.zeros(len(both), dtype=np.int64)
+    before[order[again]] = both[again - 1, -1]
+    counts = both[first]
+    counts[:, -1] = np.add.reduceat(both[:, -1], np.flatnonzero(first))
+    return counts, before[len(known) :]
+
+
+def _answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Numbers the requests of a bucket of clients as they come and keeps the counts of their windows that are still open."""
+    known = np.empty((0, len(NAMED) + 1), dtype=np.int64)
+    if state.exists:
+        known = np.frombuffer(zlib.decompress(state.get[0]), dtype=np.int64).reshape(len(NAMED) + 1, -1).T
+    if not state.hasTimedOut:
+        requests = pd.concat(batches, ignore_index=True)
+        # pandas keeps the wall clock of the session's zone, in which windows are cut
+        micros = requests["at"].to_numpy("datetime64[us]").astype(np.int64)
+        order = np.lexsort((requests["id"], requests["no_id"], micros, requests["client"], requests["no_client"]))
+        requests, seconds = requests.iloc[order], micros[order] // 1_000_000
+        numbers = {}
+        for name, width in WIDTHS.items():
+            window = np.column_stack([requests["no_client"], requests["client"], np.full(len(requests), width), seconds // width * width]).astype(np.int64)
+            # the requests of a window stand together, as each client's are sorted by time
+            first = np.flatnonzero(np.append(True, (window[1:] != window[:-1]).any(axis=1)))
+            n = np.diff(np.append(first, len(window)))
+            known, before = _added(known, np.column_stack([window[first], n]))
+            numbers[name] = np.arange(1, len(window) + 1) + np.repeat(before - first, n)
+        yield requests.drop(columns="bucket").assign(**numbers)
+    closed = state.getCurrentWatermarkMs() // 1000
+    ends = known[:, NAMED.index("width")] + known[:, NAMED.index("start")]
+    known, ends = known[ends > closed], ends[ends > closed]
+    if len(known):
+        state.update((zlib.compress(known.T.tobytes(), 1),))
+        state.setTimeoutTimestamp(int(ends.max()) * 1000)
+    else:
+        state.remove()
 
 
 def run_refusal_stream(
@@ -112,13 +133,21 @@ def run_refusal_stream(
 ) -> StreamingQuery:
     """Answer every request when it arrives, read what is there, then stop: ``sink`` gets each with its numbers and ``accepted``.
 
-    Per client the counts of its open hours and days are kept; a timer drops them once the watermark has passed their ends.
-    The requests of one client in one micro-batch meet in one task, so batches should be small (``maxFilesPerTrigger`` and the
-    like at the source). Requests are numbered in the order of their batches, within a batch by time and id; one that is later
+    Per client the counts of its open hours and days are kept, those of a bucket of clients in one state; a timer drops them once
+    the watermark has passed their ends. The requests of a bucket in one micro-batch meet in one task, so batches should be small
+    (``maxFilesPerTrigger`` and the like at the source). Requests are numbered in the order of their batches, within a batch by time and id; one that is later
     than the watermark gets no answer. Windows are cut in the session's time zone, which must be UTC.
     """
-    schema = "windows array<array<bigint>>, counts array<bigint>"
     stamped = _numbered(events, key, ts, request).withWatermark("at", watermark)
-    answered = stamped.groupBy("client").applyInPandasWithState(_answer(per_hour, per_day), ANSWERED, schema, "append", GroupStateTimeout.EventTimeTimeout)
+    client, number = F.col("client"), F.col("id")
+    # pandas would make integers with gaps doubles
+    whole = stamped.select(
+        F.pmod(F.xxhash64("client"), F.lit(BUCKETS)).alias("bucket"), client.isNull().alias("no_client"), F.coalesce(client, F.lit(0)).alias("client"),
+        number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id"), "at",
+    )
+    answered = whole.groupBy("bucket").applyInPandasWithState(_answer, ANSWERED, "counts binary", "append", GroupStateTimeout.EventTimeTimeout)
+    answered = answered.select(
+        F.when(~F.col("no_client"), client).alias("client"), F.when(~F.col("no_id"), number).alias("id"), "at", *WIDTHS, _accepted(per_hour, per_day).alias("accepted")
+    )
     writer = answered.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return writer.format("parquet").start(sink)

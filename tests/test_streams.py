@@ -4,8 +4,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from lumenset.plans.streaming import answered_requests, answered_stream
 from lumenset.plans.tables import read
-from lumenset.streaming import ingest
+from lumenset.streaming import ingest, quota
 from lumenset.streaming.ingest import ingest_stream
 from lumenset.streaming.quota import over_quota, quota_violations, run_quota_stream
 
@@ -126,3 +127,32 @@ def test_groups_of_a_batch_are_taken_side_by_side(spark, tmp_path):
         first, second = ("a", "b") if i % 2 else ("b", "a")
         assert sorted((r[first], r[second]) for r in read) == [(str(i), str(k)) for k in range(i + 1)]
     assert [r["reason"] for r in spark.read.parquet(folder + "/sink/rejected").collect()] == ["a record has more fields than the header of its file"]
+
+
+def test_requests_of_many_files_are_all_answered(spark, folder):
+    events = spark.range(3000).select(
+        (F.col("id") * 7 % 40).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 211 % 800_000).cast("timestamp_ntz").alias("ts")
+    )
+    events.repartition(5).write.parquet(folder + "/events.parquet")  # each of them holds all hours, and so does each file of a delivery
+    got, want = (sorted(map(tuple, f(spark, folder).collect())) for f in (answered_stream, answered_requests))
+    assert got == want and len(got) == 3000
+    assert len({r[5] for r in got}) == 2
+
+
+def test_clients_share_states(spark, folder, monkeypatch):
+    """Few states for many clients, counts of which go on over batches and runs; nulls and large ids stay as they are."""
+    monkeypatch.setattr(quota, "BUCKETS", 3)
+    n, large = F.col("id"), 2**53
+    rows = spark.range(900).select(
+        F.when(n % 31 != 30, n % 31 + large).alias("client"), F.when(n % 53 != 52, n + large).alias("id"),
+        F.timestamp_seconds(1_700_000_000 + n * 150).alias("at"), F.floor(n / 300).alias("batch"),
+    )
+    for batch in range(3):
+        rows.where(F.col("batch") == batch).drop("batch").write.parquet(f"{folder}/in/{batch}")
+        stream = spark.readStream.schema("client bigint, id bigint, at timestamp").option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        query = quota.run_refusal_stream(stream, "client", "at", "id", f"{folder}/out", f"{folder}/state", 1, 10)
+        query.awaitTermination()
+        assert 0 < query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 3
+    got, want = (spark.read.parquet(f"{folder}/out"), quota.answer_requests(rows, "client", "at", "id", 1, 10))
+    assert got.count() == 900 and got.where("client is null").count() == 29 and got.where("not accepted").count() > 50
+    assert got.select(*want.columns).exceptAll(want).isEmpty()
