@@ -98,21 +98,24 @@ def hilbert_shards(
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Write the rows of ``docs`` under one folder per shard, sorted by ``slot``, as Parquet; returns the placement.
 
-    Folders are named by ``_shard``, with further underscores before it if ``docs`` has such a column. Ids must be distinct, null
+    Folders are named by ``_shard`` and rows have their ``_slot``, with further underscores before it if ``docs`` has such a column. Ids must be distinct, null
     being one; a repeated id is an error, as a row could not be told its place. An empty table writes no folder.
     """
     if not docs.groupBy(quoted(id_col)).count().filter("count > 1").isEmpty():
         raise ValueError("ids must be distinct")
-    folder = "_shard"
-    while folder.lower() in (c.lower() for c in docs.columns):
+    taken = [c.lower() for c in docs.columns]
+    folder, place = "_shard", "_slot"
+    while folder in taken:
         folder = "_" + folder
+    while place in taken:
+        place = "_" + place
     placement = stored(hilbert_shards(docs, id_col, text_col, **options), "placement")
     keyed = placement.select(quoted(id_col).alias("of"), F.col("shard"), F.col("slot"))
     whole = docs.select(quoted(id_col).alias("id"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
     joined = whole.join(keyed, F.col("id").eqNullSafe(F.col("of")))
     # several tasks share a shard: each writes a run of slots
     parts = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    named = parts.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(folder))
+    named = parts.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("slot").alias(place), F.col("shard").alias(folder))
     named.write.partitionBy(folder).parquet(path)
     return placement
 
